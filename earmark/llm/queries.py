@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules
+from . import mixing, packing, quality_rules, secret_scan, topk, url_filters
 from .common import table
 
 TOKENIZER = os.environ.get("EARMARK_TOKENIZER") or public_tokenizers.path("word_bpe_49k.json")
@@ -25,9 +25,33 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.query(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.query(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.query(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
+    "op4_url_filters": op4_url_filters,
+    "op5_exact_topk": op5_exact_topk,
+    "op6_mixing": op6_mixing,
+    "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_url_filters": url_filters.ORACLE,
+    "op5_exact_topk": topk.ORACLE,
+    "op6_mixing": mixing.ORACLE,
+}
