@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_rules, secret_scan, topk, url_filters
+from . import langid, license_scan, mixing, near_dedup, packing, quality_rules, secret_scan, topk, url_filters
 from .common import table
 
 TOKENIZER = os.environ.get("EARMARK_TOKENIZER") or public_tokenizers.path("word_bpe_49k.json")
@@ -37,6 +37,18 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.query(table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.query(table(spark, sf_dir, "documents"))
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.query(table(spark, sf_dir, "documents"))
 
@@ -47,6 +59,9 @@ QUERIES = {
     "op4_url_filters": op4_url_filters,
     "op5_exact_topk": op5_exact_topk,
     "op6_mixing": op6_mixing,
+    "op7_license_scan": op7_license_scan,
+    "op8_language_id": op8_language_id,
+    "op9_near_dedup": op9_near_dedup,
     "op10_secret_scan": op10_secret_scan,
 }
 
