@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, license_scan, mixing, near_dedup, packing, quality_rules, secret_scan, topk, url_filters
+from . import (
+    langid,
+    license_scan,
+    lm_scoring,
+    mixing,
+    near_dedup,
+    packing,
+    quality_rules,
+    secret_scan,
+    topk,
+    url_filters,
+)
 from .common import table
 
 TOKENIZER = os.environ.get("EARMARK_TOKENIZER") or public_tokenizers.path("word_bpe_49k.json")
@@ -25,6 +36,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.query(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.query(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +71,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_url_filters": op4_url_filters,
     "op5_exact_topk": op5_exact_topk,
     "op6_mixing": op6_mixing,
