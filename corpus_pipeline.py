@@ -1,13 +1,83 @@
-"""Corpus pipeline: quality, near-duplicates, secrets, mixing, packing."""
+"""Corpus pipeline: quality rules, near-duplicates, secrets, mixing, packing.
+
+``STAGES`` lists (name, function); each takes (spark, docs, sf_dir) and returns the
+rows the next stage reads. All but the last keep the columns of ``documents``. Each
+decision takes effect: rejected documents go, one document of a near-duplicate class
+stays, secrets are replaced in the text, documents are repeated, cut or left out as
+the mix says, and what is left is packed.
+
+Nulls: a null text has no words and goes in the first stage; a null doc_id is kept
+through all stages as it is, copies of a text without any id count as one document.
+Repeated rows of one document become one row in the second stage. Empty tables stay
+empty. Columns beyond those of ``documents`` pass through all stages but the last.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from earmark.llm import mixing, near_dedup, packing, quality_rules, secret_scan
+from earmark.llm.common import cut, words_of
+from earmark.llm.queries import TOKENIZER
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose posterior quality reaches the bound and that pass the base test."""
+    return quality_rules.keep(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each near-duplicate class."""
+    return near_dedup.keep_one(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by a label; n_chars follows the text."""
+    return _recounted(secret_scan.redact(docs))
+
+
+def _recounted(docs: DataFrame) -> DataFrame:
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated as often as the mix takes them; a part taken is the text's first words."""
+    columns = tuple(docs.columns)
+    rows, _ = mixing.mix(docs, F.size(words_of(F.col("text"))), F.array("source"), carry=columns, names=("__size", "__taken"))
+    whole = F.floor(F.col("__taken") / F.greatest("__size", F.lit(1)))
+    part = F.col("__taken") - whole * F.col("__size")
+    wanted = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")))
+    cutting = F.array_join(F.slice(words_of(F.col("text")), F.lit(1), F.col("__part").cast("int")), " ")
+    text = F.when(F.col("__part") < 0, F.col("text")).otherwise(cutting)
+    out = rows.select(*columns, F.explode(wanted).alias("__part"))
+    return _recounted(out.withColumn("text", text).select(*columns))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in full windows of token ids."""
+    return packing.pack(docs, TOKENIZER).select(
+        "doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "tier", "step_group", "ids_le"
+    )
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("minhash_near_dedup", near_duplicates),
+    ("secret_scan", secrets),
+    ("mixing", mix),
+    ("packing", pack),
+]
+
+#: Posterior quality and near-duplicate classes are beyond SQL; tests hold a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -99,12 +99,13 @@ def mix(
     members: Column,
     *,
     carry: tuple[str, ...] = ("doc_id", "source"),
+    names: tuple[str, str] = ("size", "taken"),
     weights: tuple[int, ...] = (1, 2, 3),
     repeats: int = 3,
     seed: str = "mix",
     most_patterns: int = 10_000,
 ) -> tuple[DataFrame, DataFrame]:
-    """(the carried columns, size and taken for each row; source, source_size and target for each source).
+    """(the carried columns, size and taken, under ``names``, for each row; source, source_size and target for each source).
 
     members: array of the sources a row counts for. Sources weigh ``weights`` in turn,
     by code point, null last, and share 100 % of all sizes.
@@ -113,7 +114,7 @@ def mix(
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     pattern = F.array_sort(F.array_distinct(members))
     rows = cut(docs.select(
-        F.struct(*carry).alias("__row"), size.cast("long").alias("__size"), F.coalesce("doc_id", F.lit(-1)).alias("__id"),
+        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("__row"), size.cast("long").alias("__size"), F.coalesce("doc_id", F.lit(-1)).alias("__id"),
         F.to_json(F.struct(pattern.alias("m")), {"ignoreNullFields": "false"}).alias("__pattern"), pattern.alias("__members"), key.alias("__key"),
     ))
     bucket = F.substring("__key", 1, BUCKET_HEX)
@@ -122,10 +123,10 @@ def mix(
     if len(told) > most_patterns:
         raise ValueError(f"more than {most_patterns} membership patterns")
     told.sort(key=lambda r: r["__pattern"])
-    names = sorted({s for r in told for s in r["__members"]}, key=lambda s: (s is None, s or ""))
-    place = {s: i for i, s in enumerate(names)}
-    sizes = [sum(r["n"] for r in told if s in r["__members"]) for s in names]
-    heavy = [weights[i % len(weights)] for i in range(len(names))]
+    sources = sorted({s for r in told for s in r["__members"]}, key=lambda s: (s is None, s or ""))
+    place = {s: i for i, s in enumerate(sources)}
+    sizes = [sum(r["n"] for r in told if s in r["__members"]) for s in sources]
+    heavy = [weights[i % len(weights)] for i in range(len(sources))]
     target = fill([float(repeats * x) for x in sizes], heavy, sum(r["n"] for r in told))
     given = flow([(tuple(place[s] for s in r["__members"]), r["n"]) for r in told], [int(t + 0.5) for t in target], repeats)
     plan = [
@@ -149,10 +150,10 @@ def mix(
     w = Window.partitionBy("__pattern").orderBy("__key", "__id", "__size").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("__before") + F.coalesce(F.sum("__size").over(w), F.lit(0))
     edged = rows.filter(inside).withColumn("__more", F.least(F.col("__size"), F.greatest(F.col("__rest") - before, F.lit(0))))
-    taken = (F.col("__copies") * F.col("__size") + F.col("__more")).cast("long").alias("taken")
-    out = plain.unionByName(edged).select("__row.*", F.col("__size").alias("size"), taken)
+    taken = (F.col("__copies") * F.col("__size") + F.col("__more")).cast("long").alias(names[1])
+    out = plain.unionByName(edged).select("__row.*", F.col("__size").alias(names[0]), taken)
     facts = spark.createDataFrame(
-        [(s, int(x), round(t, 6)) for s, x, t in zip(names, sizes, target)], "source string, source_size long, target double"
+        [(s, int(x), round(t, 6)) for s, x, t in zip(sources, sizes, target)], "source string, source_size long, target double"
     )
     return out, facts
 

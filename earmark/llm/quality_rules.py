@@ -77,14 +77,14 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(let(words, windows))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts the rules look at, from one scan of (doc_id, text)."""
+def features(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns as ``__row`` and the counts the rules look at, from one scan of the texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.filter(F.split(F.col("__t"), WORD_SEP), lambda w: w != "")
     lines = F.filter(F.split(F.col("__t"), "\n"), lambda line: F.length(F.translate(line, BLANKS, "")) > 0)
-    mine = docs.select("doc_id", text.alias("__t")).select("doc_id", "__t", words.alias("__w"), lines.alias("__l"))
-    return mine.select(
-        "doc_id",
+    mine = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("__row"), text.alias("__t"))
+    return mine.select("__row", "__t", words.alias("__w"), lines.alias("__l")).select(
+        "__row",
         F.size("__w").cast("long").alias("n_words"),
         F.length(F.translate("__t", BLANKS, "")).cast("long").alias("word_chars"),
         _count_chars(F.col("__t"), SYMBOLS).alias("n_symbols"),
@@ -152,10 +152,12 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, hold: flo
     return prior, table
 
 
-def judge(docs: DataFrame, *, least_words: int = 50, most_repeat_percent: int = 50, bound: float = 0.5) -> DataFrame:
-    """Features, base_failed, posterior quality and kept for each row of (doc_id, text)."""
+def judge(
+    docs: DataFrame, *, carry: tuple[str, ...] = ("doc_id",), least_words: int = 50, most_repeat_percent: int = 50, bound: float = 0.5
+) -> DataFrame:
+    """``__row`` (the carried columns), features, base_failed, posterior quality and kept for each row."""
     names = list(rules())
-    voted = cut(features(docs).select("*", *[v.alias(f"vote_{k}") for k, v in rules().items()]))
+    voted = cut(features(docs, carry).select("*", *[v.alias(f"vote_{k}") for k, v in rules().items()]))
     votes = [f"vote_{k}" for k in names]
     counted = voted.groupBy(*votes).count().collect()  # 3^7 rows at most
     patterns = sorted((tuple(r[v] for v in votes), r["count"]) for r in counted)
@@ -174,5 +176,10 @@ def judge(docs: DataFrame, *, least_words: int = 50, most_repeat_percent: int =
 
 def query(docs: DataFrame) -> DataFrame:
     return judge(docs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"
+        "__row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"
     )
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are kept, with their columns."""
+    return judge(docs, carry=tuple(docs.columns)).filter("kept").select("__row.*")

@@ -63,7 +63,7 @@ def find(docs: DataFrame, *, reach: int = 200, carry: tuple[str, ...] = ("doc_id
     """The carried columns and ``spans``: sorted array of (s, k, e), k numbering KINDS; ends exclusive."""
     none = F.array().cast(SPAN)
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), MARK, "\x02")
-    kept = F.struct(*carry).alias("__row")
+    kept = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("__row")
     rows = docs.select(kept, text.alias("__t")).select(
         "__row",
         "__t",
