@@ -19,6 +19,8 @@ from __future__ import annotations
 
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from itertools import chain, repeat
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -30,58 +32,130 @@ SCHEMA = (
     "sequence_id long, offset long, tier int, step_group long"
 )
 TIERS = (256, 512, 1024, 2048, 4096)
+READ_ROWS = 256
+
+
+def _latin(word: str) -> bool:
+    """Letters of which every version of the character tables says the same."""
+    return word.isalpha() and max(word) < "\u0250" and word.lower().isalpha()
 
 
 class ChunkTokenizer:
     """Encodes blank-separated chunks once and keeps their ids.
 
-    The vocabulary's pre-tokeniser never joins characters across ASCII blanks, so
-    the ids of a text are the ids of its chunks in turn.
+    The vocabulary's pre-tokeniser never joins characters across ASCII blanks, nor
+    letters and marks, so the ids of a text are the ids of its chunks in turn, and a
+    word with a full stop or comma is the word's ids and the mark's. A word of letters
+    ends at its first token that ends a word, so many are encoded in one call.
     """
 
+    GROUP = 64
+
     def __init__(self, path: str, keep: int = 1_500_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        # for words of letters, lower-cased and composed already
+        self.lean = Tokenizer(self.tokenizer.model)
+        self.lean.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.marks = [self._encode([m])[0] for m in (".", ",")]
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[bytes, int] = {}
+        self.words: dict[bytes, int] = {}
         self.ids = np.empty(1 << 16, np.uint32)
         self.start = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int64)
+        self.word_start = np.zeros(1 << 16, np.int64)
+        self.word_size = np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        coded = [e.ids for e in self.tokenizer.encode_batch([c.decode() for c in chunks], add_special_tokens=False)]
-        flat = np.fromiter((i for x in coded for i in x), np.uint32)
-        n, at = len(coded), len(self.place)
-        while self.used + len(flat) > len(self.ids):
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _store(self, ids: np.ndarray) -> int:
+        while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return self.used - len(ids)
+
+    def _learn_words(self, words: list[bytes]) -> None:
+        """Each word is kept as word + stop + word + comma, so that all three forms are slices."""
+        groups = [b" ".join(words[i : i + self.GROUP]).decode() for i in range(0, len(words), self.GROUP)]
+        groups = [g if g.isascii() else normalize("NFC", g).lower() for g in groups]
+        flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.lean.encode_batch(groups, add_special_tokens=False)])
+        last = np.flatnonzero(self.ends[flat])
+        assert len(last) == len(words), "a word of letters is one pre-token"
+        sizes = np.diff(np.r_[-1, last])
+        at, n = len(self.words), len(words)
+        while at + n > len(self.word_start):
+            self.word_start = np.concatenate([self.word_start, np.zeros_like(self.word_start)])
+            self.word_size = np.concatenate([self.word_size, np.zeros_like(self.word_size)])
+        room = 2 * sizes + 2
+        base = np.cumsum(room) - room
+        out = np.empty(room.sum(), np.uint32)
+        inner = np.arange(len(flat)) + np.repeat(base - (np.cumsum(sizes) - sizes), sizes)
+        out[inner] = flat
+        out[inner + np.repeat(sizes + 1, sizes)] = flat
+        out[base + sizes], out[base + room - 1] = self.marks[0][0], self.marks[1][0]
+        self.word_start[at : at + n] = base + self._store(out)
+        self.word_size[at : at + n] = sizes
+        self.words.update(zip(words, range(at, at + n)))
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        n, at = len(chunks), len(self.place)
         while at + n > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.size = np.concatenate([self.size, np.zeros_like(self.size)])
-        sizes = np.fromiter(map(len, coded), np.int64, n)
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.size[at : at + n] = sizes
-        self.start[at : at + n] = self.used + np.cumsum(sizes) - sizes
-        self.used += len(flat)
+        cores, form, others = [], np.zeros(n, np.int64), []
+        for i, c in enumerate(chunks):
+            mark = c[-1:]
+            core = (c[:-1] if mark in (b".", b",") else c).lower()
+            if core.isalpha() or _latin(core.decode()):
+                cores.append(core)
+                form[i] = 1 if mark == b"." else 2 if mark == b"," else 0
+            else:
+                others.append(i)
+                form[i] = -1
+        new = list(dict.fromkeys(w for w in cores if w not in self.words))
+        if new:
+            self._learn_words(new)
+        plain = np.flatnonzero(form >= 0)
+        which = np.fromiter(map(self.words.__getitem__, cores), np.int64, len(cores))
+        start, size, kind = self.word_start[which], self.word_size[which], form[plain]
+        self.start[at + plain] = np.where(kind == 2, start + size + 1, start)
+        self.size[at + plain] = size + (kind > 0)
+        for i, ids in zip(others, self._encode([chunks[i].decode() for i in others])):
+            self.start[at + i], self.size[at + i] = self._store(ids), len(ids)
         self.place.update(zip(chunks, range(at, at + n)))
 
-    def encode(self, text: str) -> np.ndarray:
-        chunks = text.encode().split()
-        if not chunks:
-            return np.empty(0, np.uint32)
-        try:
-            at = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
-        except KeyError:
-            if len(self.place) > self.keep:
-                self.clear()
-            self._learn([c for c in dict.fromkeys(chunks) if c not in self.place])
-            at = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
-        sizes, starts = self.size[at], self.start[at]
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; unknown chunks of all the texts are encoded together."""
+        if len(self.place) > self.keep:
+            self.clear()
+        parts = [t.encode().split() for t in texts]
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        flat = list(chain.from_iterable(parts))
+        if not flat:
+            return [np.empty(0, np.uint32)] * len(texts)
+        at = np.fromiter(map(self.place.get, flat, repeat(-1)), np.int64, len(flat))
+        gaps = np.flatnonzero(at < 0)
+        if len(gaps):
+            missing = [flat[i] for i in gaps]
+            self._learn(list(dict.fromkeys(missing)))
+            at[gaps] = np.fromiter(map(self.place.__getitem__, missing), np.int64, len(gaps))
+        sizes = self.size[at]
         ends = np.cumsum(sizes)
-        return self.ids[np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)]
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.start[at] - ends + sizes, sizes)]
+        bounds = np.r_[0, ends][np.r_[0, np.cumsum(counts)]]
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 class Packer:
@@ -195,17 +269,17 @@ def pack(
                 del held[k]
 
         for batch in batches:
-            doc_ids = batch.column(0)
-            texts = batch.column(1)
-            for i in range(batch.num_rows):
-                ids = tok.encode(texts[i].as_py() or "")
-                ids = np.append(ids, np.uint32(closing_id)).astype("<u4")
-                held[key] = (doc_ids[i].as_py(), ids)
-                windows.extend(packer.add(key, len(ids)))
-                key, tokens = key + 1, tokens + len(ids)
-                if tokens >= flush_tokens:
-                    yield from flush(False)
-                    tokens = 0
+            doc_ids, texts = batch.column(0), batch.column(1)
+            for s in range(0, batch.num_rows, READ_ROWS):
+                some = [x.as_py() or "" for x in texts[s : s + READ_ROWS]]
+                for doc_id, ids in zip(doc_ids[s : s + READ_ROWS], tok.encode(some)):
+                    ids = np.append(ids, np.uint32(closing_id)).astype("<u4")
+                    held[key] = (doc_id.as_py(), ids)
+                    windows.extend(packer.add(key, len(ids)))
+                    key, tokens = key + 1, tokens + len(ids)
+                    if tokens >= flush_tokens:
+                        yield from flush(False)
+                        tokens = 0
         yield from flush(True)
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
