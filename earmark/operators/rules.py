@@ -89,7 +89,7 @@ def all_hold(when: dict[str, tuple]) -> Column:
 
 def license_valid(start: Column, end: Column, as_of: Column) -> Column:
     """Inside the interval, both ends included; a bound that is missing or no date is ignored."""
-    a, b = (F.try_to_date(F.substring(c.cast("string"), 1, 10), F.lit("yyyy-MM-dd")) for c in (start, end))
+    a, b = (F.try_to_date(F.substring(c.cast("string"), 1, 10), "yyyy-MM-dd") for c in (start, end))
     return (a.isNull() | (as_of >= a)) & (b.isNull() | (as_of <= b))
 
 

@@ -6,11 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def cents(x: Column) -> Column:
+    """Two digits, halves up, by plain arithmetic."""
+    return F.floor(x * 100 + 0.5) / 100
+
+
 def plan_windows(duration: Column, window: float = 30.0, most: int = 8) -> Column:
     """Starts: 0, evenly spaced, the tail; rounded to 2 digits."""
     n = F.least(F.lit(most), F.greatest(F.lit(2), F.ceil(duration / window).cast("int")))
     tail = duration - window
-    spread = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.round(i * tail / (n - 1), 2))
+    spread = F.transform(F.sequence(F.lit(0), n - 1), lambda i: cents(i * tail / (n - 1)))
     return F.when(duration <= window, F.array(F.lit(0.0))).otherwise(spread)
 
 
@@ -18,7 +23,7 @@ def plan_segments(duration: Column, window: float = 15.0, hop: float = 10.0, mos
     """Feature segments: none below a second, one up to the window, a grid of hops, else evenly spaced."""
     tail = duration - window
     grid = F.floor(tail / hop).cast("int") + 1
-    even = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.round(i * tail / (most - 1), 2))
+    even = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: cents(i * tail / (most - 1)))
     hops = F.transform(F.sequence(F.lit(0), grid - 1), lambda i: F.round(i * F.lit(hop), 2))
     return (
         F.when(duration < 1, F.array().cast("array<double>"))
