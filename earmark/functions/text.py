@@ -60,7 +60,7 @@ def uuid5(name: Column, namespace: str) -> Column:
         F.concat(high, F.substring(hexed, 19, 2)), F.substring(hexed, 21, 12),
     ))
     is_uuid = F.lower(name).rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
-    return F.when(F.trim(name) == "", None).when(is_uuid, F.lower(name)).otherwise(made)
+    return F.when(name.isNull() | (F.trim(name) == ""), None).when(is_uuid, F.lower(name)).otherwise(made)
 
 
 def iso(ts: Column) -> Column:
