@@ -59,8 +59,8 @@ def _spans(text: Column, kind: int, pattern: str, least: Column | None = None) -
     return let(F.split(F.regexp_replace(text, pattern, MARK + "$0" + MARK), MARK), walk)
 
 
-def find(docs: DataFrame, *, reach: int = 200, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns and ``spans``: sorted array of (s, k, e), k numbering KINDS; ends exclusive."""
+def find(docs: DataFrame, *, reach: int = 200, carry: tuple[str, ...] = ("doc_id",), name: str = "spans") -> DataFrame:
+    """The carried columns and, under ``name``, their spans: sorted array of (s, k, e), k numbering KINDS; ends exclusive."""
     none = F.array().cast(SPAN)
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), MARK, "\x02")
     kept = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("__row")
@@ -108,7 +108,7 @@ def find(docs: DataFrame, *, reach: int = 200, carry: tuple[str, ...] = ("doc_id
     linked = parted.join(added, "__rid", "left").select(
         "__row", F.array_sort(F.concat("__base", F.coalesce("__more", none))).alias("spans")
     )
-    return alone.union(linked).select("__row.*", "spans")
+    return alone.union(linked).select("__row.*", F.col("spans").alias(name))
 
 
 def written(spans: Column) -> Column:
@@ -140,9 +140,9 @@ def redact(docs: DataFrame, label: str = "[SECRET]") -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))
 
     clean = F.aggregate(
-        "spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
+        "__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
     )
-    found = find(docs, carry=tuple(docs.columns))
+    found = find(docs, carry=tuple(docs.columns), name="__spans")
     return found.select(
-        *[F.when(F.size("spans") > 0, clean).otherwise(F.col("text")).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+        *[F.when(F.size("__spans") > 0, clean).otherwise(F.col("text")).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     )
