@@ -132,3 +132,29 @@ def leaks(answers: DataFrame, exclusions: DataFrame) -> DataFrame:
 
 def threshold_mismatches(config: dict[str, float], rules: dict[str, float]) -> list[str]:
     return sorted(k for k in config if k not in rules or abs(config[k] - rules[k]) > 1e-9)
+
+
+def error_breakdown(df: DataFrame, special: str) -> DataFrame:
+    """Wrong accepts and misses by transformation, one transformation counted apart. df: transformation, accepted, correct."""
+    group = F.when(F.col("transformation") == special, "special").otherwise("other")
+    return df.groupBy(group.alias("kind"), "transformation").agg(
+        F.count_if(F.col("accepted") & ~F.col("correct")).alias("wrong"), F.count_if(~F.col("accepted")).alias("missed"), F.count("*").alias("n")
+    )
+
+
+def described(df: DataFrame, key: str, value: str, q: float = 0.95) -> DataFrame:
+    """Count, mean, maximum and a percentile of a value by key."""
+    return df.groupBy(key).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("top"), F.round(F.percentile(value, q), 4).alias("p"))
+
+
+def window_summary(windows: DataFrame, budget: int) -> DataFrame:
+    """Windows a query, share stopped early and share that used the whole budget. windows: query_id, n, planned."""
+    return windows.agg(
+        F.count("*").alias("queries"), F.round(F.avg("n"), 4).alias("mean_windows"), F.round(F.avg((F.col("n") < F.col("planned")).cast("double")), 6).alias("early"),
+        F.round(F.avg((F.col("n") >= budget).cast("double")), 6).alias("exhausted"),
+    )
+
+
+def best_relevant(df: DataFrame, value: str) -> DataFrame:
+    """The value at the best relevant row of each query, ties to the smaller value."""
+    return df.filter("relevant").groupBy("query_id").agg(F.max_by(value, F.struct("score", -F.col(value))).alias(value))

@@ -115,3 +115,18 @@ def plausible(n: Column, duration: Column) -> Column:
 
 def change_signature(df: DataFrame, id_: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.min(id_).alias("first_id"), F.max(id_).alias("last_id"))
+
+
+def variants(seqs: DataFrame) -> DataFrame:
+    """(id, kind, items): cropped, shifted, bit-flipped and thinned forms of item sequences, as fixtures of known truth."""
+    x = F.col("items")
+    n = F.size(x)
+    kinds = {
+        "original": x,
+        "crop": F.slice(x, F.floor(n / 4).cast("int") + 1, F.greatest(F.floor(n / 2).cast("int"), F.lit(1))),
+        "shift": F.concat(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint")), x),
+        "flip": F.transform(x, lambda v, i: v.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(v + i, F.lit(32)).cast("int")))),
+        "thin": F.filter(x, lambda v, i: i % 5 != 4),
+    }
+    rows = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("items")) for k, c in kinds.items()])
+    return seqs.filter(n > 0).select("id", F.explode(rows).alias("r")).select("id", "r.kind", "r.items")

@@ -139,8 +139,38 @@ def license_classifier_cv(spark, d):
     return ml.complexity(cv)
 
 
+def eval_error_breakdown(spark, d):
+    return evaluation.error_breakdown(_results(spark, d).filter("system = 'full'"), "R")
+
+
+def eval_distribution(spark, d):
+    return evaluation.described(A.table(spark, d, "events"), "event_type", "value")
+
+
+def eval_window_summary(spark, d):
+    w = A.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("query_id")).agg(F.count_if(F.col("l_quantity") < 48).alias("n"), F.count("*").alias("planned"))
+    return evaluation.window_summary(w, 5)
+
+
+def eval_best_relevant(spark, d):
+    li = A.table(spark, d, "lineitem")
+    x = li.select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("oti"), F.col("l_quantity").alias("score"), (F.col("l_returnflag") == "N").alias("relevant"))
+    return evaluation.best_relevant(x, "oti").groupBy("oti").agg(F.count("*").alias("n"))
+
+
+def fp_variants_accepted(spark, d):
+    """Share of each kind of variant whose best reference is its source."""
+    r = A.query_items(spark, d).select(F.col("query_id").alias("doc_id"), "pos", "h")
+    seqs = r.groupBy(F.col("doc_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "h"))), lambda s: s["h"]).alias("items"))
+    v = fingerprint.variants(seqs).withColumn("query_id", F.concat_ws("|", F.col("id").cast("string"), "kind"))
+    q = v.select("query_id", F.posexplode("items").alias("pos", "h"))
+    best = fingerprint.alignment(q, r).groupBy("query_id").agg(F.max_by("doc_id", F.struct("score", -F.col("doc_id"))).alias("doc_id"), F.max("score").alias("score"))
+    own = F.coalesce((F.col("doc_id") == F.split("query_id", "[|]")[0].cast("long")) & (F.col("score") >= 0.3), F.lit(False))
+    return v.select("query_id", "kind").join(best, "query_id", "left").groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg(own.cast("double")), 4).alias("accepted"))
+
+
 QUERIES = {f.__name__: f for f in (
-    eval_threshold_sweep, eval_calibrated_threshold, eval_five_systems, eval_by_transformation, eval_robustness_families, eval_union_recall, eval_confusion_matrix,
+    eval_error_breakdown, eval_distribution, eval_window_summary, eval_best_relevant, fp_variants_accepted, eval_threshold_sweep, eval_calibrated_threshold, eval_five_systems, eval_by_transformation, eval_robustness_families, eval_union_recall, eval_confusion_matrix,
     eval_class_report, eval_overall, eval_slices, eval_latency_percentiles, eval_label_spread, eval_same_queries, codec_decode, production_features, pooling_compare, license_classifier_cv,
 )}
 
@@ -156,6 +186,10 @@ s as (select cls, coalesce((select sum(n) from m where truth = cls), 0)::bigint
 pr as (select *, case when said > 0 then tp / said::double else 0 end as p, case when support > 0 then tp / support::double else 0 end as r from s),
 rep as (select cls, support, round(p, 6) as "precision", round(r, 6) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 6) as f1 from pr)"""
 ORACLE = {
+    "eval_error_breakdown": _RES + " select case when transformation = 'R' then 'special' else 'other' end as kind, transformation, count(*) filter (where accepted and not correct) as wrong, count(*) filter (where not accepted) as missed, count(*) as n from res where system = 'full' group by all",
+    "eval_distribution": "select event_type, count(value) as n, round(avg(value), 6) as mean, max(value) as top, round(quantile_cont(value::double, 0.95), 4) as p from events group by 1",
+    "eval_window_summary": "with w as (select l_orderkey, count(*) filter (where l_quantity < 48) as n, count(*) as planned from lineitem group by 1) select count(*) as queries, round(avg(n), 4) as mean_windows, round(avg(case when n < planned then 1.0::double else 0 end), 6) as early, round(avg(case when n >= 5 then 1.0::double else 0 end), 6) as exhausted from w",
+    "eval_best_relevant": "with b as (select l_orderkey, arg_max(l_linenumber, (l_quantity, -l_linenumber)) as oti from lineitem where l_returnflag = 'N' group by 1) select oti, count(*) as n from b group by 1",
     "eval_threshold_sweep": _SC + _SWEEP.format(lo="0.0::double", step="0.05", n=20) + " select * from sweep",
     "eval_calibrated_threshold": _SC + _SWEEP.format(lo="0.0::double", step="0.05", n=20) + """, a as (select (select tau from sweep where fpr <= 0.05 order by f1 desc, tau limit 1) as t1, (select tau from sweep where fpr <= 0.3 order by f1 desc, tau limit 1) as t2, (select tau from sweep order by f1 desc, tau desc limit 1) as t3)
 select coalesce(t1, t2, t3) as tau, coalesce(t1, t2) is not null as safe, round(greatest(0.3::double, coalesce(t1, t2, t3)), 4) as applied from a""",
