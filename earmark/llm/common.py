@@ -16,6 +16,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 _own_roots: dict[str, str] = {}
+_scratch: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,4 +66,28 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_root(spark)}/earmark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
+    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
+    # the shuffles behind the table are garbage now; Spark deletes their files once the driver collects it
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
+
+
+def hold(docs: DataFrame) -> DataFrame:
+    """Leave the tables docs reads alone until the session ends."""
+    paths = _scratch.get(docs.sparkSession.sparkContext.applicationId, [])
+    read = " ".join(docs.inputFiles()) if paths else ""
+    for path in [p for p in paths if p.rpartition("/")[2] in read]:
+        paths.remove(path)
+    return docs
+
+
+def drop_scratch(docs: DataFrame) -> None:
+    """Delete tables cut so far that docs does not read, when results built on them have been written."""
+    spark = docs.sparkSession
+    paths = _scratch.get(spark.sparkContext.applicationId, [])
+    if not paths:
+        return
+    read = " ".join(docs.inputFiles())
+    for path in [p for p in paths if p.rpartition("/")[2] not in read]:
+        paths.remove(path)
+        _remove(spark, path)
