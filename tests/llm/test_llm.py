@@ -370,6 +370,59 @@ def test_near_duplicates(spark, docs):
     assert {i: got[i] for i in ws} == {i: top(i) for i in ws}
 
 
+def edited(base, places, tag):
+    w = list(base)
+    for j, p in enumerate(places):
+        w[p] = f"{tag}x{j}"
+    return w
+
+
+def test_star_whose_centre_has_the_largest_id(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for star in range(3):
+        base = [f"s{star}w{i}" for i in range(200)]
+        texts = [edited(base, np.sort(rng.choice(200, 24, replace=False)), f"v{star}_{k}") for k in range(40)]  # 0.88 to the centre
+        assert sum(distance(texts[0], t) > 40 for t in texts) > 20  # many below 0.8 to one another
+        rows += [(1000 * star + k, " ".join(t), "", "", 0) for k, t in enumerate([*texts, base])]
+    # a chain: each text alike to its neighbours only, their ids dealt out of order
+    chain = [[f"c{i}" for i in range(200)]]
+    for k in range(1, 7):
+        chain.append(edited(chain[-1], rng.choice(200, 24, replace=False), f"d{k}"))
+    rows += [(9000 + (k * 3) % 7, " ".join(t), "", "", 0) for k, t in enumerate(chain)]
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, DOCS), sketches=40, take=2).collect()}
+    assert got == {r[0]: r[0] // 1000 * 1000 for r in rows}
+
+
+def test_bucket_members_meet_unless_linked(spark, monkeypatch):
+    # one key, so every pair is a candidate: leader 0 takes 1 and 2; 1 alone is alike to 3, 3 alone to 4
+    base = [f"w{i}" for i in range(100)]
+    step = lambda n, tag: edited(base, range(n), tag)
+    texts = [base, step(15, "a"), edited(base, range(60, 75), "b"), None, None, [f"z{i}" for i in range(100)]]
+    texts[3] = edited(texts[1], range(15, 30), "c")
+    texts[4] = edited(texts[3], range(30, 45), "d")
+    df = spark.createDataFrame([(i, " ".join(t), "", "", 0) for i, t in enumerate(texts)], DOCS)
+    plain = near_dedup.sketch
+    monkeypatch.setattr(near_dedup, "sketch", lambda *how: plain(*how).withColumn("keys", F.array(F.lit(1).cast("long"))))
+    for leaders in (1, 16):
+        got = {r.doc_id: r.class_id for r in near_dedup.classes(df, leaders=leaders).collect()}
+        assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 5}
+
+
+def test_folded_counts_spare_no_alike_pair():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        a = rng.integers(0, 1 << 60, rng.integers(5, 600)).astype(np.uint64)
+        b = a.copy()
+        for p in rng.choice(len(a), int(len(a) * rng.uniform(0, 0.4)), replace=False):
+            b[p] = rng.integers(0, 1 << 60)
+        b = b[: len(b) - rng.integers(0, 3)]
+        if near_dedup.alike(a.astype(np.uint32), b.astype(np.uint32), 0.8):
+            assert near_dedup.may_be_alike(near_dedup.folded(a), [near_dedup.folded(b)], 0.8).all()
+    other = rng.integers(0, 1 << 60, 200).astype(np.uint64)
+    assert not near_dedup.may_be_alike(near_dedup.folded(other), [near_dedup.folded(other[::-1] + np.uint64(77777777))], 0.8).any()
+
+
 def test_near_duplicates_odd(odd):
     got = Counter((r.doc_id, r.class_id) for r in near_dedup.classes(odd).collect())
     assert got == Counter([(1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (5, 4), (None, None), (6, 6), (7, 7), (None, 1)])
