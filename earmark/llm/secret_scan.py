@@ -7,10 +7,12 @@ interval join within a text links weak secrets to access identifiers at most
 
 Main path, built-in functions only: a replacement wraps matches in a control
 character, splitting at it gives matches and gaps, and running lengths give code
-point places. Parts are exploded to (row, bin of ``reach`` code points); an
-identifier is filed under its own and both neighbouring bins, and a left-semi join
-with the exact distance finds linked secrets without ever emitting pairs. Only rows
-that hold both parts are shuffled, without their texts.
+point places. Parts are exploded to (row, bin of ``reach`` code points), one row
+for each bin from start to end; the other part is filed under both neighbouring bins
+too, so parts within reach share a bin whichever stands first and however long they
+are. A left-semi join with the exact distance finds linked secrets without ever
+emitting pairs; a set drops parts found in several bins. Only rows that hold both
+parts are shuffled, without their texts.
 
 Null texts count as empty; rows keep to themselves even if ids repeat (joins use a
 row number); an empty table gives no rows; other columns are not read.
@@ -89,11 +91,9 @@ def find(docs: DataFrame, *, reach: int = 200, carry: tuple[str, ...] = ("doc_id
 
     def near(left: DataFrame, right: DataFrame) -> DataFrame:
         """Rows of left with a row of right within reach, same text: an interval semi-join over bins."""
-        b = left.withColumn("__bin", F.floor(F.col("x.s") / reach))
-        filed = F.explode(F.array_distinct(F.concat(
-            F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: F.floor(F.col("y.s") / reach) + d),
-            F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: F.floor(F.col("y.e") / reach) + d),
-        )))
+        bin_ = lambda place: F.floor(F.col(place) / reach)
+        b = left.withColumn("__bin", F.explode(F.sequence(bin_("x.s"), bin_("x.e"))))
+        filed = F.explode(F.sequence(bin_("y.s") - 1, bin_("y.e") + 1))
         r = right.select(F.col("__rid").alias("__rid2"), "y", filed.alias("__bin2"))
         gap = F.greatest(F.col("y.s") - F.col("x.e"), F.col("x.s") - F.col("y.e"))
         on = (F.col("__rid") == F.col("__rid2")) & (F.col("__bin") == F.col("__bin2")) & (gap <= reach)

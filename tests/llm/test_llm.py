@@ -472,6 +472,23 @@ def test_secrets(spark, docs, odd):
     assert clean[903] == '[SECRET]" then [SECRET] at [SECRET]' and clean[1] is None and clean[902] == texts[2]
 
 
+def test_parts_near_each_other_link_at_all_places(spark):
+    ident, rows = "client_id=abcd1234", []
+    for off in range(0, 400, 23):
+        for size in (24, 152, 420, 1000):
+            secret = "aB3x" * (size // 4)
+            for gap in (1, 190, 200, 201):
+                for first, last in ((secret, ident), (ident, secret)):
+                    rows.append(("." * off + " " + first + " " * gap + last, off + 1 + (0 if first is secret else len(ident) + gap), size, gap))
+    inner = "https://h." + "a." * 300 + "client_id:abcd1234~Zm9vYmFyMTIzNDU2Nzg5MGFi~" + "a." * 300
+    texts = [(i, r[0], "", "", 0) for i, r in enumerate(rows)] + [(len(rows), inner, "", "", 0)]
+    spans = {r.doc_id: r.spans.split(",") for r in secret_scan.query(spark.createDataFrame(texts, DOCS)).collect()}
+    for i, (_, at, size, gap) in enumerate(rows):
+        assert (f"weak:{at}:{at + size}" in spans[i]) == (gap <= 200) == any(x.startswith("ident:") for x in spans[i])
+        assert len(spans[i]) == (2 if gap <= 200 else 1)
+    assert f"endpoint:0:{len(inner)}" in spans[len(rows)]
+
+
 # --- queries and pipeline
 
 
