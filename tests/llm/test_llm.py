@@ -394,6 +394,20 @@ def test_star_whose_centre_has_the_largest_id(spark):
     assert got == {r[0]: r[0] // 1000 * 1000 for r in rows}
 
 
+def test_recall_down_to_the_limit(spark):
+    # the share of pairs of one similarity that two takes in 40 orders make candidates: 0.79, 0.88, 0.97 and 1.00
+    rng, rows = np.random.default_rng(7), []
+    least = {40: 0.7, 36: 0.8, 30: 0.92, 24: 0.97}
+    for edits in least:
+        for k in range(100):
+            base = [f"r{edits}_{k}_{i}" for i in range(200)]
+            other = edited(base, rng.choice(200, edits, replace=False), f"o{edits}_{k}")
+            at = 1000 * edits + 2 * k
+            rows += [(at, " ".join(base), "", "", 0), (at + 1, " ".join(other), "", "", 0)]
+    got = Counter(r.doc_id // 1000 for r in near_dedup.classes(spark.createDataFrame(rows, DOCS)).collect() if r.doc_id != r.class_id)
+    assert {k: got[k] / 100 >= v for k, v in least.items()} == dict.fromkeys(least, True), got
+
+
 def test_bucket_members_meet_unless_linked(spark, monkeypatch):
     # one key, so every pair is a candidate: leader 0 takes 1 and 2; 1 alone is alike to 3, 3 alone to 4
     base = [f"w{i}" for i in range(100)]
