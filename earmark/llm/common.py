@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -15,8 +16,12 @@ WORD_SEP = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
+#: Shuffle files behind a table go as soon as the table is written.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_roots: dict[str, str] = {}
-_scratch: dict[str, list[str]] = {}
+_folders: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,43 +56,70 @@ def shared_root(spark: SparkSession) -> str:
     return _own_roots[app]
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has ended; the folder is scratch space
-        pass
+def _remover(spark: SparkSession):
+    """A function that deletes a path, also after the session has ended."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def remove(path: str) -> None:
+        try:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        except Exception:  # scratch space whose session or store has gone
+            pass
+
+    return remove
+
+
+def _folder(spark: SparkSession) -> str:
+    """One folder for the tables of this session, deleted when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        _folders[app] = f"{shared_root(spark)}/earmark-{app}-{uuid.uuid4().hex}"
+        atexit.register(_remover(spark), _own_roots.get(app, _folders[app]))
+    return _folders[app]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends in files all executors see."""
+    """Write df to the shared folder and read it back: lineage ends in files all executors see.
+
+    The table lives until ``drop`` is called on it, the ``scratch`` block it was made
+    in ends, or the driver ends, whichever comes first.
+    """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/earmark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
-    # the shuffles behind the table are garbage now; Spark deletes their files once the driver collects it
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def hold(docs: DataFrame) -> DataFrame:
-    """Leave the tables docs reads alone until the session ends."""
-    paths = _scratch.get(docs.sparkSession.sparkContext.applicationId, [])
-    read = " ".join(docs.inputFiles()) if paths else ""
-    for path in [p for p in paths if p.rpartition("/")[2] in read]:
-        paths.remove(path)
-    return docs
-
-
-def drop_scratch(docs: DataFrame) -> None:
-    """Delete tables cut so far that docs does not read, when results built on them have been written."""
-    spark = docs.sparkSession
-    paths = _scratch.get(spark.sparkContext.applicationId, [])
-    if not paths:
-        return
-    read = " ".join(docs.inputFiles())
-    for path in [p for p in paths if p.rpartition("/")[2] not in read]:
-        paths.remove(path)
-        _remove(spark, path)
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(FILE_CLEANUP, None)
+    spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FILE_CLEANUP, before) if before else spark.conf.unset(FILE_CLEANUP)
+    if _scopes:
+        _scopes[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut`` that nothing reads any more."""
+    for df in tables:
+        _remover(df.sparkSession)(df._cut_at)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are cut inside the block are deleted at its end, but for those handed to the function it gives."""
+    paths: list[str] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        paths.remove(df._cut_at)
+        return df
+
+    _scopes.append(paths)
+    try:
+        yield kept
+    finally:
+        _scopes.pop()
+        remove = _remover(spark)
+        for path in paths:
+            remove(path)
