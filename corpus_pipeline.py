@@ -6,8 +6,8 @@ decision takes effect: rejected documents go, one document of a near-duplicate c
 stays, secrets are replaced in the text, documents are repeated, cut or left out as
 the mix says, and what is left is packed.
 
-A stage first deletes the work tables of the stages before it that its input does not
-read: what they returned has been written by then.
+``run`` deletes the work tables of a stage once its result has been written, and each
+result once the next stage has been; tables of other results of the session stay.
 
 Nulls: a null text has no words and goes in the first stage; a null doc_id is kept
 through all stages as it is, copies of a text without any id count as one document.
@@ -21,25 +21,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earmark.llm import mixing, near_dedup, packing, quality_rules, secret_scan
-from earmark.llm.common import cut, drop_scratch, hold, words_of
+from earmark.llm.common import cut, drop, scratch, words_of
 from earmark.llm.queries import TOKENIZER
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior quality reaches the bound and that pass the base test."""
-    drop_scratch(docs)
     return quality_rules.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each near-duplicate class."""
-    drop_scratch(docs)
     return near_dedup.keep_one(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a label; n_chars follows the text."""
-    drop_scratch(docs)
     return _recounted(secret_scan.redact(docs))
 
 
@@ -51,7 +48,6 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated as often as the mix takes them; a part taken is the text's first words."""
-    drop_scratch(docs)
     columns = tuple(docs.columns)
     rows, _ = mixing.mix(docs, F.size(words_of(F.col("text"))), F.array("source"), carry=columns, names=("__size", "__taken"))
     whole = F.floor(F.col("__taken") / F.greatest("__size", F.lit(1)))
@@ -65,7 +61,6 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in full windows of token ids."""
-    drop_scratch(docs)
     return packing.pack(docs, TOKENIZER).select(
         "doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "tier", "step_group", "ids_le"
     )
@@ -85,7 +80,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, hold(docs), sf_dir)
+        with scratch(spark) as kept:
+            docs = kept(cut(stage(spark, docs, sf_dir)))
+        if before is not None:
+            drop(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
