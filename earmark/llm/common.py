@@ -18,6 +18,8 @@ LOWER = UPPER.lower()
 
 #: Shuffle files behind a table go as soon as the table is written.
 FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: From this size of the other side on, a join with a filtered table first tests its rows against a Bloom filter of that table.
+BLOOM_FROM = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
 
 _own_roots: dict[str, str] = {}
 _folders: dict[str, str] = {}
@@ -79,20 +81,31 @@ def _folder(spark: SparkSession) -> str:
     return _folders[app]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends in files all executors see.
+@contextlib.contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]):
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def cut(df: DataFrame, parts: int | None = None, *, bloom: bool = False) -> DataFrame:
+    """Write df to the shared folder, in at most ``parts`` files, and read it back: lineage ends in files all executors see.
+
+    bloom: joins with a filtered table may drop rows by a Bloom filter of it, whose size
+    Spark bounds, before they shuffle.
 
     The table lives until ``drop`` is called on it, the ``scratch`` block it was made
     in ends, or the driver ends, whichever comes first.
     """
     spark = df.sparkSession
     path = f"{_folder(spark)}/{uuid.uuid4().hex}"
-    before = spark.conf.get(FILE_CLEANUP, None)
-    spark.conf.set(FILE_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(FILE_CLEANUP, before) if before else spark.conf.unset(FILE_CLEANUP)
+    with _settings(spark, {FILE_CLEANUP: "true", **({BLOOM_FROM: "0"} if bloom else {})}):
+        (df if parts is None else df.coalesce(parts)).write.parquet(path)
     if _scopes:
         _scopes[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
