@@ -1,5 +1,7 @@
 """License scan: phrases, and template markup compiled to token automata.
 
+Templates hold the full wording of short licenses and of the notices that long ones
+ask for; headings, copyright lines, names and list numbers are optional or replaceable.
 A template is plain wording with two kinds of markup: ``<<optional>> ... <<end>>``
 may be absent, and ``<<any n>>`` stands for up to n words. Wording is compared as
 lower-cased words, so case, punctuation and layout don't matter, and a place is
@@ -7,8 +9,9 @@ accepted only if all mandatory wording stands there exactly. Each template becom
 non-deterministic automaton over words, run from the places of its first word in
 texts that hold its anchor, the longest run of mandatory words.
 
-Whole texts are read, one at a time. Null texts count as empty; repeated rows are
-scanned alike; an empty table gives no rows; other columns are not read.
+Whole texts are read, one at a time, however long. Null texts count as empty; repeated
+rows are scanned alike; places that several templates match count for each of them;
+an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,19 +30,84 @@ PHRASES = (
     ("mit license", "mit"),
 )
 
-_CC = {"BY": "by", "BY-SA": "by-sa", "BY-NC": "by-nc", "BY-ND": "by-nd", "BY-NC-SA": "by-nc-sa", "BY-NC-ND": "by-nc-nd"}
-
-#: Templates: label and wording.
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+_COPY = "<<optional>>Copyright <<end>><<optional>>(c) <<end>><<any 12>>"
+
+#: Fixed wording of licenses and of the notices they ask for.
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
+merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished
+to do so, subject to the following conditions: The above copyright notice and this permission notice <<optional>>(including the next
+paragraph)<<end>> shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT
+WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR
+PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<any 12>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION
+OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"""
+_BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: <<optional>>1<<end>> Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. <<optional>>2<<end>> Redistributions in binary form must reproduce the above copyright
+notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+distribution."""
+_BSD_NAME = """<<optional>>3<<end>> Neither the name of <<any 15>> nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission."""
+_BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY <<any 12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<any 12>> BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF
+SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
+THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"""
+_ISC = """Permission to use, copy, modify, and<<optional>>/or<<end>> distribute this software for any purpose with or without fee is
+hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED
+"AS IS" AND <<any 8>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS. IN NO EVENT SHALL <<any 8>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER
+RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF
+OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE"""
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use <<any 4>> except in compliance with the
+License. You may obtain a copy of the License at <<any 12>> Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or
+implied. See the License for the specific language governing permissions and limitations under the License"""
+_GNU = """<<any 6>> is free software<<optional>>: you<<end>><<optional>>; you<<end>> can redistribute it and/or modify it under the
+terms of the {name} as published by the Free Software Foundation<<optional>>;<<end>> <<optional>>either <<end>>version {v}
+<<optional>>of the License<<end>>"""
+_GNU_TAIL = """ <<optional>>, or (at your option) any later version<<end>>. <<any 6>> is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for
+more details"""
+_UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any
+and all copyright interest in the software to the public domain."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for
+any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including
+commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: <<optional>>1<<end>> The
+origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software
+in a product, an acknowledgment in the product documentation would be appreciated but is not required. <<optional>>2<<end>> Altered
+source versions must be plainly marked as such, and must not be misrepresented as being the original software. <<optional>>3<<end>>
+This notice may not be removed or altered from any source distribution"""
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the
+Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all
+subject to the following"""
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
+with this file, You can obtain one at"""
+_NAMES = {"gpl": ("GNU General Public License", ("2", "3")), "lgpl": ("GNU <<optional>>Lesser <<end>><<optional>>Library <<end>>General Public License", ("2.1", "3")), "agpl": ("GNU Affero General Public License", ("3",))}
+
+#: Templates: label and wording. Headings and copyright lines, where they stand, belong to the match.
 TEMPLATES = (
-    ("mit", "<<optional>>the<<end>> MIT License <<optional>>Copyright (c) <<any 12>> <<end>> Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+    ("mit", f"<<optional>>The <<end>><<optional>>MIT License <<end>><<optional>>(MIT) <<end>>{_COPY} {_MIT}"),
     ("mit", "released under the <<optional>>terms of the<<end>> MIT License"),
-    ("apache-2.0", "licensed under the Apache License, Version 2.0"),
-    *[(f"gpl-{v}.0", f"licensed under the <<optional>>terms of the<<end>> GNU General Public License<<optional>>, as published by the Free Software Foundation<<end>>, <<optional>>either<<end>> version {v}") for v in (2, 3)],
-    *[(f"cc-{k}-4.0", f"licensed under <<optional>>a<<end>> CC {n} 4.0") for n, k in _CC.items()],
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl-2.0", "subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("bsd-2-clause", f"{_BSD_HEAD} {_BSD_TAIL}"),
+    ("bsd-3-clause", f"{_BSD_HEAD} {_BSD_NAME} {_BSD_TAIL}"),
+    ("isc", f"<<optional>>ISC License <<end>>{_COPY} {_ISC}"),
+    ("apache-2.0", _APACHE),
+    ("apache-2.0", "licensed under the <<optional>>terms of the<<end>> Apache License, Version 2.0"),
+    ("unlicense", _UNLICENSE),
+    ("zlib", _ZLIB),
+    ("bsl-1.0", _BOOST),
+    ("mpl-2.0", _MPL),
+    *[(f"{k}-{v if '.' in v else v + '.0'}", (_GNU + tail).format(name=name, v=v)) for k, (name, versions) in _NAMES.items() for v in versions for tail in (_GNU_TAIL,)],
+    *[(f"gpl-{v}.0", f"licensed under the <<optional>>terms of the<<end>> GNU General Public License<<optional>>, as published by the Free Software Foundation<<end>>, <<optional>>either<<end>> version {v}") for v in ("2", "3")],
+    *[(f"cc-{k.lower()}-4.0", f"licensed under <<optional>>a<<end>><<optional>>the<<end>> <<optional>>Creative Commons<<end>> {n} 4.0 International <<optional>>Public<<end>> License") for k, n in _CC.items()],
+    *[(f"cc-{k.lower()}-4.0", f"licensed under <<optional>>a<<end>><<optional>>the<<end>> CC {k} 4.0") for k in _CC],
+    ("cc0-1.0", "<<optional>>dedicated<<end>> <<optional>>released<<end>> <<optional>>to the public domain<<end>> under <<optional>>the<<end>> <<optional>>Creative Commons<<end>> CC0 1.0 Universal"),
 )
 
 _TABLE = bytes(

@@ -1,47 +1,52 @@
-"""Hierarchical Pitman-Yor language model over words and their spelling.
+"""Hierarchical Pitman-Yor language model: words after the word before them.
 
-A word restaurant holds every training token as a customer; its base is a spelling
-model of nested restaurants: the context of the last three characters shares its
-parent, the last two, with all contexts ending alike, and so on down to one
-restaurant over a uniform base. New tables of a restaurant are customers of its
-parent; new tables of the word restaurant spell their word into the longest contexts.
+Each word that stands before another is a restaurant whose customers are the tokens
+that follow it in the training texts; a text's first token follows a start mark. All
+these restaurants share one parent, whose customers are their tables and whose base
+is uniform over the training words and one class of unknown words. So the order of
+words counts, and a word never seen after its neighbour falls back to its share of
+all neighbours' tables.
 
 Gibbs sampling: in each sweep every dish of every restaurant is seated anew given the
 last state of all others (blocked over dishes, so that restaurants of any size are
 sampled in parallel). Given c customers of a dish and new-table weight a, the number
 of tables is drawn from its exact conditional, proportional to S(c, t) a^t with the
 generalised Stirling numbers S of the discount, up to ``EXACT`` customers; beyond,
-customers are reseated in turn in blocks of at most 1/64 of those already seated.
-After ``burn`` sweeps, predictive probabilities are averaged over ``keep`` samples.
-
-Unknown words are one class, as in the add-one base: it gets the probability that the
-model leaves outside the training words. Log10 probabilities add up to a text's score.
-
-At scale: word counts are gathered by shuffle and stay distributed; only spelling
-counts reach the driver, over an alphabet of at most ``alphabet`` symbols, so at most
-(alphabet + 2)^4 cells whatever the input. Documents are dealt to batches by hash;
-each batch asks once for every distinct word it holds and gets a count and a
-probability back, so a hot word is asked for once a batch; documents go on as
-compressed word numbers of their batch, so their texts are shuffled once. Draws depend only on word,
-sweep and seed: a task that is run again draws the same.
-
-Null texts count as empty (the end token alone); repeated rows are scored alike and
+from an approximation of that law whose error the tests measure. After ``burn`` sweeps, predictive
+probabilities are averaged over ``keep`` samples.
+
+At scale: texts are read once and never shuffled by document. A task cuts its
+documents into batches of about ``batch_tokens`` tokens and writes each as one row of
+word hashes and compressed word numbers. Batches then ask for what they hold, once for each
+distinct word and pair, in sorted arrays dealt by hash range: so a hot word or
+context is one entry a batch, ranges are even, and entries never outnumber the pairs.
+Counts, and from sweep to sweep tables, are summed by range and told back in
+the order asked. A pair's draw depends on its hash, the sweep and the state of its two
+words alone, so every batch that holds the pair draws the same, and one of them, its
+owner, reports it. Words are told apart by 64 bits, pairs by 48. Nothing but a few
+totals reaches the driver.
+
+Null texts count as empty (the end token alone); very long texts are one batch of
+their own and read whole; repeated rows, and ties of every kind, are scored alike and
 all count in training; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut
+from .common import LOWER, UPPER, cut, drop
 
-EXACT = 64
-ORDER = 3
-END_KEY = 1  # stands for the end token, which no word hashes to in practice
+#: Up to so many customers a dish's tables are drawn from their exact law; beyond, from an
+#: approximation, by a scaled curve if there are few tables, else by a normal law.
+EXACT, FEW_TABLES = 512, 1024
+#: Keys of the end token and of the mark before a first word, which no word hashes to in practice.
+END, START = np.uint64(1), np.uint64(2)
 _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -54,278 +59,405 @@ def _unit(key: np.ndarray, salt: int) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
-def stirling(discount: float) -> np.ndarray:
-    """log S(c, t) for c, t up to EXACT: S(c + 1, t) = S(c, t - 1) + (c - discount t) S(c, t)."""
-    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+@functools.cache
+def stirling(discount: float, most: int = EXACT) -> np.ndarray:
+    """log S(c, t) for c, t up to ``most``: S(c + 1, t) = S(c, t - 1) + (c - discount t) S(c, t)."""
+    out = np.full((most + 1, most + 1), -np.inf)
     out[1, 1] = 0.0
-    t = np.arange(1, EXACT + 1)
+    t = np.arange(1, most + 1)
     with np.errstate(divide="ignore", invalid="ignore"):
-        for c in range(1, EXACT):
+        for c in range(1, most):
             stay = np.where(t <= c, np.log(np.maximum(c - discount * t, 1e-300)) + out[c, 1:], -np.inf)
             out[c + 1, 1:] = np.logaddexp(out[c, :-1], stay)
     return out
 
 
-def seat(count: np.ndarray, weight: np.ndarray, key: np.ndarray, salt: int, discount: float, logs: np.ndarray) -> np.ndarray:
+def _drawn(logs: np.ndarray, weight: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """One draw a row of t from 1, with log odds logs[.., t - 1] + t log weight."""
+    z = logs + np.arange(1, logs.shape[-1] + 1) * np.log(np.maximum(weight, 1e-300))[:, None]
+    z = np.exp(z - z.max(1, keepdims=True)).cumsum(1)
+    return np.minimum((z < u[:, None] * z[:, -1:]).sum(1) + 1, logs.shape[-1])
+
+
+def _middle(count: np.ndarray, weight: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mode and deviation of the number of tables, from the saddle point of its generating function.
+
+    sum_c S(c, t) x^c / c! = f(x)^t / t! with f(x) = (1 - (1 - x)^d) / d; at the mode, weight x f'(x) = c.
+    """
+    low, high = np.full(len(count), -40.0), np.full(len(count), -1e-12)
+    for _ in range(60):  # y = log(1 - x)
+        y = (low + high) / 2
+        small = np.log(weight) + np.log(-np.expm1(y)) + (d - 1) * y < np.log(count)
+        low, high = np.where(small, low, y), np.where(small, y, high)
+    u, whole = np.exp(y), -np.expm1(d * y)
+    t = weight * whole / d
+    n, n1, w1 = d * (1 - u) * u ** (d - 1), d * u ** (d - 1) + d * (1 - d) * (1 - u) * u ** (d - 2), d * u ** (d - 1)
+    slope = (n1 * whole - n * w1) / whole**2
+    return t, 1 / np.sqrt(1 / t + count**2 / (t**3 * (1 - u) * slope))
+
+
+def seat(count: np.ndarray, weight: np.ndarray, key: np.ndarray, salt: int, discount: float) -> np.ndarray:
     """Tables of each dish, from its customers and new-table weight (the parent's share of strength + discount tables)."""
-    tables = np.ones(len(count), np.int64)
+    tables = np.minimum(count, 1).astype(np.int64)
+    logs, u = stirling(discount), _unit(key, salt)
     few = np.flatnonzero((count > 1) & (count <= EXACT))
-    u = _unit(key, salt)
-    for c in np.unique(count[few]):
-        rows = few[count[few] == c]
-        for s in range(0, len(rows), 50_000):
-            r = rows[s : s + 50_000]
-            z = logs[c, 1 : c + 1][None, :] + np.arange(1, c + 1)[None, :] * np.log(np.maximum(weight[r], 1e-300))[:, None]
-            z = np.exp(z - z.max(1, keepdims=True)).cumsum(1)
-            tables[r] = np.minimum((z < u[r, None] * z[:, -1:]).sum(1) + 1, c)
+    few = few[np.argsort(count[few], kind="stable")]
+    for rows in np.split(few, np.flatnonzero(np.diff(count[few])) + 1) if len(few) else ():
+        c = int(count[rows[0]])
+        for r in np.split(rows, range(0, len(rows), 1 + 4_000_000 // c)):
+            tables[r] = _drawn(logs[c, 1 : c + 1][None, :], weight[r], u[r])
     many = np.flatnonzero(count > EXACT)
     if len(many):
-        seated, t, block = np.ones(len(many)), np.ones(len(many)), 0
-        n, a = count[many].astype(np.float64), weight[many]
-        while (seated < n).any():
-            block += 1
-            step = np.minimum(np.maximum(1.0, np.floor(seated / 64)), n - seated)
-            p = a / (a + np.maximum(seated - discount * t, 1e-9))
-            mean, spread = step * p, np.sqrt(step * p * (1 - p))
-            v = _unit(key[many], salt + 1000 * block)
-            w = _unit(key[many], salt + 1000 * block + 500)
-            normal = mean + spread * np.sqrt(-2 * np.log(v)) * np.cos(2 * np.pi * w)
-            few_new = np.floor(mean) + (v < mean - np.floor(mean))
-            new = np.where((step > 1) & (mean > 4), np.round(normal), few_new)
-            t += np.clip(new, 0, step)
-            seated += step
-        tables[many] = np.minimum(t, n).astype(np.int64)
+        n, w = count[many].astype(np.float64), np.maximum(weight[many], 1e-300)
+        mode, spread = _middle(n, w, discount)
+        normal = np.sqrt(-2 * np.log(u[many])) * np.cos(2 * np.pi * _unit(key[many], salt + 100_000))
+        tables[many] = np.clip(np.round(mode + spread * normal), 1, n)
+        # few tables: with t scaled by c^discount, log (S(c, t) discount^t (t - 1)!) is the same curve for all large c
+        t = np.arange(1, FEW_TABLES + 1.0)
+        curve = logs[EXACT, 1:] + np.arange(1, EXACT + 1) * np.log(discount) + _log_factorials(EXACT)
+        small = np.flatnonzero(mode < FEW_TABLES / 4)
+        for r in np.split(small, range(0, len(small), 4000)):
+            at = 1 + (t[None, :] - 1) * ((EXACT / n[r]) ** discount)[:, None]
+            law = np.interp(at, np.arange(1, EXACT + 1), curve) - t * np.log(discount) - _log_factorials(FEW_TABLES)
+            tables[many[r]] = _drawn(law, w[r], u[many[r]])
     return tables
 
 
-class Spelling:
-    """Restaurants over characters; symbols: 0 edge, 1 any other character, then the alphabet."""
-
-    def __init__(self, chars: list[str], others: int = 1_000_000):
-        self.chars = chars
-        self.code = np.ones(1 << 16, np.int64)
-        for i, c in enumerate(chars):
-            if ord(c) < 1 << 16:
-                self.code[ord(c)] = i + 2
-        self.base = len(chars) + 2
-        self.others = others
-        self.samples: list[dict[int, tuple]] = []
-
-    def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(four-symbol cells of all words, the word each belongs to, others in each word); words end with an edge."""
-        texts = [w.decode() for w in words]
-        flat = np.frombuffer("".join(t + "\n" for t in texts).encode("utf-32-le"), np.uint32)
-        sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-        ends = np.cumsum(sizes)
-        x = np.where(flat < 1 << 16, self.code[np.minimum(flat, (1 << 16) - 1)], 1)
-        x[ends - 1] = 0
-        owner = np.repeat(np.arange(len(words)), sizes)
-        place = np.arange(len(x)) - np.repeat(ends - sizes, sizes)
-        cell = x.copy()
-        power = self.base
-        for back in range(1, ORDER + 1):
-            prior = np.where(place >= back, np.r_[np.zeros(back, np.int64), x[:-back]], 0)
-            cell = cell + prior * power
-            power *= self.base
-        return cell, owner, np.bincount(owner[x == 1], minlength=len(words))
-
-    def sample(self, cells: np.ndarray, counts: np.ndarray, salt: int, strength: float = 1.0, discount: float = 0.5) -> dict[int, tuple]:
-        """Seat all levels from the longest contexts down, given the last sample as parents."""
-        last = self.samples[-1] if self.samples else None
-        logs, level = stirling(discount), {}
-        for k in range(ORDER, -1, -1):
-            uniq, inv = np.unique(cells % self.base ** (k + 1), return_inverse=True)
-            c = np.bincount(inv, counts, minlength=len(uniq)).astype(np.int64)
-            ctx, ctx_of = np.unique(uniq // self.base, return_inverse=True)
-            customers = np.bincount(ctx_of, c)
-            rough = np.bincount(ctx_of)  # one table a dish until sampled
-            weight = (strength + discount * rough[ctx_of]) * self._level(uniq, k - 1, last)
-            t = seat(c, weight, uniq.astype(np.uint64), salt * 16 + k, discount, logs)
-            level[k] = (uniq, c, t, ctx, customers, np.bincount(ctx_of, t), strength, discount)
-            cells, counts = uniq, t
-        return level
-
-    def _level(self, cell: np.ndarray, k: int, level: dict[int, tuple] | None) -> np.ndarray:
-        """Predictive probability of cells' last symbol after k symbols of context."""
-        p = np.full(len(cell), 1.0 / self.base)
-        if level is None:
-            return p
-        for j in range(k + 1):
-            uniq, c, t, ctx, customers, tables, strength, discount = level[j]
-            own = cell % self.base ** (j + 1)
-            i = np.minimum(np.searchsorted(uniq, own), max(len(uniq) - 1, 0))
-            g = np.minimum(np.searchsorted(ctx, own // self.base), max(len(ctx) - 1, 0))
-            if not len(uniq):
-                continue
-            hit, seen = uniq[i] == own, ctx[g] == own // self.base
-            rest = np.where(seen, strength + discount * tables[g], 1.0)
-            total = np.where(seen, strength + customers[g], 1.0)
-            p = (np.where(hit, c[i] - discount * t[i], 0.0) + rest * p) / total
-        return p
-
-    def words(self, words: list[bytes], level: dict[int, tuple] | None) -> np.ndarray:
-        """Probability of spelling each word."""
-        if not words:
-            return np.empty(0)
-        cell, owner, others = self.symbols(words)
-        uniq, inv = np.unique(cell, return_inverse=True)
-        logp = np.log(self._level(uniq, ORDER, level))[inv]
-        return np.exp(np.bincount(owner, logp, minlength=len(words)) - others * np.log(self.others))
+def _log_factorials(most: int) -> np.ndarray:
+    """log (t - 1)! for t from 1."""
+    return np.r_[0.0, np.cumsum(np.log(np.arange(1, most)))]
 
 
 def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(7)) == 2
 
 
-def _key(word: bytes) -> int:
-    import xxhash
+def _press(x: np.ndarray) -> bytes:
+    """Compressed with like bytes of all numbers side by side."""
+    import zstandard
 
-    return (xxhash.xxh64_intdigest(word) >> 1) | 2
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
 
 
-def score(
-    docs: DataFrame, train: Column, *, batch_chars: int = 6_000_000, alphabet: int = 60, burn: int = 2, keep: int = 2, strength: float = 1.0
-) -> DataFrame:
-    """doc_id, train, n_tokens, n_known, train_tokens, base_score and score for each row of (doc_id, text)."""
-    spark = docs.sparkSession
-    mine = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
-    size = mine.agg(F.sum(F.length("text") + 1)).first()[0] or 0
-    batches = max(1, -(-size // batch_chars))
-    dealt = mine.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)))
+def _open(b: bytes, kind=np.uint32) -> np.ndarray:
+    import zstandard
+
+    size = np.dtype(kind).itemsize
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    return np.ascontiguousarray(flat.reshape(size, len(flat) // size).T).view(kind).ravel()
+
+
+def _deltas(x: np.ndarray) -> bytes:
+    return _press(np.diff(x.astype(np.uint64), prepend=np.uint64(0)))
+
+
+def _undelta(b: bytes) -> np.ndarray:
+    return np.cumsum(_open(b, np.uint64), dtype=np.uint64)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _ranges(high: np.ndarray, parts: int) -> np.ndarray:
+    """Bounds of the slices of sorted 32-bit numbers that fall to each of ``parts`` ranges."""
+    at = (high.astype(np.uint64) * np.uint64(parts)) >> np.uint64(32)
+    return np.searchsorted(at, np.arange(parts + 1, dtype=np.uint64))
+
+
+def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """48 bits for each pair of word keys."""
+    return _mix(_mix(before) + word * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(16)
 
-    parts = pa.schema([
-        ("batch", pa.int64()), ("at", pa.int32()), ("key", pa.int64()), ("word", pa.binary()), ("n", pa.int64()),
-        ("doc_id", pa.int64()), ("train", pa.bool_()), ("refs", pa.binary()),
-    ])
 
-    def ask(key, got):
-        """A row for each distinct word of the batch, commonest first, and each document as numbers of those rows."""
-        import zstandard
-
-        place: dict[bytes, int] = {}
-        docs_at = []
-        for text in got.column("text"):
-            tokens = text.as_py().encode().translate(_TO_LOWER).split()
-            for w in set(tokens).difference(place):
-                place[w] = len(place)
-            docs_at.append(np.fromiter(map(place.__getitem__, tokens), np.int32, len(tokens)))
-        words = [*place, b""]
-        end = len(place)
-        learn = np.array(got.column("train").to_pylist(), bool)
-        flat = np.concatenate(docs_at)
-        told = np.repeat(learn, np.fromiter(map(len, docs_at), np.int64, len(docs_at)))
-        every, n = np.bincount(flat, minlength=end + 1), np.bincount(flat[told], minlength=end + 1)
-        every[end], n[end] = len(docs_at), learn.sum()
-        order = np.argsort(-every, kind="stable")
-        rank = np.empty(end + 1, np.uint32)
-        rank[order] = np.arange(end + 1)
-        keys = np.array([*map(_key, words[:-1]), END_KEY], np.int64)
-        press = zstandard.ZstdCompressor(level=3)
-        refs = [press.compress(rank[np.r_[x, end]].tobytes()) for x in docs_at]
-        batch = key[0].as_py()
-        ask_rows = {
-            "batch": np.full(end + 1, batch), "at": np.arange(end + 1, dtype=np.int32), "key": keys[order], "word": [words[i] for i in order], "n": n[order],
-        }
-        doc_rows = {"batch": np.full(len(refs), batch), "doc_id": got.column("doc_id").to_pylist(), "train": learn, "refs": refs}
-
-        def table(cols: dict) -> pa.Table:
-            size = len(cols["batch"])
-            return pa.table([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(size, f.type) for f in parts], schema=parts)
-
-        return pa.concat_tables([table(ask_rows), table(doc_rows)])
-
-    both = cut(dealt.groupBy("batch").applyInArrow(ask, "batch long, at int, key long, word binary, n long, doc_id long, train boolean, refs binary"))
-    asked = both.filter("key is not null").select("batch", "at", "key", "word", "n")
-    vocab = cut(asked.groupBy("key").agg(F.sum("n").alias("n"), F.max("word").alias("word")))
-    known = vocab.filter("n > 0")
-    facts = known.agg(F.sum("n").alias("N"), F.count("*").alias("V"), F.sum((F.col("n") == 1).cast("long")).alias("n1"), F.sum((F.col("n") == 2).cast("long")).alias("n2")).first()
-    total, kinds = facts["N"] or 0, facts["V"] or 0
-    n1, n2 = facts["n1"] or 0, facts["n2"] or 0
-    discount = min(max((n1 + 0.5) / (n1 + 2 * n2 + 1), 0.05), 0.95)
-    letters = known.select(F.explode(F.split(F.col("word").cast("string"), "")).alias("c")).filter("c <> ''")
-    top = letters.groupBy("c").count().orderBy(F.desc("count"), "c").limit(alphabet).collect()
-    model = Spelling([r["c"] for r in top])
-    logs = stirling(discount)
-
-    def seated(tables: pd.DataFrame | None, sweep: int, level, spelling, rough: float):
-        """Word tables of one sweep and their weights."""
-        words = [bytes(w) for w in tables["word"]]
-        p = spelling.words(words, level)
-        t = seat(tables["n"].to_numpy(np.int64), (strength + discount * rough) * p, tables["key"].to_numpy(np.uint64), sweep, discount, logs)
-        return words, p, t
-
-    def sweep_counts(sweep: int, level, rough: float, share):
-        """Spelling cells of all new tables; cell -1 holds the number of tables."""
-
-        def run(frames):
-            spelling = share.value
-            cells, total_t = {}, 0
-            for pdf in frames:
-                words, _, t = seated(pdf, sweep, level, spelling, rough)
-                total_t += int(t.sum())
-                cell, owner, _ = spelling.symbols(words)
-                uniq, inv = np.unique(cell, return_inverse=True)
-                for c, m in zip(uniq.tolist(), np.bincount(inv, t[owner]).tolist()):
-                    cells[c] = cells.get(c, 0) + int(m)
-            cells[-1] = total_t
-            yield pd.DataFrame({"cell": list(cells), "m": list(cells.values())}, dtype=np.int64)
-
-        return run
-
-    rough, levels, roughs = float(kinds), [None], [float(kinds)]
-    shared = spark.sparkContext.broadcast(Spelling([r["c"] for r in top]))
-    for sweep in range(burn + keep) if kinds else ():
-        told = known.select("key", "n", "word").mapInPandas(sweep_counts(sweep, levels[-1], roughs[-1], shared), "cell long, m long")
-        got = told.groupBy("cell").agg(F.sum("m").alias("m")).toPandas()  # at most (alphabet + 2)^4 cells
-        rough = float(got.loc[got["cell"] == -1, "m"].sum())
-        got = got[got["cell"] >= 0].sort_values("cell")
-        model.samples = [levels[-1]] if levels[-1] else []
-        levels.append(model.sample(got["cell"].to_numpy(np.int64), got["m"].to_numpy(np.int64), sweep))
-        roughs.append(rough)
-    kept = spark.sparkContext.broadcast([(s, levels[s], roughs[s], roughs[s + 1]) for s in range(burn, burn + keep)] if kinds else [])
-
-    def predict(frames):
-        """Averaged predictive probability of each training word."""
-        spelling = shared.value
-        for pdf in frames:
-            p = np.zeros(len(pdf))
-            for sweep, level, before, after in kept.value:
-                _, spelt, t = seated(pdf, sweep, level, spelling, before)
-                n = pdf["n"].to_numpy(np.float64)
-                p += (n - discount * t + (strength + discount * after) * spelt) / (strength + total)
-            p /= max(len(kept.value), 1)
-            yield pd.DataFrame({"key": pdf["key"], "n": pdf["n"], "p": p})
-
-    told = cut(known.select("key", "n", "word").mapInPandas(predict, "key long, n long, p double"))
-    left = 1.0 - (told.agg(F.sum("p")).first()[0] or 0.0)
-    left = float(np.log10(max(left, 1 / (total + kinds + 2.0))))
-    told = told.select("key", "n", F.log10("p").cast("float").alias("logp"))
-    answers = asked.select("batch", "at", "key").join(told, "key").select(*[F.col(c).alias(c) for c in ("batch", "at", "n", "logp")])  # unknown words are not answered
-    # aliases: both sides come from one table and need columns of their own
-    texts = both.filter("refs is not null").select(*[F.col(c).alias(c) for c in ("batch", "doc_id", "train", "refs")])
-
-    def read(key, got, answer):
-        import zstandard
-
-        press = zstandard.ZstdDecompressor()
-        refs = [np.frombuffer(press.decompress(x.as_py()), np.uint32) for x in got.column("refs")]
-        at = answer.column("at").to_numpy()
-        size = 1 + max([int(at.max(initial=0)), *(int(x.max()) for x in refs)], default=0)
-        n, logp = np.zeros(size), np.full(size, left)
-        n[at], logp[at] = answer.column("n").to_numpy(), answer.column("logp").to_numpy()
-        base = np.log10((n + 1) / (total + kinds + 1))
-        rows = [(len(i), int((n[i] > 0).sum()), float(base[i].sum()), float(logp[i].sum())) for i in refs]
-        cols = list(zip(*rows)) if rows else [(), (), (), ()]
-        return pa.table({
-            "doc_id": got.column("doc_id").cast(pa.int64()), "train": got.column("train"),
-            "n_tokens": pa.array(cols[0], pa.int64()), "n_known": pa.array(cols[1], pa.int64()),
-            "base_score": pa.array(cols[2], pa.float64()), "score": pa.array(cols[3], pa.float64()),
+def pairs_of(keys: np.ndarray, refs: np.ndarray, sizes: np.ndarray):
+    """Distinct pairs of a batch by pair key: keys, numbers of the first and second word, and each token's pair."""
+    start = np.searchsorted(keys, START)
+    before = np.empty_like(refs)
+    before[1:] = refs[:-1]
+    before[np.cumsum(sizes) - sizes] = start
+    code, at = np.unique(before.astype(np.uint64) * np.uint64(len(keys)) + refs, return_inverse=True)
+    v, w = (code // np.uint64(len(keys))).astype(np.int64), (code % np.uint64(len(keys))).astype(np.int64)
+    h = pair_keys(keys[v], keys[w])
+    order = np.argsort(h, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return h[order], v[order], w[order], rank[at]
+
+
+def _row(schema: pa.Schema, **cols) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(1, f.type) for f in schema], schema=schema)
+
+
+def _rows(schema: pa.Schema, rows: list[dict]) -> pa.Table:
+    return pa.table([pa.array([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)
+
+
+def _ddl(schema: pa.Schema) -> str:
+    names = {pa.int64(): "long", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
+    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
+
+
+def _schema(ints: str, blobs: str) -> pa.Schema:
+    return pa.schema([(c, pa.int64()) for c in ints.split()] + [(c, pa.binary()) for c in blobs.split()])
+
+
+BATCH = pa.schema([("batch", pa.int64()), ("ids", pa.list_(pa.int64())), ("keys", pa.binary()), ("refs", pa.binary()), ("sizes", pa.binary()), ("train", pa.binary())])
+ASK = _schema("part batch", "words n pairs c")
+TOLD = _schema("batch part total kinds once twice", "n place c own")
+STATE = _schema("batch", "bounds place v w c h tables customers")
+REPORT = _schema("part batch", "place tables customers")
+SEATED = _schema("batch part customers0 tables0 once twice", "tables customers seats")
+
+
+def deal(docs: DataFrame, batch_tokens: int) -> DataFrame:
+    """Batches of (doc_id, text, train): hashes of the words, sorted, and each token as a number of one."""
+
+    def run(frames):
+        import xxhash
+
+        known: dict[bytes, int] = {}
+        task, number, ids, learn, texts, room = 0, 0, [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            sizes = np.fromiter(map(len, texts), np.uint32, len(texts))
+            keys, at = np.unique(np.concatenate([np.array([START]), *texts]), return_inverse=True)
+            return _row(
+                BATCH, batch=[(task << 32) + number], ids=[ids], keys=[keys.tobytes()], refs=[_press(at[1:].astype(np.uint32))],
+                sizes=[_press(sizes)], train=[_press(np.array(learn, np.uint8))],
+            )
+
+        for frame in frames:
+            for part, i, text, told in zip(*(frame.column(c) for c in ("task", "doc_id", "text", "train"))):
+                task, tokens = part.as_py(), text.as_py().encode().translate(_TO_LOWER).split()
+                try:
+                    x = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+                except KeyError:
+                    if len(known) > 1_000_000:
+                        known.clear()
+                    for t in tokens:
+                        if t not in known:
+                            known[t] = max(xxhash.xxh64_intdigest(t), 3)
+                    x = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+                ids.append(i.as_py())
+                learn.append(told.as_py())
+                texts.append(np.append(x, END))
+                room += len(tokens) + 1
+                if room >= batch_tokens:
+                    yield flush()
+                    number, ids, learn, texts, room = number + 1, [], [], [], 0
+        if ids:
+            yield flush()
+
+    return docs.select(F.spark_partition_id().cast("long").alias("task"), "doc_id", "text", "train").mapInArrow(run, _ddl(BATCH))
+
+
+def _batch(row: dict):
+    keys, refs, sizes = np.frombuffer(row["keys"], np.uint64), _open(row["refs"]), _open(row["sizes"])
+    return keys, refs, sizes, np.repeat(_open(row["train"], np.uint8).astype(bool), sizes)
+
+
+def _each(frames):
+    """Rows of Arrow batches, one at a time."""
+    for frame in frames:
+        for i in range(frame.num_rows):
+            yield {c: frame.column(c)[i].as_py() for c in frame.schema.names}
+
+
+def _ask(parts: int):
+    """For each batch and range: its words and pairs, and how often they stand in training texts."""
+
+    def run(frames):
+        for row in _each(frames):
+            keys, refs, sizes, told = _batch(row)
+            h, v, w, at = pairs_of(keys, refs, sizes)
+            n, c = np.bincount(refs[told], minlength=len(keys)), np.bincount(at[told], minlength=len(h))
+            words, pairs = _ranges(keys >> np.uint64(32), parts), _ranges(h >> np.uint64(16), parts)
+            for p in range(parts):
+                x, y = slice(*words[p : p + 2]), slice(*pairs[p : p + 2])
+                if x.start < x.stop or y.start < y.stop:
+                    yield _row(
+                        ASK, part=[p], batch=[row["batch"]], words=[keys[x].tobytes()], n=[_press(n[x].astype(np.uint32))],
+                        pairs=[_deltas(h[y])], c=[_press(c[y].astype(np.uint32))],
+                    )
+
+    return run
+
+
+def _sum(key, got):
+    """Sums of a range; each batch is told those of its entries, its words' places, and the pairs it owns."""
+    got = got.sort_by("batch").to_pydict()
+    words = [np.frombuffer(x, np.uint64) for x in got["words"]]
+    pairs = [_undelta(x) for x in got["pairs"]]
+    uniq, at = np.unique(np.concatenate(words), return_inverse=True)
+    n = np.bincount(at, np.concatenate([_open(x) for x in got["n"]]), len(uniq)).astype(np.int64)
+    mixed, first, of = np.unique(np.concatenate(pairs), return_index=True, return_inverse=True)
+    c = np.bincount(of, np.concatenate([_open(x) for x in got["c"]]), len(mixed)).astype(np.int64)
+    own = np.zeros(len(of), bool)
+    own[first] = True
+    own &= c[of] > 0
+    rows, i, j = [], 0, 0
+    for batch, x, y in zip(got["batch"], words, pairs):
+        mine, theirs = at[i : i + len(x)], of[j : j + len(y)]
+        rows.append({
+            "batch": batch, "part": key[0].as_py(), "n": _press(n[mine].astype(np.uint32)), "place": _deltas(mine),
+            "c": _press(c[theirs].astype(np.uint32)), "own": _press(own[j : j + len(y)].astype(np.uint8)),
         })
+        i, j = i + len(x), j + len(y)
+    rows.append({"batch": -1, "part": key[0].as_py(), "total": int(n.sum()), "kinds": int((n > 0).sum()), "once": int((c == 1).sum()), "twice": int((c == 2).sum())})
+    return _rows(TOLD, rows)
+
+
+def _gathered(told: DataFrame, name: str, *fields: str) -> DataFrame:
+    """The answers to each batch, in the order of the ranges."""
+    one = F.struct("part", *fields)
+    return told.filter("batch >= 0").groupBy("batch").agg(F.sort_array(F.collect_list(one)).alias(name))
+
+
+def _joined(answers: list[dict], field: str, kind=np.uint32) -> np.ndarray:
+    return np.concatenate([_open(x[field], kind) for x in answers])
+
+
+def _start(frames):
+    """What the sweeps need of a batch: places of its words, pairs of two customers or more that it owns, and sums over those of one."""
+    for row in _each(frames):
+        keys, refs, sizes, _ = _batch(row)
+        h, v, w, _ = pairs_of(keys, refs, sizes)
+        c, own = _joined(row["told"], "c"), _joined(row["told"], "own", np.uint8).astype(bool)
+        one, more = own & (c == 1), own & (c > 1)
+        places = [_undelta(x["place"]) for x in row["told"]]
+        bounds = [(x["part"], len(p)) for x, p in zip(row["told"], places)]
+        yield _row(
+            STATE, batch=[row["batch"]], bounds=[np.array(bounds, np.int64).tobytes()], place=[_press(np.concatenate(places).astype(np.uint32))],
+            v=[_press(v[more].astype(np.uint32))], w=[_press(w[more].astype(np.uint32))], c=[_press(c[more])], h=[_press(h[more].astype(np.uint32))],
+            tables=[_press(np.bincount(v[one], minlength=len(keys)).astype(np.uint32))], customers=[_press(np.bincount(w[one], minlength=len(keys)).astype(np.uint32))],
+        )
+
+
+class Facts:
+    """Totals of the model and, by sweep, of the parent restaurant."""
+
+    def __init__(self, total: int, kinds: int, discount: float, strength: float):
+        self.total, self.kinds, self.discount, self.strength = total, kinds, discount, strength
+        self.parent_discount, self.customers0, self.tables0 = 0.5, [], []
+
+    def parent(self, sweep: int, answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        """Tables of each word's restaurant, and the parent's predictive probability of each word, after a sweep."""
+        tables, c, t = (_joined(answers, x).astype(np.float64) for x in ("tables", "customers", "seats"))
+        rest = (self.strength + self.parent_discount * self.tables0[sweep]) / (self.kinds + 1)
+        return tables, (c - self.parent_discount * t + rest) / (self.strength + self.customers0[sweep])
+
+    def draw(self, c, v, w, h, sweep: int, before: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Tables of pairs in a sweep, given the state before it."""
+        weight = (self.strength + self.discount * before[0][v]) * before[1][w]
+        return seat(c.astype(np.int64), weight, h.astype(np.uint32).astype(np.uint64), sweep, self.discount)
+
+
+def _reseat(sweep: int, facts: Facts):
+    """Each batch's report of tables: by first word, and, as customers of the parent, by second word."""
+
+    def run(frames):
+        for row in _each(frames):
+            v, w, c, h = (_open(row[x]) for x in "vwch")
+            t = np.ones(len(c), np.int64) if not sweep else facts.draw(c, v, w, h, sweep, facts.parent(sweep - 1, row["state"]))
+            place, tables, customers = (_open(row[x]) for x in ("place", "tables", "customers"))
+            tables = tables + np.bincount(v, t, len(place)).astype(np.uint32)
+            customers = customers + np.bincount(w, t, len(place)).astype(np.uint32)
+            at = 0
+            for part, n in np.frombuffer(row["bounds"], np.int64).reshape(-1, 2).tolist():
+                x = slice(at, at + n)
+                yield _row(REPORT, part=[part], batch=[row["batch"]], place=[_deltas(place[x])], tables=[_press(tables[x])], customers=[_press(customers[x])])
+                at += n
+
+    return run
+
+
+def _parent(sweep: int, facts: Facts):
+    """Sums of a range's reports, and the parent's tables drawn from them."""
+
+    def run(key, got):
+        part, got = key[0].as_py(), got.sort_by("batch").to_pydict()
+        places = [_undelta(x).astype(np.int64) for x in got["place"]]
+        at = np.concatenate(places)
+        tables, c = (np.bincount(at, np.concatenate([_open(x) for x in got[f]])).astype(np.int64) for f in ("tables", "customers"))
+        t = np.minimum(c, 1)
+        if sweep:
+            weight = np.full(len(c), (facts.strength + facts.parent_discount * facts.tables0[sweep - 1]) / (facts.kinds + 1))
+            t = seat(c, weight, np.arange(len(c), dtype=np.uint64) + np.uint64(part << 32), 500 + sweep, facts.parent_discount)
+        rows = [
+            {"batch": b, "part": part, **{k: _press(x[mine].astype(np.uint32)) for k, x in (("tables", tables), ("customers", c), ("seats", t))}}
+            for b, mine in zip(got["batch"], places)
+        ]
+        rows.append({"batch": -1, "part": part, "customers0": int(c.sum()), "tables0": int(t.sum()), "once": int((c == 1).sum()), "twice": int((c == 2).sum())})
+        return _rows(SEATED, rows)
+
+    return run
+
+
+def _read(facts: Facts, kept: list[int]):
+    """Scores of each document from the averaged predictive probability of each pair of the batch."""
+    out = pa.schema([
+        ("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()),
+    ])
 
-    scored = texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(
-        read, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
-    )
-    return scored.withColumn("train_tokens", F.lit(total).cast("long"))
+    def run(frames):
+        for row in _each(frames):
+            keys, refs, sizes, _ = _batch(row)
+            h, v, w, at = pairs_of(keys, refs, sizes)
+            n, c = _joined(row["told"], "n").astype(np.int64), _joined(row["told"], "c").astype(np.int64)
+            follow = n.copy()  # each token of a word is followed by one, each text begins once
+            follow[np.searchsorted(keys, START)] = n[np.searchsorted(keys, END)]
+            p, before = np.zeros(len(h)), facts.parent(kept[0] - 1, row[f"s{kept[0] - 1}"])
+            for sweep in kept:
+                t = facts.draw(c, v, w, h, sweep, before)
+                before = tables, parent = facts.parent(sweep, row[f"s{sweep}"])
+                p += (c - facts.discount * t + (facts.strength + facts.discount * tables[v]) * parent[w]) / (facts.strength + follow[v])
+            logp = np.log10(p / len(kept))[at]
+            base = np.log10((n + 1) / (facts.total + facts.kinds + 1))[refs]
+            ends = np.cumsum(sizes, dtype=np.int64) - sizes
+            score, plain, seen = (np.add.reduceat(x, ends) for x in (logp, base, (n > 0).astype(np.int64)[refs]))
+            train = _open(row["train"], np.uint8).astype(bool)
+            cols = (row["ids"], train, sizes.astype(np.int64), seen, plain, score)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, out)], schema=out)
+
+    return run
+
+
+def score(
+    docs: DataFrame, train: Column, *, batch_tokens: int = 1_500_000, part_chars: int = 16_000_000, burn: int = 2, keep: int = 2, strength: float = 1.0
+) -> DataFrame:
+    """doc_id, train, n_tokens, n_known, train_tokens, base_score and score for each row of (doc_id, text)."""
+    mine = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
+    size = mine.agg(F.sum(F.length("text") + 1)).first()[0] or 0
+    parts = max(1, -(-size // part_chars))
+    batches = cut(deal(mine, batch_tokens))
+    told = cut(batches.mapInArrow(_ask(parts), _ddl(ASK)).groupBy("part").applyInArrow(_sum, _ddl(TOLD)))
+    x = told.filter("batch = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "kinds", "once", "twice")]).first()
+    discount = lambda r: min(max((r["once"] + 0.5) / (r["once"] + 2 * r["twice"] + 1), 0.05), 0.95)
+    facts = Facts(x["total"], x["kinds"], discount(x), strength)
+    answers = _gathered(told, "told", "n", "place", "c", "own")
+    state = cut(batches.join(answers, "batch").mapInArrow(_start, _ddl(STATE)))
+    seats: list[DataFrame] = []
+    kept = list(range(burn + 1, burn + keep + 1))
+    for sweep in range(burn + keep + 1):
+        ready = state.join(_gathered(seats[-1], "state", "tables", "customers", "seats"), "batch") if seats else state
+        reports = ready.mapInArrow(_reseat(sweep, facts), _ddl(REPORT))
+        seats.append(cut(reports.groupBy("part").applyInArrow(_parent(sweep, facts), _ddl(SEATED))))
+        if 0 < sweep <= burn:
+            drop(seats[sweep - 1])
+        x = seats[-1].filter("batch = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("customers0", "tables0", "once", "twice")]).first()
+        facts.customers0.append(x["customers0"])
+        facts.tables0.append(x["tables0"])
+        if not sweep:
+            facts.parent_discount = discount(x)
+    drop(state)
+    ready = batches.join(_gathered(told, "told", "n", "c"), "batch")
+    for sweep in range(burn, burn + keep + 1):
+        ready = ready.join(_gathered(seats[sweep], f"s{sweep}", "tables", "customers", "seats"), "batch")
+    scored = ready.mapInArrow(_read(facts, kept), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.withColumn("train_tokens", F.lit(facts.total).cast("long"))
 
 
 def query(docs: DataFrame) -> DataFrame:
