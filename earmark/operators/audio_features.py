@@ -14,43 +14,55 @@ def _db(x: np.ndarray) -> np.ndarray:
     return 20 * np.log10(np.maximum(x, FLOOR))
 
 
+FEATURES = ("peak_dbfs", "rms_dbfs", "crest_factor_db", "dynamic_range_db", "clipping_ratio", "duration_s")
+#: Loudness of reference, and the labels of polish from the best down.
+LOUD_RMS = -14.0
+LABELS = ((0.66, "co_dau_vet_mastering_thuong_mai"), (0.40, "khong_ket_luan_duoc"), (None, "giong_ban_thu_moc_hoac_nghiep_du"))
+CLIPPING_HIGH = 0.001
+
+
 def production(df: DataFrame, samples: str, rate: int) -> DataFrame:
-    """peak, RMS and crest in dB, clip ratio, and p95 - p10 of 50 ms frames within 40 dB of the loudest."""
+    """Peak, RMS and crest in dB, p95 - p10 of 50 ms frames less than 40 dB below the loudest, clip ratio, seconds.
+
+    All null below one second of samples."""
+
+    def measured(x: np.ndarray) -> tuple:
+        peak, rms = float(_db(np.abs(x).max())), float(_db(np.sqrt((x * x).mean())))
+        n = max(int(0.05 * rate), 1)
+        loud = _db(np.sqrt((x[: len(x) - len(x) % n].reshape(-1, n) ** 2).mean(1)))
+        loud = loud[loud > loud.max() - 40.0]
+        spread = float(np.percentile(loud, 95) - np.percentile(loud, 10))
+        clipped = float((np.abs(x) >= 0.999).mean())
+        return round(peak, 2), round(rms, 2), round(peak - rms, 2), round(spread, 2), round(clipped, 6), round(len(x) / rate, 2)
 
     def run(frames):
         for pdf in frames:
-            rows = []
-            for id_, x in zip(pdf["id"], pdf["x"]):
-                x = np.asarray(x, np.float64)
-                if not len(x):
-                    rows.append((id_, None, None, None, None, None))
-                    continue
-                peak, rms = np.abs(x).max(), np.sqrt((x * x).mean())
-                n = max(1, int(rate * 0.05))
-                whole = x[: len(x) // n * n].reshape(-1, n) if len(x) >= n else x[None, :]
-                loud = _db(np.sqrt((whole * whole).mean(1)))
-                loud = loud[loud >= loud.max() - 40]
-                spread = np.percentile(loud, 95) - np.percentile(loud, 10)
-                rows.append((id_, float(_db(peak)), float(_db(rms)), float(_db(peak) - _db(rms)), float((np.abs(x) >= 0.999).mean()), float(spread)))
-            yield pd.DataFrame(rows, columns=["id", "peak_db", "rms_db", "crest_db", "clip_ratio", "dynamics_db"])
-
-    return df.select("id", F.col(samples).alias("x")).mapInPandas(run, "id long, peak_db double, rms_db double, crest_db double, clip_ratio double, dynamics_db double")
+            found = [(None,) * 6 if x is None or len(x) < rate else measured(np.asarray(x, np.float64)) for x in pdf["x"]]
+            yield pd.concat([pdf[["id"]].reset_index(drop=True), pd.DataFrame(found, columns=list(FEATURES), dtype="float64")], axis=1)
+
+    return df.select("id", F.col(samples).alias("x")).mapInPandas(run, "id long, " + ", ".join(f"{c} double" for c in FEATURES))
 
 
 def polish(crest: Column, rms: Column, dynamics: Column) -> tuple[Column, Column]:
     """Mean of three clipped linear maps, and its label."""
-    part = lambda c, low, high: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (c - low) / (high - low)))
-    score = (part(-crest, -20.0, -8.0) + part(rms, -35.0, -12.0) + part(-dynamics, -25.0, -6.0)) / 3
-    return F.round(score, 4), F.when(score >= 0.66, "POLISHED").when(score >= 0.40, "MODERATE").otherwise("RAW")
+    part = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    score = (part((rms - (LOUD_RMS - 12.0)) / 12.0) + part((20.0 - crest) / 12.0) + part((18.0 - dynamics) / 14.0)) / 3
+    label = F.when(score.isNotNull(), F.lit(LABELS[-1][1]))
+    for least, name in reversed(LABELS[:-1]):
+        label = F.when(score >= least, name).otherwise(label)
+    known = crest.isNotNull() & rms.isNotNull() & dynamics.isNotNull()
+    return F.when(known, F.round(score, 3)), F.when(known, label)
 
 
 def resampled(chroma: np.ndarray, frames: int) -> np.ndarray:
-    """Time axis to ``frames``: means of bins, or the nearest frame repeated where there are fewer."""
+    """Time axis to ``frames``: means of bins that hold a frame at least, or the nearest frame where there are fewer."""
     n = chroma.shape[1]
-    if n >= frames:
-        edges = np.linspace(0, n, frames + 1).astype(int)
-        return np.stack([chroma[:, a:b].mean(1) for a, b in zip(edges[:-1], edges[1:])], 1)
-    return chroma[:, np.minimum((np.arange(frames) * n / frames).astype(int), n - 1)]
+    if n < frames:
+        return chroma[:, np.linspace(0, n - 1, frames).round().astype(int)]
+    edges = np.linspace(0, n, frames + 1).round().astype(int)
+    sums = np.concatenate([np.zeros((len(chroma), 1)), np.cumsum(chroma, 1)], 1)
+    last = np.maximum(edges[1:], edges[:-1] + 1)
+    return (sums[:, last] - sums[:, edges[:-1]]) / (last - edges[:-1])
 
 
 def descriptor(chroma: np.ndarray, frames: int, eps: float = 1e-8) -> np.ndarray:

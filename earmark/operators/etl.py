@@ -65,34 +65,76 @@ def check(name: str, severity: str, bad: DataFrame, detail: str) -> DataFrame:
     )
 
 
-def cyclic_partner(df: DataFrame, id_: str, override: str | None = None) -> DataFrame:
+def cyclic_partner(df: DataFrame, id_: str, override: str | None = None, per_range: int = 100_000) -> DataFrame:
     """(id, other): the next id in order, the last going to the first; an explicit partner goes before.
 
-    The next id is found by range partition and a join on position, not by one sorted window.
+    Ids are dealt to ranges of about ``per_range`` by approximate quantiles; each range orders its
+    own, and one row a range, the first id of the next range that has any, joins the ranges.
     """
-    ids = df.select(id_).distinct().sort(id_)
-    numbered = ids.rdd.map(lambda r: r[0]).zipWithIndex().toDF(["id", "i"]) if not ids.isEmpty() else df.sparkSession.createDataFrame([], "id long, i long")
-    n = numbered.count()
-    nxt = numbered.select(F.col("id").alias("other"), F.pmod(F.col("i") - 1, F.lit(max(n, 1))).alias("i"))
-    out = numbered.join(nxt, "i").select("id", "other")
+    ids = df.select(F.col(id_).alias("id")).filter("id is not null").distinct()
+    n = ids.count()
+    bounds = ids.approxQuantile("id", [i / -(-n // per_range) for i in range(1, -(-n // per_range))], 1e-4) if n > per_range else []
+    place = reduce(Column.__add__, [(F.col("id") > F.lit(b)).cast("int") for b in bounds], F.lit(0))
+    placed = ids.withColumn("part", place)
+    firsts = placed.groupBy("part").agg(F.min("id").alias("first"))  # a row a range
+    w = Window.orderBy("part")
+    heads = firsts.select("part", F.coalesce(F.lead("first").over(w), F.min("first").over(Window.partitionBy(F.lit(0)))).alias("head"))
+    nxt = F.lead("id").over(Window.partitionBy("part").orderBy("id"))
+    out = placed.withColumn("other", nxt).join(F.broadcast(heads), "part").select("id", F.coalesce("other", "head").alias("other"))
     if override is None:
         return out
     given = df.select(F.col(id_).alias("id"), F.col(override).alias("given")).filter("given is not null")
     return out.join(given, "id", "left").select("id", F.coalesce("given", "other").alias("other"))
 
 
-#: Query plan: 21 transformations.
+def audio_targets(recordings: DataFrame, rights: DataFrame, license_type: str | None = None) -> DataFrame:
+    """Recordings with an audio path that is not simulated and, if a license is named, rights of that type."""
+    rows = recordings.filter("audio_path is not null and not startswith(audio_path, 'simulated/')")
+    if license_type is None:
+        return rows
+    return rows.join(rights.filter(F.col("license_type") == license_type), "recording_id", "left_semi")
+
+
+def seeded_sample(df: DataFrame, id_: str, n: int, seed: int) -> DataFrame:
+    """n rows in the order of a seeded hash, then by id; all of them if there are no more."""
+    h = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(id_).cast("string")), 256)
+    return df.orderBy(h, id_).limit(n).orderBy(id_)
+
+
+#: Transformations of the query plan, their parameters, and the match they should give.
+PLAN_FIELDS = "transformation string, snr double, pitch_shift double, tempo_factor double, codec string, bitrate int, segment_start double, duration double, expected_match_type string"
 TRANSFORMATIONS = (
-    "original", "crop_15s", "crop_10s", "noise_20db", "noise_10db", "noise_5db", "gain_-12db", "lowpass_4khz",
-    "pitch_+1", "pitch_-1", "pitch_+2", "pitch_-2", "tempo_0.90", "tempo_0.95", "tempo_1.05", "tempo_1.10",
-    "overlay_0.35", "mp3_128k", "mp3_64k", "pitch_tempo", "noise_crop",
-)
-
-
-def query_plan(recordings: DataFrame, n: int) -> DataFrame:
-    """n recordings by all transformations, and as many rows that match nothing as there are recordings."""
-    some = recordings.orderBy("recording_id").limit(n)
-    known = some.select("recording_id", F.explode(F.array(*[F.lit(x) for x in TRANSFORMATIONS])).alias("transformation"))
-    known = known.withColumn("expected", F.when(F.col("transformation").rlike("^(original|crop|mp3|gain)"), "EXACT_MATCH").otherwise("NEAR_MATCH"))
-    other = some.select((-F.col("recording_id")).alias("recording_id"), F.lit("out_of_database").alias("transformation"), F.lit("UNKNOWN").alias("expected"))
-    return known.union(other)
+    ("original", None, 0.0, 1.00, "wav", 1411, 0.0, 30.0, "EXACT_MATCH"),
+    ("crop_15s", None, 0.0, 1.00, "wav", 1411, 30.0, 15.0, "EXACT_MATCH"),
+    ("crop_10s", None, 0.0, 1.00, "wav", 1411, 60.0, 10.0, "EXACT_MATCH"),
+    ("mp3_128k", None, 0.0, 1.00, "mp3", 128, 0.0, 30.0, "EXACT_MATCH"),
+    ("mp3_64k", None, 0.0, 1.00, "mp3", 64, 0.0, 30.0, "EXACT_MATCH"),
+    ("aac_96k", None, 0.0, 1.00, "aac", 96, 0.0, 30.0, "EXACT_MATCH"),
+    ("noise_snr20", 20.0, 0.0, 1.00, "wav", 1411, 0.0, 30.0, "EXACT_MATCH"),
+    ("noise_snr10", 10.0, 0.0, 1.00, "wav", 1411, 0.0, 30.0, "NEAR_MATCH"),
+    ("noise_snr5", 5.0, 0.0, 1.00, "wav", 1411, 0.0, 30.0, "NEAR_MATCH"),
+    ("voice_overlay", 15.0, 0.0, 1.00, "wav", 1411, 0.0, 30.0, "NEAR_MATCH"),
+    ("gain_minus12db", None, 0.0, 1.00, "wav", 1411, 0.0, 30.0, "EXACT_MATCH"),
+    ("eq_lowpass_4k", None, 0.0, 1.00, "wav", 1411, 0.0, 30.0, "NEAR_MATCH"),
+    ("pitch_plus_1", None, 1.0, 1.00, "wav", 1411, 0.0, 30.0, "NEAR_MATCH"),
+    ("pitch_minus_1", None, -1.0, 1.00, "wav", 1411, 0.0, 30.0, "NEAR_MATCH"),
+    ("pitch_plus_2", None, 2.0, 1.00, "wav", 1411, 0.0, 30.0, "NEAR_MATCH"),
+    ("pitch_minus_2", None, -2.0, 1.00, "wav", 1411, 0.0, 30.0, "NEAR_MATCH"),
+    ("tempo_0_90", None, 0.0, 0.90, "wav", 1411, 0.0, 30.0, "NEAR_MATCH"),
+    ("tempo_0_95", None, 0.0, 0.95, "wav", 1411, 0.0, 30.0, "NEAR_MATCH"),
+    ("tempo_1_05", None, 0.0, 1.05, "wav", 1411, 0.0, 30.0, "NEAR_MATCH"),
+    ("tempo_1_10", None, 0.0, 1.10, "wav", 1411, 0.0, 30.0, "NEAR_MATCH"),
+    ("reencode_mp3_chain", None, 0.0, 1.00, "mp3", 192, 0.0, 30.0, "EXACT_MATCH"),
+)
+OUTSIDE = ("out_of_database", None, 0.0, 1.00, "wav", 1411, 0.0, 30.0, "UNKNOWN")
+
+
+def query_plan(recordings: DataFrame, indexed: DataFrame, n: int, unknown: int) -> DataFrame:
+    """n recordings, those with vectors (``indexed``) first, by all transformations; and the last ``unknown`` without
+    vectors, which must not be found. Ids break ties."""
+    spark = recordings.sparkSession
+    rows = recordings.select("recording_id", "composition_id").join(indexed.select("recording_id").distinct().withColumn("__has", F.lit(1)), "recording_id", "left")
+    known = rows.orderBy(F.desc_nulls_last("__has"), "recording_id").limit(n)
+    absent = rows.filter("__has is null").orderBy(F.desc("recording_id")).limit(unknown)
+    kinds = lambda some: F.broadcast(spark.createDataFrame(some, PLAN_FIELDS))  # noqa: E731  22 rows
+    return known.crossJoin(kinds(list(TRANSFORMATIONS))).union(absent.crossJoin(kinds([OUTSIDE]))).drop("__has")

@@ -52,6 +52,61 @@ def calibrate(sweeps: DataFrame, bounds: tuple[float, ...] = (0.005, 0.05)) -> D
     return got.select(F.coalesce(*names, "last").alias("tau"), F.coalesce(*names).isNotNull().alias("safe"))
 
 
+def noise_sweep(top1: DataFrame, held_out: DataFrame, noise: DataFrame, taus: DataFrame) -> DataFrame:
+    """Precision, recall and F1 of accepting the best answer at ``score >= tau`` (top1: score, ok), and the shares of
+    held-out and of noise probes that are accepted; 4 digits. Scores are counted by threshold cell first."""
+    levels = [r["tau"] for r in taus.orderBy("tau").collect()]  # the grid is a parameter
+    cell = F.size(F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x <= F.col("score"))).alias("cell")
+    kinds = [top1.select(cell, F.lit("a").alias("k"), F.col("ok").cast("int").alias("ok")), held_out.select(cell, F.lit("h"), F.lit(0)), noise.select(cell, F.lit("n"), F.lit(0))]
+    cells = kinds[0].union(kinds[1]).union(kinds[2]).groupBy("cell").agg(
+        *[F.count_if(F.col("k") == k).alias(k) for k in "ahn"], F.sum("ok").alias("c")
+    )
+    place = F.broadcast(taus.sparkSession.createDataFrame([(i + 1, x) for i, x in enumerate(levels)], "i int, tau double"))
+    whole = F.broadcast(cells.agg(*[F.sum(k).alias(f"all_{k}") for k in "ahn"]))
+    got = place.join(cells, F.col("cell") >= F.col("i"), "left").groupBy("tau").agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in "ahnc"]).crossJoin(whole)
+    p, r = ratio(F.col("c"), F.col("a")), ratio(F.col("c"), F.col("all_a"))
+    return got.select(
+        "tau", F.col("a").alias("accepted"), F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(f1(p, r), 4).alias("f1"),
+        F.round(ratio(F.col("h"), F.col("all_h")), 4).alias("false_match_rate"), F.round(ratio(F.col("n"), F.col("all_n")), 4).alias("noise_match_rate"),
+    )
+
+
+def safe_pick(sweeps: DataFrame, bounds: tuple[float, ...] = (0.005, 0.05)) -> DataFrame:
+    """The threshold that accepts no noise and, under the tightest bound of false matches that leaves any, has the highest
+    F1, ties to the lower; without any, the highest F1 with the higher threshold, marked unsafe."""
+    key = F.struct("f1", -F.col("tau"))
+    picks = [F.max_by("tau", F.when((F.col("false_match_rate") <= b) & (F.col("noise_match_rate") == 0), key)).alias(f"b{i}") for i, b in enumerate(bounds)]
+    names = [f"b{i}" for i in range(len(bounds))]
+    got = sweeps.agg(*picks, F.max_by("tau", F.struct("f1", "tau")).alias("last"))
+    return got.select(F.coalesce(*names, "last").alias("tau"), F.coalesce(*names).isNotNull().alias("safe"))
+
+
+def grid_pick(grid_: DataFrame, most_false: float) -> DataFrame:
+    """The rule (low, delta) of the highest recall, then precision, then the larger delta, then the higher low, among
+    those whose false_rate is within the bound. grid_: low, delta, accepted, correct, n, false_rate."""
+    p, r = F.round(ratio(F.col("correct"), F.col("accepted")), 4), F.round(ratio(F.col("correct"), F.col("n")), 4)
+    rows = grid_.filter(F.round("false_rate", 4) <= most_false).withColumns({"precision": p, "recall": r})
+    best = F.max_by(F.struct("low", "delta", "precision", "recall"), F.struct("recall", "precision", "delta", "low"))
+    return rows.agg(best.alias("b")).select("b.*")
+
+
+def protocol_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Parameters of a (name, value) that b lacks or gives another value; two result sets compare only without any."""
+    other = b.select(F.col("name").alias("n"), F.col("value").alias("actual"))
+    return a.join(other, a["name"] == other["n"], "left").filter(~F.col("value").eqNullSafe(F.col("actual"))).select("name", F.col("value").alias("expected"), "actual")
+
+
+def end_to_end_summary(rows: DataFrame) -> DataFrame:
+    """Risk accuracy by condition, and on known rows how often the risk is right although the recording is not.
+
+    rows: held_out, right, match_type, risk, true_risk."""
+    ok, wrong = F.col("risk") == F.col("true_risk"), ~F.col("held_out") & ~F.col("right")
+    return rows.groupBy("held_out").agg(
+        F.count("*").alias("n"), F.round(F.avg(ok.cast("double")), 6).alias("accuracy"), F.count_if(F.col("match_type") == "UNKNOWN").alias("unknown"),
+        F.count_if(wrong).alias("failures"), F.round(F.count_if(wrong & ok) / F.greatest(F.count_if(wrong), F.lit(1)), 4).alias("right_by_luck"),
+    )
+
+
 def tightened(old: Column, new: Column, allow_loosening: bool = False) -> Column:
     return new if allow_loosening else F.greatest(old, new)
 

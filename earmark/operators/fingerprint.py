@@ -2,19 +2,22 @@
 
 Candidates come from an inverted-index equi-join on whole hashes. Alignment counts,
 for each offset, item pairs whose hashes differ in at most two bits. That theta join
-is run as an equi-join too: 32 bits are cut into three chunks, and hashes that differ
-in at most two bits agree in one chunk at least, so pairs meet on their chunks and
-are verified by population count; the first agreeing chunk alone reports a pair.
+is run as an equi-join too: 32 bits are cut into five chunks, and hashes that differ
+in at most two bits agree in three of them, so pairs meet on 18 to 20 bits and are
+verified by population count; the first agreeing choice alone reports a pair.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, NOISE_FLOOR, NOISE_MARGIN, Thresholds
 
-CHUNKS = ((0, 11), (11, 11), (22, 10))
+THREE = ((0, 11), (11, 11), (22, 10))
+FIVE = ((0, 7), (7, 7), (14, 6), (20, 6), (26, 6))
 
 
 def min_score(duration: Column, t: Thresholds = DEFAULT) -> Column:
@@ -43,28 +46,36 @@ def candidates(q: DataFrame, r: DataFrame, top: int) -> DataFrame:
     return hash_hits(q, r).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
-def _chunked(df: DataFrame, keys: list[str]) -> DataFrame:
-    parts = [
-        F.struct(F.lit(i).alias("c"), F.shiftright("h", at).bitwiseAND(F.lit((1 << n) - 1)).alias("x"))
-        for i, (at, n) in enumerate(CHUNKS)
-    ]
+def _masks(chunks: tuple, agree: int) -> list[int]:
+    """Bits of each choice of ``agree`` chunks."""
+    return [sum(((1 << n) - 1) << at for at, n in some) for some in combinations(chunks, agree)]
+
+
+def _chunked(df: DataFrame, keys: list[str], masks: list[int]) -> DataFrame:
+    parts = [F.struct(F.lit(i).alias("c"), F.col("h").bitwiseAND(F.lit(m)).alias("x")) for i, m in enumerate(masks)]
     return df.select(*keys, F.explode(F.array(*parts)).alias("k")).select(*keys, "k.c", "k.x")
 
 
 def alignment(q: DataFrame, r: DataFrame, pairs: DataFrame | None = None, max_bits: int = 2) -> DataFrame:
-    """(query_id, doc_id, score): pairs on the best offset over the shorter length; pairs limits what is compared."""
-    a = _chunked(q.select("query_id", F.col("pos").alias("i"), "h"), ["query_id", "i", "h"]).withColumnRenamed("h", "ha")
+    """(query_id, doc_id, score): pairs on the best offset over the shorter length; pairs limits what is compared.
+
+    Of max_bits + 3 chunks, three agree; of max_bits + 1, one does, which is enough where
+    the query is part of the key.
+    """
+    masks = _masks(FIVE, 3) if pairs is None else _masks(THREE, 1)
+    if max_bits > 2:
+        raise ValueError("hashes that differ in more than two bits need more chunks")
+    a = _chunked(q.select("query_id", F.col("pos").alias("i"), "h"), ["query_id", "i", "h"], masks).withColumnRenamed("h", "ha")
     b = r.select("doc_id", F.col("pos").alias("j"), "h")
     if pairs is not None:
         b = b.join(pairs.select("query_id", "doc_id"), "doc_id")
-        b = _chunked(b, ["query_id", "doc_id", "j", "h"])
-        met = b.join(a, ["query_id", "c", "x"])
+        met = _chunked(b, ["query_id", "doc_id", "j", "h"], masks).join(a, ["query_id", "c", "x"])
     else:
-        met = _chunked(b, ["doc_id", "j", "h"]).join(a, ["c", "x"])
+        met = _chunked(b, ["doc_id", "j", "h"], masks).join(a, ["c", "x"])
     differ = F.col("ha").bitwiseXOR(F.col("h"))
-    first = F.lit(len(CHUNKS))
-    for i, (at, n) in reversed(list(enumerate(CHUNKS))):
-        first = F.when(F.shiftright(differ, at).bitwiseAND(F.lit((1 << n) - 1)) == 0, i).otherwise(first)
+    first = F.lit(len(masks))
+    for i, m in reversed(list(enumerate(masks))):
+        first = F.when(differ.bitwiseAND(F.lit(m)) == 0, i).otherwise(first)
     best = (
         met.filter((F.bit_count(differ) <= max_bits) & (F.col("c") == first))
         .groupBy("query_id", "doc_id", (F.col("i") - F.col("j")).alias("off")).count()

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Error codes and their HTTP status.
-HTTP_STATUS = {"INVALID_FORMAT": 400, "FILE_TOO_LARGE": 413, "DURATION_TOO_LONG": 413, "RATE_LIMITED": 429, "NOT_FOUND": 404}
+HTTP_STATUS = {
+    "FILE_TOO_LARGE": 413, "UNSUPPORTED_FORMAT": 415, "RATE_LIMITED": 429, "UNAUTHORIZED": 401, "NO_AUDIO": 422, "NO_MUSIC": 422,
+    "MODEL_FAILURE": 503, "DATABASE_FAILURE": 503, "TIMEOUT": 504, "UNKNOWN_TRACK": 404, "LOW_CONFIDENCE": 422, "INTERNAL_ERROR": 500,
+}
 STEPS = {"QUEUED": 0, "PROCESSING": 1, "DONE": 2, "FAILED": 2}
 
 

@@ -17,11 +17,8 @@ UUID = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 
 
 def classify(match_type: Column, risk: Column, recording_id: Column) -> Column:
-    """Kind of unknown: not identified, identified with unknown rights, or null."""
-    return (
-        F.when(match_type.isin("UNKNOWN", "NO_MATCH", "LICENSE_PREDICTED") | match_type.isNull(), "NOT_IDENTIFIED")
-        .when((risk == "UNKNOWN") & recording_id.isNotNull(), "RIGHTS_UNKNOWN")
-    )
+    """Kind of unknown: not identified, identified with unknown rights, or null (known, or a tier did not run)."""
+    return F.when(match_type == "UNKNOWN", "NOT_IDENTIFIED").when((risk == "UNKNOWN") & recording_id.isNotNull(), "RIGHTS_UNKNOWN")
 
 
 def wanted(kind: str | None = None, status: str | None = None, q: str | None = None, columns: tuple[str, ...] = ("title",)) -> Column:

@@ -93,25 +93,42 @@ def license_valid(start: Column, end: Column, as_of: Column) -> Column:
     return (a.isNull() | (as_of >= a)) & (b.isNull() | (as_of <= b))
 
 
-def rights_confidence(as_of: Column) -> Column:
-    """1 minus penalties, within 0 and 1, 4 digits; 0 without rights (``has_rights``)."""
+def penalties(as_of: Column) -> dict[str, Column]:
+    """When each penalty applies."""
     source = F.upper(F.coalesce("rights_source", F.lit("")))
-    simulated, predicted = source.startswith("SIMULATED"), source.startswith("PREDICTED")
-    unverified = F.col("verified_at").isNull()
-    applied = {
+    simulated, unverified = source.startswith("SIMULATED"), F.col("verified_at").isNull()
+    return {
         "missing_license_type": F.coalesce(F.col("license_type"), F.lit("UNKNOWN")).isin("UNKNOWN", ""),
         "missing_copyright_status": F.coalesce(F.col("copyright_status"), F.lit("")) == "",
+        "predicted_source": source.startswith("PREDICTED"),
         "simulated_source": simulated,
-        "predicted_source": predicted,
         "unverified": unverified,
         "simulated_unverified": unverified & simulated,
         "stale_penalty": F.datediff(as_of, "verified_at") > STALE_DAYS,
         "license_expired": ~license_valid(F.col("valid_from"), F.col("valid_until"), as_of),
     }
-    total = reduce(Column.__add__, [F.when(c, PENALTIES[k]).otherwise(0.0) for k, c in applied.items()])
+
+
+def rights_confidence(as_of: Column) -> Column:
+    """1 minus penalties, within 0 and 1, 4 digits; 0 without rights (``has_rights``)."""
+    total = reduce(Column.__add__, [F.when(c, PENALTIES[k]).otherwise(0.0) for k, c in penalties(as_of).items()])
     return F.when(F.col("has_rights"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - total)), 4)).otherwise(0.0)
 
 
+def confidence_breakdown(as_of: Column) -> Column:
+    """struct(base, penalties: codes and amounts in order, final, formula) of rights confidence."""
+    row = "struct<code:string,amount:double>"
+    said = [F.when(c, F.struct(F.lit(k).alias("code"), F.lit(PENALTIES[k]).alias("amount"))) for k, c in penalties(as_of).items()]
+    listed = F.when(F.col("has_rights"), F.array_compact(F.array(*said))).otherwise(F.array().cast(f"array<{row}>"))
+    final = rights_confidence(as_of)
+    digits = lambda x: F.format_string("%.2f", x)
+    terms = F.array_join(F.transform(listed, lambda p: F.concat(F.lit(" − "), digits(p["amount"]), F.lit(" ("), p["code"], F.lit(")"))), "")
+    raw = 1.0 - F.aggregate(listed, F.lit(0.0), lambda a, p: a + p["amount"])
+    held = F.when((raw < -1e-9) | (raw > 1 + 1e-9), " (kẹp về khoảng [0, 1])").otherwise("")
+    formula = F.when(F.col("has_rights"), F.concat(F.lit("1.00"), terms, F.lit(" = "), digits(final), held)).otherwise("không có dữ liệu quyền -> 0.00")
+    return F.struct(F.lit(1.0).alias("base"), listed.alias("penalties"), final.alias("final"), formula.alias("formula"))
+
+
 def identity_floor(t: Thresholds = DEFAULT) -> Column:
     kind = F.col("match_type")
     return (
@@ -123,38 +140,73 @@ def identity_floor(t: Thresholds = DEFAULT) -> Column:
     )
 
 
-def decide(confidence: Column, t: Thresholds = DEFAULT) -> Column:
-    """struct(category, risk, condition, rule_id, provisional, decision_confidence) of a row of facts."""
+OUTCOME = ("category", "risk", "condition", "rule_id")
+
 
-    def out(category: str, risk: str, condition: str, rule: str) -> Column:
-        return F.struct(*[F.lit(x).alias(n) for x, n in zip((category, risk, condition, rule), ("category", "risk", "condition", "rule_id"))])
+def outcomes() -> list[tuple[str, str, str, str]]:
+    """Everything that can be decided: gates, then rules and the default of each group, then no group."""
+    out = [
+        ("USER_GENERATED_CONTENT", "LOW", "MONETIZABLE_UNTIL_RETROACTIVE_CLAIM", "gate.no_match"),
+        ("UNCATEGORIZED", *REVIEW, "gate.low_confidence"), ("UNCATEGORIZED", *REVIEW, "gate.missing_rights"),
+    ]
+    for name, _, rules in GROUPS:
+        out += [(name, risk, condition, f"{name}.rule[{i}]") for i, (_, risk, condition) in enumerate(rules)]
+        out.append((name, *REVIEW, f"{name}.default"))
+    return [*out, ("UNCATEGORIZED", "UNKNOWN", "UNCATEGORIZED", "uncategorized")]
 
-    chosen = out("UNCATEGORIZED", "UNKNOWN", "UNCATEGORIZED", "uncategorized")
+
+def decide(confidence: Column, t: Thresholds = DEFAULT) -> Column:
+    """struct(category, risk, condition, rule_id, provisional, decision_confidence) of a row of facts.
+
+    Rules give the number of an outcome, which is looked up once, so the generated code stays small.
+    """
+    table = outcomes()
+    number = {row[3]: i for i, row in enumerate(table)}
+    chosen = F.lit(number["uncategorized"])
     for name, match, rules in reversed(GROUPS):
-        inner = out(name, *REVIEW, f"{name}.default")
-        for i, (when, risk, condition) in reversed(list(enumerate(rules))):
-            inner = F.when(all_hold(when), out(name, risk, condition, f"{name}.rule[{i}]")).otherwise(inner)
-        hit = reduce(Column.__or__, [equals_any(f, v) for f, v in match.items()])
-        chosen = F.when(hit, inner).otherwise(chosen)
+        inner = F.lit(number[f"{name}.default"])
+        for i, (when, _, _) in reversed(list(enumerate(rules))):
+            inner = F.when(all_hold(when), number[f"{name}.rule[{i}]"]).otherwise(inner)
+        chosen = F.when(reduce(Column.__or__, [equals_any(f, v) for f, v in match.items()]), inner).otherwise(chosen)
     none = F.col("match_type").isNull() | (F.col("match_type") == "NO_MATCH")
-    weak = (F.col("match_type") == "UNKNOWN") | (F.coalesce("identity_confidence", F.lit(0.0)) < identity_floor(t))
+    identity = F.coalesce("identity_confidence", F.lit(0.0))
+    weak = (F.col("match_type") == "UNKNOWN") | (identity < identity_floor(t))
     has = F.col("has_rights")
-    first = (
-        F.when(none & ~has, out("USER_GENERATED_CONTENT", "LOW", "MONETIZABLE_UNTIL_RETROACTIVE_CLAIM", "gate.no_match"))
-        .when(weak, out("UNCATEGORIZED", *REVIEW, "gate.low_confidence"))
-        .when(~has, out("UNCATEGORIZED", *REVIEW, "gate.missing_rights"))
-        .otherwise(chosen)
-    )
-    gated = (first["risk"] != "UNKNOWN") & has & (confidence < t.rights_gate)
-    risk = F.when(gated, "UNKNOWN").otherwise(first["risk"])
-    sure = F.when(risk == "UNKNOWN", 0.0).when(has, F.least(F.coalesce("identity_confidence", F.lit(0.0)), confidence)).otherwise(
-        F.coalesce("identity_confidence", F.lit(0.0))
-    )
-    return F.struct(
-        first["category"].alias("category"), risk.alias("risk"),
-        F.when(gated, "HUMAN_REVIEW_REQUIRED").otherwise(first["condition"]).alias("condition"),
-        first["rule_id"].alias("rule_id"), F.when(gated, first["risk"]).alias("provisional"), F.round(sure, 4).alias("decision_confidence"),
-    )
+    pick = F.when(none & ~has, number["gate.no_match"]).when(weak, number["gate.low_confidence"]).when(~has, number["gate.missing_rights"]).otherwise(chosen)
+    rows = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(row, OUTCOME)]) for row in table])
+
+    def told(first: Column) -> Column:
+        gated = (first["risk"] != "UNKNOWN") & has & (confidence < t.rights_gate)
+        risk = F.when(gated, "UNKNOWN").otherwise(first["risk"])
+        sure = F.when(risk == "UNKNOWN", 0.0).when(has, F.least(identity, confidence)).otherwise(identity)
+        return F.struct(
+            first["category"].alias("category"), risk.alias("risk"),
+            F.when(gated, "HUMAN_REVIEW_REQUIRED").otherwise(first["condition"]).alias("condition"),
+            first["rule_id"].alias("rule_id"), F.when(gated, first["risk"]).alias("provisional"), F.round(sure, 4).alias("decision_confidence"),
+        )
+
+    return F.transform(F.array(F.get(rows, pick)), told)[0]
+
+
+def load_groups(path: str) -> tuple:
+    """Rule groups from a JSON or YAML file, by their ``order``; the shape of ``GROUPS``.
+
+    The file holds ``groups``, each with order, name, match and rules, and each rule with
+    when, risk and condition; a missing key is an error.
+    """
+    with open(path, encoding="utf-8") as f:
+        if path.endswith(".json"):
+            import json
+
+            told = json.load(f)
+        else:
+            import yaml
+
+            told = yaml.safe_load(f)
+    listed = lambda v: tuple(v) if isinstance(v, list) else (v,)
+    fields = lambda d: {k: listed(v) for k, v in d.items()}
+    groups = sorted(told["groups"], key=lambda g: g["order"])
+    return tuple((g["name"], fields(g["match"]), tuple((fields(r["when"]), r["risk"], r["condition"]) for r in g["rules"])) for g in groups)
 
 
 def recommendation(condition: Column) -> Column:

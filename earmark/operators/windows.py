@@ -16,21 +16,24 @@ def plan_windows(duration: Column, window: float = 30.0, most: int = 8) -> Colum
     n = F.least(F.lit(most), F.greatest(F.lit(2), F.ceil(duration / window).cast("int")))
     tail = duration - window
     spread = F.transform(F.sequence(F.lit(0), n - 1), lambda i: cents(i * tail / (n - 1)))
-    return F.when(duration <= window, F.array(F.lit(0.0))).otherwise(spread)
+    return F.when((duration <= window) | F.lit(most <= 1), F.array(F.lit(0.0))).otherwise(spread)
 
 
 def plan_segments(duration: Column, window: float = 15.0, hop: float = 10.0, most: int = 12) -> Column:
-    """Feature segments: none below a second, one up to the window, a grid of hops, else evenly spaced."""
+    """(start, end) of feature segments: none below a second, one up to the window, a grid of hops, else evenly spaced."""
     tail = duration - window
-    grid = F.floor(tail / hop).cast("int") + 1
+    grid = F.floor(tail / hop + 1e-9).cast("int") + 1
     even = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: cents(i * tail / (most - 1)))
     hops = F.transform(F.sequence(F.lit(0), grid - 1), lambda i: F.round(i * F.lit(hop), 2))
-    return (
-        F.when(duration < 1, F.array().cast("array<double>"))
-        .when(duration <= window, F.array(F.lit(0.0)))
-        .when(grid <= most, hops)
-        .otherwise(even)
-    )
+    starts = F.when(duration <= window, F.array(F.lit(0.0))).when(grid <= most, hops).otherwise(even)
+    spans = F.transform(starts, lambda s: F.struct(s.alias("start"), cents(F.least(s + window, duration)).alias("end")))
+    return F.when(duration < 1, F.array().cast("array<struct<start:double,end:double>>")).otherwise(spans)
+
+
+def index_segments(duration: Column, window: float = 15.0, hop: float = 10.0) -> Column:
+    """(start, end) of the segments an index is built from: whole windows, or the whole of a file shorter than one."""
+    short = F.array(F.struct(F.lit(0.0).alias("start"), duration.cast("double").alias("end")))
+    return F.when(duration <= 1, F.array().cast("array<struct<start:double,end:double>>")).when(duration < window, short).otherwise(evaluation_windows(duration, hop, window))
 
 
 def evaluation_windows(duration: Column, hop: float = 10.0, window: float = 15.0) -> Column:
@@ -44,16 +47,20 @@ def evaluation_windows(duration: Column, hop: float = 10.0, window: float = 15.0
 PRIORITY = {"EXACT_MATCH": 3, "COVER_MATCH": 2, "NEAR_MATCH": 1}
 
 
+def scanned(windows: DataFrame, key: str) -> DataFrame:
+    """Windows up to the first exact match of their key; those after it were never scanned."""
+    exact = F.min(F.when(F.col("match_type") == "EXACT_MATCH", F.col("window_idx"))).over(Window.partitionBy(key))
+    return windows.withColumn("__stop", exact).filter("__stop is null or window_idx <= __stop").drop("__stop")
+
+
 def best_window(windows: DataFrame, key: str) -> DataFrame:
-    """One window a key: those after the first exact match were never scanned; highest confidence among matches, then
-    kind of match; without any match the highest score; the earliest wins ties."""
-    stop = Window.partitionBy(key)
-    seen = windows.withColumn("__stop", F.min(F.when(F.col("match_type") == "EXACT_MATCH", F.col("window_idx"))).over(stop))
-    seen = seen.filter(F.col("__stop").isNull() | (F.col("window_idx") <= F.col("__stop")))
+    """One window a key among those scanned: highest confidence among matches, then kind of match; without any match
+    the highest score; the earliest wins ties."""
+    seen = scanned(windows, key)
     kind = F.coalesce(*[F.when(F.col("match_type") == k, p) for k, p in PRIORITY.items()], F.lit(0))
     w = Window.partitionBy(key).orderBy(F.desc(kind > 0), F.desc("score"), F.desc(kind), "window_idx")
     ranked = seen.withColumn("__r", F.row_number().over(w)).withColumn("scanned", F.count("*").over(Window.partitionBy(key)))
-    return ranked.filter("__r = 1").drop("__r", "__stop")
+    return ranked.filter("__r = 1").drop("__r")
 
 
 def overlap_share(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
@@ -61,6 +68,30 @@ def overlap_share(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(e1, e2) - F.greatest(s1, s2)) / F.least(e1 - s1, e2 - s2)
 
 
+#: Where queries are cut, and what transformations do to time and pitch.
+CROP_START = 30.0
+TEMPO_FACTORS = {"tempo_0_90": 0.90, "tempo_0_95": 0.95, "tempo_1_05": 1.05, "tempo_1_10": 1.10}
+PITCH_STEPS = {"pitch_plus_1": 1, "pitch_plus_2": 2, "pitch_minus_1": -1, "pitch_minus_2": -2}
+
+
+def query_axis(transformation: Column, crop: Column, tempo: Column, pitch: Column) -> tuple[Column, Column, Column]:
+    """(crop start, tempo factor, pitch steps) of a query: the manifest's texts where they are numbers (the factor above 0),
+    else those of the transformation. A query's time t is start + t * factor in its source."""
+
+    def known(values: dict, default):
+        out = F.lit(default)
+        for k, v in values.items():
+            out = F.when(transformation == k, v).otherwise(out)
+        return out
+
+    factor = tempo.try_cast("double")
+    return (
+        F.coalesce(crop.try_cast("double"), F.lit(CROP_START)),
+        F.coalesce(F.when(factor > 0, factor), known(TEMPO_FACTORS, 1.0)),
+        F.coalesce(pitch.try_cast("int"), known(PITCH_STEPS, 0)),
+    )
+
+
 def query_spans(base: float, factors: tuple[float, ...]) -> Column:
     return F.array(*[F.struct(F.lit(f).alias("factor"), F.lit(base / f).alias("seconds")) for f in factors])
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import evaluation, registry, rights, similarity
+from . import analysis, evaluation, registry, rights, similarity
 
-MODULES = (similarity, rights, registry, evaluation)
+MODULES = (similarity, rights, registry, evaluation, analysis)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}

@@ -119,17 +119,11 @@ def codec_decode(spark, d):
     return x.select("query_id", F.size("got").alias("n"), (F.col("got") == F.col("items")).alias("same"), fingerprint.plausible(F.size("got"), F.size("got") / 7.5).alias("plausible"))
 
 
-def production_features(spark, d):
-    x = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))
-    p = audio_features.production(x, "x", 160)
-    score, label = audio_features.polish(F.col("crest_db"), F.col("rms_db"), F.col("dynamics_db"))
-    return p.select("id", F.round("crest_db", 4).alias("crest_db"), F.round("rms_db", 4).alias("rms_db"), F.round("dynamics_db", 4).alias("dynamics_db"), "clip_ratio", score.alias("polish"), label.alias("label"))
-
-
 def pooling_compare(spark, d):
     f = A.table(spark, d, "embeddings").select((F.col("vec_id") % 100).alias("k"), F.col("embedding").alias("v"))
     p = audio_features.pooled(f, "k")
-    return p.select("k", F.size("mean").alias("w"), F.size("mean_std").alias("w2"), F.round(F.get("mean", F.lit(0)), 5).alias("m0"), F.round(F.get("mean_std", F.lit(64)), 5).alias("s0"))
+    x = p.select("k", F.posexplode("mean_std").alias("i", "x"))
+    return x.select("k", "i", F.round("x", 5).alias("x"))
 
 
 def license_classifier_cv(spark, d):
@@ -171,7 +165,7 @@ def fp_variants_accepted(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     eval_error_breakdown, eval_distribution, eval_window_summary, eval_best_relevant, fp_variants_accepted, eval_threshold_sweep, eval_calibrated_threshold, eval_five_systems, eval_by_transformation, eval_robustness_families, eval_union_recall, eval_confusion_matrix,
-    eval_class_report, eval_overall, eval_slices, eval_latency_percentiles, eval_label_spread, eval_same_queries, codec_decode, production_features, pooling_compare, license_classifier_cv,
+    eval_class_report, eval_overall, eval_slices, eval_latency_percentiles, eval_label_spread, eval_same_queries, codec_decode, pooling_compare, license_classifier_cv,
 )}
 
 from .similarity import _SWEEP  # noqa: E402
@@ -207,5 +201,6 @@ select count(*) as n, round(avg(a::double), 6) as recall_a, round(avg(b::double)
     "eval_latency_percentiles": "select l_returnflag, count(*) as n, round(avg(x), 4) as mean, round(quantile_cont(x, 0.5), 4) as p50, round(quantile_cont(x, 0.95), 4) as p95, round(max(x), 4) as max from (select l_returnflag, l_extendedprice::double / 10 as x from lineitem) group by 1",
     "eval_label_spread": "select count(*) as n, round(avg(case when k > 1 then 1.0::double else 0 end), 6) as share from (select o_custkey, count(distinct o_orderpriority) as k from orders group by 1)",
     "eval_same_queries": "select (select count(*) from (select distinct l_orderkey from lineitem except all select o_orderkey from orders)) as only_a, (select count(*) from (select o_orderkey from orders except all select distinct l_orderkey from lineitem)) as only_b",
-    "pooling_compare": "select vec_id % 100 as k, 64 as w, 128 as w2, round(avg(embedding[1]::double), 5) as m0, round(coalesce(stddev_samp(embedding[1]::double), 0), 5) as s0 from embeddings group by 1",
+    "pooling_compare": """with e as (select vec_id % 100 as k, i, embedding[i]::double as x from embeddings, (select unnest(generate_series(1, 64)) as i))
+select k, (i - 1)::int as i, round(avg(x), 5) as x from e group by all union all select k, (i + 63)::int, round(coalesce(stddev_samp(x), 0), 5) from e group by k, i""",
 }

@@ -112,7 +112,7 @@ def job_history(spark, d):
 
 
 def job_errors(spark, d):
-    code = F.get(F.array(*[F.lit(x) for x in ("INVALID_FORMAT", "FILE_TOO_LARGE", "RATE_LIMITED", "OTHER")]), F.pmod("o_orderkey", F.lit(4)).cast("int"))
+    code = F.get(F.array(*[F.lit(x) for x in (*jobs.HTTP_STATUS, "OTHER")]), F.pmod("o_orderkey", F.lit(13)).cast("int"))
     return A.table(spark, d, "orders").groupBy(jobs.http_status(code).alias("http")).agg(F.count("*").alias("n"))
 
 
@@ -162,7 +162,7 @@ def etl_uuid5(spark, d):
 
 
 def test_plan_cross(spark, d):
-    return etl.query_plan(A.recordings(spark, d), 100)
+    return etl.query_plan(A.recordings(spark, d), A.segments(spark, d), 50, 25)
 
 
 def quality_suite(spark, d):
@@ -199,7 +199,7 @@ QUERIES = {f.__name__: f for f in (
     registry_upsert_batch, unknown_classification, rate_limit_events, novelty_filter, job_latest_state, job_history, job_errors,
     etl_merge_sources, etl_relabel, etl_stratified_sample, etl_capped, etl_last_row_wins, etl_uuid5, test_plan_cross, quality_suite,
 )}
-_T = etl.TRANSFORMATIONS
+_T = ", ".join("(" + ", ".join("null" if x is None else repr(x) for x in row) + ")" for row in (*etl.TRANSFORMATIONS, etl.OUTSIDE))
 ORACLE = {
     "registry_list_page": f"with {_E} select unknown_id, kind, sighting_count, last_seen_at, label from e where kind = 'NOT_IDENTIFIED' and review_status = 'PENDING' and (contains(lower(coalesce(title, '')), 'brand') or contains(lower(coalesce(artist, '')), 'brand') or contains(lower(label), 'brand')) order by sighting_count desc, last_seen_at desc, unknown_id limit 20 offset 5",
     "registry_entry_detail": f"with {_S} select unknown_id, sighting_id, row_number() over (partition by unknown_id order by seen_at desc, sighting_id desc)::int as place from s qualify place <= 50",
@@ -209,10 +209,10 @@ ORACLE = {
     "registry_top_resighted": f"with {_E} select unknown_id, sighting_count from e where sighting_count > 1 order by sighting_count desc, last_seen_at desc, unknown_id limit 5",
     "registry_job_rate": "with t as (select min(o_orderdate) as t0 from orders where o_orderkey in (select event_id from events)), a as (select count(*) as done from orders, t where o_orderdate >= t0 and o_orderstatus = 'F'), b as (select count(distinct user_id) as registered from events) select done, registered, case when done > 0 then round(registered / done::double, 6) end as rate from a, b",
     "registry_upsert_batch": f"with {_E} select unknown_id, first_seen_at, last_seen_at, sighting_count, last_platform from e",
-    "unknown_classification": "select case when l_partkey % 4 <> 0 then 'NOT_IDENTIFIED' when l_returnflag = 'R' and l_linenumber > 1 then 'RIGHTS_UNKNOWN' else 'none' end as kind, count(*) as n from lineitem group by 1",
+    "unknown_classification": "select case when l_partkey % 4 = 1 then 'NOT_IDENTIFIED' when l_returnflag = 'R' and l_linenumber > 1 then 'RIGHTS_UNKNOWN' else 'none' end as kind, count(*) as n from lineitem group by 1",
     "job_latest_state": "select conv_id as job_id, case max(least(turn, 2)) when 0 then 'QUEUED' when 1 then 'PROCESSING' else 'DONE' end as status, max(turn) as updated_at, count(*) as n_events from conversations group by 1",
     "job_history": "with o as (select o_orderkey % 200 as job_id, o_orderkey as at_, o_orderpriority as risk from orders), l as (select * from o qualify row_number() over (partition by job_id order by at_ desc) = 1), t as (select * from l order by at_ desc, job_id limit 50) select job_id, at_ as at, risk from t where risk = '1-URGENT'",
-    "job_errors": "select case o_orderkey % 4 when 0 then 400 when 1 then 413 when 2 then 429 else 500 end as http, count(*) as n from orders group by 1",
+    "job_errors": "select [413, 415, 429, 401, 422, 422, 503, 503, 504, 404, 422, 500, 500][o_orderkey % 13 + 1] as http, count(*) as n from orders group by 1",
     "etl_merge_sources": """with n as (select count(*) as n from part), u as (
 select p_partkey % (n // 2 + 1) as key, p_name as title, p_brand as artist, null::int as year, 'a' as source, 0 as p, p_partkey as r from part, n where p_partkey % 3 = 0
 union all select p_partkey % (n // 3 + 1), p_name, p_brand, p_size, 'b', 1, p_partkey from part, n where p_partkey % 3 = 1 union all select p_partkey % (n // 4 + 1), p_name, p_brand, null, 'c', 2, p_partkey from part, n where p_partkey % 3 = 2),
@@ -222,7 +222,22 @@ select new as source, source is distinct from new as changed, count(*) as n from
     "etl_stratified_sample": "with r as (select p_partkey, p_brand, row_number() over (partition by p_brand order by md5('s:' || p_partkey), p_partkey)::int as turn, count(*) over (partition by p_brand) as size from part) select p_partkey, p_brand, turn from r order by turn, size desc, p_brand, p_partkey limit 100",
     "etl_capped": "with f as (select l_returnflag, l_suppkey, min(l_orderkey) as f from lineitem group by all), k as (select * from f qualify row_number() over (partition by l_returnflag order by f, l_suppkey) <= 5) select l_returnflag, count(*) as n, count(distinct l_suppkey) as items from lineitem join k using (l_returnflag, l_suppkey) group by 1",
     "etl_last_row_wins": "select o_custkey, o_orderkey, o_orderstatus from orders qualify row_number() over (partition by o_custkey order by o_orderkey desc) = 1",
-    "test_plan_cross": "with p as (select p_partkey from part order by p_partkey limit 100), t as (select unnest(['" + "', '".join(_T) + "']) as transformation) select p_partkey as recording_id, transformation, case when regexp_matches(transformation, '^(original|crop|mp3|gain)') then 'EXACT_MATCH' else 'NEAR_MATCH' end as expected from p, t union all select -p_partkey, 'out_of_database', 'UNKNOWN' from p",
+    "test_plan_cross": f"""with r as (select p_partkey as recording_id, p_type as composition_id, p_partkey in (select vec_id // 2 from embeddings) as has from part), k as (select * from r order by has desc, recording_id limit 50),
+u as (select * from r where not has order by recording_id desc limit 25), t(transformation, snr, pitch_shift, tempo_factor, codec, bitrate, segment_start, duration, expected_match_type) as (values {_T})
+select k.recording_id, k.composition_id, transformation, snr::double as snr, pitch_shift::double as pitch_shift, tempo_factor::double as tempo_factor, codec, bitrate, segment_start::double as segment_start, duration::double as duration, expected_match_type from k, t where transformation <> 'out_of_database'
+union all select u.recording_id, u.composition_id, transformation, snr::double, pitch_shift::double, tempo_factor::double, codec, bitrate, segment_start::double, duration::double, expected_match_type from u, t where transformation = 'out_of_database'""",
+    "etl_uuid5": """with h as (select s_suppkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(s_name)) as h from supplier)
+select s_suppkey, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || printf('%02x', ((('0x' || h[17:18])::int & 63) | 128)) || h[19:20] || '-' || h[21:32] as uuid from h""",
+    "rate_limit_events": """with recursive e as (select event_id, user_id % 20 as key, epoch_us(ts) as t, row_number() over (partition by user_id % 20 order by ts, event_id) as r from events),
+f as (select event_id, key, r, true as admitted, 0::bigint as retry_after, [t] as recent from e where r = 1
+union all select event_id, key, r, len(kept) < 10, case when len(kept) < 10 then 0 else greatest(1, ceil(86400 - (t - kept[1]) / 1e6)::bigint) end, case when len(kept) < 10 then list_append(kept, t) else kept end
+    from (select e.*, list_filter(f.recent, lambda x: x > e.t - 86400000000) as kept from f join e on e.key = f.key and e.r = f.r + 1))
+select event_id, key, admitted, retry_after from f""",
+    "novelty_filter": """with recursive e as (select vec_id % 25 as entry, vec_id, embedding::double[] as v, row_number() over (partition by vec_id % 25 order by vec_id) as r from embeddings),
+f as (select entry, vec_id, r, true as kept, [v] as all_ from e where r = 1
+union all select entry, vec_id, r, ok, case when ok then list_append(all_, v) else all_ end
+    from (select e.*, f.all_, len(f.all_) < 8 and list_max(list_transform(f.all_, lambda x: list_dot_product(x, e.v))) < 0.25 as ok from f join e on e.entry = f.entry and e.r = f.r + 1))
+select entry, vec_id from f where kept""",
     "quality_suite": " union all ".join([
         _check_sql("fk_lineitem_orders", "FAIL", "select 1 from lineitem where l_orderkey not in (select o_orderkey from orders)", "lines without an order"),
         _check_sql("fk_lineitem_part", "FAIL", "select 1 from lineitem where l_partkey not in (select p_partkey from part)", "lines without a part"),

@@ -121,7 +121,7 @@ def window_plan(spark, d):
 
 def segment_plan(spark, d):
     x = A.table(spark, d, "orders").select("o_orderkey", windows.cents(F.col("o_totalprice") / 2000).alias("duration"))
-    return x.select("o_orderkey", F.posexplode(windows.plan_segments(F.col("duration"))).alias("idx", "start"))
+    return x.select("o_orderkey", F.posexplode(windows.plan_segments(F.col("duration"))).alias("idx", "s")).select("o_orderkey", "idx", "s.start", F.round("s.end", 2).alias("end"))
 
 
 def evaluation_windows(spark, d):
@@ -287,9 +287,10 @@ select query_id, matched, match_type, ic as identity_confidence, rc as rights_co
 select recording_id, code, commercial, case when starts_with(code, 'by') then 'https://creativecommons.org/licenses/' || code || '/4.0/' end as url, commercial is null or commercial = commercial_use_allowed as agrees from sim left join lic using (license_type)""",
     "window_plan": """with x as (select o_orderkey, floor(o_totalprice / 1000 * 100 + 0.5) / 100 as duration from orders), n as (select *, case when duration <= 30 then 1 else least(8, greatest(2, ceil(duration / 30)::int)) end as n from x)
 select o_orderkey, duration, idx::int as idx, case when n = 1 then 0::double else floor(idx * (duration - 30) / (n - 1) * 100 + 0.5) / 100 end as start from n, unnest(generate_series(0, n - 1)) t(idx)""",
-    "segment_plan": """with x as (select o_orderkey, floor(o_totalprice / 2000 * 100 + 0.5) / 100 as duration from orders), g as (select *, floor((duration - 15) / 10)::int + 1 as g from x where duration >= 1),
-n as (select *, case when duration <= 15 then 1 when g <= 12 then g else 12 end as n from g)
-select o_orderkey, idx::int as idx, case when duration <= 15 then 0::double when g <= 12 then idx * 10::double else floor(idx * (duration - 15) / 11 * 100 + 0.5) / 100 end as start from n, unnest(generate_series(0, n - 1)) t(idx)""",
+    "segment_plan": """with x as (select o_orderkey, floor(o_totalprice / 2000 * 100 + 0.5) / 100 as duration from orders), g as (select *, floor((duration - 15) / 10 + 1e-9)::int + 1 as g from x where duration >= 1),
+n as (select *, case when duration <= 15 then 1 when g <= 12 then g else 12 end as n from g),
+s as (select o_orderkey, duration, idx::int as idx, case when duration <= 15 then 0::double when g <= 12 then idx * 10::double else floor(idx * (duration - 15) / 11 * 100 + 0.5) / 100 end as start from n, unnest(generate_series(0, n - 1)) t(idx))
+select o_orderkey, idx, start, round(least(start + 15, duration), 2) as "end" from s""",
     "evaluation_windows": """with x as (select o_orderkey, floor(o_totalprice / 2000 * 100 + 0.5) / 100 as duration from orders) select o_orderkey, i * 10::double as start, i * 10::double + 15 as "end" from x, unnest(generate_series(0, floor((duration - 15) / 10)::int)) t(i) where duration >= 15""",
     "window_best_pick": """with g as (select l_orderkey as job, l_linenumber as window_idx, max((l_quantity, l_returnflag)) as m from lineitem group by all),
 w as (select job, window_idx, m[1] as q, case when m[1] >= 48 then 'EXACT_MATCH' when m[2] = 'R' then 'NEAR_MATCH' when m[2] = 'A' then 'COVER_MATCH' else 'UNKNOWN' end as match_type from g),

@@ -118,7 +118,7 @@ def vec_target_pick(spark, d):
 
 def recording_mean_vectors(spark, d):
     m = vectors.mean_vectors(A.segments(spark, d), "recording_id")
-    return m.select("recording_id", F.size("v").alias("width"), *[F.round(F.get("v", F.lit(i)), 5).alias(f"v{i}") for i in (0, 31, 63)])
+    return m.select("recording_id", F.posexplode("v").alias("i", "x")).select("recording_id", "i", F.round("x", 5).alias("x"))
 
 
 PITCHES, FRAMES = 12, 5
@@ -301,7 +301,7 @@ s as (select same, count(*) as n, round(avg(score), 5) as mean, round(stddev_pop
     "vec_target_pick": _UNK + " select (select tau from sweep where fpr <= 0.05 order by recall desc, tau limit 1) as tau",
     "recording_mean_vectors": f"""with {A.SQL_SEG}, e as (select recording_id, i, avg(v[i]) as x from seg, (select unnest(generate_series(1, 64)) as i) group by all),
 n as (select recording_id, sqrt(sum(x * x)) as n from e group by recording_id), u as (select recording_id, i, x / n as x from e join n using (recording_id))
-select recording_id, count(*)::int as width, round(max(case when i = 1 then x end), 5) as v0, round(max(case when i = 32 then x end), 5) as v31, round(max(case when i = 64 then x end), 5) as v63 from u group by recording_id""",
+select recording_id, (i - 1)::int as i, round(x, 5) as x from u""",
     "cover_rotation_best": _COVER + f"""select query_id, vec_id, oti::int as oti, score, "rank", case when {_SHIFT} = 0 then 'same key' when {_SHIFT} = 6 then 'tritone'
     when {_SHIFT} > 0 then '+' || {_SHIFT} || ' semitones' else {_SHIFT} || ' semitones' end as shift from top where "rank" <= 5""",
     "cover_margin_top2": _TWO + " select query_id, s1, s2, round(s1 - s2, 6) as margin, s1 >= 0.55 or (s1 >= 0.45 and s1 - s2 >= 0.02) as accepted from two",
