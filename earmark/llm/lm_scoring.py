@@ -235,7 +235,7 @@ def deal(docs: DataFrame, batch_tokens: int) -> DataFrame:
                 try:
                     x = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
                 except KeyError:
-                    if len(known) > 1_000_000:
+                    if len(known) > 400_000:
                         known.clear()
                     for t in tokens:
                         if t not in known:
@@ -406,13 +406,14 @@ def _read(facts: Facts, kept: list[int]):
         for row in _each(frames):
             keys, refs, sizes, _ = _batch(row)
             h, v, w, at = pairs_of(keys, refs, sizes)
-            n, c = _joined(row["told"], "n").astype(np.int64), _joined(row["told"], "c").astype(np.int64)
+            told = {k: [x for x in row["told"] if x["sweep"] == k] for k in (-1, kept[0] - 1, *kept)}
+            n, c = _joined(told[-1], "n").astype(np.int64), _joined(told[-1], "c").astype(np.int64)
             follow = n.copy()  # each token of a word is followed by one, each text begins once
             follow[np.searchsorted(keys, START)] = n[np.searchsorted(keys, END)]
-            p, before = np.zeros(len(h)), facts.parent(kept[0] - 1, row[f"s{kept[0] - 1}"])
+            p, before = np.zeros(len(h)), facts.parent(kept[0] - 1, told[kept[0] - 1])
             for sweep in kept:
                 t = facts.draw(c, v, w, h, sweep, before)
-                before = tables, parent = facts.parent(sweep, row[f"s{sweep}"])
+                before = tables, parent = facts.parent(sweep, told[sweep])
                 p += (c - facts.discount * t + (facts.strength + facts.discount * tables[v]) * parent[w]) / (facts.strength + follow[v])
             logp = np.log10(p / len(kept))[at]
             base = np.log10((n + 1) / (facts.total + facts.kinds + 1))[refs]
@@ -426,7 +427,7 @@ def _read(facts: Facts, kept: list[int]):
 
 
 def score(
-    docs: DataFrame, train: Column, *, batch_tokens: int = 1_500_000, part_chars: int = 16_000_000, burn: int = 2, keep: int = 2, strength: float = 1.0
+    docs: DataFrame, train: Column, *, batch_tokens: int = 700_000, part_chars: int = 16_000_000, burn: int = 2, keep: int = 2, strength: float = 1.0
 ) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score and score for each row of (doc_id, text)."""
     mine = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
@@ -453,10 +454,13 @@ def score(
         if not sweep:
             facts.parent_discount = discount(x)
     drop(state)
-    ready = batches.join(_gathered(told, "told", "n", "c"), "batch")
+    none = F.lit(None).cast("binary")
+    every = told.select("batch", F.lit(-1).alias("sweep"), "part", "n", "c", *[none.alias(x) for x in ("tables", "customers", "seats")])
     for sweep in range(burn, burn + keep + 1):
-        ready = ready.join(_gathered(seats[sweep], f"s{sweep}", "tables", "customers", "seats"), "batch")
-    scored = ready.mapInArrow(_read(facts, kept), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+        every = every.union(seats[sweep].select("batch", F.lit(sweep), "part", none, none, "tables", "customers", "seats"))
+    one = F.struct("sweep", "part", "n", "c", "tables", "customers", "seats")
+    answers = every.filter("batch >= 0").groupBy("batch").agg(F.sort_array(F.collect_list(one)).alias("told"))
+    scored = batches.join(answers, "batch").mapInArrow(_read(facts, kept), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(facts.total).cast("long"))
 
 
