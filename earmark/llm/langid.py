@@ -78,7 +78,7 @@ def grams(texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def train(
     texts: list[str], langs: list[str], *, width: int = 16, rounds: int = 3, batch: int = 128,
-    rate: float = 0.5, precision: float = 0.99, seed: int = 7,
+    rate: float = 0.5, precision: float = 0.99, seed: int = 7, most_pieces: int = 10,
 ) -> tuple[list[str], np.ndarray, float, float]:
     """(languages, score of each bucket by language, temperature, rejection bound)."""
     names = sorted(set(langs))
@@ -88,8 +88,9 @@ def train(
     pieces, labels, test = [], [], []
     for t, v, h in zip(texts, langs, held):
         words = t.split()
-        for n in (2, 8, 40):
-            for i in range(0, min(len(words), 10 * n), n):
+        for n in (2, 8, 40):  # runs of n words, at most most_pieces of them, spread over the whole text
+            starts = range(0, len(words), n)
+            for i in starts[:: -(-len(starts) // most_pieces)] if words else ():
                 pieces.append(" ".join(words[i : i + n]))
                 labels.append(place[v])
                 test.append(h)
@@ -153,16 +154,23 @@ def train(
     return names, table.astype(np.float32), heat, bound
 
 
-def sample(docs: DataFrame, rows: int, chars: int) -> tuple[list[str], list[str]]:
-    """Texts and languages of about rows labelled documents, the same number of each language."""
+def sample(docs: DataFrame, rows: int, chars: int, most_langs: int = 1000) -> tuple[list[str], list[str]]:
+    """Texts and languages of about rows labelled documents, the same number of each language, at most twice as many.
+
+    Of a text of more than ``chars`` characters a run of that length is taken, at a place drawn by hash. Beyond
+    ``most_langs`` languages the commonest are learned, ties by name.
+    """
     known = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(10_000).collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
     if not counts:
         return [], []
     each = max(1, rows // len(counts))
     share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, each / n))])
     place = F.crc32(F.concat(F.lit("lang:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) / float(1 << 32)
-    some = known.filter((F.length("text") <= chars) & (place < share[F.col("lang")])).limit(2 * rows).collect()
+    spare = F.length("text") - chars
+    piece = F.when(spare > 0, F.substring("text", F.pmod(F.crc32(F.col("text")), F.greatest(spare, F.lit(1))).cast("int") + 1, F.lit(chars))).otherwise(F.col("text"))
+    some = known.select("doc_id", "lang", place.alias("place"), piece.alias("text")).filter(F.col("place") < share[F.col("lang")])
+    some = some.orderBy("place", "doc_id", "lang", "text").limit(2 * rows).collect()
     some.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))
     return [r["text"] for r in some], [r["lang"] for r in some]
 

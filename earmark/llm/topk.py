@@ -126,10 +126,12 @@ def search(
     spark = vectors.sparkSession
     rows = quantised(vectors)
     facts = rows.agg(
-        F.count("*").alias("n"), F.max(F.size("v")).alias("width"),
+        F.count("*").alias("n"), F.count_if(asked).alias("asked"), F.max(F.size("v")).alias("width"), F.max("norm").alias("top"),
         F.percentile_approx("norm", [i / bands for i in range(1, bands)], 1000).alias("cuts"),
     ).first()
     n, width = facts["n"], facts["width"] or 0
+    if (facts["top"] or 0.0) ** 2 >= 2.0**63:
+        raise OverflowError("products of these vectors pass 64 bits")
     cuts = sorted(set(facts["cuts"] or []))
     band = F.lit(0)
     for c in cuts:
@@ -151,7 +153,7 @@ def search(
     queries = rows.filter(asked).dropDuplicates(["vec_id"])
     queries = queries.select("vec_id", "v", "norm").mapInPandas(first_floor, "vec_id long, v array<long>, norm double, floor double")
     parts = {b: -(-m // bucket_rows) for b, (m, _) in sizes.items()}
-    blocks = max(1, -(-queries_bound(n) // query_rows))
+    blocks = max(1, -(-facts["asked"] // query_rows))
     reach = [
         F.when(F.col("norm") * float(top) >= F.col("floor") - 0.5, _places(b, parts[b]))
         .otherwise(F.array().cast("array<struct<band:int,part:int>>"))
@@ -183,11 +185,6 @@ def search(
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def queries_bound(n: int) -> int:
-    """Rows that may be asked; every row, for want of a better bound."""
-    return max(1, n // 20)
-
-
 ORACLE = """
 with v as (select vec_id, [floor(256 * x::double)::bigint for x in embedding] as v from embeddings
     where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),

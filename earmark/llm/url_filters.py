@@ -8,9 +8,11 @@ passes ``limit``; a host nobody labelled inherits its parents' posterior.
 
 Main path: built-in functions. Outcomes are counted by host with partial aggregates
 before any join; pages join the host table, a shuffle join that may be split when
-one host holds much of the rows. Null urls and urls without ``://`` have an empty
+one host holds much of the rows. The registered domain is the label before the public
+suffix (``TWO_LABELS``, else the last label), without user information and port. Null urls and urls without ``://`` have an empty
 host and path and are judged by the overall share. Repeated page rows each get their
-verdict; without any labels the share is ``start``.
+verdict; very long urls are read whole; hosts are told apart by name, so there are no ties; without
+any labels the share is ``start``; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +31,13 @@ RULES = (
     ("block", "net/fr/"),
 )
 LEVELS = ("suffix", "domain", "host")
+#: Public suffixes of two labels; any other suffix is the last label.
+TWO_LABELS = (
+    "ac.jp", "ac.nz", "ac.uk", "ac.za", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz", "co.th", "co.uk", "co.za",
+    "com.ar", "com.au", "com.br", "com.cn", "com.co", "com.eg", "com.hk", "com.mx", "com.my", "com.ng", "com.pe", "com.ph", "com.pk",
+    "com.pl", "com.sa", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.cn", "gov.au", "gov.uk", "ne.jp", "net.au",
+    "net.nz", "or.jp", "or.kr", "org.au", "org.br", "org.nz", "org.uk", "org.za",
+)
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -53,9 +62,11 @@ def rule_of(host: Column, path: Column) -> Column:
 def reputation(outcomes: DataFrame, *, start: float = 0.2, strongest: float = 1000.0) -> DataFrame:
     """host, alpha and beta of each host's posterior, from (host, bad as 0/1 or null)."""
     parts = F.split("host", r"\.")
+    last = lambda n: F.concat_ws(".", *[F.element_at(parts, -i) for i in range(n, 0, -1)])
+    two = (F.size(parts) > 1) & last(2).isin(*TWO_LABELS)
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
-    hosts = hosts.withColumn("suffix", F.element_at(parts, -1)).withColumn(
-        "domain", F.when(F.size(parts) > 1, F.concat_ws(".", F.element_at(parts, -2), F.element_at(parts, -1))).otherwise(F.col("host"))
+    hosts = hosts.withColumn("suffix", F.when(two, last(2)).otherwise(last(1))).withColumn(
+        "domain", F.when(two & (F.size(parts) > 2), last(3)).when(~two & (F.size(parts) > 1), last(2)).otherwise(F.col("host"))
     )
     hosts = cut(hosts)
     total = hosts.agg(F.sum("n").alias("n"), F.sum("b").alias("b")).first()
@@ -90,14 +101,17 @@ def judge(pages: DataFrame, labels: DataFrame, *, limit: float = 0.25, z: float
     )
     told = labels.select(F.col("doc_id").alias("__id"), bad.alias("bad")).filter("__id is not null and bad is not null")
     told = told.groupBy("__id").agg(F.max("bad").alias("bad"))
-    known = reputation(seen.join(told, seen["page_id"] == told["__id"], "left").select("host", "bad"))
+    # user information and port tell nothing of the owner
+    owner = F.regexp_extract("host", r"(?s)^(?:.*@)?([^:]*)", 1)
+    seen = seen.withColumn("__owner", owner)
+    known = reputation(seen.join(told, seen["page_id"] == told["__id"], "left").select(F.col("__owner").alias("host"), "bad"))
     a, b = F.col("alpha"), F.col("beta")
     p = a / (a + b)
     bound = p - z * F.sqrt(p * (1 - p) / (a + b + 1))
     known = cut(known.select(F.col("host").alias("__host"), F.round(bound, 9).alias("bad_bound")))
     by_rule = F.create_map(*[F.lit(x) for v, r in RULES for x in (r, v)])
     verdict = F.coalesce(by_rule[F.col("rule")], F.when(F.col("bad_bound") > limit, "block").otherwise("allow"))
-    return seen.join(known, seen["host"] == known["__host"], "left").select(
+    return seen.join(known, seen["__owner"] == known["__host"], "left").select(
         "page_id", "host", "path", "rule", verdict.alias("verdict"), F.round("bad_bound", 5).alias("bad_bound")
     )
 
@@ -128,15 +142,16 @@ seen as (select page_id,
 ruled as (select *, case {fits} end as "rule" from seen),
 told as (select doc_id, max(case when quality = 0 or toxic = 1 then 1 else 0 end) bad from labels
     where doc_id is not null and (quality is not null or toxic is not null) group by doc_id),
-hosts0 as (select host, count(bad) n, coalesce(sum(bad), 0)::double b from ruled left join told on page_id = doc_id group by host),
-hosts as (select *, string_split(host, '.')[-1] suffix,
-    case when len(string_split(host, '.')) > 1 then string_split(host, '.')[-2] || '.' || string_split(host, '.')[-1] else host end as domain from hosts0),
+hosts0 as (select regexp_extract(host, '^(?:.*@)?([^:]*)', 1) host, count(bad) n, coalesce(sum(bad), 0)::double b from ruled left join told on page_id = doc_id group by 1),
+hosts1 as (select *, string_split(host, '.') as p, len(p) > 1 and p[-2] || '.' || p[-1] in ('{"', '".join(TWO_LABELS)}') as two from hosts0),
+hosts as (select host, n, b, case when two then p[-2] || '.' || p[-1] else p[-1] end suffix,
+    case when two and len(p) > 2 then p[-3] || '.' || p[-2] || '.' || p[-1] when not two and len(p) > 1 then p[-2] || '.' || p[-1] else host end as domain from hosts1),
 root as (select case when sum(n) > 0 then (sum(b) + 0.2::double) / (sum(n) + 1) else 0.2::double end m from hosts){steps},
 bounds as (select host, al / (al + be) p, al + be s from u_host),
 bounded as (select host, round(p - 1.64::double * sqrt(p * (1 - p) / (s + 1)), 9) bound from bounds)
-select page_id, host, path, "rule", coalesce(case "rule" {verdicts} end, case when bound > 0.25 then 'block' else 'allow' end) verdict,
+select page_id, ruled.host, path, "rule", coalesce(case "rule" {verdicts} end, case when bound > 0.25 then 'block' else 'allow' end) verdict,
     round(bound, 5) bad_bound
-from ruled left join bounded using (host)
+from ruled left join bounded on bounded.host = regexp_extract(ruled.host, '^(?:.*@)?([^:]*)', 1)
 """
 
 
