@@ -21,9 +21,8 @@ word hashes and compressed word numbers. Batches then ask for what they hold, on
 distinct word and pair, in sorted arrays dealt by hash range: so a hot word or
 context is one entry a batch, ranges are even, and entries never outnumber the pairs.
 Counts, and from sweep to sweep tables, are summed by range and told back in
-the order asked. A pair's draw depends on its hash, the sweep and the state of its two
-words alone, so every batch that holds the pair draws the same, and one of them, its
-owner, reports it. Words are told apart by 64 bits, pairs by 48. Nothing but a few
+the order asked. One of the batches that hold a pair owns it and draws its tables; a
+draw depends on the pair's hash, the sweep and the state of its two words alone. Words are told apart by 64 bits, pairs by 48. Nothing but a few
 totals reaches the driver.
 
 Null texts count as empty (the end token alone); very long texts are one batch of
@@ -104,7 +103,7 @@ def seat(count: np.ndarray, weight: np.ndarray, key: np.ndarray, salt: int, disc
     few = few[np.argsort(count[few], kind="stable")]
     for rows in np.split(few, np.flatnonzero(np.diff(count[few])) + 1) if len(few) else ():
         c = int(count[rows[0]])
-        for r in np.split(rows, range(0, len(rows), 1 + 4_000_000 // c)):
+        for r in np.split(rows, range(0, len(rows), 1 + 1_000_000 // c)):
             tables[r] = _drawn(logs[c, 1 : c + 1][None, :], weight[r], u[r])
     many = np.flatnonzero(count > EXACT)
     if len(many):
@@ -116,7 +115,7 @@ def seat(count: np.ndarray, weight: np.ndarray, key: np.ndarray, salt: int, disc
         t = np.arange(1, FEW_TABLES + 1.0)
         curve = logs[EXACT, 1:] + np.arange(1, EXACT + 1) * np.log(discount) + _log_factorials(EXACT)
         small = np.flatnonzero(mode < FEW_TABLES / 4)
-        for r in np.split(small, range(0, len(small), 4000)):
+        for r in np.split(small, range(0, len(small), 1000)):
             at = 1 + (t[None, :] - 1) * ((EXACT / n[r]) ** discount)[:, None]
             law = np.interp(at, np.arange(1, EXACT + 1), curve) - t * np.log(discount) - _log_factorials(FEW_TABLES)
             tables[many[r]] = _drawn(law, w[r], u[many[r]])
@@ -206,10 +205,10 @@ def _schema(ints: str, blobs: str) -> pa.Schema:
 
 BATCH = pa.schema([("batch", pa.int64()), ("ids", pa.list_(pa.int64())), ("keys", pa.binary()), ("refs", pa.binary()), ("sizes", pa.binary()), ("train", pa.binary())])
 ASK = _schema("part batch", "words n pairs c")
-TOLD = _schema("batch part total kinds once twice", "n place c own")
-STATE = _schema("batch", "bounds place v w c h tables customers")
-REPORT = _schema("part batch", "place tables customers")
-SEATED = _schema("batch part customers0 tables0 once twice", "tables customers seats")
+TOLD = _schema("batch part total kinds once twice", "n place c own spot")
+STATE = _schema("batch", "bounds place spot v w c h own tables customers")
+REPORT = _schema("part batch", "place tables customers spot own t")
+SEATED = _schema("batch part customers0 tables0 once twice", "tables customers seats t")
 
 
 def deal(docs: DataFrame, batch_tokens: int) -> DataFrame:
@@ -287,7 +286,7 @@ def _ask(parts: int):
 
 
 def _sum(key, got):
-    """Sums of a range; each batch is told those of its entries, its words' places, and the pairs it owns."""
+    """Sums of a range; each batch is told those of its entries, their places in the range, and the pairs it owns."""
     got = got.sort_by("batch").to_pydict()
     words = [np.frombuffer(x, np.uint64) for x in got["words"]]
     pairs = [_undelta(x) for x in got["pairs"]]
@@ -303,7 +302,7 @@ def _sum(key, got):
         mine, theirs = at[i : i + len(x)], of[j : j + len(y)]
         rows.append({
             "batch": batch, "part": key[0].as_py(), "n": _press(n[mine].astype(np.uint32)), "place": _deltas(mine),
-            "c": _press(c[theirs].astype(np.uint32)), "own": _press(own[j : j + len(y)].astype(np.uint8)),
+            "c": _press(c[theirs].astype(np.uint32)), "own": _press(own[j : j + len(y)].astype(np.uint8)), "spot": _deltas(theirs),
         })
         i, j = i + len(x), j + len(y)
     rows.append({"batch": -1, "part": key[0].as_py(), "total": int(n.sum()), "kinds": int((n > 0).sum()), "once": int((c == 1).sum()), "twice": int((c == 2).sum())})
@@ -327,11 +326,12 @@ def _start(frames):
         h, v, w, _ = pairs_of(keys, refs, sizes)
         c, own = _joined(row["told"], "c"), _joined(row["told"], "own", np.uint8).astype(bool)
         one, more = own & (c == 1), own & (c > 1)
-        places = [_undelta(x["place"]) for x in row["told"]]
-        bounds = [(x["part"], len(p)) for x, p in zip(row["told"], places)]
+        places, spots = ([_undelta(x[k]) for x in row["told"]] for k in ("place", "spot"))
+        ends = np.cumsum([0, *map(len, spots)])
+        bounds = [(x["part"], len(p), len(s), int(more[i:j].sum())) for x, p, s, i, j in zip(row["told"], places, spots, ends, ends[1:])]
         yield _row(
-            STATE, batch=[row["batch"]], bounds=[np.array(bounds, np.int64).tobytes()], place=[_press(np.concatenate(places).astype(np.uint32))],
-            v=[_press(v[more].astype(np.uint32))], w=[_press(w[more].astype(np.uint32))], c=[_press(c[more])], h=[_press(h[more].astype(np.uint32))],
+            STATE, batch=[row["batch"]], bounds=[np.array(bounds, np.int64).tobytes()], place=[_deltas(np.concatenate(places))], spot=[_deltas(np.concatenate(spots))],
+            v=[_press(v[more].astype(np.uint32))], w=[_press(w[more].astype(np.uint32))], c=[_press(c[more])], h=[_press(h[more].astype(np.uint32))], own=[_deltas(np.concatenate(spots)[more])],
             tables=[_press(np.bincount(v[one], minlength=len(keys)).astype(np.uint32))], customers=[_press(np.bincount(w[one], minlength=len(keys)).astype(np.uint32))],
         )
 
@@ -355,21 +355,23 @@ class Facts:
         return seat(c.astype(np.int64), weight, h.astype(np.uint32).astype(np.uint64), sweep, self.discount)
 
 
-def _reseat(sweep: int, facts: Facts):
-    """Each batch's report of tables: by first word, and, as customers of the parent, by second word."""
+def _reseat(sweep: int, facts: Facts, keep: bool):
+    """Each batch's report of tables: by first word, and, as customers of the parent, by second word; keep: of its pairs too."""
 
     def run(frames):
         for row in _each(frames):
             v, w, c, h = (_open(row[x]) for x in "vwch")
             t = np.ones(len(c), np.int64) if not sweep else facts.draw(c, v, w, h, sweep, facts.parent(sweep - 1, row["state"]))
-            place, tables, customers = (_open(row[x]) for x in ("place", "tables", "customers"))
+            place, spot, own = (_undelta(row[x]) for x in ("place", "spot", "own"))
+            tables, customers = _open(row["tables"]), _open(row["customers"])
             tables = tables + np.bincount(v, t, len(place)).astype(np.uint32)
             customers = customers + np.bincount(w, t, len(place)).astype(np.uint32)
-            at = 0
-            for part, n in np.frombuffer(row["bounds"], np.int64).reshape(-1, 2).tolist():
-                x = slice(at, at + n)
-                yield _row(REPORT, part=[part], batch=[row["batch"]], place=[_deltas(place[x])], tables=[_press(tables[x])], customers=[_press(customers[x])])
-                at += n
+            i = j = k = 0
+            for part, n, pairs, mine in np.frombuffer(row["bounds"], np.int64).reshape(-1, 4).tolist():
+                x, y, z = slice(i, i + n), slice(j, j + pairs), slice(k, k + mine)
+                more = {"spot": [_deltas(spot[y])], "own": [_deltas(own[z])], "t": [_press(t[z].astype(np.uint32))]} if keep else {}
+                yield _row(REPORT, part=[part], batch=[row["batch"]], place=[_deltas(place[x])], tables=[_press(tables[x])], customers=[_press(customers[x])], **more)
+                i, j, k = i + n, j + pairs, k + mine
 
     return run
 
@@ -390,6 +392,13 @@ def _parent(sweep: int, facts: Facts):
             {"batch": b, "part": part, **{k: _press(x[mine].astype(np.uint32)) for k, x in (("tables", tables), ("customers", c), ("seats", t))}}
             for b, mine in zip(got["batch"], places)
         ]
+        if got["spot"][0] is not None:  # tables of pairs: one of those of one customer, as reported of the others
+            spots = [_undelta(x).astype(np.int64) for x in got["spot"]]
+            drawn = np.ones(max((int(x[-1]) for x in spots if len(x)), default=-1) + 1, np.uint32)
+            for own, x in zip(got["own"], got["t"]):
+                drawn[_undelta(own).astype(np.int64)] = _open(x)
+            for r, x in zip(rows, spots):
+                r["t"] = _press(drawn[x])
         rows.append({"batch": -1, "part": part, "customers0": int(c.sum()), "tables0": int(t.sum()), "once": int((c == 1).sum()), "twice": int((c == 2).sum())})
         return _rows(SEATED, rows)
 
@@ -406,14 +415,14 @@ def _read(facts: Facts, kept: list[int]):
         for row in _each(frames):
             keys, refs, sizes, _ = _batch(row)
             h, v, w, at = pairs_of(keys, refs, sizes)
-            told = {k: [x for x in row["told"] if x["sweep"] == k] for k in (-1, kept[0] - 1, *kept)}
+            told = {k: [x for x in row["told"] if x["sweep"] == k] for k in (-1, *kept)}
             n, c = _joined(told[-1], "n").astype(np.int64), _joined(told[-1], "c").astype(np.int64)
             follow = n.copy()  # each token of a word is followed by one, each text begins once
             follow[np.searchsorted(keys, START)] = n[np.searchsorted(keys, END)]
-            p, before = np.zeros(len(h)), facts.parent(kept[0] - 1, told[kept[0] - 1])
+            p = np.zeros(len(h))
             for sweep in kept:
-                t = facts.draw(c, v, w, h, sweep, before)
-                before = tables, parent = facts.parent(sweep, told[sweep])
+                t = np.where(c > 0, _joined(told[sweep], "t"), 0)
+                tables, parent = facts.parent(sweep, told[sweep])
                 p += (c - facts.discount * t + (facts.strength + facts.discount * tables[v]) * parent[w]) / (facts.strength + follow[v])
             logp = np.log10(p / len(kept))[at]
             base = np.log10((n + 1) / (facts.total + facts.kinds + 1))[refs]
@@ -438,15 +447,15 @@ def score(
     x = told.filter("batch = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "kinds", "once", "twice")]).first()
     discount = lambda r: min(max((r["once"] + 0.5) / (r["once"] + 2 * r["twice"] + 1), 0.05), 0.95)
     facts = Facts(x["total"], x["kinds"], discount(x), strength)
-    answers = _gathered(told, "told", "n", "place", "c", "own")
+    answers = _gathered(told, "told", "place", "c", "own", "spot")
     state = cut(batches.join(answers, "batch").mapInArrow(_start, _ddl(STATE)))
     seats: list[DataFrame] = []
     kept = list(range(burn + 1, burn + keep + 1))
     for sweep in range(burn + keep + 1):
         ready = state.join(_gathered(seats[-1], "state", "tables", "customers", "seats"), "batch") if seats else state
-        reports = ready.mapInArrow(_reseat(sweep, facts), _ddl(REPORT))
+        reports = ready.mapInArrow(_reseat(sweep, facts, sweep in kept), _ddl(REPORT))
         seats.append(cut(reports.groupBy("part").applyInArrow(_parent(sweep, facts), _ddl(SEATED))))
-        if 0 < sweep <= burn:
+        if 0 < sweep <= burn + 1:
             drop(seats[sweep - 1])
         x = seats[-1].filter("batch = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("customers0", "tables0", "once", "twice")]).first()
         facts.customers0.append(x["customers0"])
@@ -455,10 +464,10 @@ def score(
             facts.parent_discount = discount(x)
     drop(state)
     none = F.lit(None).cast("binary")
-    every = told.select("batch", F.lit(-1).alias("sweep"), "part", "n", "c", *[none.alias(x) for x in ("tables", "customers", "seats")])
-    for sweep in range(burn, burn + keep + 1):
-        every = every.union(seats[sweep].select("batch", F.lit(sweep), "part", none, none, "tables", "customers", "seats"))
-    one = F.struct("sweep", "part", "n", "c", "tables", "customers", "seats")
+    every = told.select("batch", F.lit(-1).alias("sweep"), "part", "n", "c", *[none.alias(x) for x in ("tables", "customers", "seats", "t")])
+    for sweep in kept:
+        every = every.union(seats[sweep].select("batch", F.lit(sweep), "part", none, none, "tables", "customers", "seats", "t"))
+    one = F.struct("sweep", "part", "n", "c", "tables", "customers", "seats", "t")
     answers = every.filter("batch >= 0").groupBy("batch").agg(F.sort_array(F.collect_list(one)).alias("told"))
     scored = batches.join(answers, "batch").mapInArrow(_read(facts, kept), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(facts.total).cast("long"))
