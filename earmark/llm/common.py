@@ -40,6 +40,14 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def spare(docs: DataFrame, name: str) -> str:
+    """The name, longer by as many underscores as it takes to be no column of docs."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text; null gives an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_SEP), lambda w: w != "")

@@ -1,8 +1,9 @@
 """Language identification: averaged hashed subword embeddings and a linear softmax.
 
 Training is stochastic gradient descent in numpy on a bounded sample of labelled
-texts (``sample_rows`` over all languages, texts of at most ``sample_chars``), cut
-into short examples so that short texts are learned too. Part of the sample is held
+texts (``sample_rows`` over all languages, runs of at most ``sample_chars``, the
+commonest ``most_langs`` languages), cut into at most ``most_pieces`` examples of a size,
+spread over the text so that short texts are learned too. Part of the sample is held
 back: it sets the softmax temperature, and the rejection bound below which
 predictions are not to be trusted (the lowest score at which accepted predictions
 are right with ``precision``).
@@ -12,8 +13,9 @@ score vector however often it occurs; each task keeps them in a bounded table an
 document is a sum of rows. Only ``text`` is an input of a prediction.
 
 Null texts and texts without a letter give ``und`` with score 0, as do all texts when
-there is nothing to learn from. Repeated rows are predicted alike; an empty table
-gives no rows.
+there is nothing to learn from. Very long texts are read whole in prediction. Repeated
+rows are predicted alike; of languages with one score the first by name is given; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

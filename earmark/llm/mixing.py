@@ -1,20 +1,26 @@
 """Mixing overlapping sources to target weights by min-cost flow.
 
-Documents are aggregated by membership pattern (the set of sources they count for).
-Token capacity flows from patterns to source quotas; each further repetition of a
-pattern costs more (0, 1, 2, ... a token), so repeats are used only where first
-copies run out. The flow is solved on the aggregate in the driver; the number of
-patterns is checked against ``most_patterns``. A pattern's flow is whole repetitions
-of all its documents plus a remainder, which goes to its documents in seeded hash
-order; the one document at the edge is taken in part.
+A text may stand under several sources. Documents are aggregated by membership pattern,
+the set of sources their text stands under, and within a pattern by the source they are
+rows of. Token capacity flows from a pattern through these cells to source quotas. What
+a pattern gives costs more the more often its texts repeat, under whichever source:
+nothing a token for the first time through, 1 for the second, 2 up to four times, 3 up
+to eight, and so on. So a text that several sources hold is used in the one that
+needs it, and repeats come where first uses run out. A cell gives at most ``repeats`` times its size. The flow is solved on the
+aggregate in the driver by shortest augmenting paths, all paths of one cost at once; the
+number of cells is checked against ``most_patterns``, and where no text stands under
+two sources the flow is a target for each source, however many there are. A cell's flow
+is whole repetitions of all its documents plus a remainder, which goes to its documents
+in seeded hash order; the one document at the edge is taken in part.
 
 The remainder's edge is found without sorting a source: sizes are summed by hash
-bucket, running sums over at most 4096 buckets a pattern find the edge bucket, and
+bucket, running sums over at most 4096 buckets a cell find the edge bucket, and
 only that bucket's documents are ordered. A hot source thus never meets in one task.
 
 Null texts have size 0 and take nothing; a null source is one more source, last in
-order; repeated rows are separate documents; an empty table gives no rows; columns
-other than those named are not read.
+order; very long texts have their whole size; repeated rows are separate documents and
+share the text's pattern; ties of the hash order go to the smaller id, then size; an
+empty table gives no rows; columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, words_of
+from .common import WORD_SEP, cut, words_of
 
 BUCKET_HEX = 3
 
@@ -47,107 +53,172 @@ def fill(caps: list[float], weights: list[float], total: float) -> list[float]:
     return target
 
 
-def flow(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], repeats: int) -> list[int]:
-    """Tokens each pattern gives, by successive cheapest paths; patterns: (sources, tokens)."""
+def levels(units: int, most: int) -> list[tuple[int, int]]:
+    """(tokens, cost) of the first time through ``units`` tokens, the second, the third and fourth, and so on, up to ``most``."""
+    out, done, cost = [], 0, 0
+    while done < most:
+        upto = min(most, max(units, 1) << cost)
+        out.append((upto - done, cost))
+        done, cost = upto, cost + 1
+    return out
+
+
+def flow(patterns: list[tuple[int, dict[int, int]]], quotas: list[int], repeats: int) -> list[dict[int, int]]:
+    """Tokens each pattern gives each source at least cost; patterns: (tokens of its different texts, tokens of its cells by source).
+
+    Primal-dual: distances by cost, then all augmenting paths of that cost at once.
+    """
     n_p, n_s = len(patterns), len(quotas)
     source, sink = n_p + n_s, n_p + n_s + 1
     graph: list[list[int]] = [[] for _ in range(sink + 1)]
     to, room, cost = [], [], []
 
-    def arc(a: int, b: int, cap: int, c: int) -> None:
+    def arc(a: int, b: int, cap: int, c: int) -> int:
         for x, y, r, d in ((a, b, cap, c), (b, a, 0, -c)):
             graph[x].append(len(to))
             to.append(y)
             room.append(r)
             cost.append(d)
+        return len(to) - 2
 
-    for p, (members, tokens) in enumerate(patterns):
-        for copy in range(repeats):
-            arc(source, p, tokens, copy)
-        for s in members:
-            arc(p, n_p + s, repeats * tokens, 0)
+    cells: list[dict[int, int]] = []
+    for p, (units, members) in enumerate(patterns):
+        for tokens, c in levels(units, repeats * sum(members.values())):
+            arc(source, p, tokens, c)
+        cells.append({s: arc(p, n_p + s, repeats * n, 0) for s, n in sorted(members.items())})
     for s, quota in enumerate(quotas):
         arc(n_p + s, sink, quota, 0)
+    far = float("inf")
     while True:
-        best, via = [float("inf")] * (sink + 1), [-1] * (sink + 1)
+        best = [far] * (sink + 1)
         best[source], queue, waits = 0, deque([source]), {source}
         while queue:
             x = queue.popleft()
             waits.discard(x)
             for e in graph[x]:
                 if room[e] and best[x] + cost[e] < best[to[e]]:
-                    best[to[e]], via[to[e]] = best[x] + cost[e], e
+                    best[to[e]] = best[x] + cost[e]
                     if to[e] not in waits:
                         waits.add(to[e])
                         queue.append(to[e])
-        if via[sink] < 0:
+        if best[sink] == far:
             break
-        path, x = [], sink
-        while x != source:
-            path.append(via[x])
-            x = to[via[x] ^ 1]
-        push = min(room[e] for e in path)
-        for e in path:
-            room[e] -= push
-            room[e ^ 1] += push
-    return [sum(room[e ^ 1] for e in graph[source] if to[e] == p) for p in range(n_p)]
+        # on arcs of shortest paths, push until none is left; arcs once found useless stay so within the phase
+        at, path, on = [0] * (sink + 1), [], {source}
+        x = source
+        while True:
+            if x == sink:
+                push = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= push
+                    room[e ^ 1] += push
+                first = next(i for i, e in enumerate(path) if not room[e])
+                for e in path[first:]:
+                    on.discard(to[e])
+                x = to[path[first] ^ 1]
+                del path[first:]
+                continue
+            while at[x] < len(graph[x]):
+                e = graph[x][at[x]]
+                if room[e] and best[to[e]] == best[x] + cost[e] and to[e] not in on:
+                    break
+                at[x] += 1
+            if at[x] < len(graph[x]):
+                e = graph[x][at[x]]
+                path.append(e)
+                x = to[e]
+                on.add(x)
+            elif x == source:
+                break
+            else:
+                on.discard(x)
+                x = to[path.pop() ^ 1]
+                at[x] += 1
+    return [{s: room[e ^ 1] for s, e in mine.items()} for mine in cells]
 
 
 def mix(
     docs: DataFrame,
     size: Column,
-    members: Column,
+    source: Column,
     *,
+    text: Column | None = None,
     carry: tuple[str, ...] = ("doc_id", "source"),
     names: tuple[str, str] = ("size", "taken"),
     weights: tuple[int, ...] = (1, 2, 3),
     repeats: int = 3,
     seed: str = "mix",
-    most_patterns: int = 10_000,
+    most_patterns: int = 20_000,
 ) -> tuple[DataFrame, DataFrame]:
     """(the carried columns, size and taken, under ``names``, for each row; source, source_size and target for each source).
 
-    members: array of the sources a row counts for. Sources weigh ``weights`` in turn,
-    by code point, null last, and share 100 % of all sizes.
+    source: what a row counts for. text: rows whose texts are equal share a pattern, the set of their sources; without
+    it each row's pattern is its source. Sources weigh ``weights`` in turn, by code point, null last, and share 100 %
+    of all sizes.
     """
     spark = docs.sparkSession
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    pattern = F.array_sort(F.array_distinct(members))
-    rows = cut(docs.select(
+    named = lambda c: F.to_json(F.struct(c.alias("s")), {"ignoreNullFields": "false"})
+    fp = F.lit(None).cast("binary") if text is None else F.unhex(F.md5(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), WORD_SEP, " "))))
+    rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in carry]).alias("__row"), size.cast("long").alias("__size"), F.coalesce("doc_id", F.lit(-1)).alias("__id"),
-        F.to_json(F.struct(pattern.alias("m")), {"ignoreNullFields": "false"}).alias("__pattern"), pattern.alias("__members"), key.alias("__key"),
-    ))
+        source.alias("__source"), named(source).alias("__own"), key.alias("__key"), fp.alias("__fp"),
+    )
+    if text is None:
+        rows = cut(rows.withColumns({"__pattern": F.col("__own"), "__unit": F.col("__size").cast("double")}).drop("__fp"))
+    else:
+        rows = cut(rows)
+        several = rows.filter("__size > 0").groupBy("__fp").agg(F.array_sort(F.collect_set("__own")).alias("__m"), F.count("*").alias("__n"))
+        several = several.filter("__n > 1").select(F.col("__fp").alias("__fp2"), F.array_join("__m", ",").alias("__m"), "__n")
+        joined = rows.join(several, rows["__fp"] == several["__fp2"], "left")
+        unit = F.col("__size") / F.coalesce("__n", F.lit(1))
+        rows = cut(joined.withColumns({"__pattern": F.coalesce("__m", "__own"), "__unit": unit}).drop("__fp", "__fp2", "__m", "__n"))
     bucket = F.substring("__key", 1, BUCKET_HEX)
-    sums = cut(rows.groupBy("__pattern", "__members", bucket.alias("__bucket")).agg(F.sum("__size").alias("__tokens")))
-    told = sums.groupBy("__pattern", "__members").agg(F.sum("__tokens").alias("n")).limit(most_patterns + 1).collect()
-    if len(told) > most_patterns:
-        raise ValueError(f"more than {most_patterns} membership patterns")
-    told.sort(key=lambda r: r["__pattern"])
-    sources = sorted({s for r in told for s in r["__members"]}, key=lambda s: (s is None, s or ""))
+    cell = ["__pattern", "__own"]
+    sums = cut(rows.groupBy(*cell, "__source", bucket.alias("__bucket")).agg(F.sum("__size").alias("__tokens"), F.sum("__unit").alias("__units")))
+    told = sums.groupBy(*cell, "__source").agg(F.sum("__tokens").alias("n"), F.sum("__units").alias("u"))
+    if text is not None:
+        told = told.limit(most_patterns + 1)
+    told = told.collect()
+    if text is not None and len(told) > most_patterns:
+        raise ValueError(f"more than {most_patterns} patterns and sources")
+    told.sort(key=lambda r: (r["__pattern"], r["__own"]))
+    sources = sorted({r["__source"] for r in told}, key=lambda s: (s is None, s or ""))
     place = {s: i for i, s in enumerate(sources)}
-    sizes = [sum(r["n"] for r in told if s in r["__members"]) for s in sources]
+    sizes = [0] * len(sources)
+    patterns: dict[str, tuple[float, dict[int, int]]] = {}
+    for r in told:
+        i = place[r["__source"]]
+        sizes[i] += r["n"]
+        units, members = patterns.get(r["__pattern"], (0.0, {}))
+        patterns[r["__pattern"]] = (units + r["u"], {**members, i: r["n"]})
     heavy = [weights[i % len(weights)] for i in range(len(sources))]
-    target = fill([float(repeats * x) for x in sizes], heavy, sum(r["n"] for r in told))
-    given = flow([(tuple(place[s] for s in r["__members"]), r["n"]) for r in told], [int(t + 0.5) for t in target], repeats)
+    target = fill([float(repeats * x) for x in sizes], heavy, sum(sizes))
+    quotas = [int(t + 0.5) for t in target]
+    if all(len(m) == 1 for _, m in patterns.values()) and len(patterns) == len(sources):
+        given = [{i: min(quotas[i], repeats * n) for i, n in m.items()} for _, m in patterns.values()]
+    else:
+        given = flow([(int(u + 0.5), m) for u, m in patterns.values()], quotas, repeats)
+    give = {(k, i): g for k, mine in zip(patterns, given) for i, g in mine.items()}
     plan = [
-        (r["__pattern"], *(divmod(g, r["n"]) if r["n"] else (0, 0))) for r, g in zip(told, given)
+        (r["__pattern"], r["__own"], *(divmod(give[r["__pattern"], place[r["__source"]]], r["n"]) if r["n"] else (0, 0))) for r in told
     ]
-    # at most most_patterns rows on the broadcast side
-    plan_df = F.broadcast(spark.createDataFrame(plan, "__pattern string, __copies long, __rest long"))
-    w = Window.partitionBy("__pattern").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    plan_df = spark.createDataFrame(plan, "__pattern string, __own string, __copies long, __rest long")
+    w = Window.partitionBy(*cell).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     edges = (
         sums.withColumn("__before", F.coalesce(F.sum("__tokens").over(w), F.lit(0)))
-        .join(plan_df, "__pattern")
+        .join(plan_df, cell)
         .filter((F.col("__before") < F.col("__rest")) & (F.col("__before") + F.col("__tokens") >= F.col("__rest")))
-        .groupBy("__pattern").agg(F.min("__bucket").alias("__edge"), F.min_by("__before", "__bucket").alias("__before"))
+        .groupBy(*cell, "__copies", "__rest").agg(F.min("__bucket").alias("__edge"), F.min_by("__before", "__bucket").alias("__before"))
     )
-    edge_df = F.broadcast(edges)  # a row a pattern at most
-    rows = rows.withColumn("__bucket", bucket).join(plan_df, "__pattern").join(edge_df, "__pattern", "left")
+    # a row a cell; no edge where nothing is left over
+    whole = cut(plan_df.join(edges.drop("__copies", "__rest"), cell, "left"))
+    rows = rows.withColumn("__bucket", bucket).join(F.broadcast(whole) if len(plan) <= most_patterns else whole, cell)
     inside = F.col("__bucket") == F.col("__edge")
     plain = rows.filter(~F.coalesce(inside, F.lit(False))).withColumn(
         "__more", F.when(F.col("__bucket") < F.col("__edge"), F.col("__size")).otherwise(F.lit(0))
     )
-    w = Window.partitionBy("__pattern").orderBy("__key", "__id", "__size").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*cell).orderBy("__key", "__id", "__size").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("__before") + F.coalesce(F.sum("__size").over(w), F.lit(0))
     edged = rows.filter(inside).withColumn("__more", F.least(F.col("__size"), F.greatest(F.col("__rest") - before, F.lit(0))))
     taken = (F.col("__copies") * F.col("__size") + F.col("__more")).cast("long").alias(names[1])
@@ -159,26 +230,6 @@ def mix(
 
 
 def query(docs: DataFrame) -> DataFrame:
-    rows, facts = mix(docs, F.size(words_of(F.col("text"))), F.array("source"))
-    facts = F.broadcast(facts.withColumnRenamed("source", "__source"))  # bounded by most_patterns
+    rows, facts = mix(docs, F.size(words_of(F.col("text"))), F.col("source"), text=F.col("text"))
+    facts = facts.withColumnRenamed("source", "__source")
     return rows.join(facts, rows["source"].eqNullSafe(facts["__source"])).select("doc_id", "size", "source_size", "target", "taken")
-
-
-ORACLE = r"""
-with sized as (select doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda w: w <> '')) as size from documents),
-src as (select source, sum(size)::bigint as source_size, (row_number() over (order by source nulls last) - 1) % 3 + 1 as w from sized group by source),
-tot as (select sum(source_size)::double as t from src),
-ordered as (select *, 3.0::double * source_size as cap, 3.0::double * source_size / w as r from src),
-acc as (select *, coalesce(sum(cap) over o, 0) as capped, (sum(w) over ()) - coalesce(sum(w) over o, 0) as wleft
-    from ordered window o as (order by r, source rows between unbounded preceding and 1 preceding)),
-lvl as (select max(case when (t - capped) / wleft <= r then (t - capped) / wleft end) as lambda_ from acc, tot),
-tgt as (select source, source_size, round(least(cap, w * lambda_), 6) as target from ordered, lvl),
-plan as (select *, case when source_size > 0 then floor(target + 0.5)::bigint // source_size else 0 end as copies,
-    case when source_size > 0 then floor(target + 0.5)::bigint % source_size else 0 end as rest from tgt),
-run as (select s.doc_id, s.size, p.source_size, p.target, p.copies, p.rest,
-    coalesce(sum(s.size) over (partition by s.source order by md5('mix:' || coalesce(s.doc_id::varchar, 'null')), coalesce(s.doc_id, -1), s.size
-        rows between unbounded preceding and 1 preceding), 0) as before
-    from sized s join plan p on s.source is not distinct from p.source)
-select doc_id, size::bigint as size, source_size, target,
-    (copies * size + least(size, greatest(rest - before, 0)))::bigint as taken from run
-"""

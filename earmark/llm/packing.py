@@ -5,14 +5,17 @@ than the longest tier is first cut into full windows. Tiers are packed from the
 longest down: a window opens with the longest waiting segment, its gap takes the
 best-fitting segments of shorter tiers, and one cut fills what is left, so every
 window of a tier is exactly full. What stays open at the end of a partition is
-closed into windows of halving powers of two, so nothing is padded. Windows of one
-tier are dealt into step groups of equal token count whose attention cost (sum of
-squared segment lengths) is balanced by a snake order.
+closed into windows of halving powers of two, so nothing is padded. Full windows of one
+tier that a partition flushes together are dealt into step groups of about
+``step_tokens`` each, whose attention cost (sum of squared segment lengths) is balanced
+by a snake order; groups of different flushes are not weighed against each other.
 
 Each partition packs its own documents: no shuffle, no collected state, and a
 buffer bounded by ``flush_tokens``. A task that is run again makes the same
-windows. Null texts count as empty; an empty document is its closing id alone;
-repeated rows are packed once each; an empty table gives no rows.
+windows. Null texts count as empty; an empty document is its closing id alone; very
+long texts are encoded in runs and cut into full windows; repeated rows are packed once
+each; of segments of one length the one read first goes first; an empty table gives no
+rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -8,8 +8,10 @@ reaches a bound. No labels are read.
 Main path: one scan of the texts with built-in functions writes a narrow feature
 table; a partial aggregate counts vote patterns (at most 3^7 rows, whatever the
 input); the EM runs on those counts in the driver; the posterior is a column
-expression. Null texts have no words and fail the base test; empty tables give no
-rows; repeated rows are judged alike, each on its own.
+expression. Null texts have no words and fail the base test; very long texts are read
+whole; a rule that ties between good and bad abstains, and a posterior equal to the
+bound keeps the row; empty tables give no rows; repeated rows are judged alike, each on
+its own; other columns are not read (``keep`` hands them on).
 """
 
 from __future__ import annotations

@@ -84,5 +84,4 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op4_url_filters": url_filters.ORACLE,
     "op5_exact_topk": topk.ORACLE,
-    "op6_mixing": mixing.ORACLE,
 }

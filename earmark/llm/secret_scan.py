@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let
+from .common import cut, let, spare
 
 #: Fixed patterns of the base kinds, and the characters a match needs (in group 2 for assign).
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -161,10 +161,11 @@ def redact(docs: DataFrame, label: str = "[SECRET]") -> DataFrame:
         out = F.when(x["e"] <= acc["at"], acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(label)))
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))
 
+    name = spare(docs, "__spans")
     clean = F.aggregate(
-        "__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
+        name, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
     )
-    found = find(docs, carry=tuple(docs.columns), name="__spans")
+    found = find(docs, carry=tuple(docs.columns), name=name)
     return found.select(
-        *[F.when(F.size("__spans") > 0, clean).otherwise(F.col("text")).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+        *[F.when(F.size(name) > 0, clean).otherwise(F.col("text")).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     )

@@ -12,7 +12,8 @@ are exact. Ties go to the smaller id.
 
 Vectors that are null or hold nulls, NaN or infinities take no part; shorter vectors
 count as filled up with zeros; a repeated query id is asked once, repeated rows all
-stay candidates, rows with the query's id are its own; an empty table gives no rows.
+stay candidates, rows with the query's id are its own; vectors whose products could
+pass 64 bits are refused; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
