@@ -11,8 +11,9 @@ result once the next stage has been; tables of other results of the session stay
 
 Nulls: a null text has no words and goes in the first stage; a null doc_id is kept
 through all stages as it is, copies of a text without any id count as one document.
-Repeated rows of one document become one row in the second stage. Empty tables stay
-empty. Columns beyond those of ``documents`` pass through all stages but the last.
+Repeated rows of one document become one row in the second stage; very long texts are
+read whole in every stage; ties go as each operator says. Empty tables stay empty.
+Columns beyond those of ``documents``, of any name, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earmark.llm import mixing, near_dedup, packing, quality_rules, secret_scan
-from earmark.llm.common import cut, drop, scratch, words_of
+from earmark.llm.common import cut, drop, scratch, spare, words_of
 from earmark.llm.queries import TOKENIZER
 
 
@@ -48,15 +49,16 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated as often as the mix takes them; a part taken is the text's first words."""
-    columns = tuple(docs.columns)
-    rows, _ = mixing.mix(docs, F.size(words_of(F.col("text"))), F.array("source"), carry=columns, names=("__size", "__taken"))
-    whole = F.floor(F.col("__taken") / F.greatest("__size", F.lit(1)))
-    part = F.col("__taken") - whole * F.col("__size")
+    columns, names, cut_to = tuple(docs.columns), (spare(docs, "__size"), spare(docs, "__taken")), spare(docs, "__part")
+    rows, _ = mixing.mix(docs, F.size(words_of(F.col("text"))), F.col("source"), carry=columns, names=names)
+    size, taken = map(F.col, names)
+    whole = F.floor(taken / F.greatest(size, F.lit(1)))
+    part = taken - whole * size
     wanted = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")))
-    cutting = F.array_join(F.slice(words_of(F.col("text")), F.lit(1), F.col("__part").cast("int")), " ")
-    text = F.when(F.col("__part") < 0, F.col("text")).otherwise(cutting)
-    out = rows.select(*columns, F.explode(wanted).alias("__part"))
-    return _recounted(out.withColumn("text", text).select(*columns))
+    cutting = F.array_join(F.slice(words_of(F.col("text")), F.lit(1), F.col(cut_to).cast("int")), " ")
+    text = F.when(F.col(cut_to) < 0, F.col("text")).otherwise(cutting)
+    out = rows.select(*[F.col(f"`{c}`") for c in columns], F.explode(wanted).alias(cut_to))
+    return _recounted(out.withColumn("text", text).select(*[F.col(f"`{c}`") for c in columns]))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
