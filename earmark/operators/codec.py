@@ -6,7 +6,7 @@ import base64
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -100,3 +100,19 @@ def vector_of_bytes(c: Column, width: int) -> Column:
         return s.map(lambda b: np.frombuffer(b, "<f4").tolist() if b is not None and len(b) == 4 * width else None)
 
     return run(c)
+
+
+def bytes_of_vector(c: Column) -> Column:
+    """A vector as little-endian float32 bytes; null stays null."""
+
+    @F.pandas_udf("binary")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+    return run(c)
+
+
+def readable(fingerprints: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with their decoded ``items``, those that cannot be read left out, and how many were read and how many skipped."""
+    rows = fingerprints.withColumn("items", decoded(F.col(text)))
+    return rows.filter("items is not null"), rows.agg(F.count("items").alias("read"), F.count_if(F.col("items").isNull()).alias("skipped"))

@@ -34,11 +34,14 @@ def relabelled(df: DataFrame, column: str, when: Column, value: Column) -> DataF
 
 def stratified(df: DataFrame, stratum: str, id_: str, n: int, seed: str = "s") -> DataFrame:
     """Round robin over strata, larger strata first, in seeded order within each, until n rows."""
-    h = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_).cast("string")))
-    w = Window.partitionBy(stratum)
-    rows = df.withColumn("turn", F.row_number().over(w.orderBy(h, id_))).withColumn("__size", F.count("*").over(w))
-    # a stratum gives at most n rows, so later turns never reach the sort
-    return rows.filter(F.col("turn") <= n).orderBy("turn", F.desc("__size"), stratum, id_).limit(n).drop("__size")
+    rows = df.withColumn("__h", F.md5(F.concat_ws(":", F.lit(seed), F.col(id_).cast("string"))))
+    sizes = df.groupBy(stratum).agg(F.count("*").alias("__size"))
+    # the first n of each salted share of a stratum hold the first n of the stratum; what is left is at most n rows a share
+    share = Window.partitionBy(stratum, F.substring("__h", -2, 2)).orderBy("__h", id_)
+    some = rows.withColumn("__r", F.row_number().over(share)).filter(F.col("__r") <= n).drop("__r")
+    turn = F.row_number().over(Window.partitionBy(stratum).orderBy("__h", id_))
+    first = some.withColumn("turn", turn).filter(F.col("turn") <= n).join(sizes, some[stratum].eqNullSafe(sizes[stratum])).drop(sizes[stratum])
+    return first.orderBy("turn", F.desc("__size"), stratum, id_).limit(n).drop("__size", "__h")
 
 
 def capped(df: DataFrame, stratum: str, item: str, order: str, cap: int) -> DataFrame:
@@ -65,6 +68,14 @@ def check(name: str, severity: str, bad: DataFrame, detail: str) -> DataFrame:
     )
 
 
+def checked(df: DataFrame, checks: dict[str, tuple[str, Column, str]]) -> DataFrame:
+    """A row for each check, {name: (severity, bad, detail)}: all from one aggregate of df."""
+    one = df.agg(*[F.count_if(bad).alias(name) for name, (_, bad, _) in checks.items()])
+    rows = F.array(*[F.struct(F.lit(k).alias("check"), F.lit(sev).alias("severity"), F.col(k).alias("n"), F.lit(text).alias("detail")) for k, (sev, _, text) in checks.items()])
+    x = one.select(F.explode(rows).alias("r")).select("r.*")
+    return x.select("check", F.when(F.col("n") == 0, "PASS").otherwise(F.col("severity")).alias("status"), "n", "detail")
+
+
 def cyclic_partner(df: DataFrame, id_: str, override: str | None = None, per_range: int = 100_000) -> DataFrame:
     """(id, other): the next id in order, the last going to the first; an explicit partner goes before.
 

@@ -171,13 +171,14 @@ def same_queries(a: DataFrame, b: DataFrame, key: str) -> bool:
 def held_out(exact: DataFrame, near: DataFrame, partner: DataFrame, near_floor: float = 0.10) -> DataFrame:
     """(source, excluded): the exact class, near-duplicates with their exact classes, and all that of the partner.
 
-    exact: (id, cls); near: (id, other, score); partner: (id, other)."""
-    cls = exact.select(F.col("id").alias("a"), "cls").join(exact.select(F.col("id").alias("b"), "cls"), "cls").select("a", "b")
+    exact: (id, cls); near: (id, other, score) of the sources; partner: (id, other), a row a source. A source is
+    linked to classes first, and classes are written out for sources only, never against themselves."""
+    cls = lambda name: exact.select(F.col("id").alias(name), "cls")
+    sources = partner.select(F.col("id").alias("a"))
     close = near.filter(F.col("score") >= near_floor).select(F.col("id").alias("a"), F.col("other").alias("n"))
-    wide = close.join(cls.withColumnRenamed("a", "n"), "n").select("a", "b")
-    own = cls.union(wide).distinct()
-    others = partner.select(F.col("id").alias("s"), F.col("other").alias("a")).join(own, "a").select(F.col("s").alias("a"), "b")
-    return own.union(others).distinct().select(F.col("a").alias("source"), F.col("b").alias("excluded"))
+    held = sources.join(cls("a"), "a").union(close.join(cls("n"), "n").select("a", "cls")).distinct()
+    others = partner.select(F.col("id").alias("s"), F.col("other").alias("a")).join(held, "a").select(F.col("s").alias("a"), "cls")
+    return held.union(others).distinct().join(cls("b"), "cls").select(F.col("a").alias("source"), F.col("b").alias("excluded"))
 
 
 def leaks(answers: DataFrame, exclusions: DataFrame) -> DataFrame:

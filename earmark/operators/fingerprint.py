@@ -62,30 +62,33 @@ def alignment(q: DataFrame, r: DataFrame, pairs: DataFrame | None = None, max_bi
     Of max_bits + 3 chunks, three agree; of max_bits + 1, one does, which is enough where
     the query is part of the key.
     """
+    q, r = _counted(q, "query_id"), _counted(r, "doc_id")
     masks = _masks(FIVE, 3) if pairs is None else _masks(THREE, 1)
     if max_bits > 2:
         raise ValueError("hashes that differ in more than two bits need more chunks")
-    a = _chunked(q.select("query_id", F.col("pos").alias("i"), "h"), ["query_id", "i", "h"], masks).withColumnRenamed("h", "ha")
-    b = r.select("doc_id", F.col("pos").alias("j"), "h")
+    a = q.select("query_id", F.col("pos").alias("i"), "h", F.col("n").alias("nq"))
+    a = _chunked(a, ["query_id", "i", "h", "nq"], masks).withColumnRenamed("h", "ha")
+    b = r.select("doc_id", F.col("pos").alias("j"), "h", F.col("n").alias("nr"))
     if pairs is not None:
         b = b.join(pairs.select("query_id", "doc_id"), "doc_id")
-        met = _chunked(b, ["query_id", "doc_id", "j", "h"], masks).join(a, ["query_id", "c", "x"])
+        met = _chunked(b, ["query_id", "doc_id", "j", "h", "nr"], masks).join(a, ["query_id", "c", "x"])
     else:
-        met = _chunked(b, ["doc_id", "j", "h"], masks).join(a, ["c", "x"])
+        met = _chunked(b, ["doc_id", "j", "h", "nr"], masks).join(a, ["c", "x"])
     differ = F.col("ha").bitwiseXOR(F.col("h"))
     first = F.lit(len(masks))
     for i, m in reversed(list(enumerate(masks))):
         first = F.when(differ.bitwiseAND(F.lit(m)) == 0, i).otherwise(first)
     best = (
         met.filter((F.bit_count(differ) <= max_bits) & (F.col("c") == first))
-        .groupBy("query_id", "doc_id", (F.col("i") - F.col("j")).alias("off")).count()
-        .groupBy("query_id", "doc_id").agg(F.max("count").alias("best"))
+        .groupBy("query_id", "doc_id", (F.col("i") - F.col("j")).alias("off")).agg(F.count("*").alias("count"), F.min(F.least("nq", "nr")).alias("n"))
+        .groupBy("query_id", "doc_id").agg(F.max("count").alias("best"), F.min("n").alias("n"))
     )
-    nq = q.groupBy("query_id").agg(F.count("*").alias("nq"))
-    nr = r.groupBy("doc_id").agg(F.count("*").alias("nr"))
-    return best.join(nq, "query_id").join(nr, "doc_id").select(
-        "query_id", "doc_id", F.round(F.col("best") / F.least("nq", "nr"), 6).alias("score")
-    )
+    return best.select("query_id", "doc_id", F.round(F.col("best") / F.col("n"), 6).alias("score"))
+
+
+def _counted(items: DataFrame, key: str) -> DataFrame:
+    """Items with the number ``n`` of those of their key, where they don't carry it."""
+    return items if "n" in items.columns else items.join(items.groupBy(key).agg(F.count("*").alias("n")), key)
 
 
 def verdicts(scores: DataFrame, durations: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:

@@ -114,6 +114,16 @@ def novel(features: DataFrame, threshold: float, room: int, noise: np.ndarray |
     return features.select("entry", "vec_id", "seg_start", "embedding").groupBy("entry").applyInPandas(fold, "entry long, vec_id long")
 
 
+def noise_like(features: DataFrame, prototypes: DataFrame, threshold: float) -> DataFrame:
+    """features (vec_id, embedding) with ``noise``: whether a prototype (embedding) is as near as the threshold.
+
+    Prototypes are a handful of rows by definition; they are brought to the driver as a parameter of the expression."""
+    rows = [[float(x) for x in r["embedding"]] for r in prototypes.select("embedding").collect()]
+    dot = lambda p: F.aggregate(F.zip_with("embedding", F.array(*[F.lit(x) for x in p]), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+    near = F.greatest(*[dot(p) for p in rows], F.lit(-2.0), F.lit(-2.0))
+    return features.withColumn("noise", near >= threshold)
+
+
 def keyed(sightings: DataFrame, links: DataFrame) -> DataFrame:
     """Entry key of each sighting, when sightings and the links among them are known: the first of its linked group."""
     return sightings.join(links, "sighting_id", "left").withColumn("entry", F.coalesce("entry", "sighting_id"))

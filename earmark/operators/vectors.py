@@ -31,18 +31,19 @@ def parsed(text: Column, width: int) -> Column:
 
 def block_products(
     left: DataFrame, right: DataFrame, keep: Callable[[np.ndarray, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
-    *, rows: int = 4096, left_rows: int | None = None, right_rows: int | None = None, upper: bool = False,
+    *, rows: int = 4096, left_rows: int | None = None, right_rows: int | None = None, upper: bool = False, right_block: Column | None = None,
 ) -> DataFrame:
     """keep(products, left block, right block) of every pair of blocks; both sides need ``vec_id`` and ``v``.
 
     upper: both sides are the same rows and keep itself drops the lower triangle; blocks below it never meet.
+    right_block: the block of each right row, if it is not drawn by hash of the id.
     """
     n = max(1, -(-(left.count() if left_rows is None else left_rows) // rows))
     m = max(1, -(-(right.count() if right_rows is None else right_rows) // rows))
     # columns of their own on either side, or a plan that reads one table twice loses those of the right
     left, right = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (left, right))
     a = left.withColumn("lb", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
-    b = right.withColumn("rb", F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int"))
+    b = right.withColumn("rb", F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int") if right_block is None else right_block)
     a = a.withColumn("rb", F.explode(F.sequence(F.col("lb") if upper else F.lit(0), F.lit(m - 1))))
     b = b.withColumn("lb", F.explode(F.sequence(F.lit(0), F.col("rb") if upper else F.lit(n - 1))))
 
@@ -100,31 +101,81 @@ def retrieve(queries: DataFrame, refs: DataFrame, *, k: int = 5, exclude_own: bo
     return groups.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def group_maxima(refs: DataFrame, group: str) -> DataFrame:
-    """(query_id, q_group, group, best): best product of each row with each group, leaving the row itself out."""
+def own_and_other(refs: DataFrame, group: str) -> DataFrame:
+    """(query_id, own, other): best product of each row within its group, itself left out, and with any other group.
+
+    Two numbers a row leave each block."""
 
     def best(p: np.ndarray, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         p = np.where(x["vec_id"].to_numpy()[:, None] == y["vec_id"].to_numpy()[None, :], -np.inf, np.round(p, 6))
-        order = np.argsort(y["g"].to_numpy(), kind="stable")
-        g, first = np.unique(y["g"].to_numpy()[order], return_index=True)
-        top = np.maximum.reduceat(p[:, order], first, axis=1)
-        i = np.repeat(np.arange(len(x)), len(g))
-        out = pd.DataFrame({"query_id": x["vec_id"].to_numpy()[i], "q_group": x["g"].to_numpy()[i], "grp": np.tile(g, len(x)), "best": top.ravel()})
-        return out[out["best"] > -np.inf]
+        same = x["g"].to_numpy()[:, None] == y["g"].to_numpy()[None, :]
+        top = lambda mask: np.where(mask, p, -np.inf).max(1, initial=-np.inf)
+        return pd.DataFrame({"query_id": x["vec_id"], "own": top(same), "other": top(~same)})
 
     rows = refs.select("vec_id", F.col(group).cast("long").alias("g"), F.col("embedding").alias("v"))
     n = refs.count()
-    got = block_products(rows, rows, best, "query_id long, q_group long, grp long, best double", left_rows=n, right_rows=n)
-    return got.groupBy("query_id", "q_group", "grp").agg(F.max("best").alias("best"))
+    got = block_products(rows, rows, best, "query_id long, own double, other double", left_rows=n, right_rows=n)
+    real = lambda c: F.max(F.when(F.col(c) > float("-inf"), F.col(c))).alias(c)
+    return got.groupBy("query_id").agg(real("own"), real("other"))
 
 
-def leave_one_out_ranks(refs: DataFrame) -> DataFrame:
-    """Rank of the own recording among group maxima: 1 + the number strictly greater; singletons are skipped."""
-    best = group_maxima(refs, "recording_id")
-    mine = best.filter("q_group = grp").select("query_id", F.col("best").alias("mine"))
-    return best.join(mine, "query_id").groupBy("query_id").agg(
-        (F.count_if((F.col("grp") != F.col("q_group")) & (F.col("best") > F.col("mine"))) + 1).alias("rank")
-    )
+def leave_one_out_ranks(refs: DataFrame, *, rows: int = 4096) -> DataFrame:
+    """(query_id, rank) of the own recording among all, by best product: 1 + the number strictly better; singletons are skipped.
+
+    Recordings of at most ``rows`` vectors lie whole in a block, so a block gives one count a query. Larger ones lie
+    in blocks of their own, at most one in ``rows`` vectors, and give their best product by block.
+    """
+    n = refs.count()
+    sizes = refs.groupBy(F.col("recording_id").alias("g")).agg(F.count("*").alias("size"))
+    sized = refs.select("vec_id", F.col("recording_id").alias("g"), F.col("embedding").alias("v")).join(sizes, "g")
+    small, large = sized.filter(F.col("size") <= rows), sized.filter(F.col("size") > rows)
+    m = max(1, -(-n // rows))
+    block = F.pmod(F.xxhash64("g"), F.lit(m)).cast("int")
+
+    def own(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+        order = np.argsort(pdf["g"].to_numpy(), kind="stable")
+        ids, out = pdf["vec_id"].to_numpy(), []
+        for at in np.split(order, np.flatnonzero(np.diff(pdf["g"].to_numpy()[order])) + 1):
+            if len(at) > 1:
+                p = np.round(x[at] @ x[at].T, 6)
+                np.fill_diagonal(p, -np.inf)
+                out.append(pd.DataFrame({"query_id": ids[at], "mine": p.max(1)}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": np.empty(0, np.int64), "mine": np.empty(0)})
+
+    def nearest(p: np.ndarray, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        """Best product of each row with its own large recording."""
+        mine = (x["g"].to_numpy()[:, None] == y["g"].to_numpy()[None, :]) & (x["vec_id"].to_numpy()[:, None] != y["vec_id"].to_numpy()[None, :])
+        got = pd.DataFrame({"query_id": x["vec_id"], "mine": np.where(mine, np.round(p, 6), -np.inf).max(1, initial=-np.inf)})
+        return got[got["mine"] > -np.inf]
+
+    some = small.groupBy(block.alias("b")).applyInPandas(lambda pdf: own(pdf), "query_id long, mine double")
+    n_large = large.count()
+    if n_large:
+        some = some.union(block_products(large, large, nearest, "query_id long, mine double", rows=rows, left_rows=n_large, right_rows=n_large))
+    mine = some.groupBy("query_id").agg(F.max("mine").alias("mine"))
+    queries = sized.join(mine.withColumnRenamed("query_id", "vec_id"), "vec_id").select("vec_id", "g", "v", "mine")
+
+    def better(p: np.ndarray, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        order = np.argsort(y["g"].to_numpy(), kind="stable")
+        g, first = np.unique(y["g"].to_numpy()[order], return_index=True)
+        top = np.maximum.reduceat(np.round(p, 6)[:, order], first, axis=1)
+        over = (top > x["mine"].to_numpy()[:, None]) & (g[None, :] != x["g"].to_numpy()[:, None])
+        return pd.DataFrame({"query_id": x["vec_id"], "better": over.sum(1)})
+
+    def best(p: np.ndarray, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        p, out = np.round(p, 6), []
+        for g in np.unique(y["g"].to_numpy()):
+            top = p[:, y["g"].to_numpy() == g].max(1)
+            over = (top > x["mine"].to_numpy()) & (x["g"].to_numpy() != g)
+            out.append(pd.DataFrame({"query_id": x["vec_id"].to_numpy()[over], "grp": g}))
+        return pd.concat(out)
+
+    counts = block_products(queries, small.select("vec_id", "g", "v"), better, "query_id long, better long", rows=rows, left_rows=n, right_rows=n, right_block=block)
+    if n_large:
+        seen = block_products(queries, large.select("vec_id", "g", "v"), best, "query_id long, grp long", rows=rows, left_rows=n, right_rows=n_large)
+        counts = counts.union(seen.distinct().select("query_id", F.lit(1).cast("long")))
+    return counts.groupBy("query_id").agg((F.sum("better") + 1).alias("rank"))
 
 
 def recall_table(ranks: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audio_features, etl, evaluation, fingerprint, index, jobs, registry, rights, rules, windows
+from ..operators import audio_features, codec, etl, evaluation, fingerprint, index, jobs, registry, rights, rules, windows
 from ..sources import adapters as A
 from . import evaluation as EV
 from . import registry as RG
@@ -229,7 +229,7 @@ def cover_threshold_pick(spark, d):
 
 def cover_grid_pick(spark, d):
     """The rule of the grid with the highest recall, then precision, then the stricter rule, within a bound of false matches."""
-    g = S.cover_rule_grid(spark, d).groupBy("low", "delta").agg(F.sum("accepted").alias("accepted"), F.sum("correct").alias("correct"), F.sum("n").alias("n"))
+    g = S.cover_rule_grid(spark, d).filter("absolute = 2").groupBy("low", "delta").agg(F.sum("accepted").alias("accepted"), F.sum("correct").alias("correct"), F.sum("n").alias("n"))
     return evaluation.grid_pick(g.withColumn("false_rate", (F.col("accepted") - F.col("correct")) / F.col("n")), 0.9)
 
 
@@ -331,8 +331,75 @@ def iso_times(spark, d):
     return A.table(spark, d, "orders").select("o_orderkey", T.iso(F.col("o_orderdate")).alias("iso"))
 
 
+def vector_bytes(spark, d):
+    """Vectors as stored bytes and read back; those of another width give null."""
+    e = A.table(spark, d, "embeddings").withColumn("v", F.when(F.col("vec_id") % 10 == 0, F.slice("embedding", 1, 60)).otherwise(F.col("embedding")))
+    x = e.withColumn("b", codec.bytes_of_vector(F.col("v"))).withColumn("back", codec.vector_of_bytes(F.col("b"), WIDTH))
+    return x.select("vec_id", F.length("b").alias("n_bytes"), (F.col("back") == F.col("embedding")).alias("same"))
+
+
+def undecodable(spark, d):
+    """How many stored strings can be read as fingerprints."""
+    q = A.query_items(spark, d)
+    seq = q.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "h"))), lambda s: s["h"]).alias("items"))
+    text = F.when(F.col("query_id") % 4 == 0, "!!").otherwise(codec.encoded(F.col("items")))
+    return codec.readable(seq.select("query_id", text.alias("text")), "text")[1]
+
+
+def noise_segments(spark, d):
+    e = A.table(spark, d, "embeddings")
+    out = registry.noise_like(e.select("vec_id", "embedding"), e.filter("vec_id in (3, 5, 8)"), 0.25)
+    return out.select("vec_id", "noise")
+
+
+def held_out_leaks(spark, d):
+    """Answers that lie in their own exclusion set."""
+    li = A.table(spark, d, "lineitem")
+    answers = li.select(F.col("l_suppkey").alias("query_source"), (F.col("l_partkey") % 50).alias("answer"))
+    exclusions = A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("source"), (F.col("s_suppkey") % 50).alias("excluded"))
+    return evaluation.leaks(answers, exclusions).groupBy("query_source").agg(F.count("*").alias("n"))
+
+
+def cover_descriptors(spark, d):
+    """Descriptors of two lengths of chroma: 5 frames to 8, and 5 frames to 2."""
+    c = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 60), lambda x: F.abs(x).cast("double")).alias("chroma"))
+    up, down = (audio_features.descriptors(c, 12, n).select("id", F.lit(n).alias("frames"), F.posexplode("v").alias("i", "x")) for n in (8, 2))
+    return up.union(down).select("id", "frames", "i", F.round("x", 5).alias("x"))
+
+
+def public_projection(spark, d):
+    """Evidence as the public sees it: no thresholds, two digits."""
+    li = A.table(spark, d, "lineitem")
+    e = li.select("l_orderkey", "l_linenumber", F.struct(F.round(F.col("l_tax") * 7.0 + 0.001, 4).alias("score"), F.lit(0.9).alias("threshold"), F.struct(F.lit(0.3).alias("threshold"), F.col("l_suppkey").alias("id")).alias("best")).alias("e"))
+    out = e.withColumn("p", T.rounded_struct(F.col("e"), e.schema["e"].dataType))
+    return out.select("l_orderkey", "l_linenumber", F.to_json("p").alias("json"))
+
+
+GROUP_TYPES = ("AUDIO_LIBRARY", "CREATOR_MUSIC", "CONTENT_ID", "CC_BY", "PUBLIC_DOMAIN")
+
+
+def rights_integrity(spark, d):
+    """Checks of rights against their recordings, by one aggregate."""
+    r = RI._rights(spark, d).join(A.recordings(spark, d).select("recording_id", "release_year"), "recording_id", "left")
+    simulated = F.upper(F.coalesce("rights_source", F.lit(""))).startswith("SIMULATED")
+    old = rights.recording_pd_plausible(F.col("release_year"), 2026)
+    rows = etl.checked(r, {
+        "verified_simulated": ("FAIL", simulated & F.col("verified_at").isNotNull(), "simulated rights that claim a check"),
+        "recording_pd_age": ("FAIL", F.col("recording_public_domain") & ~old & F.coalesce(F.col("license_type") != "CC0", F.lit(True)), "free recordings that are too young"),
+        "creator_flags": ("FAIL", (F.col("license_type") == "CREATOR_MUSIC") & (F.col("license_purchased") == F.col("revenue_share_agreed")), "creator music bought and shared, or neither"),
+        "missing_license": ("WARN", F.col("license_type").isNull(), "rights without a license type"),
+    })
+    seen = r.agg(F.collect_set("license_type").alias("t"), F.collect_set("copyright_status").alias("s"))  # a handful of values
+    gap = lambda have, want: F.size(F.array_except(F.array(*[F.lit(x) for x in want]), have)).cast("long")
+    cover = seen.select(F.explode(F.array(
+        F.struct(F.lit("rule_groups").alias("check"), gap("t", GROUP_TYPES).alias("n"), F.lit("groups without rights").alias("detail")),
+        F.struct(F.lit("statuses").alias("check"), gap("s", ("PROTECTED", "PUBLIC_DOMAIN", "LICENSED")).alias("n"), F.lit("statuses without rights").alias("detail")),
+    )).alias("r")).select("r.check", F.when(F.col("r.n") == 0, "PASS").otherwise("WARN").alias("status"), "r.n", "r.detail")
+    return rows.union(cover)
+
+
 QUERIES = {f.__name__: f for f in (
-    index_build_remap, index_build_stats, index_from_table, index_load, label_decode, creator_music, recording_pd, source_texts, confidence_breakdown, predicted_rights,
+    rights_integrity, vector_bytes, undecodable, noise_segments, held_out_leaks, cover_descriptors, public_projection, index_build_remap, index_build_stats, index_from_table, index_load, label_decode, creator_music, recording_pd, source_texts, confidence_breakdown, predicted_rights,
     analysis_windows, analysis_response, hint_candidate, candidate_labels, recognize_describe, registry_match, registry_match_upsert, registry_features_recent,
     noise_probes, cover_noise_sweep, cover_threshold_pick, cover_grid_pick, query_axis, augment_targets, augment_sample, tempo_histogram, same_protocol,
     fingerprint_uniqueness, end_to_end, insert_absent_jobs, service_state, duration_window, class_floor, tempo_spans, index_segments, production_features, iso_times,
@@ -373,7 +440,30 @@ ag as (select tau, (select count(*) from scored where score >= tau and truth is
 pr as (select *, case when a > 0 then c / a::double else 0 end as p, case when alla > 0 then c / alla::double else 0 end as r from ag),
 nsweep as (select tau, a as accepted, round(p, 4) as "precision", round(r, 4) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 4) as f1, round(h / alla::double, 4) as false_match_rate, round(n / 30.0::double, 4) as noise_match_rate from pr)"""
 _DB = "20 * log10(greatest({x}, 1e-10))"
+_DESC = """c as (select vec_id as id, (i - 1) // 5 as r, (i - 1) % 5 as f, abs(embedding[i])::double as x from embeddings, unnest(generate_series(1, 60)) t(i)),
+res as (select id, 8 as frames, r, k as f, x from c join (select k, [0, 1, 1, 2, 2, 3, 3, 4][k + 1] as src from unnest(generate_series(0, 7)) t(k)) on f = src
+    union all select id, 2, r, case when f < 2 then 0 else 1 end, avg(x) from c group by all),
+cen as (select *, x - avg(x) over (partition by id, frames, f) as y from res), nor as (select *, sqrt(sum(y * y) over (partition by id, frames, f)) as n from cen),
+fr as (select *, case when n > 1e-8 then y / n else 0 end as z from nor), whole as (select *, sqrt(sum(z * z) over (partition by id, frames)) as w from fr)"""
+def _bad(name: str, severity: str, bad: str, detail: str) -> str:
+    return f"select '{name}' as \"check\", case when n = 0 then 'PASS' else '{severity}' end as status, n, '{detail}' as detail from (select count(*) filter (where {bad}) as n from j)"
+
+
 ORACLE = {
+    "rights_integrity": f"with {A.SQL_REC}, {RI._SIM}, j as (select r.*, rec.release_year from rights r left join rec using (recording_id)) " + " union all ".join([
+        _bad("verified_simulated", "FAIL", "starts_with(upper(coalesce(rights_source, '')), 'SIMULATED') and verified_at is not null", "simulated rights that claim a check"),
+        _bad("recording_pd_age", "FAIL", "recording_public_domain and not coalesce(release_year <= 1956, false) and coalesce(license_type <> 'CC0', true)", "free recordings that are too young"),
+        _bad("creator_flags", "FAIL", "license_type = 'CREATOR_MUSIC' and license_purchased = revenue_share_agreed", "creator music bought and shared, or neither"),
+        _bad("missing_license", "WARN", "license_type is null", "rights without a license type"),
+        f"select 'rule_groups', case when n = 0 then 'PASS' else 'WARN' end, n, 'groups without rights' from (select count(*) as n from unnest(['{"', '".join(GROUP_TYPES)}']) t(x) where x not in (select license_type from j where license_type is not null))",
+        "select 'statuses', case when n = 0 then 'PASS' else 'WARN' end, n, 'statuses without rights' from (select count(*) as n from unnest(['PROTECTED', 'PUBLIC_DOMAIN', 'LICENSED']) t(x) where x not in (select copyright_status from j where copyright_status is not null))",
+    ]),
+    "vector_bytes": "select vec_id, (case when vec_id % 10 = 0 then 240 else 256 end)::int as n_bytes, case when vec_id % 10 <> 0 then true end as same from embeddings",
+    "undecodable": f"with {A.SQL_Q}, k as (select distinct query_id from q) select count(*) filter (where query_id % 4 <> 0) as read, count(*) filter (where query_id % 4 = 0) as skipped from k",
+    "noise_segments": "with e as (select vec_id, embedding::double[] as v from embeddings) select vec_id, (select max(list_dot_product(e.v, p.v)) from e p where p.vec_id in (3, 5, 8)) >= 0.25 as noise from e",
+    "held_out_leaks": "select l_suppkey as query_source, count(*) as n from lineitem join supplier on s_suppkey = l_suppkey where l_partkey % 50 = s_suppkey % 50 group by 1",
+    "cover_descriptors": f"with {_DESC} select id, frames, (r * frames + f)::int as i, round(case when w > 1e-8 then z / w else z end, 5) as x from whole",
+    "public_projection": """select l_orderkey, l_linenumber, '{"score":' || round(round(l_tax * 7 + 0.001, 4), 2)::double || ',"best":{"id":' || l_suppkey || '}}' as json from lineitem""",
     "index_build_remap": f"""with {_STORED} select vec_id, case when how = 'remapped' then target else coalesce(target, rid) end as recording_id, how,
 round(case when how in ('remapped', 'already_uuid') then case when norm > 0 then v0[2] / norm else 0 end end, 5) as v1, round(case when how in ('remapped', 'already_uuid') then case when norm > 0 then 1::double else 0 end end, 5) as norm from hw""",
     "index_build_stats": f"with {_STORED} select how, count(*) as n from hw group by 1",
@@ -411,7 +501,7 @@ select coalesce(mt.unknown_id, event_id), ts from s left join mt on query_id = e
     "cover_noise_sweep": f"{_NSWEEP} select * from nsweep",
     "cover_threshold_pick": f"""{_NSWEEP}, t as (select (select tau from nsweep where false_match_rate <= 0.005 and noise_match_rate = 0 order by f1 desc, tau limit 1) as a, (select tau from nsweep where false_match_rate <= 0.05 and noise_match_rate = 0 order by f1 desc, tau limit 1) as b,
 (select tau from nsweep order by f1 desc, tau desc limit 1) as c) select coalesce(a, b, c) as tau, coalesce(a, b) is not null as safe from t""",
-    "cover_grid_pick": S.ORACLE["cover_rule_grid"].replace("select fold, low", ", grid as (select fold, low", 1) + """), g2 as (select low, delta, sum(accepted) as a, sum(correct) as c, sum(n) as n from grid group by all),
+    "cover_grid_pick": S.ORACLE["cover_rule_grid"].replace("select fold, absolute", ", grid as (select fold, absolute", 1) + """), g2 as (select low, delta, sum(accepted) as a, sum(correct) as c, sum(n) as n from grid where absolute = 2 group by all),
 g3 as (select low, delta, round(case when a > 0 then c / a::double else 0 end, 4) as "precision", round(c / n::double, 4) as recall from g2 where round((a - c) / n::double, 4) <= 0.9)
 select low, delta, "precision", recall from g3 order by recall desc, "precision" desc, delta desc, low desc limit 1""",
     "query_axis": """with x as (select l_orderkey, l_linenumber, case when l_linenumber <= 2 then 30::double else l_quantity end as crop_start,
@@ -425,7 +515,7 @@ select name, value as expected, actual from a left join b using (name) where val
     "fingerprint_uniqueness": "select count(*) as n, round(count(distinct text) / count(*)::double, 6) as ratio from documents",
     "end_to_end": f"""{RI._HEADG}, {RI._FACT}, dec as ({RI._decide_sql("facts", "com", "mon")}), {RI._OUT}, said as (select recording_id, match_type, risk from result),
 fs as (select * replace ('EXACT_MATCH' as match_type, 1::double as ic) from facts), dec2 as ({RI._decide_sql("fs", "com", "mon")}), {RI._OUT.replace("from dec)", "from dec2)").replace("out_", "out2").replace("fin as", "fin2 as").replace("from fin)", "from fin2)").replace("result as", "result2 as")},
-r as (select recording_id, match_type, said.risk, recording_id % 3 = 0 as held_out, {A.sql_bucket("recording_id", "hit", 10)} < 8 as right_, case when recording_id % 3 = 0 then 'UNKNOWN' else w.risk end as truth from said join result2 w using (recording_id))
+r as (select recording_id, said.match_type, said.risk, recording_id % 3 = 0 as held_out, {A.sql_bucket("recording_id", "hit", 10)} < 8 as right_, case when recording_id % 3 = 0 then 'UNKNOWN' else w.risk end as truth from said join result2 w using (recording_id))
 select held_out, count(*) as n, round(avg(case when risk = truth then 1::double else 0 end), 6) as accuracy, count(*) filter (where match_type = 'UNKNOWN') as unknown, count(*) filter (where not held_out and not right_) as failures,
 round(count(*) filter (where not held_out and not right_ and risk = truth) / greatest(count(*) filter (where not held_out and not right_), 1)::double, 4) as right_by_luck from r group by 1""",
     "insert_absent_jobs": "select distinct o_orderkey % 700 as job_id from orders where o_orderkey % 700 not in (select o_orderkey % 500 from orders where o_orderkey % 2 = 0)",

@@ -179,7 +179,17 @@ m as (select truth, predicted, count(*) as n from c group by all), k as (select
 s as (select cls, coalesce((select sum(n) from m where truth = cls), 0)::bigint as support, coalesce((select sum(n) from m where predicted = cls), 0)::bigint as said, coalesce((select sum(n) from m where truth = cls and predicted = cls), 0)::bigint as tp from k),
 pr as (select *, case when said > 0 then tp / said::double else 0 end as p, case when support > 0 then tp / support::double else 0 end as r from s),
 rep as (select cls, support, round(p, 6) as "precision", round(r, 6) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 6) as f1 from pr)"""
+from .similarity import _near  # noqa: E402
+
+_VARIANTS = f"""with {A.SQL_Q}, r as (select query_id as doc_id, pos, h from q), seq as (select query_id as id, list(h order by pos) as x from q group by 1),
+kinds as (select id, 'original' as kind, x from seq union all select id, 'crop', x[len(x) // 4 + 1 : len(x) // 4 + greatest(len(x) // 2, 1)] from seq union all select id, 'shift', list_concat([0::bigint, 1::bigint], x) from seq
+    union all select id, 'flip', [xor(v, (1::bigint << ((v + i - 1) % 32)::int)) for v, i in x] from seq union all select id, 'thin', [v for v, i in x if (i - 1) % 5 <> 4] from seq),
+vq as (select id || '|' || kind as query_id, (p - 1)::int as pos, x[p] as h from kinds, unnest(generate_series(1, len(x))) t(p)), {_near(None, "fv", "vq")},
+best as (select * from fv qualify row_number() over (partition by query_id order by score desc, doc_id) = 1)
+select kind, count(*) as n, round(avg(case when doc_id = id and score >= 0.3 then 1::double else 0 end), 4) as accepted from kinds left join best on query_id = id || '|' || kind group by 1"""
 ORACLE = {
+    "fp_variants_accepted": _VARIANTS,
+    "codec_decode": f"with {A.SQL_Q}, n as (select query_id, count(*)::int as n from q group by 1) select query_id, n, true as same, n between 4 * least(n / 7.5::double, 120) - 20 and 12 * least(n / 7.5::double, 120) + 20 as plausible from n",
     "eval_error_breakdown": _RES + " select case when transformation = 'R' then 'special' else 'other' end as kind, transformation, count(*) filter (where accepted and not correct) as wrong, count(*) filter (where not accepted) as missed, count(*) as n from res where system = 'full' group by all",
     "eval_distribution": "select event_type, count(value) as n, round(avg(value), 6) as mean, max(value) as top, round(quantile_cont(value::double, 0.95), 4) as p from events group by 1",
     "eval_window_summary": "with w as (select l_orderkey, count(*) filter (where l_quantity < 48) as n, count(*) as planned from lineitem group by 1) select count(*) as queries, round(avg(n), 4) as mean_windows, round(avg(case when n < planned then 1.0::double else 0 end), 6) as early, round(avg(case when n >= 5 then 1.0::double else 0 end), 6) as exhausted from w",

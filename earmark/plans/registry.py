@@ -166,21 +166,31 @@ def test_plan_cross(spark, d):
 
 
 def quality_suite(spark, d):
+    """Checks of the tables, those of one table by one aggregate."""
     li, o = A.table(spark, d, "lineitem"), A.table(spark, d, "orders")
     p, c, e, docs = A.table(spark, d, "part"), A.table(spark, d, "customer"), A.table(spark, d, "embeddings"), A.table(spark, d, "documents")
-    k = lambda df, a: df.select(F.col(a).alias("k"))
+    known = lambda df, key, name: df.select(F.col(key).alias(f"__{name}")).distinct()
+    lines = li.join(known(o, "o_orderkey", "o"), F.col("l_orderkey") == F.col("__o"), "left").join(known(p, "p_partkey", "p"), F.col("l_partkey") == F.col("__p"), "left")
+    buyers = o.join(known(c, "c_custkey", "c"), F.col("o_custkey") == F.col("__c"), "left")
+    told = docs.join(known(A.table(spark, d, "labels"), "doc_id", "l"), F.col("doc_id") == F.col("__l"), "left")
     checks = [
-        etl.check("fk_lineitem_orders", "FAIL", etl.orphans(k(li, "l_orderkey"), k(o, "o_orderkey"), "k"), "lines without an order"),
-        etl.check("fk_lineitem_part", "FAIL", etl.orphans(k(li, "l_partkey"), k(p, "p_partkey"), "k"), "lines without a part"),
-        etl.check("fk_orders_customer", "FAIL", etl.orphans(k(o, "o_custkey"), k(c, "c_custkey"), "k"), "orders without a customer"),
-        etl.check("orphan_customers", "WARN", etl.orphans(k(c, "c_custkey"), k(o, "o_custkey"), "k"), "customers without an order"),
-        etl.check("vector_width", "FAIL", e.filter(F.size("embedding") != 64), "vectors of another width"),
-        etl.check("duplicate_texts", "WARN", docs.groupBy("text").count().filter("count > 1"), "texts that repeat"),
-        etl.check("plausible_length", "FAIL", docs.filter(F.length("text") != F.col("n_chars")), "length is not n_chars"),
-        etl.check("label_coverage", "WARN", docs.select("doc_id").join(A.table(spark, d, "labels"), "doc_id", "left_anti"), "documents without labels"),
+        etl.checked(lines, {
+            "fk_lineitem_orders": ("FAIL", F.col("l_orderkey").isNotNull() & F.col("__o").isNull(), "lines without an order"),
+            "fk_lineitem_part": ("FAIL", F.col("l_partkey").isNotNull() & F.col("__p").isNull(), "lines without a part"),
+        }),
+        etl.checked(buyers, {
+            "fk_orders_customer": ("FAIL", F.col("o_custkey").isNotNull() & F.col("__c").isNull(), "orders without a customer"),
+            "null_keys": ("FAIL", F.col("o_orderkey").isNull(), "orders without a key"),
+        }),
+        etl.check("orphan_customers", "WARN", etl.orphans(c.select(F.col("c_custkey").alias("k")), o.select(F.col("o_custkey").alias("k")), "k"), "customers without an order"),
+        etl.checked(e, {"vector_width": ("FAIL", F.size("embedding") != 64, "vectors of another width")}),
+        etl.check("duplicate_texts", "WARN", docs.groupBy(F.md5("text")).count().filter("count > 1"), "texts that repeat"),
+        etl.checked(told, {
+            "plausible_length": ("FAIL", F.length("text") != F.col("n_chars"), "length is not n_chars"),
+            "label_coverage": ("WARN", F.col("__l").isNull(), "documents without labels"),
+        }),
         etl.check("all_returnflags", "WARN", li.agg(F.count_distinct("l_returnflag").alias("n")).filter("n < 3"), "classes without rows"),
-        etl.check("null_keys", "FAIL", o.filter("o_orderkey is null"), "orders without a key"),
-    ]
+    ]
     return reduce(DataFrame.unionByName, checks)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, NOISE_FLOOR, NOISE_MARGIN
-from ..operators import cascade, evaluation, fingerprint, vectors
+from ..operators import cascade, etl, evaluation, fingerprint, vectors
 from ..sources import adapters as A
 
 TOP = DEFAULT.prefilter_top
@@ -56,20 +56,14 @@ def fp_change_signature(spark, d):
 
 
 def heldout_exclusions(spark, d):
-    docs = A.table(spark, d, "documents").select("doc_id", F.md5("text").alias("cls"))
-    rows = A.table(spark, d, "documents").filter(F.col("doc_id") % 25 == 0).select("doc_id", "text")
-    q = A.items(rows, "doc_id", "query_id")
-    near = fingerprint.alignment(q, A.references(spark, d), fingerprint.candidates(q, A.references(spark, d), 10)).filter("query_id <> doc_id")
-    sources = rows.select(F.col("doc_id").alias("id"))
-    nxt = sources.select("id", (F.col("id") + 25).alias("n")).alias("a").join(sources.select(F.col("id").alias("n")), "n", "left")
-    partner = nxt.select("id", F.when(F.col("n") <= F.lit(10**15), F.col("n")).alias("other"))
-    last = sources.agg(F.max("id").alias("mx"), F.min("id").alias("mn"))
-    partner = partner.crossJoin(F.broadcast(last)).select("id", F.when(F.col("id") == F.col("mx"), F.col("mn")).otherwise(F.col("other")).alias("other"))
-    got = evaluation.held_out(
-        docs.select(F.col("doc_id").alias("id"), "cls"),
-        near.select(F.col("query_id").alias("id"), F.col("doc_id").alias("other"), "score"), partner,
+    """What is held out for each source: a stated set of documents, scored against all of them."""
+    docs = A.table(spark, d, "documents")
+    sources = docs.filter(F.col("doc_id") % 25 == 0).select("doc_id", "text")
+    near = fingerprint.alignment(A.items(sources, "doc_id", "query_id"), A.references(spark, d)).filter("query_id <> doc_id")
+    return evaluation.held_out(
+        docs.select(F.col("doc_id").alias("id"), F.md5("text").alias("cls")),
+        near.select(F.col("query_id").alias("id"), F.col("doc_id").alias("other"), "score"), etl.cyclic_partner(sources, "doc_id"),
     )
-    return got.join(sources, got["source"] == sources["id"], "left_semi")
 
 
 # --- vectors
@@ -99,10 +93,7 @@ def vec_pair_distribution(spark, d):
 
 def _loo(spark, d):
     """Best score of each vector within its own label and within any other."""
-    best = vectors.group_maxima(A.segments(spark, d), "label")
-    return best.groupBy("query_id").agg(
-        F.max(F.when(F.col("grp") == F.col("q_group"), F.col("best"))).alias("own"), F.max(F.when(F.col("grp") != F.col("q_group"), F.col("best"))).alias("other")
-    )
+    return vectors.own_and_other(A.segments(spark, d), "label")
 
 
 def vec_unknown_sweep(spark, d):
@@ -121,12 +112,13 @@ def recording_mean_vectors(spark, d):
     return m.select("recording_id", F.posexplode("v").alias("i", "x")).select("recording_id", "i", F.round("x", 5).alias("x"))
 
 
-PITCHES, FRAMES = 12, 5
+#: 64 components and eight zeros make twelve rows of six.
+PITCHES, FRAMES = 12, 6
 
 
 def _descriptors(spark, d):
-    v = F.slice("embedding", 1, PITCHES * FRAMES)
-    return A.table(spark, d, "embeddings").select("vec_id", vectors.normalised(F.transform(v, lambda x: x.cast("double"))).alias("v"))
+    v = F.concat(F.transform("embedding", lambda x: x.cast("double")), F.array_repeat(F.lit(0.0), PITCHES * FRAMES - 64))
+    return A.table(spark, d, "embeddings").select("vec_id", vectors.normalised(v).alias("v"))
 
 
 def _cover(spark, d, k=5):
@@ -158,15 +150,19 @@ def cover_rule_grid(spark, d):
         label.select(F.col("vec_id").alias("best"), F.col("label").alias("lb")), "best"
     )
     rows = rows.withColumn("ok", F.col("lq") == F.col("lb")).withColumn("fold", F.pmod(F.floor(F.col("query_id") / 25), F.lit(2)).cast("int"))
-    lows = [round(0.30 + 0.02 * i, 2) for i in range(7)]
-    deltas = [round(0.005 * i, 3) for i in range(21)]
-    rules = F.broadcast(spark.createDataFrame([(lo, de) for lo in lows for de in deltas], "low double, delta double"))  # 147 rows
-    hit = (F.col("s1") >= F.col("low")) & (F.round(F.col("s1") - F.col("s2"), 6) >= F.col("delta"))
-    return rows.crossJoin(rules).groupBy("fold", "low", "delta").agg(
+    rules = F.broadcast(spark.createDataFrame(grid_rules(), "absolute double, low double, delta double"))  # 589 rows
+    hit = (F.col("s1") >= F.col("absolute")) | ((F.col("s1") >= F.col("low")) & (F.round(F.col("s1") - F.col("s2"), 6) >= F.col("delta")))
+    return rows.crossJoin(rules).groupBy("fold", "absolute", "low", "delta").agg(
         F.count_if(hit).alias("accepted"), F.count_if(hit & F.col("ok")).alias("correct"), F.count("*").alias("n")
     )
 
 
+def grid_rules() -> list[tuple[float, float, float]]:
+    """588 rules of the grid, and the rule that accepts from the threshold on only."""
+    grid = [(a, round(0.30 + 0.02 * i, 2), round(0.005 * j, 3)) for a in (0.50, 0.55, 0.60, 2.0) for i in range(7) for j in range(21)]
+    return [(0.55, 1.01, 0.0), *grid]
+
+
 def cover_margin_stats(spark, d):
     t = _top_two(spark, d).select((F.col("s1") - F.col("s2")).alias("m"))
     p = lambda q: F.round(F.percentile("m", q), 5)
@@ -253,7 +249,7 @@ pr as (select *, case when tp + fp > 0 then tp / (tp + fp)::double else 0 end as
 sweep as (select tau, tp, fp, round(p, 6) as "precision", round(r, 6) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 6) as f1,
     round(case when neg > 0 then fp / neg::double else 0 end, 6) as fpr from pr)"""
 _UNK = _LOO.format(own="ql", grp="label") + ", o as (select query_id, max(case when grp = own_group then best end) as own, max(case when grp <> own_group then best end) as other from gm group by query_id), scored as (select own as score, 1 as truth from o union all select other, 0 from o)," + _SWEEP.format(lo="0.0::double", step="0.025", n=20)
-_ROT = f"""with d0 as (select vec_id, [x::double for x in embedding[1:{PITCHES * FRAMES}]] as v from embeddings),
+_ROT = f"""with d0 as (select vec_id, list_concat([x::double for x in embedding], list_transform(generate_series(1, {PITCHES * FRAMES - 64}), lambda i: 0::double)) as v from embeddings),
 desc_ as (select vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as v from d0),
 rot as (select vec_id as query_id, k as oti, list_transform(generate_series(0, {PITCHES * FRAMES - 1}), lambda i: v[((((i // {FRAMES}) - k + {PITCHES}) % {PITCHES}) * {FRAMES} + i % {FRAMES} + 1)::int]) as v
     from desc_ join (select unnest(generate_series(0, {PITCHES - 1})) as k) on {{which}}),
@@ -278,13 +274,11 @@ ORACLE = {
     "fp_duplicate_classes": "select md5(text) as fp, count(*) as n, min(doc_id) as first_id from documents group by 1 having count(*) > 1",
     "fp_change_signature": "select count(*) as n, min(doc_id) as first_id, max(doc_id) as last_id from documents",
     "heldout_exclusions": f"""with {A.SQL_R}, src as (select doc_id as id from documents where doc_id % 25 = 0),
-q as (select doc_id as query_id, pos, h from r where doc_id % 25 = 0), {_HITS.format(top=10)}, {_near("cand", "fast")},
-cls as (select a.doc_id as a, b.doc_id as b from documents a join documents b on a.text = b.text),
-close as (select query_id as a, doc_id as n from fast where query_id <> doc_id and score >= 0.1),
-own as (select a, b from cls union select c.a, k.b from close c join cls k on k.a = c.n),
+q as (select doc_id as query_id, pos, h from r where doc_id % 25 = 0), {_near(None, "fast")},
+held as (select id as a, text from src join documents on doc_id = id union select query_id, d.text from fast join documents d using (doc_id) where query_id <> doc_id and score >= 0.1),
 partner as (select id, coalesce(lead(id) over (order by id), first_value(id) over (order by id)) as other from src),
-whole as (select a, b from own union select p.id, o.b from partner p join own o on o.a = p.other)
-select a as source, b as excluded from whole where a in (select id from src)""",
+whole as (select a, text from held union select p.id, o.text from partner p join held o on o.a = p.other)
+select a as source, doc_id as excluded from whole join documents using (text)""",
     "vec_topk_recordings": _QP + _RETR.format(where="", n="(select count(*) from seg)", seg="seg_start,"),
     "vec_exclude_equiv": _QP + _RETR.format(where="where qr <> recording_id", n="(select count(*) - 2 from seg)", seg=""),
     "vec_leave_one_out_recall": _LOO.format(own="qr", grp="recording_id") + """,
@@ -306,8 +300,9 @@ select recording_id, (i - 1)::int as i, round(x, 5) as x from u""",
     when {_SHIFT} > 0 then '+' || {_SHIFT} || ' semitones' else {_SHIFT} || ' semitones' end as shift from top where "rank" <= 5""",
     "cover_margin_top2": _TWO + " select query_id, s1, s2, round(s1 - s2, 6) as margin, s1 >= 0.55 or (s1 >= 0.45 and s1 - s2 >= 0.02) as accepted from two",
     "cover_rule_grid": _TWO + """, rec as (select s1, s2, a.label = b.label as ok, ((query_id // 25) % 2)::int as fold from two join embeddings a on a.vec_id = query_id join embeddings b on b.vec_id = best),
-rules as (select round(0.30 + 0.02 * i, 2)::double as low, round(0.005 * j, 3)::double as delta from (select unnest(generate_series(0, 6)) as i), (select unnest(generate_series(0, 20)) as j))
-select fold, low, delta, count(*) filter (where s1 >= low and round(s1 - s2, 6) >= delta) as accepted, count(*) filter (where s1 >= low and round(s1 - s2, 6) >= delta and ok) as correct, count(*) as n from rec, rules group by all""",
+rules as (select a as absolute, round(0.30 + 0.02 * i, 2)::double as low, round(0.005 * j, 3)::double as delta from (select unnest([0.5::double, 0.55::double, 0.6::double, 2.0::double]) as a), (select unnest(generate_series(0, 6)) as i), (select unnest(generate_series(0, 20)) as j)
+    union all select 0.55::double, 1.01::double, 0::double), hits as (select *, s1 >= absolute or (s1 >= low and round(s1 - s2, 6) >= delta) as hit from rec, rules)
+select fold, absolute, low, delta, count(*) filter (where hit) as accepted, count(*) filter (where hit and ok) as correct, count(*) as n from hits group by all""",
     "cover_margin_stats": _TWO + ", m as (select s1 - s2 as m from two) select " + ", ".join(f"round(quantile_cont(m, {q / 100}), 5) as p{q:02d}" for q in (5, 25, 50, 75, 95)) + " from m",
     "cascade_verdict": _search_sql(1.0) + f""", {A.SQL_SEG},
 vp as (select a.vec_id as query_id, b.recording_id, max(round(list_dot_product(a.v, b.v), 6)) as score from seg a join seg b on a.recording_id <> b.recording_id where a.vec_id in (select item_id from benchmark) group by all),

@@ -29,14 +29,15 @@ def sql_bucket(id_: str, salt: str, m: int) -> str:
 
 
 def items(df: DataFrame, id_: str, out: str) -> DataFrame:
-    """(out, pos, h): hashed three-word shingles of a text column."""
+    """(out, pos, h, n): hashed three-word shingles of a text column, and how many there are."""
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
     rows = df.select(F.col(id_).alias(out), words.alias("w")).filter(F.size("w") >= SHINGLE)
     shingles = F.transform(
         F.slice("w", 1, F.size("w") - (SHINGLE - 1)),
         lambda w, i: hex32(F.concat_ws(" ", w, F.get("w", i + 1), F.get("w", i + 2))),
     )
-    return rows.select(out, F.posexplode(shingles).alias("pos", "h"))
+    n = (F.size("w") - (SHINGLE - 1)).cast("long").alias("n")
+    return rows.select(out, n, F.posexplode(shingles).alias("pos", "h")).select(out, "pos", "h", "n")
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,12 +20,27 @@ def read_typed_csv(spark: SparkSession, path: str, fields: T.StructType) -> Data
 
 def load_table(spark: SparkSession, source: str, target: str, name: str) -> int:
     """Replace a table by a CSV file; the file is read and counted before the old table is touched."""
-    df = read_csv(spark, source, name)
-    staged = target.rstrip("/") + ".staged"
+    return publish(read_csv(spark, source, name), target)
+
+
+def publish(df: DataFrame, target: str) -> int:
+    """Replace a table by df, which may read it: write beside it, count, then swap by renaming.
+
+    A failure before the swap leaves the old table; one between its two renames leaves it under ``.old``.
+    """
+    spark, path = df.sparkSession, target.rstrip("/")
+    staged, old = f"{path}.staged", f"{path}.old"
     df.write.mode("overwrite").parquet(staged)
-    rows = spark.read.parquet(staged)
-    n = rows.count()
-    rows.write.mode("overwrite").parquet(target)
+    n = spark.read.schema(df.schema).parquet(staged).count()
+    jvm = spark.sparkContext._jvm
+    place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(place(old), True)
+    if fs.exists(place(path)) and not fs.rename(place(path), place(old)):
+        raise OSError(f"cannot move {path}")
+    if not fs.rename(place(staged), place(path)):
+        raise OSError(f"cannot move {staged}")
+    fs.delete(place(old), True)
     return n
 
 
@@ -40,7 +55,7 @@ def replace_checked(old: DataFrame, new: DataFrame, expected_changes: int, path:
     changed = old.exceptAll(new).count()
     if changed != expected_changes:
         raise ValueError(f"{changed} rows differ, {expected_changes} expected")
-    new.write.mode("overwrite").parquet(path)
+    publish(new, path)
 
 
 def copy_common(source: DataFrame, target_columns: list[str]) -> DataFrame:
@@ -85,3 +100,40 @@ class Checkpoint:
 
     def add(self, results: DataFrame) -> None:
         results.write.mode("append").parquet(self.path)
+
+
+TRACK_TABLES = ("compositions", "recordings", "fingerprints", "rights")
+
+
+def track_rows(track: DataFrame) -> dict[str, DataFrame]:
+    """Rows of the four tables for tracks that each bring title, artist, year, duration, path, fingerprint and license.
+
+    Ids come from the path, so a track that is added again gets the same ones.
+    """
+    id_ = lambda kind: F.concat(F.lit(f"{kind}-"), F.md5(F.concat(F.lit(f"{kind}:"), F.col("path"))))
+    t = track.withColumns({k: id_(k) for k in ("composition", "recording", "right", "fp")}).withColumn("at", F.localtimestamp())
+    same = {"source": F.lit("manual"), "verified_at": F.col("at")}
+    rows = {
+        "compositions": {"composition_id": F.col("composition"), "title": F.col("title"), "composer": F.col("artist"), "year": F.col("year"), "public_domain_status": F.lit("no"), **same},
+        "recordings": {
+            "recording_id": F.col("recording"), "composition_id": F.col("composition"), "title": F.col("title"), "artist": F.col("artist"), "release_year": F.col("year"),
+            "duration": F.col("duration"), "source_dataset": F.lit("manual"), "source_track_id": F.col("path"), "audio_path": F.col("path"), "metadata_verified": F.lit(True),
+        },
+        "fingerprints": {"fingerprint_id": F.col("fp"), "recording_id": F.col("recording"), "algorithm": F.lit("chromaprint"), "fingerprint": F.col("fingerprint"), "duration": F.col("duration"), "created_at": F.col("at")},
+        "rights": {"rights_id": F.col("right"), "recording_id": F.col("recording"), "composition_id": F.col("composition"), "license_type": F.col("license"), "copyright_status": F.lit("PROTECTED"), **same},
+    }
+    return {k: conform(t.select(*[c.alias(n) for n, c in cols.items()]), k) for k, cols in rows.items()}
+
+
+def add_tracks(track: DataFrame, root: str) -> None:
+    """Append tracks to the four tables under ``root``, parents first; a failure between leaves parents without children,
+    which the integrity checks report and which adding the track again completes."""
+    spark = track.sparkSession
+    for name, rows in track_rows(track).items():
+        path, key = f"{root.rstrip('/')}/{name}", rows.columns[0]
+        try:
+            rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti")
+        except Exception as e:  # the table is new
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        rows.write.mode("append").parquet(path)

@@ -36,10 +36,19 @@ class RegistryTable:
         return self.spark.read.schema(registry.STATE).parquet(f"{self.path}/v={v[-1]}")
 
     def fold(self, batch: DataFrame, batch_id: int) -> None:
-        if batch_id in self._versions():
+        done = self._versions()
+        if done and batch_id <= done[-1]:
             return
         state = registry.upsert(self.read(), batch).select(*[f.name for f in self.read().schema.fields])
         state.write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
+        self._forget(keep=2)
+
+    def _forget(self, keep: int) -> None:
+        """Delete versions before the last ``keep``, which no reader of the current one needs."""
+        jvm = self.spark.sparkContext._jvm
+        for v in self._versions()[:-keep]:
+            p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={v}")
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def fold_sightings(stream: DataFrame, table: RegistryTable, checkpoint: str) -> StreamingQuery:
