@@ -234,7 +234,7 @@ def deal(docs: DataFrame, batch_tokens: int) -> DataFrame:
                 try:
                     x = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
                 except KeyError:
-                    if len(known) > 400_000:
+                    if len(known) > 200_000:
                         known.clear()
                     for t in tokens:
                         if t not in known:
@@ -263,6 +263,7 @@ def _each(frames):
     for frame in frames:
         for i in range(frame.num_rows):
             yield {c: frame.column(c)[i].as_py() for c in frame.schema.names}
+        pa.default_memory_pool().release_unused()
 
 
 def _ask(parts: int):
@@ -305,6 +306,7 @@ def _sum(key, got):
             "c": _press(c[theirs].astype(np.uint32)), "own": _press(own[j : j + len(y)].astype(np.uint8)), "spot": _deltas(theirs),
         })
         i, j = i + len(x), j + len(y)
+    pa.default_memory_pool().release_unused()
     rows.append({"batch": -1, "part": key[0].as_py(), "total": int(n.sum()), "kinds": int((n > 0).sum()), "once": int((c == 1).sum()), "twice": int((c == 2).sum())})
     return _rows(TOLD, rows)
 
@@ -436,7 +438,7 @@ def _read(facts: Facts, kept: list[int]):
 
 
 def score(
-    docs: DataFrame, train: Column, *, batch_tokens: int = 700_000, part_chars: int = 16_000_000, burn: int = 2, keep: int = 2, strength: float = 1.0
+    docs: DataFrame, train: Column, *, batch_tokens: int = 700_000, part_chars: int = 6_000_000, burn: int = 2, keep: int = 2, strength: float = 1.0
 ) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score and score for each row of (doc_id, text)."""
     mine = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
