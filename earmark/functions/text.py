@@ -36,7 +36,7 @@ def comparable(c: Column) -> Column:
     return F.nullif(F.lower(F.trim(c.cast("string"))), F.lit(""))
 
 
-def composer(title: Column, artist: Column, unknown: str = "Unknown") -> Column:
+def composer(title: Column, artist: Column, unknown: str = "Unknown Composer") -> Column:
     named = F.nullif(F.trim(F.regexp_extract(title, r"\(([^)]+)\)", 1)), F.lit(""))
     return F.coalesce(named, F.nullif(F.trim(artist), F.lit("")), F.lit(unknown))
 
@@ -46,6 +46,11 @@ def year(c: Column, default: int = 2020) -> Column:
     return F.when(text.rlike(r"^\d{4}"), F.substring(text, 1, 4).try_cast("int")).otherwise(default)
 
 
+def seconds(milliseconds: Column) -> Column:
+    """Milliseconds as seconds, two digits; missing counts as 0."""
+    return F.round(F.coalesce(milliseconds.cast("string").try_cast("double"), F.lit(0.0)) / 1000.0, 2)
+
+
 def track_number(path: Column) -> Column:
     """000002.mp3 gives 2; null if the name is no number."""
     return F.nullif(F.regexp_extract(path, r"(?:^|/)0*(\d+)\.[A-Za-z0-9]+$", 1), F.lit(""))

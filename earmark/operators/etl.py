@@ -32,6 +32,55 @@ def relabelled(df: DataFrame, column: str, when: Column, value: Column) -> DataF
     return df.withColumn("__new", new).withColumn("changed", ~F.col("__new").eqNullSafe(F.col(column))).drop(column).withColumnRenamed("__new", column)
 
 
+#: The sources whose rows are relabelled, and the label of simulated rows.
+SIMULATED_SET, DECLARED_SET = "dataset_G_vietnam_100k_api", "MTG-Jamendo"
+SIMULATED_SOURCE = "SIMULATED (dataset_G_vietnam_100k_api: tên bài, ID Spotify và cờ quyền là dữ liệu tổng hợp, chưa đối chiếu nguồn thật)"
+VERIFIED_SETS = ("FMA",)
+
+
+def relabelled_recordings(rows: DataFrame) -> DataFrame:
+    """recordings with metadata_verified as their dataset says; ``changed`` marks rows that were not so."""
+    return relabelled(rows, "metadata_verified", F.lit(True), F.coalesce(F.col("source_dataset").isin(*VERIFIED_SETS), F.lit(False)))
+
+
+def relabelled_rights(rows: DataFrame, now_year: int) -> DataFrame:
+    """rights (with their recording's source_dataset and release_year): simulated rows lose their check and get creator
+    flags that exclude each other, and too young recordings are not free; a nan label gets its text. ``changed`` marks rows
+    that are no longer what they were."""
+    from .rights import creator_flags, publisher_source, recording_pd_plausible
+
+    simulated = F.coalesce(F.col("source_dataset") == SIMULATED_SET, F.lit(False))
+    young = simulated & F.coalesce(F.col("recording_public_domain"), F.lit(False)) & ~recording_pd_plausible(F.col("release_year"), now_year)
+    bought, agreed = creator_flags(F.col("license_type"), F.col("revenue_share_required"))
+    nan = ~simulated & (F.trim("source") == "Spotify API / nan")
+    new = {
+        "source": F.when(simulated, SIMULATED_SOURCE).when(nan, publisher_source(F.lit(None).cast("string"))).otherwise(F.col("source")),
+        "verified_at": F.when(~simulated, F.col("verified_at")),
+        "license_purchased": F.when(simulated, bought).otherwise(F.col("license_purchased")),
+        "revenue_share_agreed": F.when(simulated, agreed).otherwise(F.col("revenue_share_agreed")),
+        "copyright_status": F.when(young, "PROTECTED").otherwise(F.col("copyright_status")),
+        **{c: F.when(young, False).otherwise(F.col(c)) for c in ("recording_public_domain", "commercial_use_allowed", "monetization_allowed")},
+    }
+    return _marked(rows, new)
+
+
+def relabelled_compositions(rows: DataFrame) -> DataFrame:
+    """compositions (with their source_dataset): simulated ones lose their check, and a verified status becomes possible;
+    declared ones lose their check."""
+    simulated, declared = (F.coalesce(F.col("source_dataset") == x, F.lit(False)) for x in (SIMULATED_SET, DECLARED_SET))
+    new = {
+        "source": F.when(simulated, SIMULATED_SOURCE).otherwise(F.col("source")),
+        "verified_at": F.when(~simulated & ~declared, F.col("verified_at")),
+        "public_domain_status": F.when(simulated & (F.col("public_domain_status") == "verified"), "possible").otherwise(F.col("public_domain_status")),
+    }
+    return _marked(rows, new)
+
+
+def _marked(rows: DataFrame, new: dict[str, Column]) -> DataFrame:
+    same = reduce(Column.__and__, [c.eqNullSafe(F.col(k)) for k, c in new.items()])
+    return rows.withColumns({**new, "changed": ~same})
+
+
 def stratified(df: DataFrame, stratum: str, id_: str, n: int, seed: str = "s") -> DataFrame:
     """Round robin over strata, larger strata first, in seeded order within each, until n rows."""
     rows = df.withColumn("__h", F.md5(F.concat_ws(":", F.lit(seed), F.col(id_).cast("string"))))

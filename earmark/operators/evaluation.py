@@ -52,6 +52,47 @@ def calibrate(sweeps: DataFrame, bounds: tuple[float, ...] = (0.005, 0.05)) -> D
     return got.select(F.coalesce(*names, "last").alias("tau"), F.coalesce(*names).isNotNull().alias("safe"))
 
 
+def unknown_sweep(known: DataFrame, unknown: DataFrame, taus: DataFrame) -> DataFrame:
+    """Of known queries (score, ok) and unknown ones (score): false matches, recall and precision of rejecting the unknown,
+    and right and wrong accepts of the known, by threshold; 4 digits."""
+    levels = [r["tau"] for r in taus.orderBy("tau").collect()]  # the grid is a parameter
+    cell = F.size(F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x <= F.col("score"))).alias("cell")
+    rows = known.select(cell, F.lit(1).alias("k"), F.col("ok").cast("int").alias("ok")).union(unknown.select(cell, F.lit(0), F.lit(0)))
+    cells = rows.groupBy("cell").agg(F.sum("k").alias("k"), F.sum("ok").alias("c"), F.count_if(F.col("k") == 0).alias("u"))
+    place = F.broadcast(taus.sparkSession.createDataFrame([(i + 1, x) for i, x in enumerate(levels)], "i int, tau double"))
+    whole = F.broadcast(cells.agg(F.sum("k").alias("all_k"), F.sum("u").alias("all_u")))
+    got = place.join(cells, F.col("cell") >= F.col("i"), "left").groupBy("tau").agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in "kcu"]).crossJoin(whole)
+    out_u, out_k = F.col("all_u") - F.col("u"), F.col("all_k") - F.col("k")
+    digits = lambda c: F.round(c, 4)
+    return got.select(
+        "tau", digits(ratio(F.col("u"), F.col("all_u"))).alias("false_match_rate"), digits(1 - ratio(F.col("u"), F.col("all_u"))).alias("unknown_recall"),
+        digits(ratio(out_u, out_u + out_k)).alias("unknown_precision"), digits(ratio(F.col("c"), F.col("all_k"))).alias("true_accept_rate"),
+        digits(ratio(F.col("k") - F.col("c"), F.col("all_k"))).alias("wrong_accept_rate"),
+    )
+
+
+def two_rate_sweep(results: DataFrame, taus: DataFrame) -> DataFrame:
+    """Precision, recall and F1 of accepted answers, and two shares of false accepts: without all that is held out, and
+    without exact copies only (held_exact, or held where null). results: score, ok, held, held_exact."""
+    levels = [r["tau"] for r in taus.orderBy("tau").collect()]  # the grid is a parameter
+    cell = lambda c: F.size(F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x <= c))
+    kinds = F.array(
+        F.struct(cell(F.col("score")).alias("cell"), F.lit("a").alias("k"), F.col("ok").cast("int").alias("ok")),
+        F.struct(cell(F.col("held")).alias("cell"), F.lit("h").alias("k"), F.lit(0).alias("ok")),
+        F.struct(cell(F.coalesce("held_exact", "held")).alias("cell"), F.lit("e").alias("k"), F.lit(0).alias("ok")),
+    )
+    cells = results.select(F.explode(kinds).alias("x")).select("x.*").groupBy("cell").agg(*[F.count_if(F.col("k") == k).alias(k) for k in "ahe"], F.sum("ok").alias("c"))
+    place = F.broadcast(taus.sparkSession.createDataFrame([(i + 1, x) for i, x in enumerate(levels)], "i int, tau double"))
+    whole = F.broadcast(cells.agg(F.sum("a").alias("n")))
+    got = place.join(cells, F.col("cell") >= F.col("i"), "left").groupBy("tau").agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in "ahec"]).crossJoin(whole)
+    p, r = ratio(F.col("c"), F.col("a")), ratio(F.col("c"), F.col("n"))
+    return got.select(
+        "tau", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(f1(p, r), 4).alias("f1"),
+        F.round(ratio(F.col("h"), F.col("n")), 4).alias("false_positive_rate"), F.round(ratio(F.col("e"), F.col("n")), 4).alias("false_positive_rate_exact_only"),
+        F.col("a").alias("accepted"),
+    )
+
+
 def noise_sweep(top1: DataFrame, held_out: DataFrame, noise: DataFrame, taus: DataFrame) -> DataFrame:
     """Precision, recall and F1 of accepting the best answer at ``score >= tau`` (top1: score, ok), and the shares of
     held-out and of noise probes that are accepted; 4 digits. Scores are counted by threshold cell first."""

@@ -300,6 +300,17 @@ def rotation_search(queries: DataFrame, refs: DataFrame, pitches: int, frames: i
     return got.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def top_two(scores: DataFrame, classes: DataFrame) -> DataFrame:
+    """(query_id, best, s1, s2_any, s2_dedup): the best recording (ties to the smaller id), and the best score of another
+    recording, and of one of another duplicate class. scores: (query_id, recording_id, score); classes: (recording_id, cls)."""
+    per = scores.groupBy("query_id", "recording_id").agg(F.max("score").alias("score")).join(classes, "recording_id", "left")
+    per = per.withColumn("cls", F.coalesce("cls", F.col("recording_id").cast("string")))
+    first = per.groupBy("query_id").agg(F.max_by(F.struct("recording_id", "cls", "score"), F.struct("score", -F.col("recording_id"))).alias("b"))
+    rest = per.join(first, "query_id").filter(F.col("recording_id") != F.col("b.recording_id"))
+    other = rest.groupBy("query_id").agg(F.max("score").alias("s2_any"), F.max(F.when(F.col("cls") != F.col("b.cls"), F.col("score"))).alias("s2_dedup"))
+    return first.join(other, "query_id", "left").select("query_id", F.col("b.recording_id").alias("best"), F.col("b.score").alias("s1"), "s2_any", "s2_dedup")
+
+
 def semitones(oti: Column) -> Column:
     """Signed semitone text of a rotation, -5 to +6, the tritone named apart."""
     s = F.pmod(-oti, F.lit(12))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audio_features, codec, etl, evaluation, fingerprint, index, jobs, registry, rights, rules, windows
+from ..operators import audio_features, codec, etl, evaluation, fingerprint, index, jobs, registry, rights, rules, vectors, windows
 from ..sources import adapters as A
 from . import evaluation as EV
 from . import registry as RG
@@ -398,8 +398,56 @@ def rights_integrity(spark, d):
     return rows.union(cover)
 
 
+def registry_detail(spark, d):
+    """Entries with the catalogue row of their recording and that of their hint."""
+    e = registry.upsert(spark.createDataFrame([], registry.STATE), RG._sightings(spark, d)).withColumn("recording_id", F.when(F.col("unknown_id") % 4 == 0, F.col("unknown_id") + 1))
+    rec = A.recordings(spark, d)
+    r = rec.select(F.col("recording_id").alias("rid"), F.col("artist").alias("catalogue_artist"))
+    h = rec.select(F.col("recording_id").alias("hid"), F.col("title").alias("hint_title"), F.col("artist").alias("hint_artist"))
+    return e.join(r, e["recording_id"] == r["rid"], "left").join(h, e["hint"] == h["hid"], "left").select("unknown_id", "sighting_count", "catalogue_artist", "hint", "hint_title", "hint_artist")
+
+
+def relabel_three(spark, d):
+    """How many rows of recordings, rights and compositions the relabelling changes, and what they become."""
+    rec = A.recordings(spark, d).select("recording_id", "composition_id", "release_year", F.get(F.array(*[F.lit(x) for x in (etl.SIMULATED_SET, "MTG-Jamendo", "FMA", "Spotify", None)]), F.pmod("recording_id", F.lit(5)).cast("int")).alias("source_dataset"))
+    a = etl.relabelled_recordings(rec.withColumn("metadata_verified", F.col("recording_id") % 2 == 0)).select(F.lit("recordings").alias("t"), "changed", F.col("metadata_verified").cast("string").alias("value"))
+    r = RI._rights(spark, d).filter("recording_id is not null").drop("composition_id").join(rec.drop("composition_id"), "recording_id")
+    r = r.withColumn("source", F.when(F.col("recording_id") % 7 == 0, " Spotify API / nan").otherwise(F.col("rights_source")))
+    b = etl.relabelled_rights(r, 2026).select(F.lit("rights"), "changed", F.concat_ws("|", "source", F.col("license_purchased").cast("string"), F.col("revenue_share_agreed").cast("string"), "copyright_status", F.col("verified_at").isNull().cast("string")))
+    c = rec.select("composition_id", "source_dataset", F.lit("x").alias("source"), F.lit("t").alias("verified_at"), A.pd_status(F.col("composition_id")).alias("public_domain_status"))
+    c = etl.relabelled_compositions(c).select(F.lit("compositions"), "changed", F.concat_ws("|", "source", "public_domain_status", F.coalesce("verified_at", F.lit("-"))))
+    return a.union(b).union(c).groupBy("t", "changed", "value").agg(F.count("*").alias("n"))
+
+
+def margin_runner_up(spark, d):
+    """Best recording of each query, the next other one, and the next of another class."""
+    li = A.table(spark, d, "lineitem")
+    scores = li.select(F.col("l_orderkey").alias("query_id"), F.col("l_suppkey").alias("recording_id"), (F.col("l_quantity") / 50).alias("score"))
+    classes = A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("recording_id"), (F.col("s_suppkey") % 3).cast("string").alias("cls"))
+    return vectors.top_two(scores, classes)
+
+
+def unknown_rejection_sweep(spark, d):
+    li = A.table(spark, d, "lineitem")
+    known = li.filter("l_linenumber <= 4").select((F.col("l_quantity") / 50).alias("score"), (F.col("l_returnflag") == "N").alias("ok"))
+    return evaluation.unknown_sweep(known, li.filter("l_linenumber > 4").select((F.col("l_quantity") / 100).alias("score")), evaluation.grid(spark, 0.0, 1.0, 10))
+
+
+def two_false_rates(spark, d):
+    li = A.table(spark, d, "lineitem")
+    r = li.select((F.col("l_quantity") / 50).alias("score"), (F.col("l_returnflag") == "N").alias("ok"), (F.col("l_tax") * 10).alias("held"), F.when(F.col("l_linenumber") > 1, F.col("l_discount") * 9).alias("held_exact"))
+    return evaluation.two_rate_sweep(r, evaluation.grid(spark, 0.0, 1.0, 10))
+
+
+def normalised_fields(spark, d):
+    p = A.table(spark, d, "part")
+    artist, title = F.when(F.col("p_partkey") % 3 == 0, F.lit(" ")).otherwise(F.col("p_brand")), F.when(F.col("p_partkey") % 2 == 0, F.concat("p_name", F.lit(" (Some One)")))
+    ms = F.when(F.col("p_partkey") % 5 == 0, None).otherwise(F.col("p_retailprice") * 7)
+    return p.select("p_partkey", T.composer(title, artist).alias("composer"), T.seconds(F.round(ms, 0)).alias("seconds"), T.year(F.when(F.col("p_partkey") % 4 == 0, "n/a").otherwise("1987-05")).alias("year"))
+
+
 QUERIES = {f.__name__: f for f in (
-    rights_integrity, vector_bytes, undecodable, noise_segments, held_out_leaks, cover_descriptors, public_projection, index_build_remap, index_build_stats, index_from_table, index_load, label_decode, creator_music, recording_pd, source_texts, confidence_breakdown, predicted_rights,
+    registry_detail, relabel_three, margin_runner_up, unknown_rejection_sweep, two_false_rates, normalised_fields, rights_integrity, vector_bytes, undecodable, noise_segments, held_out_leaks, cover_descriptors, public_projection, index_build_remap, index_build_stats, index_from_table, index_load, label_decode, creator_music, recording_pd, source_texts, confidence_breakdown, predicted_rights,
     analysis_windows, analysis_response, hint_candidate, candidate_labels, recognize_describe, registry_match, registry_match_upsert, registry_features_recent,
     noise_probes, cover_noise_sweep, cover_threshold_pick, cover_grid_pick, query_axis, augment_targets, augment_sample, tempo_histogram, same_protocol,
     fingerprint_uniqueness, end_to_end, insert_absent_jobs, service_state, duration_window, class_floor, tempo_spans, index_segments, production_features, iso_times,
@@ -449,7 +497,33 @@ def _bad(name: str, severity: str, bad: str, detail: str) -> str:
     return f"select '{name}' as \"check\", case when n = 0 then 'PASS' else '{severity}' end as status, n, '{detail}' as detail from (select count(*) filter (where {bad}) as n from j)"
 
 
+_GRID10 = "taus as (select round(i * 0.1::double, 4) as tau from (select unnest(generate_series(0, 10)) as i))"
+_DSET = f"['{etl.SIMULATED_SET}', 'MTG-Jamendo', 'FMA', 'Spotify', null][recording_id % 5 + 1]"
 ORACLE = {
+    "registry_detail": """with s as (select user_id, count(*) as n, arg_max(event_id % 7, (ts, event_id)) filter (where event_id % 3 = 0) as hint from events group by 1)
+select user_id as unknown_id, n as sighting_count, r.p_brand as catalogue_artist, hint, h.p_name as hint_title, h.p_brand as hint_artist from s left join part r on user_id % 4 = 0 and r.p_partkey = user_id + 1 left join part h on h.p_partkey = hint""",
+    "relabel_three": f"""with {A.SQL_REC}, {RI._SIM}, rs as (select *, {_DSET} as ds from rec), ra as (select recording_id % 2 = 0 as old, coalesce(ds = 'FMA', false) as new from rs),
+r0 as (select r.*, rs.ds, rs.release_year, case when r.recording_id % 7 = 0 then ' Spotify API / nan' else rights_source end as src from rights r join rs using (recording_id)),
+r1 as (select *, coalesce(ds = '{etl.SIMULATED_SET}', false) as sim, revenue_share_required as share, coalesce(ds = '{etl.SIMULATED_SET}', false) and coalesce(recording_public_domain, false) and not release_year <= 1956 as young from r0),
+r2 as (select *, case when sim then '{etl.SIMULATED_SOURCE}' when trim(src) = 'Spotify API / nan' then 'Spotify API / {rights.NO_PUBLISHER}' else src end as src2, case when not sim then verified_at end as at2,
+    case when sim then coalesce(license_type = 'CREATOR_MUSIC', false) and not share else license_purchased end as bought, case when sim then share else revenue_share_agreed end as agreed, case when young then 'PROTECTED' else copyright_status end as cs2 from r1),
+c as (select coalesce(ds = '{etl.SIMULATED_SET}', false) as sim, coalesce(ds = 'MTG-Jamendo', false) as dec, {A.sql_pd("composition_id")} as pd from rs),
+u as (select 'recordings' as t, old <> new as changed, new::varchar as value from ra union all
+select 'rights', src2 is distinct from src or at2 is distinct from verified_at or bought is distinct from license_purchased or agreed is distinct from revenue_share_agreed or cs2 is distinct from copyright_status or (young and (recording_public_domain or commercial_use_allowed or monetization_allowed)),
+    concat_ws('|', src2, bought::varchar, agreed::varchar, cs2, (at2 is null)::varchar) from r2 union all
+select 'compositions', sim or dec, concat_ws('|', case when sim then '{etl.SIMULATED_SOURCE}' else 'x' end, case when sim and pd = 'verified' then 'possible' else pd end, case when sim or dec then '-' else 't' end) from c)
+select t, changed, value, count(*) as n from u group by all""",
+    "margin_runner_up": """with p as (select l_orderkey as query_id, l_suppkey as rid, max(l_quantity / 50) as score from lineitem group by all), f as (select * from p qualify row_number() over (partition by query_id order by score desc, rid) = 1)
+select f.query_id, f.rid as best, f.score as s1, max(p.score) as s2_any, max(case when p.rid % 3 <> f.rid % 3 then p.score end) as s2_dedup from f left join p on p.query_id = f.query_id and p.rid <> f.rid group by all""",
+    "unknown_rejection_sweep": f"""with {_GRID10}, k as (select l_quantity / 50 as s, l_returnflag = 'N' as ok from lineitem where l_linenumber <= 4), u as (select l_quantity / 100 as s from lineitem where l_linenumber > 4),
+a as (select tau, (select count(*) from k where s >= tau)::double as k, (select count(*) from k where s >= tau and ok)::double as c, (select count(*) from u where s >= tau)::double as u, (select count(*) from k)::double as nk, (select count(*) from u)::double as nu from taus)
+select tau, round(u / nu, 4) as false_match_rate, round(1 - u / nu, 4) as unknown_recall, round(case when nu - u + nk - k > 0 then (nu - u) / (nu - u + nk - k) else 0 end, 4) as unknown_precision, round(c / nk, 4) as true_accept_rate, round((k - c) / nk, 4) as wrong_accept_rate from a""",
+    "two_false_rates": f"""with {_GRID10}, r as (select l_quantity / 50 as s, l_returnflag = 'N' as ok, l_tax * 10 as h, case when l_linenumber > 1 then l_discount * 9 else l_tax * 10 end as e from lineitem),
+a as (select tau, count(*) filter (where s >= tau) as k, count(*) filter (where s >= tau and ok) as c, count(*) filter (where h >= tau) as h, count(*) filter (where e >= tau) as e, count(*)::double as n from taus, r group by 1),
+p as (select *, case when k > 0 then c / k::double else 0 end as p, c / n as r from a)
+select tau, round(p, 4) as "precision", round(r, 4) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 4) as f1, round(h / n, 4) as false_positive_rate, round(e / n, 4) as false_positive_rate_exact_only, k as accepted from p""",
+    "normalised_fields": """select p_partkey, case when p_partkey % 2 = 0 then 'Some One' when p_partkey % 3 = 0 then 'Unknown Composer' else p_brand end as composer,
+case when p_partkey % 5 = 0 then 0 else round(round(p_retailprice * 7, 0) / 1000, 2) end as seconds, case when p_partkey % 4 = 0 then 2020 else 1987 end::int as year from part""",
     "rights_integrity": f"with {A.SQL_REC}, {RI._SIM}, j as (select r.*, rec.release_year from rights r left join rec using (recording_id)) " + " union all ".join([
         _bad("verified_simulated", "FAIL", "starts_with(upper(coalesce(rights_source, '')), 'SIMULATED') and verified_at is not null", "simulated rights that claim a check"),
         _bad("recording_pd_age", "FAIL", "recording_public_domain and not coalesce(release_year <= 1956, false) and coalesce(license_type <> 'CC0', true)", "free recordings that are too young"),
