@@ -89,6 +89,19 @@ def _folder(spark: SparkSession) -> str:
     return _folders[app]
 
 
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system; idle workers keep what they hold while other stages run."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 @contextlib.contextmanager
 def _settings(spark: SparkSession, values: dict[str, str]):
     before = {k: spark.conf.get(k, None) for k in values}

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, drop
+from .common import LOWER, UPPER, cut, drop, give_back
 
 #: Up to so many customers a dish's tables are drawn from their exact law; beyond, from an
 #: approximation, by a scaled curve if there are few tables, else by a normal law.
@@ -249,6 +249,8 @@ def deal(docs: DataFrame, batch_tokens: int) -> DataFrame:
                     number, ids, learn, texts, room = number + 1, [], [], [], 0
         if ids:
             yield flush()
+        known.clear()
+        give_back()
 
     return docs.select(F.spark_partition_id().cast("long").alias("task"), "doc_id", "text", "train").mapInArrow(run, _ddl(BATCH))
 
@@ -263,7 +265,7 @@ def _each(frames):
     for frame in frames:
         for i in range(frame.num_rows):
             yield {c: frame.column(c)[i].as_py() for c in frame.schema.names}
-        pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def _ask(parts: int):
@@ -306,7 +308,7 @@ def _sum(key, got):
             "c": _press(c[theirs].astype(np.uint32)), "own": _press(own[j : j + len(y)].astype(np.uint8)), "spot": _deltas(theirs),
         })
         i, j = i + len(x), j + len(y)
-    pa.default_memory_pool().release_unused()
+    give_back()
     rows.append({"batch": -1, "part": key[0].as_py(), "total": int(n.sum()), "kinds": int((n > 0).sum()), "once": int((c == 1).sum()), "twice": int((c == 2).sum())})
     return _rows(TOLD, rows)
 
@@ -402,6 +404,7 @@ def _parent(sweep: int, facts: Facts):
             for r, x in zip(rows, spots):
                 r["t"] = _press(drawn[x])
         rows.append({"batch": -1, "part": part, "customers0": int(c.sum()), "tables0": int(t.sum()), "once": int((c == 1).sum()), "twice": int((c == 2).sum())})
+        give_back()
         return _rows(SEATED, rows)
 
     return run

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import give_back
+
 SCHEMA = (
     "doc_id long, start long, length long, ids_le binary, doc_tokens long, "
     "sequence_id long, offset long, tier int, step_group long"
@@ -284,5 +286,8 @@ def pack(
                         yield from flush(False)
                         tokens = 0
         yield from flush(True)
+        held.clear()
+        tok = None  # its vocabulary and cache
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)

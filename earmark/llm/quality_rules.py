@@ -182,6 +182,6 @@ def query(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with their columns."""
-    return judge(docs, carry=tuple(docs.columns)).filter("kept").select("__row.*")
+def keep(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs that are kept, with their columns; how: limits of ``judge``."""
+    return judge(docs, carry=tuple(docs.columns), **how).filter("kept").select("__row.*")
