@@ -27,8 +27,8 @@ from earmark.llm.queries import TOKENIZER
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose posterior quality reaches the bound and that pass the base test."""
-    return quality_rules.keep(docs)
+    """Documents whose posterior quality reaches the bound and that don't repeat themselves; short ones are judged alike."""
+    return quality_rules.keep(docs, least_words=1)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
