@@ -56,8 +56,10 @@ def _chunked(df: DataFrame, keys: list[str], masks: list[int]) -> DataFrame:
     return df.select(*keys, F.explode(F.array(*parts)).alias("k")).select(*keys, "k.c", "k.x")
 
 
-def alignment(q: DataFrame, r: DataFrame, pairs: DataFrame | None = None, max_bits: int = 2) -> DataFrame:
-    """(query_id, doc_id, score): pairs on the best offset over the shorter length; pairs limits what is compared.
+def alignment(q: DataFrame, r: DataFrame, pairs: DataFrame | None = None, max_bits: int = 2, hits: bool = False) -> DataFrame:
+    """(query_id, doc_id, score[, hits]): pairs on the best offset over the shorter length; pairs limits what is compared.
+
+    hits: pairs of equal items at any offset.
 
     Of max_bits + 3 chunks, three agree; of max_bits + 1, one does, which is enough where
     the query is part of the key.
@@ -80,10 +82,11 @@ def alignment(q: DataFrame, r: DataFrame, pairs: DataFrame | None = None, max_bi
         first = F.when(differ.bitwiseAND(F.lit(m)) == 0, i).otherwise(first)
     best = (
         met.filter((F.bit_count(differ) <= max_bits) & (F.col("c") == first))
-        .groupBy("query_id", "doc_id", (F.col("i") - F.col("j")).alias("off")).agg(F.count("*").alias("count"), F.min(F.least("nq", "nr")).alias("n"))
-        .groupBy("query_id", "doc_id").agg(F.max("count").alias("best"), F.min("n").alias("n"))
+        .groupBy("query_id", "doc_id", (F.col("i") - F.col("j")).alias("off"))
+        .agg(F.count("*").alias("count"), F.count_if(differ == 0).alias("equal"), F.min(F.least("nq", "nr")).alias("n"))
+        .groupBy("query_id", "doc_id").agg(F.max("count").alias("best"), F.sum("equal").alias("hits"), F.min("n").alias("n"))
     )
-    return best.select("query_id", "doc_id", F.round(F.col("best") / F.col("n"), 6).alias("score"))
+    return best.select("query_id", "doc_id", F.round(F.col("best") / F.col("n"), 6).alias("score"), *(["hits"] if hits else []))
 
 
 def _counted(items: DataFrame, key: str) -> DataFrame:
@@ -102,15 +105,19 @@ def verdicts(scores: DataFrame, durations: DataFrame, t: Thresholds = DEFAULT) -
 
 
 def search(q: DataFrame, r: DataFrame, durations: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """Prefiltered search; short queries and those near the threshold are scored against all references."""
-    fast = alignment(q, r, candidates(q, r, t.prefilter_top), t.max_bit_error)
-    best = fast.groupBy("query_id").agg(F.max("score").alias("best"))
-    limit = min_score(F.col("duration"), t)
-    near = durations.join(best, "query_id", "left").filter(
-        (F.col("duration") < t.prefilter_min_seconds) | (F.abs(F.coalesce("best", F.lit(0.0)) - limit) <= t.prefilter_band)
-    ).select("query_id")
-    slow = alignment(q.join(near, "query_id", "left_semi"), r, None, t.max_bit_error)
-    return verdicts(fast.join(near, "query_id", "left_anti").unionByName(slow), durations, t)
+    """Prefiltered search: the references with most equal items count; for short queries and those near the threshold, all do.
+
+    Equal items are among those the alignment meets, so one pass over the references gives the prefilter, the scores
+    of its candidates and those of the fallback.
+    """
+    scores = alignment(q, r, None, t.max_bit_error, hits=True)
+    mine = Window.partitionBy("query_id")
+    rank = F.row_number().over(mine.orderBy(F.desc("hits"), "doc_id"))
+    scores = scores.withColumn("fast", (F.col("hits") > 0) & (rank <= t.prefilter_top))
+    scores = scores.withColumn("best", F.coalesce(F.max(F.when(F.col("fast"), F.col("score"))).over(mine), F.lit(0.0)))
+    near = (F.col("duration") < t.prefilter_min_seconds) | (F.abs(F.col("best") - min_score(F.col("duration"), t)) <= t.prefilter_band)
+    kept = scores.join(durations, "query_id").filter(F.col("fast") | near)
+    return verdicts(kept.select("query_id", "doc_id", "score"), durations, t)
 
 
 def within_duration(pairs: DataFrame, window: float) -> DataFrame:
