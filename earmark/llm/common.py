@@ -20,6 +20,7 @@ LOWER = UPPER.lower()
 FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: From this size of the other side on, a join with a filtered table first tests its rows against a Bloom filter of that table.
 BLOOM_FROM = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+WHOLE_STAGE = "spark.sql.codegen.wholeStage"
 
 _own_roots: dict[str, str] = {}
 _folders: dict[str, str] = {}
@@ -92,9 +93,11 @@ def _folder(spark: SparkSession) -> str:
 def give_back() -> None:
     """Return freed memory of this Python worker to the system; idle workers keep what they hold while other stages run."""
     import ctypes
+    import gc
 
     import pyarrow as pa
 
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -114,18 +117,19 @@ def _settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def cut(df: DataFrame, parts: int | None = None, *, bloom: bool = False) -> DataFrame:
+def cut(df: DataFrame, parts: int | None = None, *, bloom: bool = False, narrow: bool = False) -> DataFrame:
     """Write df to the shared folder, in at most ``parts`` files, and read it back: lineage ends in files all executors see.
 
     bloom: joins with a filtered table may drop rows by a Bloom filter of it, whose size
-    Spark bounds, before they shuffle.
+    Spark bounds, before they shuffle. narrow: a few numbers a row, joined by their keys, where compiling whole stages
+    costs executors more time and memory than it saves.
 
     The table lives until ``drop`` is called on it, the ``scratch`` block it was made
     in ends, or the driver ends, whichever comes first.
     """
     spark = df.sparkSession
     path = f"{_folder(spark)}/{uuid.uuid4().hex}"
-    with _settings(spark, {FILE_CLEANUP: "true", **({BLOOM_FROM: "0"} if bloom else {})}):
+    with _settings(spark, {FILE_CLEANUP: "true", **({BLOOM_FROM: "0"} if bloom else {}), **({WHOLE_STAGE: "false"} if narrow else {})}):
         (df if parts is None else df.coalesce(parts)).write.parquet(path)
     if _scopes:
         _scopes[-1].append(path)

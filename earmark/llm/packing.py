@@ -227,6 +227,7 @@ def pack(
     tiers: tuple[int, ...] = TIERS,
     step_tokens: int = 65536,
     flush_tokens: int = 4_000_000,
+    keep_chunks: int = 1_500_000,
 ) -> DataFrame:
     """One row per piece of a document (doc_id, text) in a window, with its ids as little-endian uint32."""
     schema = pa.schema([
@@ -236,7 +237,7 @@ def pack(
 
     def run(batches):
         base = TaskContext.get().partitionId() << 36
-        tok, packer = ChunkTokenizer(tokenizer_path), Packer(tiers)
+        tok, packer = ChunkTokenizer(tokenizer_path, keep_chunks), Packer(tiers)
         held: dict[int, tuple] = {}
         windows: list[tuple[int, list]] = []
         count, groups, tokens, key = 0, 0, 0, 0
@@ -273,6 +274,7 @@ def pack(
             for k in [k for k in held if k not in waiting]:
                 del held[k]
 
+        batch = doc_ids = texts = some = ids = None
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1)
             for s in range(0, batch.num_rows, READ_ROWS):
@@ -287,7 +289,8 @@ def pack(
                         tokens = 0
         yield from flush(True)
         held.clear()
-        tok = None  # its vocabulary and cache
+        tok.clear()
+        tok = packer = batch = doc_ids = texts = some = ids = None  # with the vocabulary, its cache and the last texts
         give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
