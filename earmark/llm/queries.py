@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    divergence,
     langid,
     license_scan,
     lm_scoring,
@@ -68,6 +69,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.query(table(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
@@ -79,9 +84,11 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_near_dedup": op9_near_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 ORACLE: dict[str, str] = {
     "op4_url_filters": url_filters.ORACLE,
     "op5_exact_topk": topk.ORACLE,
+    "op12_source_divergence": divergence.ORACLE,
 }
