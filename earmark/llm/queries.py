@@ -17,6 +17,7 @@ from . import (
     near_dedup,
     packing,
     quality_rules,
+    repeated_passages,
     secret_scan,
     topk,
     url_filters,
@@ -73,6 +74,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages.query(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
@@ -85,6 +90,7 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_secret_scan": op10_secret_scan,
     "op12_source_divergence": op12_source_divergence,
+    "op13_repeated_passages": op13_repeated_passages,
 }
 
 ORACLE: dict[str, str] = {
