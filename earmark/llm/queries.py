@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    alignment,
     divergence,
     langid,
     license_scan,
@@ -25,6 +26,8 @@ from . import (
 from .common import table
 
 TOKENIZER = os.environ.get("EARMARK_TOKENIZER") or public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = os.environ.get("EARMARK_BYTE_TOKENIZER") or public_tokenizers.path("byte_bpe_50k.json")
+PIECE_TOKENIZER = os.environ.get("EARMARK_PIECE_TOKENIZER") or public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +73,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.query(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECE_TOKENIZER)
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -89,6 +96,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_near_dedup": op9_near_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op11_alignment": op11_alignment,
     "op12_source_divergence": op12_source_divergence,
     "op13_repeated_passages": op13_repeated_passages,
 }
