@@ -11,7 +11,7 @@ tier that a partition flushes together are dealt into step groups of about
 by a snake order; groups of different flushes are not weighed against each other.
 
 Each partition packs its own documents: no shuffle, no collected state, and a
-buffer bounded by ``flush_tokens``. A task that is run again makes the same
+buffer bounded by ``flush_tokens``; the table of chunks met before is bounded in bytes. A task that is run again makes the same
 windows. Null texts count as empty; an empty document is its closing id alone; very
 long texts are encoded in runs and cut into full windows; repeated rows are packed once
 each; of segments of one length the one read first goes first; an empty table gives no
@@ -20,6 +20,8 @@ rows; other columns are not read.
 
 from __future__ import annotations
 
+import os
+import re
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -37,7 +39,13 @@ SCHEMA = (
     "sequence_id long, offset long, tier int, step_group long"
 )
 TIERS = (256, 512, 1024, 2048, 4096)
-READ_ROWS = 256
+#: Texts are encoded together up to so many characters; a longer one goes in runs of so many.
+READ_CHARS = 400_000
+#: What a chunk in the table of chunks takes besides its letters and ids.
+ENTRY_BYTES = 450
+
+
+_BLANK = re.compile(r"[ \t\n\x0b\x0c\r]")
 
 
 def _latin(word: str) -> bool:
@@ -56,10 +64,12 @@ class ChunkTokenizer:
 
     GROUP = 64
 
-    def __init__(self, path: str, keep: int = 1_500_000):
+    def __init__(self, path: str, keep_bytes: int = 96_000_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        # one thread a task: a pool of its own in each worker costs memory and no task gains by it
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer, self.keep_bytes = Tokenizer.from_file(path), keep_bytes
         # for words of letters, lower-cased and composed already
         self.lean = Tokenizer(self.tokenizer.model)
         self.lean.pre_tokenizer = pre_tokenizers.Sequence(
@@ -79,10 +89,13 @@ class ChunkTokenizer:
         self.size = np.zeros(1 << 16, np.int64)
         self.word_start = np.zeros(1 << 16, np.int64)
         self.word_size = np.zeros(1 << 16, np.int64)
-        self.used = 0
+        self.used = self.letters = 0
+
+    def held_bytes(self) -> int:
+        return len(self.place) * ENTRY_BYTES + 2 * self.letters + 4 * self.used
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _store(self, ids: np.ndarray) -> int:
         while self.used + len(ids) > len(self.ids):
@@ -95,7 +108,7 @@ class ChunkTokenizer:
         """Each word is kept as word + stop + word + comma, so that all three forms are slices."""
         groups = [b" ".join(words[i : i + self.GROUP]).decode() for i in range(0, len(words), self.GROUP)]
         groups = [g if g.isascii() else normalize("NFC", g).lower() for g in groups]
-        flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.lean.encode_batch(groups, add_special_tokens=False)])
+        flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.lean.encode_batch_fast(groups, add_special_tokens=False)])
         last = np.flatnonzero(self.ends[flat])
         assert len(last) == len(words), "a word of letters is one pre-token"
         sizes = np.diff(np.r_[-1, last])
@@ -140,10 +153,21 @@ class ChunkTokenizer:
         for i, ids in zip(others, self._encode([chunks[i].decode() for i in others])):
             self.start[at + i], self.size[at + i] = self._store(ids), len(ids)
         self.place.update(zip(chunks, range(at, at + n)))
+        self.letters += sum(map(len, chunks))
+
+    def encode_long(self, text: str) -> np.ndarray:
+        """Ids of a text of any length, in runs that end at a blank."""
+        out, start = [], 0
+        while start < len(text):
+            blank = _BLANK.search(text, start + READ_CHARS)
+            end = blank.start() if blank else len(text)
+            out += self.encode([text[start:end]])
+            start = end
+        return np.concatenate(out)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; unknown chunks of all the texts are encoded together."""
-        if len(self.place) > self.keep:
+        if self.held_bytes() > self.keep_bytes:
             self.clear()
         parts = [t.encode().split() for t in texts]
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -227,7 +251,7 @@ def pack(
     tiers: tuple[int, ...] = TIERS,
     step_tokens: int = 65536,
     flush_tokens: int = 4_000_000,
-    keep_chunks: int = 1_500_000,
+    keep_bytes: int = 96_000_000,
 ) -> DataFrame:
     """One row per piece of a document (doc_id, text) in a window, with its ids as little-endian uint32."""
     schema = pa.schema([
@@ -237,7 +261,7 @@ def pack(
 
     def run(batches):
         base = TaskContext.get().partitionId() << 36
-        tok, packer = ChunkTokenizer(tokenizer_path, keep_chunks), Packer(tiers)
+        tok, packer = ChunkTokenizer(tokenizer_path, keep_bytes), Packer(tiers)
         held: dict[int, tuple] = {}
         windows: list[tuple[int, list]] = []
         count, groups, tokens, key = 0, 0, 0, 0
@@ -274,23 +298,37 @@ def pack(
             for k in [k for k in held if k not in waiting]:
                 del held[k]
 
-        batch = doc_ids = texts = some = ids = None
-        for batch in batches:
-            doc_ids, texts = batch.column(0), batch.column(1)
-            for s in range(0, batch.num_rows, READ_ROWS):
-                some = [x.as_py() or "" for x in texts[s : s + READ_ROWS]]
-                for doc_id, ids in zip(doc_ids[s : s + READ_ROWS], tok.encode(some)):
-                    ids = np.append(ids, np.uint32(closing_id)).astype("<u4")
-                    held[key] = (doc_id.as_py(), ids)
-                    windows.extend(packer.add(key, len(ids)))
-                    key, tokens = key + 1, tokens + len(ids)
-                    if tokens >= flush_tokens:
-                        yield from flush(False)
-                        tokens = 0
+        def encoded(batches):
+            """(doc_id, ids) of each row; few characters are held as words at a time."""
+            for batch in batches:
+                ids, texts, size = [], [], 0
+                for doc_id, text in zip(batch.column(0), batch.column(1)):
+                    text = text.as_py() or ""
+                    if len(text) > READ_CHARS:
+                        yield doc_id.as_py(), tok.encode_long(text)
+                        continue
+                    ids.append(doc_id.as_py())
+                    texts.append(text)
+                    size += len(text)
+                    if size >= READ_CHARS:
+                        yield from zip(ids, tok.encode(texts))
+                        ids, texts, size = [], [], 0
+                if texts:
+                    yield from zip(ids, tok.encode(texts))
+
+        ids = None
+        for doc_id, ids in encoded(batches):
+            ids = np.append(ids, np.uint32(closing_id)).astype("<u4", copy=False)
+            held[key] = (doc_id, ids)
+            windows.extend(packer.add(key, len(ids)))
+            key, tokens = key + 1, tokens + len(ids)
+            if tokens >= flush_tokens:
+                yield from flush(False)
+                tokens = 0
         yield from flush(True)
         held.clear()
         tok.clear()
-        tok = packer = batch = doc_ids = texts = some = ids = None  # with the vocabulary, its cache and the last texts
+        tok = packer = ids = None  # with the vocabulary, its cache and the last texts
         give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 from earmark.llm import langid, license_scan, lm_scoring, mixing, near_dedup, packing, quality_rules, queries, secret_scan, topk, url_filters
 
+ROOT = __file__.rsplit("/tests/", 1)[0]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 #: Null texts and ids, blanks, repeated rows, ties, and one very long text.
@@ -972,3 +973,35 @@ def test_pipeline_with_odd_rows(spark, odd, sf):
         elif d.filter("key is null").isEmpty():
             assert got == want
     assert {i for i, _ in want} <= {0, 1, 2, 3, 4, 5}
+
+
+def resident():
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * 4096
+
+
+def test_memory_of_a_packing_worker():
+    """Many different words and very long texts: both are bounded by the table of chunks and the length of a run."""
+    import subprocess
+    import sys
+
+    code = """
+import random, sys
+from earmark.llm import packing, queries
+from tests.llm.test_llm import resident
+t, r, peak = packing.ChunkTokenizer(queries.TOKENIZER), random.Random(1), 0
+start = resident()
+parts = ["th", "er", "on", "ing", "ble", "re", "st", "ea", "or", "an", "wh", "ti", "he", "nd", "ou", "ed"]
+for _ in range(12):
+    t.encode_long(" ".join("".join(r.choice(parts) for _ in range(r.randint(2, 7))) for _ in range(100_000)))
+    peak = max(peak, resident() - start)
+print(peak)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=ROOT, timeout=300)
+    assert int(out.stdout.split()[-1]) < 200_000_000, out
+
+
+def test_runs_of_long_texts(spark):
+    tok, own = Tokenizer.from_file(queries.TOKENIZER), packing.ChunkTokenizer(queries.TOKENIZER)
+    for text in (" ".join(f"w{i % 977}, and" for i in range(120_000)), "x" * 900_000 + " y", "y\n" * 500_000, ""):
+        assert tok.encode(text, add_special_tokens=False).ids == (own.encode_long(text).tolist() if text else [])
