@@ -284,8 +284,9 @@ def passages(docs: DataFrame, n_shards: int, window: int = 50) -> DataFrame:
     again = cut(found.join(twice, "phrase", "left_semi"), bloom=True)
     drop(found)
     distinct = again.groupBy("phrase", "block").agg(F.min(F.struct("doc_id", "start", "windows")).alias("home"), F.max("doc_id").alias("last"))
+    distinct = cut(distinct.select("phrase", "block", "home.*", "last"))
     several = distinct.groupBy("phrase").agg((F.count("*") > 1).alias("mixed"))
-    distinct = cut(distinct.join(several, "phrase").select("phrase", "block", "home.*", "last", "mixed"))
+    distinct = distinct.join(several, "phrase")
     wanted = distinct.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "phrase", "block", "last", "mixed")).alias("wanted"))
     texts = docs.filter("text IS NOT NULL").select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "wanted")
     worded = cut(texts.mapInArrow(*_wording(window)), bloom=True)
