@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
+
 UUID_SHAPE = r"^.{8}-.{4}-.{4}-.{4}-.{12}$"
 
 
@@ -18,8 +20,8 @@ def parsed(text: Column, width: int) -> tuple[Column, Column]:
 
 def unit(vector: Column) -> Column:
     """The vector at length one; a zero vector stays zero."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(vector, lambda x: x / norm)).otherwise(vector)
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return let(vector, lambda v: let(length(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)))
 
 
 def source_map(metadata: DataFrame) -> DataFrame:

@@ -14,13 +14,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, Thresholds
+from ..config import DEFAULT, TEMPO_FACTORS, Thresholds
+from ..functions.columns import let
 
 
 def normalised(v: Column) -> Column:
     """Unit length; a zero vector stays zero."""
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.when(norm == 0, v).otherwise(F.transform(v, lambda x: x / norm))
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return let(v, lambda v: let(length(v), lambda n: F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n))))
 
 
 def parsed(text: Column, width: int) -> Column:
@@ -32,11 +33,13 @@ def parsed(text: Column, width: int) -> Column:
 def block_products(
     left: DataFrame, right: DataFrame, keep: Callable[[np.ndarray, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
     *, rows: int = 4096, left_rows: int | None = None, right_rows: int | None = None, upper: bool = False, right_block: Column | None = None,
+    multiply: bool = True,
 ) -> DataFrame:
     """keep(products, left block, right block) of every pair of blocks; both sides need ``vec_id`` and ``v``.
 
     upper: both sides are the same rows and keep itself drops the lower triangle; blocks below it never meet.
     right_block: the block of each right row, if it is not drawn by hash of the id.
+    multiply: False if keep makes its own products; it gets None for them.
     """
     n = max(1, -(-(left.count() if left_rows is None else left_rows) // rows))
     m = max(1, -(-(right.count() if right_rows is None else right_rows) // rows))
@@ -49,12 +52,14 @@ def block_products(
 
     def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
-            return keep(np.empty((len(x), len(y))), x, y).iloc[:0]
+            return pd.DataFrame({c: [] for c in names})
+        if not multiply:
+            return keep(None, x.reset_index(drop=True), y.reset_index(drop=True))
         # einsum-free BLAS product in double precision
         p = np.stack(x["v"].to_numpy()).astype(np.float64) @ np.stack(y["v"].to_numpy()).astype(np.float64).T
         return keep(p, x.reset_index(drop=True), y.reset_index(drop=True))
 
-    key = ["lb", "rb"]
+    key, names = ["lb", "rb"], [x.split()[0] for x in schema.split(", ")]
     return a.groupBy(*key).cogroup(b.groupBy(*key)).applyInPandas(meet, schema)
 
 
@@ -270,36 +275,93 @@ def mean_vectors(refs: DataFrame, group: str) -> DataFrame:
 # Rotations of a descriptor: ``pitches`` rows of ``frames`` values, pitch-major.
 
 
-def rotations(v: Column, pitches: int, frames: int) -> Column:
-    """All rotations of a descriptor; rotation r moves it up by r rows."""
-    at = lambda r: F.transform(
-        F.sequence(F.lit(0), F.lit(pitches * frames - 1)),
-        lambda i: F.get(v, F.pmod(F.floor(i / frames).cast("int") - r, F.lit(pitches)) * frames + i % frames),
-    )
-    return F.transform(F.sequence(F.lit(0), F.lit(pitches - 1)), at)
+def rotated(v: Column, r: int, pitches: int, frames: int) -> Column:
+    """A descriptor moved up by r rows: its last r rows come first."""
+    size = pitches * frames
+    head = r % pitches * frames
+    return let(v, lambda v: F.concat(F.slice(v, size - head + 1, head), F.slice(v, 1, size - head))) if head else v
+
+
+def spectrum(rows: np.ndarray, pitches: int, frames: int) -> np.ndarray:
+    """Spectrum along the pitch axis of each descriptor: (frequencies, rows, frames)."""
+    return np.fft.rfft(rows.reshape(len(rows), pitches, frames), axis=1).transpose(1, 0, 2)
+
+
+def correlated(q: np.ndarray, r: np.ndarray, pitches: int) -> np.ndarray:
+    """Products of all rotations of q with r, (pitches, rows of q, rows of r), from two spectra: one complex product
+    a frequency in place of one real product a rotation."""
+    return np.fft.irfft(np.matmul(q.conj(), r.transpose(0, 2, 1)), n=pitches, axis=0)
 
 
 def rotation_search(queries: DataFrame, refs: DataFrame, pitches: int, frames: int, k: int = 5) -> DataFrame:
-    """Per query the k best references over all rotations, the first rotation winning ties; scores at 4 digits."""
+    """Per query the k best references over all rotations, the first rotation winning ties; scores at 6 digits."""
+    rows = queries.select("vec_id", F.lit(0).alias("row"), "v", F.array("vec_id").alias("excluded"))
+    return cover_search(rows, refs, pitches, frames, k).drop("row").withColumnRenamed("recording_id", "vec_id")
 
-    def best(p: np.ndarray, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        q = np.stack(x["v"].to_numpy()).astype(np.float64).reshape(len(x), pitches, frames)
-        r = np.stack(y["v"].to_numpy()).astype(np.float64)
-        s = np.stack([np.roll(q, k_, axis=1).reshape(len(x), -1) @ r.T for k_ in range(pitches)])
-        s = np.round(s, 6)
-        oti, top = s.argmax(0), s.max(0)
-        top = np.where(x["vec_id"].to_numpy()[:, None] == y["vec_id"].to_numpy()[None, :], -np.inf, top)
-        most = min(k, top.shape[1])
-        order = np.lexsort((np.broadcast_to(y["vec_id"].to_numpy(), top.shape), -top), axis=1)[:, :most]
-        i, j = np.repeat(np.arange(len(x)), most), order.ravel()
-        out = pd.DataFrame({"query_id": x["vec_id"].to_numpy()[i], "vec_id": y["vec_id"].to_numpy()[j], "oti": oti[i, j], "score": top[i, j]})
-        return out[out["score"] > -np.inf]
-
-    got = block_products(queries.select("vec_id", "v"), refs.select("vec_id", "v"), best, "query_id long, vec_id long, oti int, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+def cover_search(rows: DataFrame, refs: DataFrame, pitches: int, frames: int, k: int = 5, *, block: int = 1024) -> DataFrame:
+    """(query_id, recording_id, row, oti, score, rank): the k best references of each query over its rows and all rotations.
+
+    rows: (vec_id, row, v, excluded), the descriptors of a query (``vec_id``) in the order of ``row`` and the references it
+    must not find; refs: (vec_id, v). The first row that reaches the highest score wins, in it the first rotation;
+    references of one score rank by id. The rows of a query meet a block of references together, so a pair leaves
+    a task once at most.
+    """
+
+    def best(_: None, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values(["vec_id", "row"], kind="stable", ignore_index=True)
+        r = spectrum(np.stack(y["v"].to_numpy()).astype(np.float64), pitches, frames)
+        ids = y["vec_id"].to_numpy()
+        out = []
+        starts = np.flatnonzero(np.r_[True, x["vec_id"].to_numpy()[1:] != x["vec_id"].to_numpy()[:-1]])
+        # some queries at a time: all rotations of them against the block are held at once
+        for first in range(0, len(starts), 64):
+            own = starts[first : first + 64]
+            end = starts[first + 64] if first + 64 < len(starts) else len(x)
+            part = x.iloc[own[0] : end]
+            s = np.round(correlated(spectrum(np.stack(part["v"].to_numpy()).astype(np.float64), pitches, frames), r, pitches), 6)
+            oti, top = s.argmax(0), s.max(0)
+            for a, b in zip(own - own[0], np.r_[own[1:], end] - own[0]):
+                at = top[a:b].argmax(0)
+                score = np.take_along_axis(top[a:b], at[None], 0)[0]
+                score[np.isin(ids, part["excluded"].iloc[a])] = -np.inf
+                order = np.lexsort((ids, -score))[:k]
+                order = order[score[order] > -np.inf]
+                out.append(pd.DataFrame({"query_id": part["vec_id"].iloc[a], "recording_id": ids[order], "row": part["row"].to_numpy()[a:b][at[order]],
+                                         "oti": oti[a:b][at[order], order], "score": score[order]}))
+        return pd.concat(out, ignore_index=True)
+
+    got = block_products(rows.select("vec_id", "row", "v", "excluded"), refs.select("vec_id", "v"), best,
+                         "query_id long, recording_id long, row int, oti int, score double", rows=block, multiply=False)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "recording_id")
     return got.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def tempo_rows(queries: DataFrame, base: float = 30.0, factors: tuple[float, ...] = TEMPO_FACTORS) -> DataFrame:
+    """queries (query_id, length in seconds, ...) by the spans to describe: ``row`` in the order of the factors, ``span`` in
+    whole seconds, and the factor it stands for, the nearest in seconds (null if over half a second off). Spans that the
+    query is too short for come out equally long and are one."""
+    spans = F.array(*[F.struct(F.lit(i).alias("row"), F.lit(f).alias("factor"), F.lit(base / f).alias("seconds")) for i, f in enumerate(factors)])
+    s = queries.select("query_id", "length", F.inline(spans)).withColumn("span", F.least(F.col("length"), F.floor(F.col("seconds") + 0.5)))
+    off = F.abs(F.col("seconds") - F.col("span"))
+    s = s.groupBy("query_id", "span").agg(F.min("row").alias("row"), F.min_by("factor", F.struct(off, "row")).alias("factor"), F.min(off).alias("off"))
+    return s.select("query_id", "span", "row", F.when(F.col("off") <= 0.5, F.col("factor")).alias("tempo_factor"))
+
+
+def identify_covers(rows: DataFrame, refs: DataFrame, pitches: int, frames: int, t: Thresholds = DEFAULT) -> DataFrame:
+    """Candidates of each query with rotation, tempo and verdict; rows as in ``cover_search`` with ``tempo_factor``.
+
+    Scores are rounded to four digits before they meet the threshold, so one just below it passes.
+    """
+    found = cover_search(rows, refs, pitches, frames, t.top_k).withColumn("score", F.round("score", 4))
+    factors = rows.select(F.col("vec_id").alias("query_id"), "row", "tempo_factor")
+    best = F.max("score").over(Window.partitionBy("query_id"))
+    return found.join(factors, ["query_id", "row"]).select(
+        "query_id", "rank", "recording_id", "score", "oti", semitones(F.col("oti")).alias("shift"), "tempo_factor",
+        (best >= t.cover).alias("matched"), ((F.col("rank") == 1) & (F.col("score") >= t.cover)).alias("is_match"),
+    )
+
+
 def top_two(scores: DataFrame, classes: DataFrame) -> DataFrame:
     """(query_id, best, s1, s2_any, s2_dedup): the best recording (ties to the smaller id), and the best score of another
     recording, and of one of another duplicate class. scores: (query_id, recording_id, score); classes: (recording_id, cls)."""

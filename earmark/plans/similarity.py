@@ -119,6 +119,28 @@ def _descriptors(spark, d):
     return A.table(spark, d, "embeddings").select("vec_id", vectors.normalised(v).alias("v"))
 
 
+def _moved(x: DataFrame) -> DataFrame:
+    """A fourth of the descriptors once more under ids of their own, moved up by three semitones."""
+    beyond = x.agg((F.max("vec_id") + 1).alias("beyond"))
+    return x.filter("vec_id % 4 = 1").crossJoin(beyond).select((F.col("vec_id") + F.col("beyond")).alias("vec_id"), vectors.rotated(F.col("v"), 3, PITCHES, FRAMES).alias("v"))
+
+
+def cover_identify(spark, d):
+    """Covers over tempo spans and rotations. A span of some seconds is described by as many 33rds of the components; queries last
+    24 to 34 seconds, may not find themselves, and every second one may not find the two ids after it either."""
+    e = A.table(spark, d, "embeddings").select("vec_id", "embedding")
+
+    def described(span):
+        n = F.floor(span * 64 / 33).cast("int")
+        return vectors.normalised(F.transform(F.sequence(F.lit(0), F.lit(PITCHES * FRAMES - 1)), lambda i: F.when(i < n, F.get("embedding", i).cast("double")).otherwise(0.0)))
+
+    asked = e.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), (24.0 + F.col("vec_id") % 11).alias("length"))
+    excluded = F.when(F.col("vec_id") % 50 == 0, F.array(*[F.col("vec_id") + i for i in range(3)])).otherwise(F.array("vec_id"))
+    rows = vectors.tempo_rows(asked).join(e, F.col("query_id") == F.col("vec_id")).select("vec_id", "row", "tempo_factor", described(F.col("span")).alias("v"), excluded.alias("excluded"))
+    refs = e.select("vec_id", described(F.lit(30)).alias("v"))
+    return vectors.identify_covers(rows, refs.union(_moved(refs)), PITCHES, FRAMES)
+
+
 def _cover(spark, d, k=5):
     x = _descriptors(spark, d)
     return vectors.rotation_search(x.filter(F.col("vec_id") % 25 == 0), x, PITCHES, FRAMES, k)
@@ -177,7 +199,7 @@ def cascade_verdict(spark, d):
     asked = s.join(ids, s["vec_id"] == ids["query_id"], "left_semi")
     vec = vectors.retrieve(asked.filter("vec_id % 2 = 0"), s, k=1).union(vectors.retrieve(asked.filter("vec_id % 2 = 1"), s, k=1, exclude_own=True))
     x = _descriptors(spark, d)
-    moved = x.filter("vec_id % 4 = 1").select((F.col("vec_id") + 100_000).alias("vec_id"), vectors.rotations(F.col("v"), PITCHES, FRAMES)[3].alias("v"))
+    moved = _moved(x)
     cov = vectors.rotation_search(x.join(ids, x["vec_id"] == ids["query_id"], "left_semi"), x.union(moved), PITCHES, FRAMES, 1)
     rows = (
         fp.join(vec.select("query_id", F.col("recording_id").alias("mert_id"), F.col("score").alias("mert_score")), "query_id", "left")
@@ -258,14 +280,14 @@ best as (select query_id, vec_id, max(score) as score, arg_min(oti, (-score, oti
 top as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as "rank" from best)"""
 _COVER = _ROT.format(which="vec_id % 25 = 0")
 _MOVED = f"""from d0), desc_ as (select * from desc0 union all
-    select vec_id + 100000, list_transform(generate_series(0, {PITCHES * FRAMES - 1}), lambda i: v[((((i // {FRAMES}) - 3 + {PITCHES}) % {PITCHES}) * {FRAMES} + i % {FRAMES} + 1)::int]) from desc0 where vec_id % 4 = 1),"""
+    select vec_id + (select max(vec_id) + 1 from desc0), list_transform(generate_series(0, {PITCHES * FRAMES - 1}), lambda i: v[((((i // {FRAMES}) - 3 + {PITCHES}) % {PITCHES}) * {FRAMES} + i % {FRAMES} + 1)::int]) from desc0 where vec_id % 4 = 1),"""
 _SHIFT = "(case when (12 - oti) % 12 > 6 then (12 - oti) % 12 - 12 else (12 - oti) % 12 end)"
 _TWO = _COVER + ', two as (select query_id, max(case when "rank" = 1 then score end) as s1, max(case when "rank" = 2 then score end) as s2, max(case when "rank" = 1 then vec_id end) as best from top where "rank" <= 2 group by query_id)'
 
 QUERIES = {f.__name__: f for f in (
     fp_prefilter_topk, fp_alignment_score, fp_search_verdict, fp_search_full_scan, fp_search_short_query, fp_duplicate_classes, fp_change_signature,
     heldout_exclusions, vec_topk_recordings, vec_exclude_equiv, vec_leave_one_out_recall, vec_map_segment, vec_pair_distribution, vec_unknown_sweep,
-    vec_target_pick, recording_mean_vectors, cover_rotation_best, cover_margin_top2, cover_rule_grid, cover_margin_stats, cascade_verdict,
+    vec_target_pick, recording_mean_vectors, cover_rotation_best, cover_margin_top2, cover_rule_grid, cover_margin_stats, cover_identify, cascade_verdict,
 )}
 ORACLE = {
     "fp_prefilter_topk": f'{_BASE}, {_CAND} select query_id, doc_id, hits, "rank" from cand',
@@ -306,6 +328,20 @@ rules as (select a as absolute, round(0.30 + 0.02 * i, 2)::double as low, round(
     union all select 0.55::double, 1.01::double, 0::double), hits as (select *, s1 >= absolute or (s1 >= low and round(s1 - s2, 6) >= delta) as hit from rec, rules)
 select fold, absolute, low, delta, count(*) filter (where hit) as accepted, count(*) filter (where hit and ok) as correct, count(*) as n from hits group by all""",
     "cover_margin_stats": _TWO + ", m as (select s1 - s2 as m from two) select " + ", ".join(f"round(quantile_cont(m, {q / 100}), 5) as p{q:02d}" for q in (5, 25, 50, 75, 95)) + " from m",
+    "cover_identify": f"""with e as (select vec_id, embedding::double[] as v from embeddings),
+sp as (select vec_id, i as "row", f, 30 / f as seconds, least(24.0::double + vec_id % 11, floor(30 / f + 0.5)) as span from e, (select unnest([0, 1, 2, 3, 4]) as i, unnest([0.9::double, 0.95::double, 1::double, 1.05::double, 1.1::double]) as f) where vec_id % 25 = 0),
+st as (select vec_id, span, min("row") as "row", arg_min(f, (abs(seconds - span), "row")) as f, min(abs(seconds - span)) as off from sp group by all),
+dr as (select vec_id, "row", case when off <= 0.5 then f end as tempo_factor, list_transform(generate_series(1, {PITCHES * FRAMES}), lambda i: case when i <= floor(span * 64 / 33) then v[i] else 0 end) as v from st join e using (vec_id)),
+dn as (select vec_id, "row", tempo_factor, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as v from dr),
+r0 as (select vec_id, list_transform(generate_series(1, {PITCHES * FRAMES}), lambda i: case when i <= floor(30 * 64 / 33) then v[i] else 0 end) as v from e),
+r1 as (select vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as v from r0),
+refs as (select * from r1 union all select vec_id + (select max(vec_id) + 1 from r1), list_concat(v[{(PITCHES - 3) * FRAMES + 1}:], v[:{(PITCHES - 3) * FRAMES}]) from r1 where vec_id % 4 = 1),
+rot as (select vec_id as query_id, "row", tempo_factor, k as oti, case when k = 0 then v else list_concat(v[({PITCHES} - k) * {FRAMES} + 1:], v[:({PITCHES} - k) * {FRAMES}]) end as v from dn, (select unnest(generate_series(0, {PITCHES - 1})) as k)),
+pr as (select query_id, "row", tempo_factor, oti, x.vec_id, round(list_dot_product(rot.v, x.v), 6) as score from rot join refs x on x.vec_id <> query_id and not (query_id % 50 = 0 and x.vec_id in (query_id + 1, query_id + 2))),
+best as (select query_id, vec_id as recording_id, max(score) as score, arg_min((oti, tempo_factor), (-score, "row", oti)) as a from pr group by all),
+top as (select *, a[1] as oti, row_number() over (partition by query_id order by score desc, recording_id)::int as "rank" from best qualify "rank" <= 5)
+select query_id, "rank", recording_id, round(score, 4) as score, oti::int as oti, case when {_SHIFT} = 0 then 'same key' when {_SHIFT} = 6 then 'tritone' when {_SHIFT} > 0 then '+' || {_SHIFT} || ' semitones' else {_SHIFT} || ' semitones' end as shift,
+    a[2] as tempo_factor, max(round(score, 4)) over (partition by query_id) >= {DEFAULT.cover} as matched, "rank" = 1 and round(score, 4) >= {DEFAULT.cover} as is_match from top""",
     "cascade_verdict": _search_sql(1.0) + f""", {A.SQL_SEG},
 vp as (select a.vec_id as query_id, b.recording_id, max(round(list_dot_product(a.v, b.v), 6)) as score from seg a join seg b on a.recording_id <> b.recording_id or a.vec_id % 2 = 0 where a.vec_id in (select item_id from benchmark) group by all),
 vb as (select query_id, recording_id as mert_id, score as mert_score from vp qualify row_number() over (partition by query_id order by score desc, recording_id) = 1),

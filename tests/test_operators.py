@@ -76,7 +76,7 @@ def test_rotation_recovers_shift(spark):
     x = spark.createDataFrame([(1, v.tolist()), (2, shifted.tolist())], "vec_id long, v array<double>").withColumn("v", vectors.normalised(F.col("v")))
     top = vectors.rotation_search(x.filter("vec_id = 1"), x, 12, 5, 1).first()
     assert (top.vec_id, top.oti) == (2, 3) and top.score == pytest.approx(1.0)
-    native = x.filter("vec_id = 1").select(F.get(vectors.rotations(F.col("v"), 12, 5), F.lit(3)).alias("r")).first().r
+    native = x.filter("vec_id = 1").select(vectors.rotated(F.col("v"), 3, 12, 5).alias("r")).first().r
     assert np.allclose(native, x.filter("vec_id = 2").first().v)
 
 
