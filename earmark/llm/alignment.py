@@ -22,19 +22,23 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _settings, cut, drop, give_back, let
+from .common import _settings, cut, drop, give_back
 
 CHUNK_BYTES = 16_000_000
 GROUP_CHARS = 1_000_000
-KEEP_TOKENS = 3_000_000
+KEEP_TOKENS = 1_200_000
 #: One blank between two characters that are no white space: neither tokenizer joins what stands on its two sides.
 SEAM = re.compile(r"(?<=\S) (?=\S)")
+#: Where it is certain that each blank is a seam.
+_NO_SEAM = re.compile(r"^ | $| \s|\s ")
+PLAIN = re.compile(r"[^\s▁]+")
 _BYTE = re.compile("<0x([0-9A-F]{2})>")
 
 
@@ -48,6 +52,8 @@ def _byte_letters() -> dict[str, int]:
 class Pair:
     """Both tokenizers, the bytes of their tokens, and a bounded table of chunks met before."""
 
+    GROUP = 128
+
     def __init__(self, bytes_path: str, pieces_path: str):
         import sentencepiece
         from tokenizers import Tokenizer
@@ -61,7 +67,9 @@ class Pair:
         for token, i in vocab.items():
             self.a_bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         self.b_bytes = [self._piece(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
-        self.sizes = [np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes)]
+        self.names = [self.a_bytes, self.b_bytes]
+        self.sizes = [np.array([len(x) for x in side], np.int64) for side in self.names]
+        self.begins = [np.array([x.startswith(b" ") for x in side], bool) for side in self.names]
         self.clear()
 
     @staticmethod
@@ -71,47 +79,67 @@ class Pair:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.same: list[bool] = []
+        self.same = np.zeros(1 << 14, bool)
         self.ids = [np.empty(1 << 16, np.int32) for _ in "ab"]
         self.used = [0, 0]
         self.start, self.count = ([np.zeros(1 << 14, np.int64) for _ in "ab"] for _ in range(2))
 
     def _learn(self, chunks: list[str]) -> None:
+        """Chunks without white space are encoded many at a time: each begins at a token that begins with the blank before it."""
+        plain = list(filter(PLAIN.fullmatch, chunks))
+        groups = [plain[i : i + self.GROUP] for i in range(0, len(plain), self.GROUP)]
+        texts = [" ".join(g) for g in groups]
+        for group, text, *both in zip(groups, texts, *(self._encode(texts, side) for side in (0, 1)) if texts else ()):
+            want = (" " + text).encode()
+            if all(b"".join(map(names.__getitem__, ids)) == want for names, ids in zip(self.names, both)):
+                both = [np.array(ids, np.int32) for ids in both]
+                first = [np.flatnonzero(begins[ids]) for begins, ids in zip(self.begins, both)]
+                if len(group) == len(first[0]) == len(first[1]):
+                    self._store(group, both, [np.diff(np.append(f, len(ids))) for f, ids in zip(first, both)], True)
+        rest = [c for c in chunks if c not in self.place]
+        if rest:
+            lists = [self._encode(rest, side) for side in (0, 1)]
+            same = [all(b"".join([names[x] for x in ids[i]]) == (" " + c).encode() for names, ids in zip(self.names, lists)) for i, c in enumerate(rest)]
+            self._store(rest, [np.fromiter(chain.from_iterable(ids), np.int32) for ids in lists], [np.fromiter(map(len, ids), np.int64, len(rest)) for ids in lists], same)
+
+    def _encode(self, texts: list[str], side: int) -> list[list[int]]:
+        if side:
+            return self.b.encode(texts, num_threads=1)
+        return [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+
+    def _store(self, chunks: list[str], ids: list[np.ndarray], counts: list[np.ndarray], same: bool | list[bool]) -> None:
         at, n = len(self.place), len(chunks)
-        both = [[e.ids for e in self.a.encode_batch([" " + c for c in chunks], add_special_tokens=False)], self.b.encode(chunks, num_threads=1)]
+        while at + n > len(self.same):
+            self.same = np.r_[self.same, self.same]
+        self.same[at : at + n] = same
         for side in (0, 1):
             while at + n > len(self.start[side]):
                 self.start[side], self.count[side] = np.r_[self.start[side], self.start[side]], np.r_[self.count[side], self.count[side]]
-            counts = np.fromiter(map(len, both[side]), np.int64, n)
-            total = counts.sum()
+            total = len(ids[side])
             while self.used[side] + total > len(self.ids[side]):
                 self.ids[side] = np.r_[self.ids[side], self.ids[side]]
-            self.ids[side][self.used[side] : self.used[side] + total] = np.fromiter((i for ids in both[side] for i in ids), np.int32, total)
-            self.start[side][at : at + n] = self.used[side] + np.cumsum(counts) - counts
-            self.count[side][at : at + n] = counts
+            self.ids[side][self.used[side] : self.used[side] + total] = ids[side]
+            self.start[side][at : at + n] = self.used[side] + np.cumsum(counts[side]) - counts[side]
+            self.count[side][at : at + n] = counts[side]
             self.used[side] += total
-        for c, a, b in zip(chunks, *both):
-            want = (" " + c).encode()
-            self.same.append(b"".join([self.a_bytes[i] for i in a]) == want and b"".join([self.b_bytes[i] for i in b]) == want)
         self.place.update(zip(chunks, range(at, at + n)))
 
     def _unchanged(self, chunks: np.ndarray, text: str) -> bool:
         """Whether both tokenizers give back the text; chunk by chunk, and as a whole if a chunk differs."""
-        if self.kept[chunks].all():
+        if self.same[chunks].all():
             return True
         want = (" " + text).encode()
         return all(b"".join([names[i] for c in chunks for i in self.ids[s][self.start[s][c] : self.start[s][c] + self.count[s][c]]]) == want
-                   for s, names in enumerate((self.a_bytes, self.b_bytes)))
+                   for s, names in enumerate(self.names))
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, ...] | None]:
         """(ids, ends) of both sides for each text, or None where a tokenizer changes the text."""
         if max(self.used) > KEEP_TOKENS:
             self.clear()
-        parts = [SEAM.split(t) if t else [] for t in texts]
-        missing = dict.fromkeys(c for p in parts for c in p if c not in self.place)
+        parts = [(SEAM.split(t) if _NO_SEAM.search(t) else t.split(" ")) if t else [] for t in texts]
+        missing = set(chain.from_iterable(parts)).difference(self.place)
         if missing:
             self._learn(list(missing))
-        self.kept = np.array(self.same, bool)
         out: list = []
         for text, p in zip(texts, parts):
             at = np.fromiter(map(self.place.__getitem__, p), np.int64, len(p))
@@ -163,53 +191,57 @@ def tokenise(rows: DataFrame, bytes_path: str, pieces_path: str) -> DataFrame:
     return rows.mapInArrow(run, "chunk int, doc_id long, a_ids array<int>, a_ends array<long>, b_ids array<int>, b_ends array<long>")
 
 
-def _last(ends: Column, shared: Column) -> Column:
-    """For each shared end, how many of a tokenizer's own ends lie at or before it."""
-    both = F.sort_array(F.concat(F.transform(ends, lambda e: e * 2), F.transform(shared, lambda e: e * 2 + 1)))
-    places = F.filter(F.transform(both, lambda x, j: F.when(x % 2 == 1, j).otherwise(-1)), lambda j: j >= 0)
-    return F.transform(places, lambda j, k: j - k)
-
-
 def _spelled(ids: Column, low: Column, high: Column) -> Column:
     return F.array_join(F.transform(F.sequence(low, high - 1), lambda i: ids[i].cast("string")), ",")
 
 
 def aligned(tokens: DataFrame, radix: int) -> DataFrame:
-    """Counts, digest of the groups, and each distinct link (a * radix + b) of a document with the times it stands there."""
-    one = F.lit(1)
-
-    def groups(g):
-        a, b, na, nb = F.col("a_ids"), F.col("b_ids"), g["na"], g["nb"]
-
-        def low(n, k):
-            return F.when(k > 0, n[k - 1]).otherwise(F.lit(0))
-
-        def spell(hi, k):
-            return let(F.struct(low(na, k).alias("a"), low(nb, k).alias("b"), nb[k].alias("to")), lambda s: F.when(
-                (hi - s["a"] == one) & (s["to"] - s["b"] == one), F.concat(a[s["a"]].cast("string"), F.lit("|"), b[s["b"]].cast("string"))
-            ).otherwise(F.concat(_spelled(a, s["a"], hi), F.lit("|"), _spelled(b, s["b"], s["to"]))))
-
-        def link(hi, k):
-            return let(F.struct(low(na, k).alias("a"), low(nb, k).alias("b"), nb[k].alias("to")), lambda s: F.when(
-                (hi - s["a"] == one) & (s["to"] - s["b"] == one), F.array(a[s["a"]].cast("long") * radix + b[s["b"]])
-            ).otherwise(F.flatten(F.transform(F.sequence(s["a"], hi - 1), lambda i: F.transform(F.sequence(s["b"], s["to"] - 1), lambda j: a[i].cast("long") * radix + b[j])))))
-
-        text = F.sha2(F.array_join(F.transform(na, spell), ";"), 256)
-        links = F.sort_array(F.flatten(F.transform(na, link)))
-        return F.struct(text.alias("groups_sha256"), F.size(na).cast("long").alias("n_groups"), let(links, runs).alias("links"))
-
-    def runs(links):
-        first = F.filter(F.transform(links, lambda x, i: F.when((i == 0) | (x != F.get(links, i - 1)), i).otherwise(-1)), lambda i: i >= 0)
-        return let(first, lambda f: F.struct(
-            F.transform(f, lambda i: links[i]).alias("pairs"),
-            F.transform(f, lambda i, k: F.coalesce(F.get(f, k + 1), F.size(links)) - i).alias("times")))
-
-    shared = F.array_intersect("a_ends", "b_ends")
-    found = let(shared, lambda c: let(F.struct(_last(F.col("a_ends"), c).alias("na"), _last(F.col("b_ends"), c).alias("nb")), groups))
-    with_tokens = F.size("a_ids") > 0
-    rows = tokens.select("chunk", "doc_id", F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), F.when(with_tokens, found).alias("g"))
-    return rows.select("chunk", "doc_id", "n_a", "n_b", F.coalesce("g.n_groups", F.lit(0).cast("long")).alias("n_groups"),
-                       F.coalesce("g.groups_sha256", F.lit("")).alias("groups_sha256"), F.col("g.links.pairs").alias("pairs"), F.col("g.links.times").alias("times"))
+    """Counts, digest of the groups, and each distinct link (a * radix + b) of a document with the times it stands there.
+
+    In steps of one projection each, so that no array is made twice. ``extra`` are ends the other tokenizer lacks: sorted
+    in among the shared ends, they tell how many tokens end at or before each shared end (``na``, ``nb``).
+    Most groups are one token of each side; ``key`` is their link, and below zero for the others.
+    """
+    for side, other in (("a", "b"), ("b", "a")):
+        tokens = tokens.withColumn(f"extra_{side}", F.array_except(f"{side}_ends", f"{other}_ends"))
+    rows = tokens.withColumn("shared", F.array_intersect("a_ends", "b_ends")).withColumn("shared", F.transform("shared", lambda e: 2 * e + 1))
+    for side in "ab":
+        rows = rows.withColumn(f"all_{side}", F.sort_array(F.concat(F.transform(f"extra_{side}", lambda e: 2 * e), "shared")))
+    for side in "ab":
+        up_to = F.transform(f"all_{side}", lambda x, j: F.when(x % 2 == 1, j + 1).otherwise(0))
+        rows = rows.withColumn(f"n{side}", F.array_remove(up_to, 0))
+
+    a, b, na, nb = (F.col(c) for c in ("a_ids", "b_ids", "na", "nb"))
+
+    def before(n, k):
+        return F.when(k > 0, n[k - 1]).otherwise(F.lit(0))
+
+    def simple(hi, k):
+        link = a[hi - 1].cast("long") * radix + b[nb[k] - 1]
+        return F.when((hi - before(na, k) == 1) & (nb[k] - before(nb, k) == 1), link).otherwise((-1 - k).cast("long"))
+
+    def spelled(x):
+        k = (-1 - x).cast("int")
+        both = F.concat(_spelled(a, before(na, k), na[k]), F.lit("|"), _spelled(b, before(nb, k), nb[k]))
+        return F.when(x >= 0, F.concat(F.call_function("div", x, F.lit(radix)).cast("string"), F.lit("|"), (x % radix).cast("string"))).otherwise(both)
+
+    def links_of(x):
+        k = (-1 - x).cast("int")
+        return F.flatten(F.transform(F.sequence(before(na, k), na[k] - 1), lambda i: F.transform(
+            F.sequence(before(nb, k), nb[k] - 1), lambda j: a[i].cast("long") * radix + b[j])))
+
+    rows = rows.withColumn("key", F.transform(na, simple))
+    many = F.flatten(F.transform(F.filter("key", lambda x: x < 0), links_of))
+    rows = rows.select(
+        "chunk", "doc_id", F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), F.size("na").cast("long").alias("n_groups"),
+        F.when(F.size("a_ids") > 0, F.sha2(F.array_join(F.transform("key", spelled), ";"), 256)).otherwise(F.lit("")).alias("groups_sha256"),
+        F.sort_array(F.concat(F.filter("key", lambda x: x >= 0), many)).alias("links"),
+    )
+    links = F.col("links")
+    first = F.array_remove(F.transform(links, lambda x, i: F.when(i == 0, 1).when(x != links[i - 1], i + 1).otherwise(0)), 0)
+    rows = rows.withColumn("first", first).withColumn("pairs", F.array_distinct("links"))
+    times = F.transform("first", lambda f, i: F.coalesce(F.get("first", i + 1), F.size("links") + 1) - f)
+    return rows.select("chunk", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "pairs", times.alias("times"))
 
 
 def align(docs: DataFrame, bytes_path: str, pieces_path: str) -> DataFrame:
