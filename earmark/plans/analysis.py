@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audio_features, codec, etl, evaluation, fingerprint, index, jobs, registry, rights, rules, vectors, windows
+from ..operators import audio_features, codec, etl, evaluation, fingerprint, index, jobs, postings, redaction, registry, rights, rules, vectors, windows
 from ..sources import adapters as A
 from . import evaluation as EV
 from . import registry as RG
@@ -163,8 +163,7 @@ def candidate_labels(spark, d):
 
 def recognize_describe(spark, d):
     """The best reference of each query without a threshold, with its work and rights."""
-    q, r = A.query_items(spark, d), A.references(spark, d)
-    best = fingerprint.alignment(q, r).groupBy("query_id").agg(F.max_by("doc_id", F.struct("score", -F.col("doc_id"))).alias("recording_id"), F.max("score").alias("score"))
+    best = postings.alignment(A.query_items(spark, d), A.index_of(spark, d)).groupBy("query_id").agg(F.max_by("doc_id", F.struct("score", -F.col("doc_id"))).alias("recording_id"), F.max("score").alias("score"))
     rec = A.recordings(spark, d).select("recording_id", "title", "artist", "composition_id")
     works = rec.select("composition_id", F.lower("composition_id").alias("composition_title")).distinct()
     held = RI._rights(spark, d).filter("recording_id is not null").select("recording_id", "license_type", "copyright_status")
@@ -375,6 +374,14 @@ def public_projection(spark, d):
     return out.select("l_orderkey", "l_linenumber", F.to_json("p").alias("json"))
 
 
+def public_documents(spark, d):
+    """Event properties of no fixed shape, as the public sees them."""
+    e = A.table(spark, d, "events")
+    inner = F.concat(F.lit('{"threshold":0.3,"score":'), F.round(F.col("value") * 7 + 0.001, 4).cast("string"), F.lit(',"list":[{"thresholds":[1,2],"v":'), F.round(F.col("value") / 3, 5).cast("string"), F.lit('},"x",null]}'))
+    text = F.when(F.col("event_type") == "error", F.col("props")).otherwise(F.concat(F.lit('{"props":'), "props", F.lit(',"min_rights_confidence":0.5,"evidence":'), inner, F.lit("}")))
+    return redaction.public(e.select("event_id", text.alias("json")), "event_id", "json")
+
+
 GROUP_TYPES = ("AUDIO_LIBRARY", "CREATOR_MUSIC", "CONTENT_ID", "CC_BY", "PUBLIC_DOMAIN")
 
 
@@ -447,7 +454,7 @@ def normalised_fields(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    registry_detail, relabel_three, margin_runner_up, unknown_rejection_sweep, two_false_rates, normalised_fields, rights_integrity, vector_bytes, undecodable, noise_segments, held_out_leaks, cover_descriptors, public_projection, index_build_remap, index_build_stats, index_from_table, index_load, label_decode, creator_music, recording_pd, source_texts, confidence_breakdown, predicted_rights,
+    registry_detail, relabel_three, margin_runner_up, unknown_rejection_sweep, two_false_rates, normalised_fields, rights_integrity, vector_bytes, undecodable, noise_segments, held_out_leaks, cover_descriptors, public_projection, public_documents, index_build_remap, index_build_stats, index_from_table, index_load, label_decode, creator_music, recording_pd, source_texts, confidence_breakdown, predicted_rights,
     analysis_windows, analysis_response, hint_candidate, candidate_labels, recognize_describe, registry_match, registry_match_upsert, registry_features_recent,
     noise_probes, cover_noise_sweep, cover_threshold_pick, cover_grid_pick, query_axis, augment_targets, augment_sample, tempo_histogram, same_protocol,
     fingerprint_uniqueness, end_to_end, insert_absent_jobs, service_state, duration_window, class_floor, tempo_spans, index_segments, production_features, iso_times,
@@ -538,6 +545,8 @@ case when p_partkey % 5 = 0 then 0 else round(round(p_retailprice * 7, 0) / 1000
     "held_out_leaks": "select l_suppkey as query_source, count(*) as n from lineitem join supplier on s_suppkey = l_suppkey where l_partkey % 50 = s_suppkey % 50 group by 1",
     "cover_descriptors": f"with {_DESC} select id, frames, (r * frames + f)::int as i, round(case when w > 1e-8 then z / w else z end, 5) as x from whole",
     "public_projection": """select l_orderkey, l_linenumber, '{"score":' || round(round(l_tax * 7 + 0.001, 4), 2)::double || ',"best":{"id":' || l_suppkey || '}}' as json from lineitem""",
+    "public_documents": """select event_id, case when event_type = 'error' then '{"k":' || json_extract_string(props, '$.k') || '}' else '{"evidence":{"list":[{"v":' || round(round(value / 3, 5), 2)::double || '},"x",null],"score":'
+    || round(round(value * 7 + 0.001, 4), 2)::double || '},"props":{"k":' || json_extract_string(props, '$.k') || '}}' end as json from events""",
     "index_build_remap": f"""with {_STORED} select vec_id, case when how = 'remapped' then target else coalesce(target, rid) end as recording_id, how,
 round(case when how in ('remapped', 'already_uuid') then case when norm > 0 then v0[2] / norm else 0 end end, 5) as v1, round(case when how in ('remapped', 'already_uuid') then case when norm > 0 then 1::double else 0 end end, 5) as norm from hw""",
     "index_build_stats": f"with {_STORED} select how, count(*) as n from hw group by 1",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import license as L
 from ..functions import text as T
-from ..operators import fingerprint, rights, rules, windows
+from ..operators import postings, rights, rules, windows
 from ..sources import adapters as A
 
 VERIFIED = "1998-01-01 00:00:00"
@@ -159,8 +159,8 @@ def text_projections(spark, d):
 
 def match_and_decide(spark, d):
     """For each passage: the reference it comes from, its verdict, and what may be done with it commercially."""
-    q, r = A.query_items(spark, d), A.references(spark, d)
-    got = fingerprint.search(q, r, q.groupBy("query_id").agg(F.count("*").cast("double").alias("duration")))
+    q = A.query_items(spark, d)
+    got = postings.search(q, A.index_of(spark, d), q.groupBy("query_id").agg(F.count("*").cast("double").alias("duration")))
     n = A.table(spark, d, "part").count()
     m = got.select(
         "query_id", F.col("doc_id").alias("matched"), F.col("score").alias("identity_confidence"),

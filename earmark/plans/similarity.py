@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, NOISE_FLOOR, NOISE_MARGIN
-from ..operators import cascade, etl, evaluation, fingerprint, vectors
+from ..operators import cascade, etl, evaluation, fingerprint, postings, vectors
 from ..sources import adapters as A
 
 TOP = DEFAULT.prefilter_top
@@ -21,27 +21,39 @@ def _durations(q: DataFrame, per_second: float) -> DataFrame:
 
 
 def fp_prefilter_topk(spark, d):
-    return fingerprint.candidates(_q(spark, d), A.references(spark, d), TOP).select("query_id", "doc_id", "hits", "rank")
+    return postings.candidates(_q(spark, d), A.index_of(spark, d), TOP)
 
 
 def fp_alignment_score(spark, d):
-    q, r = _q(spark, d), A.references(spark, d)
-    return fingerprint.alignment(q, r, fingerprint.candidates(q, r, TOP))
+    q, index = _q(spark, d), A.index_of(spark, d)
+    return postings.candidate_scores(q, index, postings.candidates(q, index, TOP).select("query_id", "doc_id"))
 
 
 def fp_search_verdict(spark, d):
-    q, r = _q(spark, d), A.references(spark, d)
-    return fingerprint.search(q, r, _durations(q, 1.0))
+    q = _q(spark, d)
+    return postings.search(q, A.index_of(spark, d), _durations(q, 1.0))
 
 
 def fp_search_full_scan(spark, d):
-    q, r = _q(spark, d), A.references(spark, d)
-    return fingerprint.verdicts(fingerprint.alignment(q, r), _durations(q, 1.0))
+    q = _q(spark, d)
+    return fingerprint.verdicts(postings.alignment(q, A.index_of(spark, d)), _durations(q, 1.0))
 
 
 def fp_search_short_query(spark, d):
-    q, r = _q(spark, d), A.references(spark, d)
-    return fingerprint.search(q, r, _durations(q, 7.5))
+    q = _q(spark, d)
+    return postings.search(q, A.index_of(spark, d), _durations(q, 7.5))
+
+
+def fp_search_touched(spark, d):
+    """What the search of each query reads of its lists, with a budget of 40 postings."""
+    return postings.touched(_q(spark, d), A.index_of(spark, d), 5, 40)
+
+
+def fp_search_excluded(spark, d):
+    """Search where a query may not find the document of its own best hits: held-out protocol in both searches."""
+    q, index = _q(spark, d), A.index_of(spark, d)
+    own = postings.candidates(q, index, 1).select("query_id", "doc_id")
+    return postings.search(q, index, _durations(q, 1.0), excluded=own)
 
 
 def fp_duplicate_classes(spark, d):
@@ -192,8 +204,8 @@ def cover_margin_stats(spark, d):
 def cascade_verdict(spark, d):
     """All tiers at their thresholds. Even queries may find their own recording; a fourth of the references
     stand a second time, moved up by three semitones; what is left matches nothing."""
-    q, r = _q(spark, d), A.references(spark, d)
-    fp = fingerprint.search(q, r, _durations(q, 1.0)).select("query_id", F.when(F.col("score") > 0, F.col("doc_id")).alias("fp_id"), F.col("score").alias("fp_score"), F.col("threshold").alias("fp_limit"))
+    q = _q(spark, d)
+    fp = postings.search(q, A.index_of(spark, d), _durations(q, 1.0)).select("query_id", F.when(F.col("score") > 0, F.col("doc_id")).alias("fp_id"), F.col("score").alias("fp_score"), F.col("threshold").alias("fp_limit"))
     s = A.segments(spark, d)
     ids = q.select("query_id").distinct()
     asked = s.join(ids, s["vec_id"] == ids["query_id"], "left_semi")
@@ -213,16 +225,17 @@ def cascade_verdict(spark, d):
 _HITS = """
 qa as (select query_id, h, count(*) as n from q group by all), ra as (select doc_id, h, count(*) as m from r group by all),
 hits as (select query_id, doc_id, sum(n * m)::bigint as hits from qa join ra using (h) group by all),
-cand as (select *, row_number() over (partition by query_id order by hits desc, doc_id)::int as "rank" from hits qualify "rank" <= {top})"""
+mine_ as (select query_id, doc_id from hits qualify row_number() over (partition by query_id order by hits desc, doc_id) = 1),
+cand as (select *, row_number() over (partition by query_id order by hits desc, doc_id)::int as "rank" from hits {where} qualify "rank" <= {top})"""
 
 
-def _near(pairs: str | None, name: str, q: str = "q") -> str:
+def _near(pairs: str | None, name: str, q: str = "q", also: str = "") -> str:
     limit = f"join {pairs} p on p.query_id = a.query_id and p.doc_id = b.doc_id" if pairs else ""
     cut = ["h & 2047", "(h >> 11) & 2047", "(h >> 22) & 1023"]
     sides = " union all ".join(f"select {{id}}, pos, h, {i} as c, {x} as x from {{t}}" for i, x in enumerate(cut))
     return f"""
 {name}_q as ({sides.format(id="query_id", t=q)}), {name}_r as ({sides.format(id="doc_id", t="r")}),
-{name}_m as (select distinct a.query_id, b.doc_id, a.pos as i, b.pos as j from {name}_q a join {name}_r b on a.c = b.c and a.x = b.x {limit} where bit_count(xor(a.h, b.h)) <= 2),
+{name}_m as (select distinct a.query_id, b.doc_id, a.pos as i, b.pos as j from {name}_q a join {name}_r b on a.c = b.c and a.x = b.x {limit} where bit_count(xor(a.h, b.h)) <= 2 {also}),
 {name}_o as (select query_id, doc_id, i - j as off, count(*) as n from {name}_m group by all),
 {name}_b as (select query_id, doc_id, max(n) as best from {name}_o group by all),
 {name} as (select query_id, doc_id, round(best::double / least(nq, nr), 6) as score from {name}_b
@@ -245,15 +258,15 @@ verdict as (select query_id, doc_id, coalesce(score, 0::double) as score, {_floo
 
 
 _BASE = f"with {A.SQL_Q}, {A.SQL_R}"
-_CAND = _HITS.format(top=TOP)
+_CAND = _HITS.format(top=TOP, where="")
 
 
-def _search_sql(per_second: float) -> str:
-    return f"""{_BASE}, {_CAND}, {_near("cand", "fast")},
+def _search_sql(per_second: float, where: str = "", also: str = "") -> str:
+    return f"""{_BASE}, {_HITS.format(top=TOP, where=where)}, {_near("cand", "fast")},
 dd as (select query_id, count(*) / {per_second}::double as duration from q group by query_id),
 close as (select query_id from dd left join (select query_id, max(score) as best from fast group by query_id) using (query_id)
     where duration < {DEFAULT.prefilter_min_seconds} or abs(coalesce(best, 0) - {_floor_sql("duration")}) <= {DEFAULT.prefilter_band}),
-q2 as (select * from q where query_id in (select query_id from close)), {_near(None, "slow", "q2")},
+q2 as (select * from q where query_id in (select query_id from close)), {_near(None, "slow", "q2", also)},
 scored as (select * from fast where query_id not in (select query_id from close) union all select * from slow),{_verdict_sql("scored", per_second)}"""
 
 
@@ -285,7 +298,7 @@ _SHIFT = "(case when (12 - oti) % 12 > 6 then (12 - oti) % 12 - 12 else (12 - ot
 _TWO = _COVER + ', two as (select query_id, max(case when "rank" = 1 then score end) as s1, max(case when "rank" = 2 then score end) as s2, max(case when "rank" = 1 then vec_id end) as best from top where "rank" <= 2 group by query_id)'
 
 QUERIES = {f.__name__: f for f in (
-    fp_prefilter_topk, fp_alignment_score, fp_search_verdict, fp_search_full_scan, fp_search_short_query, fp_duplicate_classes, fp_change_signature,
+    fp_prefilter_topk, fp_alignment_score, fp_search_verdict, fp_search_full_scan, fp_search_short_query, fp_search_touched, fp_search_excluded, fp_duplicate_classes, fp_change_signature,
     heldout_exclusions, vec_topk_recordings, vec_exclude_equiv, vec_leave_one_out_recall, vec_map_segment, vec_pair_distribution, vec_unknown_sweep,
     vec_target_pick, recording_mean_vectors, cover_rotation_best, cover_margin_top2, cover_rule_grid, cover_margin_stats, cover_identify, cascade_verdict,
 )}
@@ -295,6 +308,13 @@ ORACLE = {
     "fp_search_verdict": _search_sql(1.0) + " select * from verdict",
     "fp_search_full_scan": f"{_BASE}, {_near(None, 'slow')},{_verdict_sql('slow', 1.0)} select * from verdict",
     "fp_search_short_query": _search_sql(7.5) + " select * from verdict",
+    "fp_search_touched": f"""{_BASE}, qa as (select query_id, h, count(*) as n from q group by all), ra as (select doc_id, h, count(*) as m from r group by all),
+l as (select h, count(*) as len, max(m) as most from ra group by h), p as (select query_id, h, n, len, n * most as gain, coalesce(sum(len) over (partition by query_id order by len, h rows between unbounded preceding and 1 preceding), 0) as before from qa join l using (h)),
+e as (select *, before = 0 or before + len <= 40 as early from p), hits as (select query_id, doc_id, sum(n * m) as hits from e join ra using (h) where early group by all),
+bar as (select query_id, hits as bar from hits qualify row_number() over (partition by query_id order by hits desc) = 5),
+s as (select query_id, count(*) as lists, sum(len)::bigint as postings, sum(case when early then len else 0 end)::bigint as first, sum(case when early then 0 else gain end) as rest from e group by query_id)
+select query_id, lists, postings, case when rest = 0 or coalesce(bar > rest, false) then first else postings end as read, rest = 0 or coalesce(bar > rest, false) as ended from s left join bar using (query_id)""",
+    "fp_search_excluded": _search_sql(1.0, "where not exists (select 1 from mine_ m where m.query_id = hits.query_id and m.doc_id = hits.doc_id)", "and not exists (select 1 from mine_ m where m.query_id = a.query_id and m.doc_id = b.doc_id)") + " select * from verdict",
     "fp_duplicate_classes": "select md5(text) as fp, count(*) as n, min(doc_id) as first_id from documents group by 1 having count(*) > 1",
     "fp_change_signature": "select count(*) as n, min(doc_id) as first_id, max(doc_id) as last_id from documents",
     "heldout_exclusions": f"""with {A.SQL_R}, src as (select doc_id as id from documents where doc_id % 25 = 0),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import fingerprint, postings
+
 SHINGLE = 3
 AS_OF = "1998-06-01"
 
@@ -44,6 +46,13 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(table(spark, sf_dir, "documents"), "doc_id", "doc_id")
 
 
+def index_of(spark: SparkSession, d: str) -> postings.Index:
+    """The stored index of the documents, written by the first query that asks for it and again when the table has changed."""
+    seen = fingerprint.change_signature(table(spark, d, "documents"), "doc_id").first()
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return postings.build(spark, "documents", f"{d}:{tuple(seen)}", lambda: references(spark, d).select("doc_id", "pos", "h"), buckets)
+
+
 def query_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(table(spark, sf_dir, "benchmark"), "item_id", "query_id")
 
