@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT
 from ..functions import text as T
-from ..operators import audio_features, codec, etl, evaluation, fingerprint, index, jobs, postings, redaction, registry, rights, rules, vectors, windows
+from ..operators import analysis, audio_features, codec, etl, evaluation, fingerprint, index, jobs, postings, redaction, registry, rights, rules, vectors, windows
 from ..sources import adapters as A
+from ..sources import store
 from . import evaluation as EV
 from . import registry as RG
 from . import rights as RI
@@ -147,6 +149,70 @@ def analysis_response(spark, d):
     )
 
 
+#: Windows of a passage: so many items, at most so many windows.
+SPAN, MOST = 20, 8
+
+
+def _passage_windows(spark, d):
+    """(query_id, job, window_idx, start, vec_id) of the windows of every passage, an item a second, and their items."""
+    items = A.query_items(spark, d)
+    n = A.table(spark, d, "embeddings").count()
+    jobs = items.groupBy(F.col("query_id").alias("job")).agg(F.count("*").cast("double").alias("duration"))
+    w = jobs.select("job", F.posexplode(windows.plan_windows(F.col("duration"), float(SPAN), MOST)).alias("window_idx", "start"))
+    w = w.withColumns({"query_id": F.col("job") * 10 + F.col("window_idx"), "vec_id": F.pmod(F.col("job") * 7 + F.col("window_idx") * 3, F.lit(n))})
+    first = F.floor("start")
+    parts = items.withColumnRenamed("query_id", "job").drop("n").join(w.select("query_id", "job", "start"), "job").filter((F.col("pos") >= first) & (F.col("pos") < first + SPAN))
+    return w, parts.select("query_id", (F.col("pos") - first).cast("int").alias("pos"), "h")
+
+
+def _tiers(spark, d, parts):
+    """The three tiers over the documents and vectors. A third of the windows may find the vector's own recording."""
+    index, s, x = A.index_of(spark, d), A.segments(spark, d), S._descriptors(spark, d)
+
+    def fingerprints(rows):
+        q = parts.join(rows.select("query_id"), "query_id", "left_semi")
+        got = fingerprint.verdicts(postings.alignment(q, index), q.groupBy("query_id").agg(F.count("*").cast("double").alias("duration")))
+        return got.select("query_id", F.col("doc_id").alias("id"), "score", F.col("threshold").alias("limit"))
+
+    def embeddings(rows):
+        own = rows.withColumn("own", F.pmod(F.col("job") + F.col("window_idx"), F.lit(3)) == 0)
+        found = None
+        for flag in (True, False):
+            some = own.filter(F.col("own") == F.lit(flag))
+            asked = s.join(some.select("vec_id").distinct(), "vec_id", "left_semi")
+            got = vectors.retrieve(asked, s, k=1, exclude_own=not flag).select(F.col("query_id").alias("vec_id"), F.col("recording_id").alias("id"), "score")
+            got = some.select("query_id", "vec_id").join(got, "vec_id")
+            found = got if found is None else found.unionByName(got)
+        return found
+
+    def covers(rows):
+        asked = x.join(rows.select("vec_id").distinct(), "vec_id", "left_semi")
+        got = vectors.rotation_search(asked, x.union(S._moved(x)), S.PITCHES, S.FRAMES, 1)
+        return rows.select("query_id", F.col("vec_id").alias("asked")).join(got.select(F.col("query_id").alias("asked"), F.col("vec_id").alias("id"), "score"), "asked")
+
+    return fingerprints, embeddings, covers
+
+
+def analyze_queries(spark, d):
+    """Every passage from its windows to the decision; the response's fields, one row a passage."""
+    w, parts = _passage_windows(spark, d)
+    scanned = analysis.scan(store.cut(w), *_tiers(spark, d, store.cut(parts)), MOST)
+    n = A.table(spark, d, "part").count()
+    best = windows.best_window(scanned, "job").drop("scanned").join(analysis.counts(scanned), "job")
+    best = best.withColumn("rid", F.when(F.col("match_type") != "UNKNOWN", F.pmod("matched_id", F.lit(n)) + 1)).withColumnRenamed("score", "identity_confidence")
+    facts = _predicted(spark, d).drop("match_type", "identity_confidence").withColumnRenamed("recording_id", "rid")
+    x = best.join(facts, "rid", "left").withColumn("has_rights", F.coalesce("has_rights", F.lit(False)))
+    x = rights.with_predicted(x, "m1").withColumn("rights_confidence", rules.rights_confidence(RI._as_of()))
+    x = x.withColumn("d", rules.decide(F.col("rights_confidence"))).withColumn("action", rules.recommendation(F.col("d.condition")))
+    r = analysis.response(x).join(x.select("job", "window_idx", "vec_windows", "cover_windows"), "job")
+    records = F.array_join(F.transform("response.evidence.windows", lambda v: F.concat_ws(":", v["window_idx"].cast("string"), v["stage"])), ",")
+    return r.select(
+        "job", "window_idx", "vec_windows", "cover_windows", "response.identity.recording_id", "response.identity.track", "response.match.type", "response.match.confidence",
+        "response.match.pipeline_stage", "response.rights.license", "response.rights.rights_found", "response.assessment.risk", "response.assessment.condition",
+        "response.assessment.rights_confidence", "response.recommendation", "response.evidence.windows_scanned", "response.evidence.stopped_early", records.alias("windows"),
+    )
+
+
 def hint_candidate(spark, d):
     """The first candidate of each job without a match, as a hint."""
     c = A.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("rank"), F.col("l_partkey").alias("recording_id"), (F.col("l_discount") * 10).alias("score")))).alias("c"))
@@ -455,7 +521,7 @@ def normalised_fields(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     registry_detail, relabel_three, margin_runner_up, unknown_rejection_sweep, two_false_rates, normalised_fields, rights_integrity, vector_bytes, undecodable, noise_segments, held_out_leaks, cover_descriptors, public_projection, public_documents, index_build_remap, index_build_stats, index_from_table, index_load, label_decode, creator_music, recording_pd, source_texts, confidence_breakdown, predicted_rights,
-    analysis_windows, analysis_response, hint_candidate, candidate_labels, recognize_describe, registry_match, registry_match_upsert, registry_features_recent,
+    analysis_windows, analysis_response, analyze_queries, hint_candidate, candidate_labels, recognize_describe, registry_match, registry_match_upsert, registry_features_recent,
     noise_probes, cover_noise_sweep, cover_threshold_pick, cover_grid_pick, query_axis, augment_targets, augment_sample, tempo_histogram, same_protocol,
     fingerprint_uniqueness, end_to_end, insert_absent_jobs, service_state, duration_window, class_floor, tempo_spans, index_segments, production_features, iso_times,
 )}
@@ -572,6 +638,29 @@ j as (select b.*, f.* exclude (recording_id, match_type, ic, has, rc, ptype), ki
 f2 as ({_with_predicted_sql("j", "job, window_idx, scanned, score, rid, title")}), dec as ({RI._decide_sql("f2", "com", "mon")}), {RI._OUT}
 select job, window_idx, scanned, match_type, score, rid as recording_id, title, license_type, rc as rights_confidence, category, risk, condition, decision_confidence, {RI._RECS} as action,
 case when match_type = 'UNKNOWN' then 'NOT_IDENTIFIED' when risk = 'UNKNOWN' and rid is not null then 'RIGHTS_UNKNOWN' end as unknown_kind from result""",
+    "analyze_queries": f"""{_PRED}, {S._BASE.removeprefix("with ")},
+qn as (select query_id as job, count(*) as n from q group by 1), qk as (select *, case when n <= {SPAN} then 1 else least({MOST}, greatest(2, ceil(n / {SPAN})::int)) end as k from qn),
+pl as (select job, i::int as window_idx, case when k = 1 then 0 else floor(i * (n - {SPAN}) / (k - 1) * 100 + 0.5) / 100 end as start, job * 10 + i as query_id, (job * 7 + i * 3) % (select count(*) from embeddings) as vec_id from qk, unnest(generate_series(0, k - 1)) t(i)),
+wq as (select pl.query_id, (pos - floor(start))::int as pos, h from pl join q on q.query_id = job where pos >= floor(start) and pos < floor(start) + {SPAN}), {S._near(None, "slow", "wq")},
+dur as (select query_id, count(*)::double as duration from wq group by 1),
+fpb as (select * from slow qualify row_number() over (partition by query_id order by score desc, doc_id) = 1), {A.SQL_SEG},
+vp as (select p.query_id, b.recording_id, max(round(list_dot_product(a.v, b.v), 6)) as score from pl p join seg a on a.vec_id = p.vec_id join seg b on a.recording_id <> b.recording_id or (job + window_idx) % 3 = 0 group by all),
+vb as (select query_id, recording_id as mert_id, score as mert_score from vp qualify row_number() over (partition by query_id order by score desc, recording_id) = 1),
+{S._ROT.format(which="vec_id in (select vec_id from pl)").removeprefix("with ").replace("best as (", "cbest as (").replace("from best)", "from cbest)").replace("desc_ as (select", "desc0 as (select").replace("from d0),", S._MOVED)},
+jn as (select pl.job, window_idx, doc_id as fp_id, coalesce(f.score, 0) as fp_score, {S._floor_sql("duration")} as threshold, mert_id, mert_score, cv.vec_id as cover_id, cv.score as cover_score
+    from pl join dur using (query_id) left join fpb f using (query_id) left join vb using (query_id) left join (select * from top where "rank" = 1) cv on cv.query_id = pl.vec_id),
+kk as (select *, case when fp_score >= threshold then 3 when mert_score >= {DEFAULT.embedding} then 1 when round(cover_score, 4) >= {DEFAULT.cover} then 2 else 0 end as k from jn),
+ww as (select job, window_idx, k, case k when 3 then fp_id when 1 then mert_id when 2 then cover_id end as matched_id, case k when 3 then fp_score when 1 then mert_score when 2 then cover_score else coalesce(mert_score, 0) end as score,
+    case k when 3 then 'FINGERPRINT' when 1 then 'EMBEDDING' when 2 then 'COVER' else 'NONE' end as stage, min(case when k = 3 then window_idx end) over (partition by job) as stop from kk),
+v2 as (select * from ww where stop is null or window_idx <= stop),
+ct as (select job, count(*) as windows_scanned, count(*) filter (where k <> 3) as vec_windows, count(*) filter (where k not in (1, 3)) as cover_windows, bool_or(k = 3) as stopped_early, string_agg(window_idx || ':' || stage, ',' order by window_idx) as windows from v2 group by job),
+b as (select job, window_idx, stage, score, case k when 3 then 'EXACT_MATCH' when 2 then 'COVER_MATCH' when 1 then 'NEAR_MATCH' else 'UNKNOWN' end as kind, case when k > 0 then matched_id % (select count(*) from part) + 1 end as rid
+    from v2 qualify row_number() over (partition by job order by k > 0 desc, score desc, k desc, window_idx) = 1),
+j as (select b.*, f.* exclude (recording_id, match_type, ic, has, rc, ptype), kind as match_type, score as ic, coalesce(f.has, false) as has, case when coalesce(f.has, false) then f.rc else 0 end as rc, coalesce(f.ptype, 'UNKNOWN') as ptype, part.p_name as title
+    from b left join f1 f on f.recording_id = b.rid left join part on p_partkey = b.rid),
+f2 as ({_with_predicted_sql("j", "job, window_idx, stage, score, rid, title")}), dec as ({RI._decide_sql("f2", "com", "mon")}), {RI._OUT}
+select job, window_idx, vec_windows, cover_windows, rid as recording_id, title as track, match_type as type, round(score, 4) as confidence, stage as pipeline_stage, license_type as license, has as rights_found, risk, condition, rc as rights_confidence,
+    {RI._RECS} as recommendation, windows_scanned, stopped_early, windows from result join ct using (job)""",
     "hint_candidate": "select l_orderkey, arg_min(l_partkey, (l_linenumber, l_partkey, l_discount)) as hint, round(arg_min(l_discount * 10, (l_linenumber, l_partkey, l_discount)), 4) as hint_score from lineitem group by 1",
     "candidate_labels": "select l_orderkey as query_id, l_linenumber as rank, l_partkey as recording_id, p_name as track, p_brand as artist from lineitem left join part on p_partkey = l_partkey and p_partkey % 3 <> 0",
     "recognize_describe": f"""{S._BASE}, {S._near(None, "slow")}, best as (select * from slow qualify row_number() over (partition by query_id order by score desc, doc_id) = 1), {A.SQL_REC}, {RI._SIM}
