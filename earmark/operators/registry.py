@@ -167,28 +167,34 @@ def reviewed(entries_: DataFrame, updates: DataFrame) -> DataFrame:
 def admitted(events: DataFrame, limit: int = 10, seconds: int = 60) -> DataFrame:
     """Sliding-window admission per key: at most ``limit`` admitted events in (now - seconds, now]; refused ones don't count.
 
-    Greedy in time order, so each key is folded on its own; the state is ``limit`` times.
+    Greedy in time order. After a gap of ``seconds`` nothing is remembered, so the stretches between gaps are dealt out apart; sorted
+    events stream through a partition, and only the last ``limit`` admitted times are held, however many events a key has.
     """
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    order = Window.partitionBy("key").orderBy("ts", "event_id")
+    gap = us - F.lag(us).over(order) >= seconds * 1_000_000
+    stretch = F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(frames):
         from collections import deque
 
-        pdf = pdf.sort_values(["ts", "event_id"])
-        recent: deque = deque()
-        ok, wait = [], []
-        for now in pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6:
-            while recent and recent[0] <= now - seconds:
-                recent.popleft()
-            if len(recent) < limit:
-                recent.append(now)
-                ok.append(True)
-                wait.append(0)
-            else:
-                ok.append(False)
-                wait.append(max(1, int(np.ceil(seconds - (now - recent[0])))))
-        return pd.DataFrame({"event_id": pdf["event_id"], "key": pdf["key"], "admitted": ok, "retry_after": wait})
-
-    return events.select("event_id", "key", "ts").groupBy("key").applyInPandas(fold, "event_id long, key long, admitted boolean, retry_after long")
+        at, recent = None, deque()
+        for pdf in frames:
+            ok, wait = [], []
+            for key, part, now in zip(pdf["key"], pdf["stretch"], pdf["now"]):
+                if (key, part) != at:
+                    at, recent = (key, part), deque()
+                while recent and recent[0] <= now - seconds * 1_000_000:
+                    recent.popleft()
+                ok.append(len(recent) < limit)
+                wait.append(0 if ok[-1] else max(1, -(-(seconds * 1_000_000 - (now - recent[0])) // 1_000_000)))
+                if ok[-1]:
+                    recent.append(now)
+            yield pd.DataFrame({"event_id": pdf["event_id"], "key": pdf["key"], "admitted": ok, "retry_after": wait})
+
+    rows = events.select("event_id", "key", "ts", us.alias("now")).withColumn("stretch", stretch).drop("ts")
+    rows = rows.repartition("key", "stretch").sortWithinPartitions("key", "stretch", "now", "event_id")
+    return rows.mapInPandas(run, "event_id long, key long, admitted boolean, retry_after long")
 
 
 @dataclass(frozen=True)
