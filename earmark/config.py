@@ -9,7 +9,6 @@ NOISE_FLOOR = ((5.0, 0.3684), (8.0, 0.2558), (10.0, 0.2034), (15.0, 0.1800), (20
 NOISE_MARGIN = 1.15
 TEMPO_FACTORS = (0.90, 0.95, 1.00, 1.05, 1.10)
 PITCHES, FRAMES = 12, 64
-MATCH_TYPES = ("EXACT_MATCH", "NEAR_MATCH", "COVER_MATCH", "LICENSE_PREDICTED", "UNKNOWN", "NO_MATCH")
 
 
 @dataclass(frozen=True)
@@ -30,7 +29,6 @@ class Thresholds:
     rights_gate: float = 0.50
     overlap: float = 0.5
     near_duplicate: float = 0.10
-    neighbour_floor: float = 0.05
 
 
 DEFAULT = Thresholds()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -131,6 +131,51 @@ def grid_pick(grid_: DataFrame, most_false: float) -> DataFrame:
     return rows.agg(best.alias("b")).select("b.*")
 
 
+def rule_counts(records: DataFrame, absolutes: tuple[float, ...], lows: tuple[float, ...], deltas: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, absolute, low, delta, accepted, correct, n): how many records each margin rule accepts, and how many of those are right.
+
+    records: by, s1, margin, ok. A rule accepts from s1 >= absolute on, or where s1 >= low and margin >= delta. Records are counted once,
+    by how many thresholds of each kind they reach; running sums over the three axes of these cells give every rule its counts, so
+    no row is multiplied by the rules and what the sums run over is as large as the grid.
+    """
+    axes = {"a": ("s1", sorted(absolutes)), "l": ("s1", sorted(lows)), "d": ("margin", sorted(deltas))}
+    reached = {k: sum(((F.coalesce(F.col(c), F.lit(float("-inf"))) >= x).cast("int") for x in xs), F.lit(0)) for k, (c, xs) in axes.items()}
+    cells = records.groupBy(*by, *[v.alias(k) for k, v in reached.items()]).agg(F.count("*").alias("m"), F.count_if("ok").alias("h"))
+    groups = cells.select(*by).distinct() if by else None
+    spark = records.sparkSession
+    dense = spark.createDataFrame([(a, l, d) for a in range(len(absolutes) + 1) for l in range(len(lows) + 1) for d in range(len(deltas) + 1)], "a int, l int, d int")  # noqa: E741
+    dense = F.broadcast(dense) if groups is None else groups.crossJoin(F.broadcast(dense))
+    cells = dense.join(cells, [*by, "a", "l", "d"], "left").na.fill(0, ["m", "h"])
+    total = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    upper = lambda axis, rest: Window.partitionBy(*by, *rest).orderBy(F.desc(axis))
+    at_least = cells.groupBy(*by, "a").agg(F.sum("m").alias("m"), F.sum("h").alias("h"))
+    above = upper("a", ()).rowsBetween(Window.unboundedPreceding, -1)
+    at_least = at_least.select(*by, "a", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_abs") for c in "mh"], F.sum("m").over(total).alias("n"))
+    for axis, order in (("d", F.desc("d")), ("l", F.desc("l")), ("a", F.asc("a"))):
+        w = Window.partitionBy(*by, *[x for x in "ald" if x != axis]).orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if axis != "a" else 0)
+        cells = cells.select(*by, "a", "l", "d", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in "mh"])
+    value = lambda xs, i: F.element_at(F.array(*[F.lit(float(x)) for x in sorted(xs)]), i + 1)
+    inside = (F.col("a") < len(absolutes)) & (F.col("l") < len(lows)) & (F.col("d") < len(deltas))
+    got = cells.filter(inside).join(at_least, [*by, "a"])
+    return got.select(
+        *by, value(absolutes, F.col("a")).alias("absolute"), value(lows, F.col("l")).alias("low"), value(deltas, F.col("d")).alias("delta"),
+        (F.col("m_abs") + F.col("m")).alias("accepted"), (F.col("h_abs") + F.col("h")).alias("correct"), "n",
+    )
+
+
+def two_fold(counts: DataFrame, most_false: float) -> DataFrame:
+    """(fold, absolute, low, delta, tuned_recall, accepted, correct, n, precision, recall, false_rate): the rule chosen on one fold and scored on
+    the other, for each fold as the scored one. counts: fold, rule, accepted, correct, n, false_accepted; a fold without a rule
+    within the bound has no row."""
+    p, r = F.round(ratio(F.col("correct"), F.col("accepted")), 4), F.round(ratio(F.col("correct"), F.col("n")), 4)
+    rows = counts.withColumns({"precision": p, "recall": r, "false_rate": F.round(ratio(F.col("false_accepted"), F.col("n")), 4)})
+    order = F.struct("recall", "precision", "delta", "low", "absolute")
+    chosen = rows.filter(F.col("false_rate") <= most_false).groupBy("fold").agg(F.max_by(F.struct("absolute", "low", "delta", F.col("recall").alias("tuned_recall")), order).alias("c"))
+    chosen = chosen.select((1 - F.col("fold")).alias("fold"), "c.*")
+    return chosen.join(rows, ["fold", "absolute", "low", "delta"]).select(
+        "fold", "absolute", "low", "delta", "tuned_recall", "accepted", "correct", "n", "precision", "recall", "false_rate")
+
+
 def protocol_differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """Parameters of a (name, value) that b lacks or gives another value; two result sets compare only without any."""
     other = b.select(F.col("name").alias("n"), F.col("value").alias("actual"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -195,16 +194,3 @@ def admitted(events: DataFrame, limit: int = 10, seconds: int = 60) -> DataFrame
     rows = events.select("event_id", "key", "ts", us.alias("now")).withColumn("stretch", stretch).drop("ts")
     rows = rows.repartition("key", "stretch").sortWithinPartitions("key", "stretch", "now", "event_id")
     return rows.mapInPandas(run, "event_id long, key long, admitted boolean, retry_after long")
-
-
-@dataclass(frozen=True)
-class Lists:
-    """Reading the registry as a caller would."""
-
-    entries: DataFrame
-
-    def list(self, *, sort: str = "last_seen", limit: int = 20, offset: int = 0, **filters) -> tuple[DataFrame, int]:
-        if not (1 <= limit <= 100 and 0 <= offset <= 10_000):
-            raise ValueError("limit is 1 to 100, offset 0 to 10000")
-        rows = self.entries.filter(wanted(**filters))
-        return page(rows, sort, limit, offset, "unknown_id"), rows.count()

@@ -32,9 +32,10 @@ def _stored(spark, d):
 
 
 def _metadata(spark, d):
-    """Source ids of the first 500 parts; those of 200 of them stand twice."""
-    p = A.table(spark, d, "part").filter("p_partkey <= 500")
-    return p.select((F.col("p_partkey") % 300).cast("string").alias("source_track_id"), F.concat(F.lit("rec-"), F.col("p_partkey").cast("string")).alias("recording_id"))
+    """Source ids of all parts; odd parts have one of their own, of the even ones three share one."""
+    p = A.table(spark, d, "part")
+    source = F.when(F.col("p_partkey") % 2 == 1, F.col("p_partkey")).otherwise(F.floor(F.col("p_partkey") / 6) * 2)
+    return p.select(source.cast("string").alias("source_track_id"), F.concat(F.lit("rec-"), F.col("p_partkey").cast("string")).alias("recording_id"))
 
 
 def index_build_remap(spark, d):
@@ -215,9 +216,9 @@ def analyze_queries(spark, d):
 
 def hint_candidate(spark, d):
     """The first candidate of each job without a match, as a hint."""
-    c = A.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("rank"), F.col("l_partkey").alias("recording_id"), (F.col("l_discount") * 10).alias("score")))).alias("c"))
-    first = F.get("c", F.lit(0))
-    return c.select("l_orderkey", first["recording_id"].alias("hint"), F.round(first["score"], 4).alias("hint_score"))
+    first = F.min_by(F.struct(F.col("l_partkey").alias("recording_id"), (F.col("l_discount") * 10).alias("score")), F.struct("l_linenumber", "l_partkey", "l_discount"))
+    c = A.table(spark, d, "lineitem").groupBy("l_orderkey").agg(first.alias("c"))
+    return c.select("l_orderkey", F.col("c.recording_id").alias("hint"), F.round("c.score", 4).alias("hint_score"))
 
 
 def candidate_labels(spark, d):
@@ -531,7 +532,7 @@ QUERIES = {f.__name__: f for f in (
 _STORED = """st as (select vec_id, list_transform(embedding, lambda x: case when vec_id % 17 = 0 then 0::double else x::double end) as v0, md5(vec_id::varchar) as h from embeddings),
 sv as (select vec_id, case when vec_id % 7 = 0 then h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] else vec_id::varchar end as rid, v0, (vec_id % 3)::varchar as model_version,
     vec_id % 11 = 0 as bad_dim, vec_id % 11 <> 0 and vec_id % 13 = 0 as bad_values, sqrt(list_sum(list_transform(v0, lambda x: x * x))) as norm from st),
-m0 as (select (p_partkey % 300)::varchar as src, 'rec-' || p_partkey as rec from part where p_partkey <= 500), mp as (select src, min(rec) as target from m0 group by src having count(*) = 1),
+m0 as (select (case when p_partkey % 2 = 1 then p_partkey else p_partkey // 6 * 2 end)::varchar as src, 'rec-' || p_partkey as rec from part), mp as (select src, min(rec) as target from m0 group by src having count(*) = 1),
 hw as (select sv.*, target, case when bad_dim then 'bad_dim' when target is null and len(rid) <> 36 then 'unmapped' when bad_values then 'bad_values' when target is not null then 'remapped' else 'already_uuid' end as how from sv left join mp on src = rid)"""
 _LI_W = """g as (select l_orderkey as job, l_linenumber as window_idx, max((l_quantity, l_returnflag, l_partkey)) as m from lineitem group by all),
 w as (select job, window_idx, m[3] as recording_id, case when m[1] >= 48 then 'EXACT_MATCH' when m[2] = 'R' then 'NEAR_MATCH' when m[2] = 'A' then 'COVER_MATCH' else 'UNKNOWN' end as match_type,

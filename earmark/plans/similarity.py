@@ -175,24 +175,31 @@ def cover_margin_top2(spark, d):
     return t.select("query_id", "s1", "s2", F.round(F.col("s1") - F.col("s2"), 6).alias("margin"), vectors.accepted_by_margin(F.col("s1"), F.col("s2"), 0.55, 0.45, 0.02).alias("accepted"))
 
 
-def cover_rule_grid(spark, d):
-    """Every rule of the grid over the records; truth: the best match has the query's label. Folds alternate by query."""
+#: Thresholds of the margin rules; none accepts by s1 alone from 2.0 on.
+ABSOLUTE, LOW, DELTA = (0.50, 0.55, 0.60, 2.0), tuple(round(0.30 + 0.02 * i, 2) for i in range(7)), tuple(round(0.005 * j, 3) for j in range(21))
+
+
+def _margin_records(spark, d):
+    """(fold, s1, margin, ok) of each query; ok: the best match has its label. Folds alternate by query."""
     label = A.table(spark, d, "embeddings").select("vec_id", "label")
     rows = _top_two(spark, d).join(label.select(F.col("vec_id").alias("query_id"), F.col("label").alias("lq")), "query_id").join(
         label.select(F.col("vec_id").alias("best"), F.col("label").alias("lb")), "best"
     )
-    rows = rows.withColumn("ok", F.col("lq") == F.col("lb")).withColumn("fold", F.pmod(F.floor(F.col("query_id") / 25), F.lit(2)).cast("int"))
-    rules = F.broadcast(spark.createDataFrame(grid_rules(), "absolute double, low double, delta double"))  # 589 rows
-    hit = (F.col("s1") >= F.col("absolute")) | ((F.col("s1") >= F.col("low")) & (F.round(F.col("s1") - F.col("s2"), 6) >= F.col("delta")))
-    return rows.crossJoin(rules).groupBy("fold", "absolute", "low", "delta").agg(
-        F.count_if(hit).alias("accepted"), F.count_if(hit & F.col("ok")).alias("correct"), F.count("*").alias("n")
-    )
+    fold = F.pmod(F.floor(F.col("query_id") / 25), F.lit(2)).cast("int")
+    return rows.select(fold.alias("fold"), "s1", F.round(F.col("s1") - F.col("s2"), 6).alias("margin"), (F.col("lq") == F.col("lb")).alias("ok"))
+
+
+def cover_rule_grid(spark, d):
+    """Every rule of the grid, and the one that accepts from the threshold on only."""
+    rows = _margin_records(spark, d)
+    counts = evaluation.rule_counts(rows, ABSOLUTE, LOW, DELTA, ("fold",))
+    return counts.unionByName(evaluation.rule_counts(rows, (0.55,), (1.01,), (0.0,), ("fold",)))
 
 
-def grid_rules() -> list[tuple[float, float, float]]:
-    """588 rules of the grid, and the rule that accepts from the threshold on only."""
-    grid = [(a, round(0.30 + 0.02 * i, 2), round(0.005 * j, 3)) for a in (0.50, 0.55, 0.60, 2.0) for i in range(7) for j in range(21)]
-    return [(0.55, 1.01, 0.0), *grid]
+def cover_rule_folds(spark, d):
+    """The margin rule chosen on one fold, scored on the other; accepted wrong matches are false ones, at most half of all."""
+    counts = evaluation.rule_counts(_margin_records(spark, d), ABSOLUTE, LOW, DELTA, ("fold",))
+    return evaluation.two_fold(counts.withColumn("false_accepted", F.col("accepted") - F.col("correct")), 0.5)
 
 
 def cover_margin_stats(spark, d):
@@ -297,10 +304,14 @@ _MOVED = f"""from d0), desc_ as (select * from desc0 union all
 _SHIFT = "(case when (12 - oti) % 12 > 6 then (12 - oti) % 12 - 12 else (12 - oti) % 12 end)"
 _TWO = _COVER + ', two as (select query_id, max(case when "rank" = 1 then score end) as s1, max(case when "rank" = 2 then score end) as s2, max(case when "rank" = 1 then vec_id end) as best from top where "rank" <= 2 group by query_id)'
 
+_RULES = """, rec as (select s1, s2, a.label = b.label as ok, ((query_id // 25) % 2)::int as fold from two join embeddings a on a.vec_id = query_id join embeddings b on b.vec_id = best),
+rules as (select a as absolute, round(0.30 + 0.02 * i, 2)::double as low, round(0.005 * j, 3)::double as delta from (select unnest([0.5::double, 0.55::double, 0.6::double, 2.0::double]) as a), (select unnest(generate_series(0, 6)) as i), (select unnest(generate_series(0, 20)) as j)
+    union all select 0.55::double, 1.01::double, 0::double), hits as (select *, s1 >= absolute or (s1 >= low and round(s1 - s2, 6) >= delta) as hit from rec, rules) """
+
 QUERIES = {f.__name__: f for f in (
     fp_prefilter_topk, fp_alignment_score, fp_search_verdict, fp_search_full_scan, fp_search_short_query, fp_search_touched, fp_search_excluded, fp_duplicate_classes, fp_change_signature,
     heldout_exclusions, vec_topk_recordings, vec_exclude_equiv, vec_leave_one_out_recall, vec_map_segment, vec_pair_distribution, vec_unknown_sweep,
-    vec_target_pick, recording_mean_vectors, cover_rotation_best, cover_margin_top2, cover_rule_grid, cover_margin_stats, cover_identify, cascade_verdict,
+    vec_target_pick, recording_mean_vectors, cover_rotation_best, cover_margin_top2, cover_rule_grid, cover_rule_folds, cover_margin_stats, cover_identify, cascade_verdict,
 )}
 ORACLE = {
     "fp_prefilter_topk": f'{_BASE}, {_CAND} select query_id, doc_id, hits, "rank" from cand',
@@ -343,10 +354,11 @@ select recording_id, (i - 1)::int as i, round(x, 5) as x from u""",
     "cover_rotation_best": _COVER + f"""select query_id, vec_id, oti::int as oti, score, "rank", case when {_SHIFT} = 0 then 'same key' when {_SHIFT} = 6 then 'tritone'
     when {_SHIFT} > 0 then '+' || {_SHIFT} || ' semitones' else {_SHIFT} || ' semitones' end as shift from top where "rank" <= 5""",
     "cover_margin_top2": _TWO + " select query_id, s1, s2, round(s1 - s2, 6) as margin, s1 >= 0.55 or (s1 >= 0.45 and s1 - s2 >= 0.02) as accepted from two",
-    "cover_rule_grid": _TWO + """, rec as (select s1, s2, a.label = b.label as ok, ((query_id // 25) % 2)::int as fold from two join embeddings a on a.vec_id = query_id join embeddings b on b.vec_id = best),
-rules as (select a as absolute, round(0.30 + 0.02 * i, 2)::double as low, round(0.005 * j, 3)::double as delta from (select unnest([0.5::double, 0.55::double, 0.6::double, 2.0::double]) as a), (select unnest(generate_series(0, 6)) as i), (select unnest(generate_series(0, 20)) as j)
-    union all select 0.55::double, 1.01::double, 0::double), hits as (select *, s1 >= absolute or (s1 >= low and round(s1 - s2, 6) >= delta) as hit from rec, rules)
-select fold, absolute, low, delta, count(*) filter (where hit) as accepted, count(*) filter (where hit and ok) as correct, count(*) as n from hits group by all""",
+    "cover_rule_grid": _TWO + _RULES + "select fold, absolute, low, delta, count(*) filter (where hit) as accepted, count(*) filter (where hit and ok) as correct, count(*) as n from hits group by all",
+    "cover_rule_folds": _TWO + _RULES + """, g as (select fold, absolute, low, delta, count(*) filter (where hit) as accepted, count(*) filter (where hit and ok) as correct, count(*) as n from hits where low <> 1.01 group by all),
+m as (select *, round(case when accepted > 0 then correct / accepted::double else 0 end, 4) as "precision", round(correct / n::double, 4) as recall, round((accepted - correct) / n::double, 4) as false_rate from g),
+c as (select 1 - fold as fold, absolute, low, delta, recall as tuned_recall from m where false_rate <= 0.5 qualify row_number() over (partition by fold order by recall desc, "precision" desc, delta desc, low desc, absolute desc) = 1)
+select fold, absolute, low, delta, tuned_recall, accepted, correct, n, "precision", recall, false_rate from c join m using (fold, absolute, low, delta)""",
     "cover_margin_stats": _TWO + ", m as (select s1 - s2 as m from two) select " + ", ".join(f"round(quantile_cont(m, {q / 100}), 5) as p{q:02d}" for q in (5, 25, 50, 75, 95)) + " from m",
     "cover_identify": f"""with e as (select vec_id, embedding::double[] as v from embeddings),
 sp as (select vec_id, i as "row", f, 30 / f as seconds, least(24.0::double + vec_id % 11, floor(30 / f + 0.5)) as span from e, (select unnest([0, 1, 2, 3, 4]) as i, unnest([0.9::double, 0.95::double, 1::double, 1.05::double, 1.1::double]) as f) where vec_id % 25 = 0),

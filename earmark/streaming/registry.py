@@ -1,14 +1,10 @@
-"""Registry and admission as streams."""
+"""The registry as a stream; admission and the registry that learns are in ``ordered``."""
 
 from __future__ import annotations
 
-import uuid
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import registry
 
@@ -58,32 +54,7 @@ def fold_sightings(stream: DataFrame, table: RegistryTable, checkpoint: str) ->
     )
 
 
-def admitted(stream: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """Sliding-window admission per key over a stream of (event_id, key, ts); state: the admitted times still inside the window."""
-
-    def step(key, frames, state: GroupState):
-        recent = list(state.get[0]) if state.exists else []
-        for pdf in frames:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            ok = []
-            for now in pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6:
-                recent = [t for t in recent if t > now - seconds]
-                ok.append(len(recent) < limit)
-                if ok[-1]:
-                    recent.append(now)
-            yield pd.DataFrame({"event_id": pdf["event_id"], "key": key[0], "admitted": ok})
-        state.update((recent,))
-
-    return stream.select("event_id", "key", "ts").groupBy("key").applyInPandasWithState(
-        step, "event_id long, key long, admitted boolean", "recent array<double>", "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def daily(stream: DataFrame, offset_minutes: int = 0, late: str = "1 day") -> DataFrame:
     """Sightings per local day with a watermark for late ones."""
     local = F.col("seen_at") + F.make_interval(mins=F.lit(offset_minutes))
     return stream.withColumn("local", local).withWatermark("local", late).groupBy(F.window("local", "1 day")).agg(F.count("*").alias("n"))
-
-
-def fresh_name(prefix: str) -> str:
-    return f"{prefix}_{uuid.uuid4().hex}"

@@ -168,19 +168,6 @@ def test_streaming_registry_equals_batch(spark, sf, tmp_path):
     assert table.read().count() == before
 
 
-def test_streaming_admission(spark, tmp_path):
-    from earmark.streaming.registry import admitted
-
-    base = pd.Timestamp("2024-01-01")
-    rows = [(i, i % 2, (base + pd.Timedelta(seconds=i)).to_pydatetime()) for i in range(20)]
-    df = spark.createDataFrame(rows, "event_id long, key long, ts timestamp")
-    df.coalesce(1).write.parquet(f"{tmp_path}/in")
-    out = admitted(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), 3, 60)
-    q = out.writeStream.format("memory").queryName("adm").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert spark.table("adm").filter("admitted").count() == 6
-
-
 def test_files(spark, tmp_path):
     p = f"{tmp_path}/c.csv"
     with open(p, "w") as f:
