@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import audio_features, codec, evaluation, fingerprint, ml
+from ..operators import audio_features, codec, crossfit, evaluation, fingerprint, ml
 from ..sources import adapters as A
 
 
@@ -133,6 +134,20 @@ def license_classifier_cv(spark, d):
     return ml.complexity(cv)
 
 
+def license_protocols(spark, d):
+    """Cross-validation by row, by artist, and the commonest class: macro-F1 and accuracy of two strengths."""
+    e = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("x"), F.col("label").cast("int").alias("label"), (F.col("vec_id") % 50).alias("artist"))
+    classes = e.select("label").distinct().select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("y"))
+    rows = e.join(F.broadcast(classes), "label")
+    return crossfit.protocols(rows, "artist", 3, (0.1, 1.0), classes.count(), 64, 12)
+
+
+def license_folds(spark, d):
+    """The fold of each artist, and how many of each class it brings."""
+    e = A.table(spark, d, "embeddings").select("label", (F.col("vec_id") % 50).alias("artist"))
+    return crossfit.group_folds(e, "artist", "label", 3)
+
+
 def eval_error_breakdown(spark, d):
     return evaluation.error_breakdown(_results(spark, d).filter("system = 'full'"), "R")
 
@@ -165,7 +180,7 @@ def fp_variants_accepted(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     eval_error_breakdown, eval_distribution, eval_window_summary, eval_best_relevant, fp_variants_accepted, eval_threshold_sweep, eval_calibrated_threshold, eval_five_systems, eval_by_transformation, eval_robustness_families, eval_union_recall, eval_confusion_matrix,
-    eval_class_report, eval_overall, eval_slices, eval_latency_percentiles, eval_label_spread, eval_same_queries, codec_decode, pooling_compare, license_classifier_cv,
+    eval_class_report, eval_overall, eval_slices, eval_latency_percentiles, eval_label_spread, eval_same_queries, codec_decode, pooling_compare, license_classifier_cv, license_protocols, license_folds,
 )}
 
 from .similarity import _SWEEP  # noqa: E402
