@@ -19,6 +19,8 @@ values rank by the item's UTF-8 bytes. An empty table gives no rows. Other colum
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,22 +44,38 @@ def _gap(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """Occurrences n and documents d of each term by (lang, source)."""
-    text = F.coalesce("text", F.lit(""))
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """(lang, source, g) of each group that occurs, and the expression of g: one number in place of two strings in each key."""
+    groups = cut(_named(docs).select("lang", "source").distinct(), parts=8)
+    for seed in count():
+        g = F.xxhash64(F.lit(seed), "lang", "source")
+        groups = groups.withColumn("g", g)
+        if groups.agg(F.count("*") == F.count_distinct("g")).first()[0]:
+            return groups, g
+
+
+def term_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups, and occurrences n and documents d of each term by (lang, source)."""
+    groups, g = numbered(docs)
     # translate looks at each character; in plain ASCII lower() is the same
+    text = F.col("text")
     text = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(ascii_lower(text))
-    rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.split(text, BETWEEN).alias("terms"))
+    rows = _named(docs).select(g.alias("g"), F.split(text, BETWEEN).alias("terms"))
     # a term's occurrences, and behind them each term once for its document
-    rows = rows.select("lang", "source", F.size("terms").alias("all"), F.concat("terms", F.array_distinct("terms")).alias("terms"))
-    rows = rows.select("lang", "source", "all", F.posexplode("terms").alias("at", "term")).filter("term <> ''")
-    return rows.groupBy("lang", "source", "term").agg(F.count_if(F.col("at") < F.col("all")).alias("n"), F.count_if(F.col("at") >= F.col("all")).alias("d"))
+    rows = rows.select("g", F.size("terms").alias("all"), F.concat("terms", F.array_distinct("terms")).alias("terms"))
+    rows = rows.select("g", "all", F.posexplode("terms").alias("at", "term")).filter("term <> ''")
+    counts = rows.groupBy("g", "term").agg(F.count_if(F.col("at") < F.col("all")).alias("n"), F.count_if(F.col("at") >= F.col("all")).alias("d"))
+    return groups, counts.join(groups, "g").select("lang", "source", "term", "n", "d")
 
 
 def audit(docs: DataFrame, *, least_docs: int = 10, top_terms: int = 10) -> DataFrame:
     """Rows (lang, source, part, item, value, rank): divergence from each other source, and the terms that stand out most."""
-    counts = cut(term_counts(docs))
-    groups = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
+    groups, counts = term_counts(docs)
+    counts = cut(counts)
     kept = cut(counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("d").alias("d")).filter(F.col("d") >= least_docs).drop("d"))
     langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
     held = cut(counts.join(kept, ["lang", "term"], "left_semi").select("lang", "source", "term", "n"))
