@@ -41,10 +41,12 @@ SCHEMA = (
 TIERS = (256, 512, 1024, 2048, 4096)
 #: Texts are encoded together up to so many characters; a longer one goes in runs of so many.
 READ_CHARS = 400_000
-#: What a chunk in the table of chunks takes besides its letters and ids.
-ENTRY_BYTES = 450
+#: What an entry of a table takes besides its letters and ids.
+ENTRY_BYTES = 220
 
 
+#: A full stop and a comma: the forms in which a word is kept besides itself.
+_MARKS = {46: 1, 44: 2}
 _BLANK = re.compile(r"[ \t\n\x0b\x0c\r]")
 
 
@@ -64,7 +66,7 @@ class ChunkTokenizer:
 
     GROUP = 64
 
-    def __init__(self, path: str, keep_bytes: int = 96_000_000):
+    def __init__(self, path: str, keep_bytes: int = 128_000_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         # one thread a task: a pool of its own in each worker costs memory and no task gains by it
@@ -81,18 +83,24 @@ class ChunkTokenizer:
         self.marks = [self._encode([m])[0] for m in (".", ",")]
         self.clear()
 
-    def clear(self) -> None:
+    def forget_chunks(self) -> None:
+        """Chunks go, the words they are made of stay, so that common chunks are back soon."""
         self.place: dict[bytes, int] = {}
+        self.letters = 0
+
+    def clear(self) -> None:
+        self.forget_chunks()
         self.words: dict[bytes, int] = {}
         self.ids = np.empty(1 << 16, np.uint32)
         self.start = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int64)
         self.word_start = np.zeros(1 << 16, np.int64)
         self.word_size = np.zeros(1 << 16, np.int64)
-        self.used = self.letters = 0
+        self.used = 0
 
-    def held_bytes(self) -> int:
-        return len(self.place) * ENTRY_BYTES + 2 * self.letters + 4 * self.used
+    def held_bytes(self) -> tuple[int, int]:
+        """Of chunks, and of words with all ids."""
+        return len(self.place) * ENTRY_BYTES + self.letters, len(self.words) * ENTRY_BYTES + 4 * self.used
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -132,16 +140,17 @@ class ChunkTokenizer:
         while at + n > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.size = np.concatenate([self.size, np.zeros_like(self.size)])
-        cores, form, others = [], np.zeros(n, np.int64), []
+        cores, kinds, others, words = [], [], [], self.words
         for i, c in enumerate(chunks):
-            mark = c[-1:]
-            core = (c[:-1] if mark in (b".", b",") else c).lower()
-            if core.isalpha() or _latin(core.decode()):
+            kind = _MARKS.get(c[-1], 0)
+            core = (c[:-1] if kind else c).lower()
+            if core in words or core.isalpha() or (not core.isascii() and _latin(core.decode())):
                 cores.append(core)
-                form[i] = 1 if mark == b"." else 2 if mark == b"," else 0
+                kinds.append(kind)
             else:
                 others.append(i)
-                form[i] = -1
+                kinds.append(-1)
+        form = np.array(kinds, np.int64)
         new = list(dict.fromkeys(w for w in cores if w not in self.words))
         if new:
             self._learn_words(new)
@@ -167,8 +176,11 @@ class ChunkTokenizer:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; unknown chunks of all the texts are encoded together."""
-        if self.held_bytes() > self.keep_bytes:
+        chunks, words = self.held_bytes()
+        if words > self.keep_bytes // 2:
             self.clear()
+        elif chunks > self.keep_bytes // 2:
+            self.forget_chunks()
         parts = [t.encode().split() for t in texts]
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
         flat = list(chain.from_iterable(parts))
@@ -251,7 +263,7 @@ def pack(
     tiers: tuple[int, ...] = TIERS,
     step_tokens: int = 65536,
     flush_tokens: int = 4_000_000,
-    keep_bytes: int = 96_000_000,
+    keep_bytes: int = 128_000_000,
 ) -> DataFrame:
     """One row per piece of a document (doc_id, text) in a window, with its ids as little-endian uint32."""
     schema = pa.schema([
