@@ -68,6 +68,45 @@ def overlap_share(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(e1, e2) - F.greatest(s1, s2)) / F.least(e1 - s1, e2 - s2)
 
 
+def overlapping(left: DataFrame, right: DataFrame, share: float = 0.5) -> DataFrame:
+    """(source, q, r, share): spans of one source that overlap by at least ``share`` (0.5 or more, at six digits) of the shorter one.
+
+    left: (source, q, s, e), right: (source, r, s, e). An overlap of half of a span holds the span's middle, so the middle of the shorter span
+    lies in the longer one: a join of points with spans. Spans of lengths up to 2**c lie in the one or two bins of width 2**c they
+    touch; a point looks into its bin of every width in use from its own span's on. Pairs meet in a bin about as wide as the longer of
+    them, so a source of any number of spans is dealt over its bins, and the work follows the output. Spans that end
+    before they start, or where they start, overlap nothing.
+    """
+    if share < 0.5:
+        raise ValueError("the middle of the shorter span lies in the longer one from a share of 0.5 on")
+    slack = 1e-6
+
+    def sized(df: DataFrame, key: str) -> DataFrame:
+        d = df.filter("e > s").select("source", F.col(key).alias("id"), F.col("s").cast("double").alias("s"), F.col("e").cast("double").alias("e"))
+        return d.withColumn("c", F.ceil(F.log2(F.col("e") - F.col("s"))).cast("int"))
+
+    def bins(x: Column, c: Column) -> Column:
+        return F.floor(x / F.pow(F.lit(2.0), c)).cast("long")
+
+    a, b = sized(left, "q"), sized(right, "r")
+    widths = a.select("c").union(b.select("c")).agg(F.array_sort(F.collect_set("c")).alias("widths"))  # one row, a value a power of two in use
+
+    def meet(points: DataFrame, spans: DataFrame, shorter) -> DataFrame:
+        room = (F.col("e") - F.col("s")) * slack
+        filed = spans.select("source", "id", "s", "e", "c", F.explode(F.sequence(bins(F.col("s") - room, F.col("c")), bins(F.col("e") + room, F.col("c")))).alias("bin"))
+        asked = points.crossJoin(F.broadcast(widths)).select("source", F.col("id").alias("pid"), F.col("s").alias("ps"), F.col("e").alias("pe"), F.explode(F.filter("widths", lambda w: w >= F.col("c"))).alias("c"))
+        middle = (F.col("ps") + F.col("pe")) / 2
+        asked = asked.withColumn("middle", middle).withColumn("bin", bins(F.col("middle"), F.col("c")))
+        size, other = F.col("pe") - F.col("ps"), F.col("e") - F.col("s")
+        inside = (F.col("middle") >= F.col("s") - slack * size) & (F.col("middle") <= F.col("e") + slack * size)
+        met = asked.join(filed, ["source", "c", "bin"]).filter(shorter(size, other) & inside)
+        return met.select("source", "pid", "id", F.round(overlap_share(F.col("ps"), F.col("pe"), F.col("s"), F.col("e")), 6).alias("share"))
+
+    one = meet(a, b, lambda x, y: x <= y).select("source", F.col("pid").alias("q"), F.col("id").alias("r"), "share")
+    two = meet(b, a, lambda x, y: x < y).select("source", F.col("id").alias("q"), F.col("pid").alias("r"), "share")
+    return one.unionByName(two).filter(F.col("share") >= share)
+
+
 #: Where queries are cut, and what transformations do to time and pitch.
 CROP_START = 30.0
 TEMPO_FACTORS = {"tempo_0_90": 0.90, "tempo_0_95": 0.95, "tempo_1_05": 1.05, "tempo_1_10": 1.10}

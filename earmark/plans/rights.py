@@ -140,11 +140,8 @@ def window_best_pick(spark, d):
 
 def interval_overlap_labels(spark, d):
     """Spans of the same order that overlap by at least half of the shorter."""
-    li = A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("s"), (F.col("l_quantity") + 5 + F.col("l_linenumber")).alias("e"), "l_extendedprice")
-    a, b = li.alias("a"), li.alias("b")
-    share = windows.overlap_share(F.col("a.s"), F.col("a.e"), F.col("b.s"), F.col("b.e"))
-    met = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_linenumber") < F.col("b.l_linenumber")) & (F.col("a.s") < F.col("b.e")) & (F.col("b.s") < F.col("a.e")))
-    return met.select(F.col("a.l_orderkey").alias("source"), F.col("a.l_linenumber").alias("q"), F.col("b.l_linenumber").alias("r"), F.round(share, 6).alias("share")).filter("share >= 0.5")
+    li = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("q"), F.col("l_quantity").alias("s"), (F.col("l_quantity") + 5 + F.col("l_linenumber")).alias("e"))
+    return windows.overlapping(li, li.withColumnRenamed("q", "r")).filter("q < r")
 
 
 def text_projections(spark, d):
