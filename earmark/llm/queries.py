@@ -105,4 +105,5 @@ ORACLE: dict[str, str] = {
     "op4_url_filters": url_filters.ORACLE,
     "op5_exact_topk": topk.ORACLE,
     "op12_source_divergence": divergence.ORACLE,
+    "op13_repeated_passages": repeated_passages.ORACLE,
 }

@@ -328,3 +328,14 @@ def strip(docs: DataFrame, *, window: int = 50) -> DataFrame:
 
 def query(docs: DataFrame) -> DataFrame:
     return _apply(docs, 50, _digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM d, unnest(generate_series(1, len(w) - 49)) t(i) WHERE len(w) >= 50),
+own AS (SELECT h, min(doc_id) AS o FROM win GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM win JOIN own USING (h), unnest(generate_series(0, 49)) t(k) WHERE o < doc_id),
+kept AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.p) AS kept, count(*) AS n
+    FROM (SELECT doc_id, p, w[p] AS word FROM d, unnest(generate_series(1, len(w))) t(p)) x ANTI JOIN gone USING (doc_id, p) GROUP BY x.doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
