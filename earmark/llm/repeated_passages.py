@@ -281,8 +281,9 @@ def passages(docs: DataFrame, n_shards: int, window: int = 50) -> DataFrame:
     """(shard, owner, words): wording of confirmed passages, for each shard with documents after the owner that hold it."""
     found = cut(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(*_block_rows(window)))
     twice = found.groupBy("phrase").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("phrase")
+    twice = cut(twice)  # by itself, so that Spark can split a hot phrase in the join
     again = cut(found.join(twice, "phrase", "left_semi"), bloom=True)
-    drop(found)
+    drop(found, twice)
     distinct = again.groupBy("phrase", "block").agg(F.min(F.struct("doc_id", "start", "windows")).alias("home"), F.max("doc_id").alias("last"))
     distinct = cut(distinct.select("phrase", "block", "home.*", "last"))
     several = distinct.groupBy("phrase").agg((F.count("*") > 1).alias("mixed"))
