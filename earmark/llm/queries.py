@@ -31,7 +31,7 @@ PIECE_TOKENIZER = os.environ.get("EARMARK_PIECE_TOKENIZER") or public_tokenizers
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER).select(
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, keep_bytes=256_000_000).select(
         "doc_id", "start", "length", F.crc32("ids_le").alias("ids_crc32"),
         "doc_tokens", "sequence_id", "offset", "tier", "step_group",
     )
