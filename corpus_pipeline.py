@@ -63,7 +63,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in full windows of token ids."""
-    return packing.pack(docs, TOKENIZER).select(
+    return packing.pack(docs, TOKENIZER, keep_bytes=96_000_000).select(
         "doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "tier", "step_group", "ids_le"
     )
 
