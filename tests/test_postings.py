@@ -67,3 +67,16 @@ def test_references_do_not_shuffle(case):
     plan = postings._hits(postings.plan(q, index).filter("early"), index)._jdf.queryExecution().executedPlan().toString()
     scans = [x for x in plan.splitlines() if "FileScan" in x]
     assert scans and "Bucketed: true" in plan
+
+
+def test_a_search_without_a_stored_index_gives_the_same_and_writes_no_references(case, spark):
+    q, ref, index = case
+    whole = ref.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "h"))).alias("s")).select("doc_id", F.transform("s", lambda x: x["h"]).alias("items"))
+    loose = postings.unstored(whole, lambda rows: rows.select("doc_id", F.size("items").cast("long").alias("n"), F.posexplode("items").alias("pos", "h")), lambda rows: rows)
+    for top, budget in ((5, 60),):
+        assert same(postings.candidates(q, loose, top, budget), fingerprint.candidates(q, ref, top))
+    assert same(postings.touched(q, loose, 1, 60), postings.touched(q, index, 1, 60))
+    assert same(postings.alignment(q, loose), fingerprint.alignment(q, ref))
+    assert same(postings.alignment(q, postings.near(q, loose)), fingerprint.alignment(q, ref))
+    kept = postings._asked_of(q.filter("query_id = 101"), loose).postings
+    assert kept.count() == ref.filter("h = 5").count() < ref.count()
