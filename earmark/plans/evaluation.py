@@ -98,7 +98,7 @@ def eval_slices(spark, d):
 
 def eval_latency_percentiles(spark, d):
     x = A.table(spark, d, "lineitem").withColumn("ms", F.col("l_extendedprice") / 10)
-    return x.groupBy("l_returnflag").agg(*evaluation.latency(x, "ms"))
+    return evaluation.latency(x, "l_returnflag", "ms")
 
 
 def eval_label_spread(spark, d):
