@@ -1,10 +1,9 @@
 """Alignment of two tokenizers: groups of tokens that cover the same bytes, links within them, and how common each link is.
 
 Texts are tokenised in Arrow batches, blank-separated chunks once and from a bounded
-table after. All else is Spark: end offsets both tokenizers share (``array_intersect``) cut
-the tokens into groups; sorting the shared ends in among a tokenizer's own ends tells
-how many tokens each group has, in time linear in the text; ``transform``, ``aggregate``
-and ``sequence`` spell the groups out and pair their tokens.
+table after. Both tokenizers end a token where a chunk ends, so groups never pass a chunk: end offsets that both share cut the
+tokens of a new chunk into groups, and the table keeps how these are spelled and which links they hold. A text joins
+what its chunks hold, and counts each distinct link; a text whose chunks a tokenizer changes, but not the whole, is cut whole.
 
 A link's count is the number of documents that hold it. Documents are dealt by hash into chunks of
 bounded size; each keeps its distinct links with their numbers. Links are counted by chunk,
@@ -20,13 +19,14 @@ an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _settings, cut, drop, give_back
@@ -69,6 +69,8 @@ class Pair:
         self.b_bytes = [self._piece(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.names = [self.a_bytes, self.b_bytes]
         self.sizes = [np.array([len(x) for x in side], np.int64) for side in self.names]
+        self.radix = len(self.b_bytes)
+        self.numbers = [str(i).encode() for i in range(max(map(len, self.names)))]
         self.begins = [np.array([x.startswith(b" ") for x in side], bool) for side in self.names]
         self.clear()
 
@@ -80,9 +82,12 @@ class Pair:
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.same = np.zeros(1 << 14, bool)
-        self.ids = [np.empty(1 << 16, np.int32) for _ in "ab"]
-        self.used = [0, 0]
-        self.start, self.count = ([np.zeros(1 << 14, np.int64) for _ in "ab"] for _ in range(2))
+        # ids of both sides, and links; groups are as many as chunks whose spelling is kept
+        self.ids = [np.empty(1 << 16, np.int64 if side == 2 else np.int32) for side in range(3)]
+        self.used = [0, 0, 0]
+        self.start, self.count = ([np.zeros(1 << 14, np.int64) for _ in range(3)] for _ in range(2))
+        self.groups = np.zeros(1 << 14, np.int64)
+        self.spelled: list[bytes] = []
 
     def _learn(self, chunks: list[str]) -> None:
         """Chunks without white space are encoded many at a time: each begins at a token that begins with the blank before it."""
@@ -112,7 +117,14 @@ class Pair:
         while at + n > len(self.same):
             self.same = np.r_[self.same, self.same]
         self.same[at : at + n] = same
-        for side in (0, 1):
+        good = np.flatnonzero(self.same[at : at + n])
+        spelled, groups, links, each = self.grouped(ids, counts, good)
+        while at + n > len(self.groups):
+            self.groups = np.r_[self.groups, self.groups]
+        self.groups[at : at + n] = groups
+        self.spelled += spelled
+        ids, counts = [*ids, links], [*counts, each]
+        for side in range(3):
             while at + n > len(self.start[side]):
                 self.start[side], self.count[side] = np.r_[self.start[side], self.start[side]], np.r_[self.count[side], self.count[side]]
             total = len(ids[side])
@@ -124,6 +136,32 @@ class Pair:
             self.used[side] += total
         self.place.update(zip(chunks, range(at, at + n)))
 
+    def grouped(self, ids: list[np.ndarray], counts: list[np.ndarray], good: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """For stretches with so many ids on both sides: how their groups are spelled, how many these are, all links, and how many of
+        them each stretch has. Only ``good`` stretches, whose bytes are the same on both sides, have any."""
+        n = len(counts[0])
+        if len(good) < n:
+            keep = np.zeros(n, bool)
+            keep[good] = True
+            ids = [x[np.repeat(keep, c)] for x, c in zip(ids, counts)]
+        ends = [np.cumsum(size[x]) for size, x in zip(self.sizes, ids)]
+        shared = np.intersect1d(*ends)
+        upto = [np.searchsorted(e, shared, side="right") for e in ends]
+        first = [np.r_[0, u[:-1]] if len(u) else u for u in upto]
+        size = [u - f for u, f in zip(upto, first)]
+        of = good[np.searchsorted(np.cumsum(counts[0][good]), upto[0], side="left")]
+        groups = np.bincount(of, minlength=n)
+        total = size[0] * size[1]
+        group = np.repeat(np.arange(len(shared)), total)
+        k = np.arange(len(group)) - np.repeat(np.cumsum(total) - total, total)
+        links = ids[0][first[0][group] + k // size[1][group]].astype(np.int64) * self.radix + ids[1][first[1][group] + k % size[1][group]]
+        written = [[self.numbers[i] for i in x.tolist()] for x in ids]
+        words = [x[0] + b"|" + y[0] if len(x) == len(y) == 1 else b",".join(x) + b"|" + b",".join(y)
+                 for x, y in zip(*([w[i:j] for i, j in zip(f.tolist(), u.tolist())] for w, f, u in zip(written, first, upto)))]
+        last = np.cumsum(groups).tolist()
+        spelled = [b";".join(words[i:j]) for i, j in zip([0, *last[:-1]], last)]
+        return spelled, groups, links, np.bincount(of[group], minlength=n)
+
     def _unchanged(self, chunks: np.ndarray, text: str) -> bool:
         """Whether both tokenizers give back the text; chunk by chunk, and as a whole if a chunk differs."""
         if self.same[chunks].all():
@@ -132,48 +170,80 @@ class Pair:
         return all(b"".join([names[i] for c in chunks for i in self.ids[s][self.start[s][c] : self.start[s][c] + self.count[s][c]]]) == want
                    for s, names in enumerate(self.names))
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, ...] | None]:
-        """(ids, ends) of both sides for each text, or None where a tokenizer changes the text."""
+    def _placed(self, texts: list[str]) -> list[np.ndarray]:
+        """The chunks of each text as places in the table."""
         if max(self.used) > KEEP_TOKENS:
             self.clear()
         parts = [(SEAM.split(t) if _NO_SEAM.search(t) else t.split(" ")) if t else [] for t in texts]
         missing = set(chain.from_iterable(parts)).difference(self.place)
         if missing:
             self._learn(list(missing))
+        return [np.fromiter(map(self.place.__getitem__, p), np.int64, len(p)) for p in parts]
+
+    def _held(self, at: np.ndarray, side: int) -> np.ndarray:
+        """Ids of one side, or links, of chunks one after the other."""
+        n = self.count[side][at]
+        ends = np.cumsum(n)
+        return self.ids[side][np.arange(ends[-1]) + np.repeat(self.start[side][at] - ends + n, n)]
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, ...] | None]:
+        """(ids, ends) of both sides for each text, or None where a tokenizer changes the text."""
         out: list = []
-        for text, p in zip(texts, parts):
-            at = np.fromiter(map(self.place.__getitem__, p), np.int64, len(p))
-            if not p or not self._unchanged(at, text):
+        for text, at in zip(texts, self._placed(texts)):
+            if not len(at) or not self._unchanged(at, text):
                 out.append(None)
                 continue
             found = []
             for s in (0, 1):
-                n = self.count[s][at]
-                ends = np.cumsum(n)
-                ids = self.ids[s][np.arange(ends[-1]) + np.repeat(self.start[s][at] - ends + n, n)]
+                ids = self._held(at, s)
                 found += [ids, np.cumsum(self.sizes[s][ids])]
             out.append(tuple(found))
         return out
 
+    def describe(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """Counts (n_a, n_b, n_groups) and digest of the groups of each text; keys (text << 32 | link) of distinct links, and their times."""
+        counts, digests, keys = np.zeros((3, len(texts)), np.int64), [""] * len(texts), []
+        whole: list[tuple[int, np.ndarray]] = []
+        for i, (text, at) in enumerate(zip(texts, self._placed(texts))):
+            if not len(at):
+                continue
+            if self.same[at].all():
+                counts[:, i] = self.count[0][at].sum(), self.count[1][at].sum(), self.groups[at].sum()
+                digests[i] = hashlib.sha256(b";".join(map(self.spelled.__getitem__, at.tolist()))).hexdigest()
+                whole.append((i, at))
+            elif self._unchanged(at, text):
+                ids = [self._held(at, s) for s in (0, 1)]
+                (spelled,), groups, links, _ = self.grouped(ids, [np.array([len(x)]) for x in ids], np.zeros(1, np.int64))
+                counts[:, i] = len(ids[0]), len(ids[1]), groups[0]
+                digests[i] = hashlib.sha256(spelled).hexdigest()
+                keys.append(links | i << 32)
+        if whole:
+            at = np.concatenate([x for _, x in whole])
+            text = np.repeat(np.array([i for i, _ in whole], np.int64), [len(x) for _, x in whole])
+            keys.append(self._held(at, 2) | np.repeat(text, self.count[2][at]) << 32)
+        return counts, digests, *np.unique(np.concatenate(keys) if keys else np.empty(0, np.int64), return_counts=True)
+
+
+FACTS = "chunk int, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string"
 
-def tokenise(rows: DataFrame, bytes_path: str, pieces_path: str) -> DataFrame:
-    """rows (chunk, doc_id, text) as (chunk, doc_id, a_ids, a_ends, b_ids, b_ends); empty arrays where there are no tokens."""
-    ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
-    schema = pa.schema([("chunk", pa.int32()), ("doc_id", pa.int64()), ("a_ids", ints), ("a_ends", longs), ("b_ids", ints), ("b_ends", longs)])
 
-    def lists(arrays, kind):
-        offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-        values = np.concatenate(arrays) if arrays else np.empty(0)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind.value_type))
+def tokenise(rows: DataFrame, bytes_path: str, pieces_path: str) -> DataFrame:
+    """rows (chunk, doc_id, text) as (*FACTS, a, b, times): counts and digest of the groups, and the distinct links (a, b) of
+    a document with the times each stands there; no links and zeros where there are no tokens."""
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *(pa.list_(t) for t in (pa.int32(), pa.int32(), pa.int64()))]
+    schema = pa.schema(list(zip([*(c.split()[0] for c in FACTS.split(", ")), "a", "b", "times"], types)))
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        pair, empty = Pair(bytes_path, pieces_path), (np.empty(0, np.int64),) * 4
+        pair = Pair(bytes_path, pieces_path)
 
         def close(group):
-            found = [x or empty for x in pair.encode([t for _, _, t in group])]
-            columns = [lists([f[i] for f in found], schema.types[i + 2]) for i in range(4)]
-            return pa.RecordBatch.from_arrays([pa.array([g[0] for g in group], pa.int32()), pa.array([g[1] for g in group], pa.int64()), *columns], schema=schema)
+            chunks, ids, texts = zip(*group)
+            counts, digests, keys, times = pair.describe(list(texts))
+            offsets = pa.array(np.searchsorted(keys, np.arange(len(texts) + 1) << 32).astype(np.int32))
+            a, b = np.divmod(keys & 0xFFFFFFFF, pair.radix)
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, t.value_type)) for x, t in zip((a.astype(np.int32), b.astype(np.int32), times), types[6:])]
+            return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array(ids, pa.int64()), *(pa.array(c) for c in counts), pa.array(digests), *lists], schema=schema)
 
         for batch in batches:
             group, size = [], 0
@@ -188,60 +258,13 @@ def tokenise(rows: DataFrame, bytes_path: str, pieces_path: str) -> DataFrame:
         pair = None
         give_back()
 
-    return rows.mapInArrow(run, "chunk int, doc_id long, a_ids array<int>, a_ends array<long>, b_ids array<int>, b_ends array<long>")
-
-
-def _spelled(ids: Column, low: Column, high: Column) -> Column:
-    return F.array_join(F.transform(F.sequence(low, high - 1), lambda i: ids[i].cast("string")), ",")
+    return rows.mapInArrow(run, FACTS + ", a array<int>, b array<int>, times array<long>")
 
 
 def aligned(tokens: DataFrame, radix: int) -> DataFrame:
-    """Counts, digest of the groups, and each distinct link (a * radix + b) of a document with the times it stands there.
-
-    In steps of one projection each, so that no array is made twice. ``extra`` are ends the other tokenizer lacks: sorted
-    in among the shared ends, they tell how many tokens end at or before each shared end (``na``, ``nb``).
-    Most groups are one token of each side; ``key`` is their link, and below zero for the others.
-    """
-    for side, other in (("a", "b"), ("b", "a")):
-        tokens = tokens.withColumn(f"extra_{side}", F.array_except(f"{side}_ends", f"{other}_ends"))
-    rows = tokens.withColumn("shared", F.array_intersect("a_ends", "b_ends")).withColumn("shared", F.transform("shared", lambda e: 2 * e + 1))
-    for side in "ab":
-        rows = rows.withColumn(f"all_{side}", F.sort_array(F.concat(F.transform(f"extra_{side}", lambda e: 2 * e), "shared")))
-    for side in "ab":
-        up_to = F.transform(f"all_{side}", lambda x, j: F.when(x % 2 == 1, j + 1).otherwise(0))
-        rows = rows.withColumn(f"n{side}", F.array_remove(up_to, 0))
-
-    a, b, na, nb = (F.col(c) for c in ("a_ids", "b_ids", "na", "nb"))
-
-    def before(n, k):
-        return F.when(k > 0, n[k - 1]).otherwise(F.lit(0))
-
-    def simple(hi, k):
-        link = a[hi - 1].cast("long") * radix + b[nb[k] - 1]
-        return F.when((hi - before(na, k) == 1) & (nb[k] - before(nb, k) == 1), link).otherwise((-1 - k).cast("long"))
-
-    def spelled(x):
-        k = (-1 - x).cast("int")
-        both = F.concat(_spelled(a, before(na, k), na[k]), F.lit("|"), _spelled(b, before(nb, k), nb[k]))
-        return F.when(x >= 0, F.concat(F.call_function("div", x, F.lit(radix)).cast("string"), F.lit("|"), (x % radix).cast("string"))).otherwise(both)
-
-    def links_of(x):
-        k = (-1 - x).cast("int")
-        return F.flatten(F.transform(F.sequence(before(na, k), na[k] - 1), lambda i: F.transform(
-            F.sequence(before(nb, k), nb[k] - 1), lambda j: a[i].cast("long") * radix + b[j])))
-
-    rows = rows.withColumn("key", F.transform(na, simple))
-    many = F.flatten(F.transform(F.filter("key", lambda x: x < 0), links_of))
-    rows = rows.select(
-        "chunk", "doc_id", F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), F.size("na").cast("long").alias("n_groups"),
-        F.when(F.size("a_ids") > 0, F.sha2(F.array_join(F.transform("key", spelled), ";"), 256)).otherwise(F.lit("")).alias("groups_sha256"),
-        F.sort_array(F.concat(F.filter("key", lambda x: x >= 0), many)).alias("links"),
-    )
-    links = F.col("links")
-    first = F.array_remove(F.transform(links, lambda x, i: F.when(i == 0, 1).when(x != links[i - 1], i + 1).otherwise(0)), 0)
-    rows = rows.withColumn("first", first).withColumn("pairs", F.array_distinct("links"))
-    times = F.transform("first", lambda f, i: F.coalesce(F.get("first", i + 1), F.size("links") + 1) - f)
-    return rows.select("chunk", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "pairs", times.alias("times"))
+    """The links of ``tokenise`` as one number each (a * radix + b)."""
+    pairs = F.zip_with("a", "b", lambda x, y: x.cast("long") * radix + y)
+    return tokens.select("chunk", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", pairs.alias("pairs"), "times")
 
 
 def align(docs: DataFrame, bytes_path: str, pieces_path: str) -> DataFrame:

@@ -104,3 +104,15 @@ def test_only_texts_chunk_by_chunk_shuffle(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").limit(5).select(F.lit(0).alias("chunk"), "doc_id", "text")
     plan = alignment.aligned(alignment.tokenise(rows, queries.BYTE_TOKENIZER, queries.PIECE_TOKENIZER), 32000)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "PythonUDF" not in plan
+
+
+def test_groups_are_cut_once_a_chunk(spark, sf, monkeypatch):
+    """No array of a whole text's tokens leaves the tokenizers: the plan cuts no ends, and chunks met before are not cut again."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").limit(5).select(F.lit(0).alias("chunk"), "doc_id", "text")
+    plan = alignment.aligned(alignment.tokenise(rows, queries.BYTE_TOKENIZER, queries.PIECE_TOKENIZER), 32000)._jdf.queryExecution().executedPlan().toString()
+    assert "array_intersect" not in plan and "array_except" not in plan
+    pair = alignment.Pair(queries.BYTE_TOKENIZER, queries.PIECE_TOKENIZER)
+    first = pair.describe(["the cat sat on 12 mats", "the cat \U0001f600"])
+    monkeypatch.setattr(pair, "grouped", None)
+    again = pair.describe(["the cat sat on 12 mats", "the cat \U0001f600"])
+    assert all(np.array_equal(x, y) for x, y in zip(first, again)) and len(first[2]) > 5
