@@ -1,7 +1,7 @@
 """Divergence of each source from the other sources of its language, term by term, in whole numbers.
 
-Terms are the exploded matches of one pattern (the pieces between runs of its complement, which
-Spark finds faster than the matches themselves); counts by (lang, source, term) are summed
+Terms are the matches of one pattern, which in UTF-8 are runs of letters A-Z and bytes from 0x80 on: Arrow batches are
+translated and split as bytes, and counted in a bounded table. Counts by (lang, source, term) are summed
 before they shuffle. A language keeps the terms of at least ``least_docs`` of its
 documents. Groups meet the kept vocabulary of their language, so terms a group
 lacks count as zeros, and a self-join on language and term adds up the divergence of
@@ -13,22 +13,26 @@ for which its groups are repeated.
 
 Nulls in text, lang and source count as empty strings, so null and '' are one group; a
 null doc_id changes nothing, and each row is a document, repeated rows included. Empty and
-term-less documents still make their group occur. Very long texts are exploded whole. Equal
+term-less documents still make their group occur. Very long texts are split whole. Equal
 values rank by the item's UTF-8 bytes. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, cut
+from .common import LOWER, UPPER, cut, give_back
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-#: What stands between two matches of TERM.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: The bytes of a text with A-Z lower-cased and a blank for each byte outside TERM.
+LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: Terms a task counts before it hands them on.
+HELD = 400_000
 SCALE = 1_000_000_000
 SALTS = 32
 
@@ -61,14 +65,34 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, Column]:
 def term_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Groups, and occurrences n and documents d of each term by (lang, source)."""
     groups, g = numbered(docs)
-    # translate looks at each character; in plain ASCII lower() is the same
-    text = F.col("text")
-    text = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(ascii_lower(text))
-    rows = _named(docs).select(g.alias("g"), F.split(text, BETWEEN).alias("terms"))
-    # a term's occurrences, and behind them each term once for its document
-    rows = rows.select("g", F.size("terms").alias("all"), F.concat("terms", F.array_distinct("terms")).alias("terms"))
-    rows = rows.select("g", "all", F.posexplode("terms").alias("at", "term")).filter("term <> ''")
-    counts = rows.groupBy("g", "term").agg(F.count_if(F.col("at") < F.col("all")).alias("n"), F.count_if(F.col("at") >= F.col("all")).alias("d"))
+    schema = pa.schema([("g", pa.int64()), ("term", pa.binary()), ("n", pa.int64()), ("d", pa.int64())])
+
+    def run(batches):
+        held: dict[int, tuple[Counter, Counter]] = {}
+        room = 0
+
+        def table():
+            for number, (n, d) in held.items():
+                # each term that occurs is in a document
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(d), pa.int64()), pa.array(d.keys(), pa.binary()), pa.array([n[t] for t in d], pa.int64()), pa.array(d.values(), pa.int64())], schema=schema)
+            held.clear()
+
+        for batch in batches:
+            for number, text in zip(batch.column("g").to_pylist(), batch.column("text")):
+                n, d = held.setdefault(number, (Counter(), Counter()))
+                before = len(d)
+                terms = text.as_py().translate(LETTERS).split()
+                n.update(terms)
+                d.update(set(terms))
+                room += len(d) - before
+                if room > HELD:
+                    yield from table()
+                    room = 0
+        yield from table()
+        give_back()
+
+    rows = _named(docs).select(g.alias("g"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "g long, term binary, n long, d long")
+    counts = rows.groupBy("g", F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
     return groups, counts.join(groups, "g").select("lang", "source", "term", "n", "d")
 
 

@@ -64,3 +64,14 @@ def test_shares_beyond_a_long(spark):
     big = 900_000_000_000_000
     row = spark.range(1).select(divergence._share(F.lit(big), F.lit(3 * big), F.lit(7)).alias("p")).first()
     assert row.p == 1 + 10**9 * (big + 2) // (3 * big + 14)
+
+
+def test_terms_are_counted_as_bytes(spark, monkeypatch):
+    """Texts are split and counted in batches, in tables of bounded size, not as a row a term."""
+    monkeypatch.setattr(divergence, "HELD", 7)
+    rows = [(i, f"Aé {chr(0x40 + i % 50)}x-{i % 3}y\x7f\U0001f600 Z{'z' * (i % 5)}", "en", "ab"[i % 2]) for i in range(120)]
+    df = spark.createDataFrame(rows, DOCS)
+    _, counts = divergence.term_counts(df)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+    assert got(df) == brute(rows)
