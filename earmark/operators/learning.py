@@ -8,6 +8,7 @@ entries scanned, the features an entry keeps and the time after which it is forg
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -66,25 +67,65 @@ class Entry:
 
 @dataclass
 class Bucket:
-    """Entries of one bucket; ``forget`` microseconds after it was last seen an entry is gone."""
+    """Entries of one bucket; ``forget`` microseconds after it was last seen an entry is gone.
+
+    Entries stand in the order in which they were last seen, so a sighting looks at those it may match and those it drops
+    only, however many there are; their features are kept as arrays."""
 
     entries: dict[int, Entry]
     forget: int
     pitches: int
     t: Thresholds = DEFAULT
 
+    def __post_init__(self) -> None:
+        self.arrays: dict[int, tuple] = {}
+        self._order()
+
+    def _order(self) -> None:
+        self.entries = OrderedDict(sorted(self.entries.items(), key=lambda x: x[1].last_seen))
+
+    def _touch(self, key: int, seen_at: int) -> None:
+        """The entry was seen; it goes to the end, unless the sighting is late."""
+        e = self.entries.pop(key)
+        late = bool(self.entries) and self.entries[next(reversed(self.entries))].last_seen > max(e.last_seen, seen_at)
+        e.last_seen, e.count = max(e.last_seen, seen_at), e.count + 1
+        self.entries[key] = e
+        if late:
+            self._order()
+
     def prune(self, now: int) -> list[int]:
-        gone = [k for k, e in self.entries.items() if e.last_seen + self.forget <= now]
+        gone = []
+        for k, e in self.entries.items():
+            if e.last_seen + self.forget > now:
+                break
+            gone.append(k)
         for k in gone:
             del self.entries[k]
+            self.arrays.pop(k, None)
         return gone
 
     def _recent(self) -> list[tuple[int, Entry]]:
-        return sorted(self.entries.items(), key=lambda x: (-x[1].last_seen, x[0]))[:MOST_ENTRIES]
-
-    def _covers(self, a: np.ndarray, rows: list[list[float]]) -> np.ndarray:
-        frames = len(a) // self.pitches
-        return correlated(spectrum(a[None], self.pitches, frames), spectrum(np.array(rows), self.pitches, frames), self.pitches).max(0)[0].round(4)
+        out: list[tuple[int, Entry]] = []
+        for k in reversed(self.entries):
+            e = self.entries[k]
+            if len(out) >= MOST_ENTRIES and e.last_seen < out[-1][1].last_seen:
+                break
+            out.append((k, e))
+        return sorted(out, key=lambda x: (-x[1].last_seen, x[0]))[:MOST_ENTRIES]
+
+    def _arrays(self, key: int, e: Entry) -> tuple[np.ndarray | None, np.ndarray | None]:
+        """Segments (rows), and spectra of covers (frequencies, rows, frames), of an entry."""
+        size = len(e.mert), len(e.cover)
+        held = self.arrays.get(key)
+        if held is None or held[0] != size:
+            held = self.arrays[key] = size, np.array(e.mert) if e.mert else None, self._spectrum(np.array(e.cover)) if e.cover else None
+        return held[1:]
+
+    def _spectrum(self, rows: np.ndarray) -> np.ndarray:
+        return spectrum(rows, self.pitches, rows.shape[1] // self.pitches)
+
+    def _covers(self, a: np.ndarray, kept: np.ndarray) -> np.ndarray:
+        return correlated(self._spectrum(a[None]), kept, self.pitches).max(0)[0].round(4)
 
     def match(self, s) -> tuple[int, float, str] | None:
         """By fingerprint, else by segment, else by cover; of equal scores the entry seen last."""
@@ -99,16 +140,18 @@ class Bucket:
                         best = (k, score, "FINGERPRINT")
             if best:
                 return best
-        for own, name, kept, least, score in (
-            (s.mert, "EMBEDDING", "mert", self.t.embedding, lambda q, rows: (np.array([list(x) for x in q]) @ np.array(rows).T).max(0).round(6)),
-            (s.cover, "COVER", "cover", self.t.cover, lambda q, rows: self._covers(np.array(q), rows)),
-        ):
-            owners = [(k, v) for k, e in recent for v in getattr(e, kept)]
-            if own is not None and len(own) and owners:
-                scores = score(own, [v for _, v in owners])
-                at = int(scores.argmax())
-                if scores[at] >= least:
-                    return owners[at][0], float(scores[at]), name
+        for side, own, name, least in ((0, s.mert, "EMBEDDING", self.t.embedding), (1, s.cover, "COVER", self.t.cover)):
+            if own is None or not len(own):
+                continue
+            owners = [(k, x) for k, e in recent if (x := self._arrays(k, e)[side]) is not None]
+            if not owners:
+                continue
+            kept = np.concatenate([x for _, x in owners], axis=side)
+            scores = self._covers(np.array(own), kept) if side else (np.array([list(x) for x in own]) @ kept.T).max(0).round(6)
+            at = int(scores.argmax())
+            if scores[at] >= least:
+                ends = np.cumsum([x.shape[side] for _, x in owners])
+                return owners[int(np.searchsorted(ends, at, side="right"))][0], float(scores[at]), name
         return None
 
     def learn(self, e: Entry, s) -> int:
@@ -119,7 +162,7 @@ class Bucket:
             if len(e.mert) < MOST_SEGMENTS and (not e.mert or (np.array(e.mert) @ v).max().round(6) < self.t.embedding):
                 e.mert.append(v.tolist())
                 n += 1
-        if s.cover is not None and len(s.cover) and len(e.cover) < MOST_COVERS and (not e.cover or self._covers(np.array(s.cover), e.cover).max() < self.t.cover):
+        if s.cover is not None and len(s.cover) and len(e.cover) < MOST_COVERS and (not e.cover or self._covers(np.array(s.cover), self._spectrum(np.array(e.cover))).max() < self.t.cover):
             e.cover.append([float(x) for x in s.cover])
             n += 1
         return n
@@ -133,7 +176,7 @@ class Bucket:
         if e is None:
             items = [int(x) for x in s.items] if s.items is not None else None
             e = self.entries[key] = Entry(s.seen_at, items=items, duration=float(s.duration) if s.duration == s.duration and s.duration is not None else None)
-        e.last_seen, e.count = max(e.last_seen, s.seen_at), e.count + 1
+        self._touch(key, s.seen_at)
         if s.hint is not None and s.hint == s.hint:
             e.hint = int(s.hint)
         learned = self.learn(e, s)

@@ -145,3 +145,43 @@ def test_query(spark, sf):
     rows = catalogue.QUERIES["registry_learned"](spark, sf).collect()
     again = [r for r in rows if not r.is_new]
     assert {r.method for r in again} >= {"EMBEDDING", "COVER"} and len(again) >= 100
+
+
+class _Whole(learning.Bucket):
+    """Looks at all entries for each sighting."""
+
+    def prune(self, now):
+        gone = [k for k, e in self.entries.items() if e.last_seen + self.forget <= now]
+        for k in gone:
+            del self.entries[k]
+        return gone
+
+    def _recent(self):
+        return sorted(self.entries.items(), key=lambda x: (-x[1].last_seen, x[0]))[: learning.MOST_ENTRIES]
+
+    def _arrays(self, key, e):
+        self.arrays.clear()
+        return super()._arrays(key, e)
+
+
+def test_bucket_keeps_its_order(monkeypatch):
+    """Entries stay in the order last seen, late sightings and equal times included, and give what a look at all of them gives."""
+    import random
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(learning, "MOST_ENTRIES", 4)
+    r, g = random.Random(2), np.random.default_rng(2)
+    base = [x / np.linalg.norm(x) for x in g.normal(size=(12, 8))]
+    a, b = learning.Bucket({}, 40, 12), _Whole({}, 40, 12)
+    same = 0
+    for i in range(600):
+        v, c = base[r.randrange(12)], np.resize(base[r.randrange(12)], 72) / 3
+        at = i // 3 - (r.randrange(9) if r.random() < 0.2 else 0)
+        s = SimpleNamespace(bucket=0, sighting_id=i, seen_at=at, items=None, duration=None, mert=[v] if i % 3 else None, cover=c if i % 2 else None, hint=None)
+        x, y = a.fold(s), b.fold(s)
+        assert x == y
+        assert sorted(a.entries) == sorted(b.entries)
+        seen = [e.last_seen for e in a.entries.values()]
+        assert seen == sorted(seen) and set(a.arrays) <= set(a.entries)
+        same += not x[3]
+    assert 100 < same < 590
