@@ -1005,3 +1005,17 @@ def test_runs_of_long_texts(spark):
     tok, own = Tokenizer.from_file(queries.TOKENIZER), packing.ChunkTokenizer(queries.TOKENIZER)
     for text in (" ".join(f"w{i % 977}, and" for i in range(120_000)), "x" * 900_000 + " y", "y\n" * 500_000, ""):
         assert tok.encode(text, add_special_tokens=False).ids == (own.encode_long(text).tolist() if text else [])
+
+
+def test_group_of_single_texts_gives_pairs_in_proportion(spark):
+    """Texts of one bucket that are all still components of their own: two pairs with those before and after each, not all pairs, and all pairs at last."""
+    n = 90
+    x = near_dedup.folded(np.arange(40, dtype=np.uint64))
+    marks = spark.createDataFrame([(i, 40, bytearray(x), [5]) for i in range(n)], "node long, n_words int, folded binary, keys array<int>").cache()
+    open_ = spark.createDataFrame([(5, n, i, i) for i in range(n)], "key long, n long, node long, comp long")
+    marks = marks.withColumn("keys", F.array(F.hash(F.lit(5).cast("long"))))
+    for block in (256, 20):
+        rows = near_dedup.met(open_, marks, block, 2, 0.8, True).collect()
+        blocks = -(-n // block)
+        assert n / 2 <= len({(r.a, r.b) for r in rows}) <= 4 * n * blocks and all(r.a > r.b for r in rows) and {r.key for r in rows} == {5}
+        assert len({(r.a, r.b) for r in near_dedup.met(open_, marks, block, None, 0.8).collect()}) == n * (n - 1) // 2
