@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import etl, jobs, learning, registry, vectors
 from ..sources import adapters as A
+from ..sources import store
 
 TODAY = "2024-01-30"
 
@@ -205,22 +206,26 @@ def _check_sql(name: str, severity: str, sql: str, detail: str) -> str:
 
 
 def registry_learned(spark, d):
-    """Every recording seen once, every third again a day later with its first vector only, and every third moved in pitch."""
+    """Every recording seen once, every third again a day later with its first vector only, and every third moved in pitch.
+
+    Sightings are compared with all entries that are not forgotten; those that could match have one bucket."""
     e = A.segments(spark, d).groupBy("recording_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg_start", "embedding"))), lambda s: F.transform(s["embedding"], lambda x: x.cast("double"))).alias("v"))
     v = e.select("recording_id", F.transform("v", lambda x: vectors.normalised(x)).alias("mert"))
     cover = F.concat(F.col("mert")[0], F.array_repeat(F.lit(0.0), 8))
     second = F.lit(1_000_000)
     day = F.lit(86_400_000_000)
     none = F.lit(None)
-    base = v.select(
-        learning.locality(F.col("mert")[0], 64).alias("bucket"), F.col("recording_id").alias("id"), (F.col("recording_id") * 60 * second).alias("at"), "mert", cover.alias("cover"))
+    once = store.cut(v.select(F.col("recording_id").alias("id"), "mert", cover.alias("cover")))
+    # later sightings have features of the first ones, and rotations score alike, so links of the first ones hold for all
+    base = once.join(learning.linked(once, 12), "id").select("bucket", "id", (F.col("id") * 60 * second).alias("at"), "mert", "cover")
+    base = store.cut(base)
     part = base.filter("id % 3 = 0").select("bucket", "id", (F.col("at") + day).alias("at"), F.slice("mert", 1, 1).alias("mert"), none.cast("array<double>").alias("cover"))
     moved = base.filter("id % 3 = 1").select("bucket", "id", (F.col("at") + day).alias("at"), none.cast("array<array<double>>").alias("mert"), vectors.rotated(F.col("cover"), 4, 12, 6).alias("cover"))
     beyond = base.agg((F.max("id") + 1).alias("beyond"))
     again = part.union(moved).crossJoin(beyond).withColumn("id", F.col("id") + F.col("beyond")).drop("beyond")
     rows = base.union(again).select(
         "bucket", F.col("id").alias("sighting_id"), F.col("at").alias("seen_at"), none.cast("array<long>").alias("items"), none.cast("double").alias("duration"), "mert", "cover", none.cast("long").alias("hint"))
-    return learning.learned(rows, 12)
+    return learning.learned(rows, 12, caps=learning.Caps())
 
 
 QUERIES = {f.__name__: f for f in (

@@ -185,3 +185,57 @@ def test_bucket_keeps_its_order(monkeypatch):
         assert seen == sorted(seen) and set(a.arrays) <= set(a.entries)
         same += not x[3]
     assert 100 < same < 590
+
+
+def test_whole_compares_all_and_keeps_all():
+    """Without caps an entry seen long ago is still matched, and an entry keeps all it could not be recognised by."""
+    names = [c.split()[0] for c in learning.SIGHTING.split(", ")]
+    eye = np.eye(700)
+    bucket = learning.Bucket({}, 10**15, 12, caps=learning.Caps())
+    for i in range(600):
+        assert bucket.fold(row(names, (0, i, i, None, None, [eye[i]], None, None)))[3]
+    assert bucket.fold(row(names, (0, 1000, 1000, None, None, [eye[0]], None, None)))[2:5] == (0, False, "EMBEDDING")
+    for i in range(100):
+        got = bucket.fold(row(names, (0, 2000 + i, 2000 + i, None, None, [eye[0], eye[600 + i]], None, None)))
+        assert got[2] == 0 and got[6] == 1
+    assert len(bucket.entries[0].mert) == 101
+    assert bucket.fold(row(names, (0, 3000, 3000, None, None, [eye[699]], None, None)))[2] == 0
+
+
+def test_query_equals_one_registry(spark, tmp_path):
+    """Buckets of links give what a registry of all sightings gives, partners on two sides of a locality hash included."""
+    r = np.random.default_rng(3)
+    base = r.normal(size=(60, 64))
+    v = [base[k + side] + 0.05 * r.normal(size=64) for k in r.integers(0, 30, 200) for side in (0, 30)]
+    spark.createDataFrame([(i, x.tolist(), i % 10) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = catalogue.QUERIES["registry_learned"](spark, str(tmp_path)).collect()
+    assert len({x.bucket for x in rows}) > 20
+    got = sorted(tuple(x)[1:] for x in rows)
+    x = np.array(v, np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    cover = lambda i: np.r_[x[2 * i], np.zeros(8)]
+    rows = []
+    for i in range(200):
+        rows.append((i * 60_000_000, i, [x[2 * i], x[2 * i + 1]], cover(i)))
+        again = i * 60_000_000 + 86_400_000_000, i + 200
+        if i % 3 == 0:
+            rows.append((*again, [x[2 * i]], None))
+        if i % 3 == 1:
+            rows.append((*again, None, np.roll(cover(i).reshape(12, 6), 4, axis=0).ravel()))
+    one = learning.Bucket({}, 90 * 86_400_000_000, 12, caps=learning.Caps())
+    names = [c.split()[0] for c in learning.SIGHTING.split(", ")]
+    want = sorted(one.fold(row(names, (0, i, at, None, None, m, c, None)))[1:] for at, i, m, c in sorted(rows, key=lambda y: y[:2]))
+    assert [y[:4] + y[5:] for y in got] == [y[:4] + y[5:] for y in want]
+    assert sum(not y[2] for y in want) > 200 and len({y[1] for y in want}) > 20
+
+
+def test_forest():
+    r = np.random.default_rng(4)
+    for n in (5, 40, 300):
+        a, b = r.integers(0, 200, (2, n))
+        boss = {i: i for i in range(200)}
+        for _ in range(200):
+            for u, v in zip(a.tolist(), b.tolist()):
+                boss[u] = boss[v] = min(boss[u], boss[v])
+        got = dict(zip(*(z.tolist() for z in learning.forest(a, b))))
+        assert all(got.get(i, i) == boss[i] for i in range(200))
