@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from earmark.operators import fingerprint, meetings
 from earmark.plans import catalogue
+from earmark.sources import adapters
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +45,25 @@ def test_held_out_documents_meet_in_blocks(spark, sf):
     """No row for each two equal items: what leaves the meeting of two blocks are pairs of texts."""
     plan = catalogue.QUERIES["heldout_exclusions"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") >= 1 and "bit_count" not in plan
+
+
+def test_short_sequences_equal_sequences(spark):
+    texts = ["a b c", "a b", "", None, "  Ein  Wort\tund\nnoch EINS \r\n", "İstanbul ΣΑΣ straße \u00a0x y\u2003z", "日本 語 の 文 章", "x " * 3000, "w" * 200 + " v u t"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {x.doc_id: [h - (1 << 31) for h in x["items"]] for x in adapters.sequences(df, "doc_id", "doc_id").collect()}
+    got = {x.doc_id: list(x["items"]) for x in adapters.short_sequences(df, "doc_id").collect()}
+    assert got == want and len(got) >= 6
+
+
+def test_hashes_are_dealt_packed(spark, monkeypatch):
+    """A task deals its hashes in at most one row a group, however many there are."""
+    seen = []
+    first = meetings._near
+
+    def spied(df, values, bits):
+        seen.append(sum(1 for _ in first(df, values, bits)._jdf.queryExecution().analyzed().toString().split("Generate")) - 1)
+        return first(df, values, bits)
+
+    monkeypatch.setattr(meetings, "_near", spied)
+    seq = spark.createDataFrame([(i, i % 4 == 0, [i * 31 + j for j in range(50)]) for i in range(40)], "doc_id long, asked boolean, items array<long>")
+    assert meetings.close(seq, 0.1).count() > 0 and seen == [0]
